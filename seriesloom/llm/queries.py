@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_codec, packing, quality, token_counts
+from . import chunk_codec, hyperlang, packing, quality, token_counts
 from .shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold=(3, 1))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperlang.predict_languages(table(spark, sf_dir, "documents"), fold=(4, 2))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = chunk_codec.encode_documents(table(spark, sf_dir, "documents"), PIECE_BPE)
     return coded.select(
@@ -35,5 +39,5 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op3_quality": op3_quality, "op9_piece_codec": op9_piece_codec}
+QUERIES = {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op3_quality": op3_quality, "op6_language": op6_language, "op9_piece_codec": op9_piece_codec}
 ORACLE_SQL: dict[str, str] = {}
