@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_codec, hyperlang, packing, quality, token_counts
+from . import chunk_codec, digest, hyperlang, packing, quality, token_counts, token_efficiency
 from .shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -25,6 +25,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold=(3, 1))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = digest.compare_with_next(table(spark, sf_dir, "documents"))
+    return compared.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.predict_languages(table(spark, sf_dir, "documents"), fold=(4, 2))
 
@@ -39,5 +44,30 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op3_quality": op3_quality, "op6_language": op6_language, "op9_piece_codec": op9_piece_codec}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_efficiency.find_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "sparse")
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(token_efficiency.spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        token_efficiency.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_token_counts": op2_token_counts,
+    "op3_quality": op3_quality,
+    "op4_fingerprints": op4_fingerprints,
+    "op6_language": op6_language,
+    "op9_piece_codec": op9_piece_codec,
+    "op10_secrets": op10_secrets,
+}
 ORACLE_SQL: dict[str, str] = {}
