@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_codec, digest, hyperlang, packing, quality, token_counts, token_efficiency
+from . import chunk_codec, digest, group_join, hyperlang, packing, quality, token_counts, token_efficiency
 from .shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.predict_languages(table(spark, sf_dir, "documents"), fold=(4, 2))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.similarity_classes(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = chunk_codec.encode_documents(table(spark, sf_dir, "documents"), PIECE_BPE)
     return coded.select(
@@ -67,6 +71,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_fingerprints": op4_fingerprints,
     "op6_language": op6_language,
+    "op7_jaccard": op7_jaccard,
     "op9_piece_codec": op9_piece_codec,
     "op10_secrets": op10_secrets,
 }
