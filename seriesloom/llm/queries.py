@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_codec, digest, group_join, hyperlang, packing, quality, token_counts, token_efficiency
+from . import ball_search, chunk_codec, digest, group_join, hyperlang, packing, quality, token_counts, token_efficiency
 from .shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -38,6 +38,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_join.similarity_classes(table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = chunk_codec.encode_documents(table(spark, sf_dir, "documents"), PIECE_BPE)
     return coded.select(
@@ -72,7 +76,24 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op6_language": op6_language,
     "op7_jaccard": op7_jaccard,
+    "op8_top_k": op8_top_k,
     "op9_piece_codec": op9_piece_codec,
     "op10_secrets": op10_secrets,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_top_k": """
+        WITH good AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM good q JOIN good c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+            WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+        FROM scored
+        QUALIFY rank <= 5
+    """,
+}
