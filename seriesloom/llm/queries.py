@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_search, chunk_codec, digest, group_join, hyperlang, packing, quality, token_counts, token_efficiency
+from . import ball_search, brown_lm, chunk_codec, digest, group_join, hyperlang, packing, quality, token_counts, token_efficiency
 from .shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_texts(table(spark, sf_dir, "documents"), fold=(7, 2))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.predict_languages(table(spark, sf_dir, "documents"), fold=(4, 2))
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
     "op4_fingerprints": op4_fingerprints,
+    "op5_brown": op5_brown,
     "op6_language": op6_language,
     "op7_jaccard": op7_jaccard,
     "op8_top_k": op8_top_k,
