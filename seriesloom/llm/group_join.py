@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import map_batches, mix64, settle, shingle_sets, text_slices
-from .summaries import chunk_rows, merged, sieve_of
+from .shared import map_batches, mix64, numbered, settle, shingle_sets, text_slices
+from .summaries import CHUNK_SCHEMA, chunk_rows, merged, sieve_of
 
 WIDTH = 5
 PERCENT = 80
@@ -20,6 +21,8 @@ PERCENT = 80
 BANDS = 6
 #: Members of a group, about; larger classes are cut into several groups.
 GROUP = 32
+#: Queries, about, that a group's members are sent to at once.
+BLOCK = 64
 #: Cells of the shingle counts that order a document's shingles from rare to frequent.
 SKETCH_BITS = 21
 
@@ -41,24 +44,67 @@ def _cell(shingles: np.ndarray) -> np.ndarray:
     return shingles >> np.uint64(64 - SKETCH_BITS)
 
 
-def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """A row per document (name, size and minimum hashes of its set), and the tasks' shingle counts in chunk rows."""
+def _sketch(docs: DataFrame, width: int) -> np.ndarray:
+    """How many documents hold a shingle of each hash cell: an estimate from above, of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["doc_id", "node", "n", "keys", "chunk", "cells"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        for _, texts in text_slices(batches):
+            for s in shingle_sets(texts, width):
+                np.add.at(counts, _cell(s), 1)
+        rows = list(chunk_rows(counts))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "cells"])
+
+    return merged(map_batches(docs, ["text"], CHUNK_SCHEMA, run), 1 << SKETCH_BITS, "int32", np.add)
+
+
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """How many of a set's n shingles are probed and how many indexed.
+
+    Sets that link share ``ceil(p n)`` shingles at least, so one of the first
+    ``n - ceil(p n) + 1`` is shared; against sets that are no smaller, the first
+    ``n - ceil(2 p n / (1 + p)) + 1`` are enough. If two sets link, the larger
+    one's probed shingles meet the smaller one's indexed ones.
+    """
+    return n + 1 - -(-percent * n // 100), n + 1 - -(-2 * percent * n // (100 + percent))
+
+
+def _signatures(docs: DataFrame, sketch, width: int, percent: int) -> DataFrame:
+    """A row per document: name, size and minimum hashes of its set, how common its shingles are, and the probed ones.
+
+    ``rare`` holds a set's probed shingles, ordered by their sketch count and then
+    by hash (the same order for all sets). Of several documents of a slice with
+    one set, only the first has ``keys`` and ``rare``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
         for part, texts in text_slices(batches):
-            sets = shingle_sets(texts, width)
-            for s in sets:
-                np.add.at(sketch, _cell(s), 1)
-            keys = [(s[:, None] * _BAND_FACTORS).min(axis=0).astype(np.int64) if len(s) else None for s in sets]
-            own = [part.column(0).to_pylist(), [node_of(s) if len(s) else None for s in sets], [len(s) for s in sets], keys, [None] * len(sets), [None] * len(sets)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, types)], names=names)
-        for k, cells in chunk_rows(sketch):
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, k, cells), types)], names=names)
+            nodes, sizes, keys, common, rare = [], [], [], [], []
+            seen: set[int] = set()
+            for s in shingle_sets(texts, width):
+                n = len(s)
+                node = node_of(s) if n else None
+                nodes.append(node)
+                sizes.append(n)
+                if not n or node in seen:
+                    for column in (keys, common, rare):
+                        column.append(None)
+                    continue
+                seen.add(node)
+                held = counts[_cell(s)]
+                keys.append((s[:, None] * _BAND_FACTORS).min(axis=0).astype(np.int64))
+                common.append(float(np.log(held).mean()))
+                rank = np.minimum(held, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | s >> np.uint64(24)
+                rare.append(s[np.argsort(rank, kind="stable")[: prefix_lengths(n, percent)[0]]].astype(np.int64))
+            listed = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, listed), pa.array(common, pa.float64()), pa.array(rare, listed)],
+                names=["doc_id", "node", "n", "keys", "common", "rare"],
+            )
 
-    return map_batches(docs, ["doc_id", "text"], "doc_id long, node long, n long, keys array<long>, chunk int, cells binary", run)
+    return map_batches(docs, ["doc_id", "text"], "doc_id long, node long, n long, keys array<long>, common double, rare array<long>", run)
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -125,87 +171,72 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _prefixes(docs: DataFrame, sketch, width: int, percent: int, sieve=None) -> DataFrame:
-    """``token, node, n, indexed``: each set's rarest shingles, of which any set that links with it must hold one.
-
-    Shingles are ordered by their sketch count and then by hash, the same for all
-    sets. Of n, the first ``n - ceil(p n) + 1`` are probed, and the first
-    ``n - ceil(2 p n / (1 + p)) + 1`` indexed: if two sets link, the larger one's
-    probed shingles meet the smaller one's indexed ones.
-    """
+def _tokens(told: DataFrame, percent: int, sieve=None) -> DataFrame:
+    """``token, node, n, indexed``: the rare shingles of every set, or those that the sieve lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
-        for _, texts in text_slices(batches):
-            tokens, nodes, sizes, indexed = [], [], [], []
-            seen: set[int] = set()
-            for s in shingle_sets(texts, width):
-                n = len(s)
-                node = node_of(s) if n else 0
-                if not n or node in seen:
-                    continue
-                seen.add(node)
-                probe = n - -(-percent * n // 100) + 1
-                index = n - -(-2 * percent * n // (100 + percent)) + 1
-                rank = np.minimum(counts[_cell(s)], (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | s >> np.uint64(24)
-                first = s[np.argsort(rank, kind="stable")[:probe]]
-                role = np.arange(probe) < index
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                rare = part.column(2)
+                lengths = pa.compute.list_value_length(rare).to_numpy(zero_copy_only=False)
+                n = part.column(1).to_numpy()
+                token = rare.flatten().to_numpy()
+                owner = np.repeat(np.arange(len(n)), lengths)
+                place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                indexed = place < (n + 1 - -(-2 * percent * n // (100 + percent)))[owner]
                 if sieve is not None:
-                    hit = sieve.value.passes(first)
-                    first, role = first[hit], role[hit]
-                tokens.append(first)
-                indexed.append(role)
-                nodes.append(np.full(len(first), node, np.int64))
-                sizes.append(np.full(len(first), n, np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(indexed))], names=["token", "node", "n", "indexed"])
+                    hit = sieve.value.passes(token.view(np.uint64))
+                    token, owner, indexed = token[hit], owner[hit], indexed[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(part.column(0).to_numpy()[owner]), pa.array(n[owner]), pa.array(indexed)], names=["token", "node", "n", "indexed"])
 
-    return map_batches(docs, ["text"], "token long, node long, n long, indexed boolean", run)
+    return told.where("rare is not null").select("node", "n", "rare").mapInArrow(run, "token long, node long, n long, indexed boolean")
 
 
 def _opened(candidates: DataFrame, texts: DataFrame, assigned: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between query sets and members of their candidate groups.
+    """Links between query sets and members of their candidate groups, one per query and group at most.
 
-    A group is opened only if the query's overlap with the union of its members'
-    shingles reaches what a link with any of them needs; within an opened group
-    the members are compared until one links, as all of a group's members are in
-    one class already.
+    A group is opened for a query only if the query's overlap with the union of its
+    members' shingles reaches what a link with any of them needs. One link is
+    enough, as all of a group's members are in one class already. A group's
+    members travel once with every ``BLOCK`` of its queries.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _SetMemo(width)
-        groups: OrderedDict[int, tuple[list, np.ndarray]] = OrderedDict()
         for batch in batches:
-            node, text, group, members = (c.to_pylist() for c in batch.columns)
-            found = []
-            for k in range(len(node)):
-                if group[k] not in groups:
-                    sets = [(m["node"], memo.get(m["node"], m["text"])) for m in members[k]]
-                    groups[group[k]] = (sets, np.unique(np.concatenate([s for _, s in sets])))
-                    if len(groups) > 8:
-                        groups.popitem(last=False)
-                sets, union = groups[group[k]]
-                query = memo.get(node[k], text[k])
-                if 100 * _common(query, union) < percent * len(query):
-                    continue
-                for name, s in sets:
-                    if name != node[k] and links(_common(query, s), len(query), len(s), percent):
-                        found.append((node[k], name))
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
-
-    members = candidates.select("group").distinct().join(assigned.select("node", "group"), "group").join(texts, "node")
+            for members, queries in zip(batch.column(0), batch.column(1)):
+                members, queries = members.as_py(), queries.as_py()
+                sets = shingle_sets([m["text"] for m in members], width)
+                sizes = np.array([len(s) for s in sets])
+                union, place = np.unique(np.concatenate(sets), return_inverse=True)
+                holds = np.zeros((len(sets), len(union)), bool)
+                holds[np.repeat(np.arange(len(sets)), sizes), place] = True
+                found = []
+                for query, own in zip(queries, shingle_sets([q["text"] for q in queries], width)):
+                    at = np.minimum(np.searchsorted(union, own), len(union) - 1)
+                    at = at[union[at] == own]
+                    if 100 * len(at) < percent * len(own):
+                        continue
+                    linked = links(np.count_nonzero(holds[:, at], axis=1), len(own), sizes, percent)
+                    if linked.any():
+                        found.append((query["node"], members[int(linked.argmax())]["node"]))
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    blocks = candidates.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    asked = candidates.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    queries = asked.join(texts, "node").groupBy("group", "block").agg(F.collect_list(F.struct("node", "text")).alias("queries"))
+    members = blocks.select("group").join(assigned.select("node", "group"), "group").join(texts, "node")
     payload = members.groupBy("group").agg(F.collect_list(F.struct("node", "text")).alias("members"))
-    joined = candidates.join(texts, "node").join(payload, "group").select("node", "text", "group", "members")
-    return joined.mapInArrow(run, "a long, b long")
+    return queries.join(payload, "group").select("members", "queries").mapInArrow(run, "a long, b long")
 
 
 def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document the size of its shingle set and the smallest id reachable by links.
 
     1. Documents with one and the same set become one node. 2. Each node is
-    compared with the least node of each of its minimum hashes (linear in the
-    nodes); what links is joined into classes. 3. Classes are cut into groups, and
+    compared with one node for each of its minimum hashes, the one whose shingles
+    are the most common, so as a rule the text that the others were made from
+    (linear in the nodes); what links is joined into classes. 3. Classes are cut into groups, and
     the token-group matrix holds each group's union of rare (indexed) shingles.
     Queries meet, by their own rare shingles, only groups of other classes; of
     these, the ones whose whole union can reach the threshold are opened and
@@ -220,13 +251,12 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    told = settle(_signatures(docs, width), "signatures")
-    rows = told.where("chunk is null").select("doc_id", "node", "n", "keys")
-    sketch = spark.sparkContext.broadcast(merged(told.where("chunk is not null").select("chunk", "cells"), 1 << SKETCH_BITS, "int32", np.add))
-
-    nodes = settle(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "nodes")
-    keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    leaders = keyed.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("many")).where("many > 1")
+    sketch = spark.sparkContext.broadcast(_sketch(docs, width))
+    told = settle(_signatures(docs, sketch, width, percent), "signatures")
+    named = told.where("keys is not null").groupBy("node").agg(F.min("common").alias("common"), F.first("keys").alias("keys"))
+    nodes = settle(named.join(told.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")), "node"), "nodes")
+    keyed = nodes.select("node", "common", F.posexplode("keys").alias("band", "key"))
+    leaders = keyed.groupBy("band", "key").agg(F.max(F.struct("common", "node"))["node"].alias("leader"), F.count("*").alias("many")).where("many > 1")
     first = settle(keyed.join(leaders, ["band", "key"]).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     ends = settle(first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct(), "ends")
     near = settle(_verified(first, settle(_texts_of(docs, ends, width), "texts"), width, percent), "links")
@@ -237,9 +267,9 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     part = F.when(F.col("size") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)))
     assigned = settle(roots.join(sizes, "root").select("node", "root", F.xxhash64("root", part).alias("group")), "assigned")
-    shared = settle(_prefixes(docs, sketch, width, percent).groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token"), "tokens")
+    shared = settle(_tokens(told, percent).groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token"), "tokens")
     sieve = spark.sparkContext.broadcast(sieve_of(shared))
-    rare = settle(_prefixes(docs, sketch, width, percent, sieve).distinct().join(assigned, "node"), "rare")
+    rare = settle(_tokens(told, percent, sieve).distinct().join(assigned, "node"), "rare")
     probed = rare.groupBy("token", "root").agg(F.max("n").alias("most"))
     indexed = rare.where("indexed").groupBy("token", "root").agg(F.min("n").alias("fewest"))
     met = indexed.withColumnRenamed("root", "other").join(probed, "token").where("other <> root and fewest <= most").select("token", "root", "other")
@@ -259,4 +289,19 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     grouped = nodes.select("node", "least").join(final, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component"))
     by_node = settle(grouped.join(smallest, "root").select("node", "component"), "components")
-    return rows.join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return told.select("doc_id", "node", "n").join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per similarity class, with all columns: the one of the class's smallest key.
+
+    Of rows with one key, the one with the smallest text stays. Rows with a null
+    key cannot be told apart by it and all stay.
+    """
+    classes = similarity_classes(docs, width, percent, text, key)
+    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    plain, _ = numbered(docs)
+    key_at, text_at = f"c{docs.columns.index(key)}", f"c{docs.columns.index(text)}"
+    named = plain.join(first, F.col(key_at) == F.col("_kept"), "left_semi")
+    named = named.withColumn("_n", F.row_number().over(W.partitionBy(key_at).orderBy(text_at))).where("_n = 1").drop("_n")
+    return named.unionAll(plain.where(F.col(key_at).isNull())).toDF(*docs.columns)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_fold, text_slices
+from .shared import crc_fold, numbered, text_slices
 
 DIMENSIONS = 512
 #: Letters per n-gram, spaces at words' edges included.
@@ -144,30 +144,30 @@ def language_prototypes(docs: DataFrame, fold: tuple[int, int] = (4, 2), text: s
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _slices(batches: Iterator[pa.RecordBatch], text: int = -1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices bounded in bytes and in rows, as each row needs a vector."""
-    for part, texts in text_slices(batches):
+    for part, texts in text_slices(batches, text):
         for a in range(0, len(texts), SLICE_ROWS):
             own = texts[a : a + SLICE_ROWS]
             yield part.slice(a, len(own)), [t.decode("utf-8", "replace") for t in own]
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to the columns ``keep`` (default all): the language of the nearest prototype and its cosine (at least 0).
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+    """All columns of ``docs`` under the names c0, c1, ..., with ``lang_pred`` and ``score``.
 
-    A text that is null, empty or without a
-    letter, and every text if there are no prototypes, gets ``und`` and 0. Ties
-    go to the first language in alphabetical order. Repeated rows stay repeated.
+    These are the language of the nearest prototype and its cosine (at least 0).
+    A text that is null, empty or without a letter, and every text if there are no
+    prototypes, gets ``und`` and 0. Ties go to the first language in alphabetical
+    order. Repeated rows stay repeated.
     """
     names = sorted(prototypes)
     units = np.stack([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-9) for n in names]) if names else np.zeros((0, DIMENSIONS))
     units = units.astype(np.float32)
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    source = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(kept)], F.col(text).cast("string").alias("_text"))
-    schema = "".join(f"_c{k} {docs.schema[c].dataType.simpleString()}, " for k, c in enumerate(kept)) + "lang_pred string, score double"
+    plain, types = numbered(docs)
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _slices(batches):
+        for part, texts in _slices(batches, place):
             v = document_vectors(texts)
             norm = np.linalg.norm(v, axis=1)
             has_letter = norm > 0
@@ -178,10 +178,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                 score = np.where(has_letter, np.clip(cosines[np.arange(len(v)), best], 0, 1), 0.0)
             else:
                 found, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
-    told = source.mapInArrow(run, schema)
-    return told.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(kept)], "lang_pred", "score")
+    return plain.mapInArrow(run, f"{types}, lang_pred string, score double")
 
 
 def predict_languages(docs: DataFrame, fold: tuple[int, int] = (4, 2), text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
@@ -193,5 +192,11 @@ def predict_languages(docs: DataFrame, fold: tuple[int, int] = (4, 2), text: str
     """
     modulus, left_out = fold
     prototypes = language_prototypes(docs, fold, text, key, lang)
-    told = identify(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), prototypes, keep=["doc_id"])
-    return told.select("doc_id", F.coalesce(crc_fold(F.col("doc_id"), modulus) == left_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    told = identify(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), prototypes)
+    return told.select(F.col("c0").alias("doc_id"), F.coalesce(crc_fold(F.col("c0"), modulus) == left_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, fold: tuple[int, int] = (4, 2), least: float = LEAST_LIKENESS, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is like some language of the table (score at least ``least``)."""
+    told = identify(docs, language_prototypes(docs, fold, text, key, lang), text)
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score").toDF(*docs.columns)

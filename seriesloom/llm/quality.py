@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, crc_fold, text_slices
+from .shared import Words, crc_fold, numbered, text_slices
 
 #: At most so many labelled rows are used to fit (those whose hashed id is smallest); the bound of what the driver holds.
 MAX_TRAINING_ROWS = 20_000
@@ -213,37 +213,44 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_
     return x, got["quality"].to_numpy(float)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1), limit: int = MAX_TRAINING_ROWS, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, fold: tuple[int, int], limit: int, text: str, key: str) -> DataFrame:
+    """All columns of ``docs`` under the names c0, c1, ... and the ``_score`` of each text."""
+    forest = fit_forest(*training_rows(docs, labels, limit, fold, text, key))
+    plain, types = numbered(docs)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches, place):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(forest.scores(statistics(texts)))], names=[*part.schema.names, "_score"])
+
+    return plain.mapInArrow(run, f"{types}, _score double")
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1), limit: int = MAX_TRAINING_ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Score every whole text: ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from 0.5 on).
 
     The forest is fitted on at most ``limit`` labelled rows outside the fold
     ``(modulus, remainder)`` of the id's crc32; those inside are ``held_out``.
-    Inputs are statistics of the text alone. ``keep`` names further columns to
-    carry along.
+    Inputs are statistics of the text alone.
 
     Null texts count as empty and get a score like any other. A null key is not
     held out; labels that are null, not 0 or 1, or of a null key are not used; of
     a key's several labels the largest counts. Without usable labels every score
-    is the smoothed share 0.5. Empty tables give no rows.
+    is the smoothed share 0.5. Repeated rows are scored once each, empty tables
+    give no rows, further columns are ignored.
     """
-    x, y = training_rows(docs, labels, limit, fold, text, key)
-    forest = fit_forest(x, y)
     modulus, left_out = fold
-    kept = keep if keep is not None else []
-    named = [F.col(c) for c in kept]
-    source = docs.select(F.col(key).cast("long").alias("_key"), *[c.alias(f"_c{k}") for k, c in enumerate(named)], F.col(text).cast("string").alias("_text"))
-    fields = ", ".join(f"_c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(kept))
-    schema = "_key long, " + (fields + ", " if fields else "") + "_score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(forest.scores(statistics(texts)))], names=[*part.schema.names[:-1], "_score"])
-
-    scored = source.mapInArrow(run, schema)
+    only = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    scored = _scored(only, labels.select(F.col(key).alias("doc_id"), "quality"), fold, limit, "text", "doc_id")
     return scored.select(
-        F.col("_key").alias("doc_id"),
-        *[F.col(f"_c{k}").alias(c) for k, c in enumerate(kept) if c != "doc_id"],
-        F.coalesce(crc_fold(F.col("_key"), modulus) == left_out, F.lit(False)).alias("held_out"),
+        F.col("c0").alias("doc_id"),
+        F.coalesce(crc_fold(F.col("c0"), modulus) == left_out, F.lit(False)).alias("held_out"),
         F.col("_score").alias("score"),
         (F.col("_score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1), limit: int = MAX_TRAINING_ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores 0.5 or more (see ``score_documents``)."""
+    scored = _scored(docs, labels, fold, limit, text, key)
+    return scored.where("_score >= 0.5").drop("_score").toDF(*docs.columns)

@@ -44,6 +44,12 @@ def map_batches(df: DataFrame, columns: list, schema, function: Callable[[Iterat
     return df.select(*columns).mapInArrow(function, schema)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame with its columns called c0, c1, ..., so that no name can clash, and their types as a schema string."""
+    names = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields))
+
+
 def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows whose sizes sum to about ``limit``; a larger row stands alone."""
     start = total = 0

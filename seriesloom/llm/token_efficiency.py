@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import read_only_path, slices
+from .shared import numbered, read_only_path, slices
 
 # The base patterns and the least lengths of what they must catch.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -104,14 +104,12 @@ def redact(docs: DataFrame, ranks_file: str = "byte_bpe_50k.tiktoken", mark: str
             at = max(at, end)
         return "".join([*out, value[at:]]) if spans else value
 
-    columns = docs.columns
+    plain, types = numbered(docs)
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = columns.index(text)
             new = pa.array([cleaned(t) for t in batch.column(place).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([new if k == place else c for k, c in enumerate(batch.columns)], names=[f"c{k}" for k in range(len(columns))])
+            yield pa.RecordBatch.from_arrays([new if k == place else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    types = ", ".join(f"c{k} {docs.schema.fields[k].dataType.simpleString()}" for k in range(len(columns)))
-    plain = docs.toDF(*[f"c{k}" for k in range(len(columns))])
-    return plain.mapInArrow(run, types).toDF(*columns)
+    return plain.mapInArrow(run, types).toDF(*docs.columns)
