@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import library_queries, series_queries
+
+QUERIES: dict = series_queries.QUERIES | library_queries.QUERIES
+ORACLE_SQL: dict = series_queries.ORACLE_SQL | library_queries.ORACLE_SQL
