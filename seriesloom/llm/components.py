@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import release, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,10 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
     left = left.where("a < b")
     while not left.isEmpty():
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pointer = settle(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")), "pointer")
-        onward = pointer.select(F.col("a").alias("to"), F.col("to").alias("then"))
-        pointer = settle(pointer.join(onward, "to", "left").select("a", F.coalesce("then", "to").alias("to")), "pointer")
+        near = settle(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")), "pointer")
+        onward = near.select(F.col("a").alias("to"), F.col("to").alias("then"))
+        pointer = settle(near.join(onward, "to", "left").select("a", F.coalesce("then", "to").alias("to")), "pointer")
+        before = found, left, near, pointer
         found = settle(found.join(pointer.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
         moved = left.join(pointer, "a").select(F.col("to").alias("x"), "b").join(pointer.withColumnRenamed("a", "b"), "b").select("x", F.col("to").alias("y"))
         left = settle(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        release(*before)
     return found

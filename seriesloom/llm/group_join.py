@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import map_batches, mix64, numbered, settle, shingle_sets, text_slices
+from .shared import map_batches, mix64, numbered, release, settle, shingle_sets, text_slices
 from .summaries import CHUNK_SCHEMA, chunk_rows, merged, sieve_of
 
 WIDTH = 5
@@ -23,8 +23,8 @@ BANDS = 6
 GROUP = 32
 #: Queries, about, that a group's members are sent to at once.
 BLOCK = 64
-#: Cells of the shingle counts that order a document's shingles from rare to frequent.
-SKETCH_BITS = 21
+#: Cells of the shingle counts (of a byte each) that order a document's shingles from rare to frequent.
+SKETCH_BITS = 24
 
 _BAND_FACTORS = np.random.default_rng(15485863).integers(1, 2**63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -44,19 +44,24 @@ def _cell(shingles: np.ndarray) -> np.ndarray:
     return shingles >> np.uint64(64 - SKETCH_BITS)
 
 
+def _capped_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of counts of a byte; 255 stands for that many or more."""
+    return np.minimum(a.astype(np.int64) + b, 255).astype(np.uint8)
+
+
 def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How many documents hold a shingle of each hash cell: an estimate from above, of fixed size."""
+    """How many documents, up to 255, hold a shingle of each hash cell: an estimate from above, of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint8)
         for _, texts in text_slices(batches):
-            for s in shingle_sets(texts, width):
-                np.add.at(counts, _cell(s), 1)
+            cells, held = np.unique(np.concatenate([_cell(s) for s in shingle_sets(texts, width)]), return_counts=True)
+            counts[cells] = _capped_sum(counts[cells], held)
         rows = list(chunk_rows(counts))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "cells"])
 
-    return merged(map_batches(docs, ["text"], CHUNK_SCHEMA, run), 1 << SKETCH_BITS, "int32", np.add)
+    return merged(map_batches(docs, ["text"], CHUNK_SCHEMA, run), 1 << SKETCH_BITS, "uint8", _capped_sum)
 
 
 def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
@@ -95,8 +100,8 @@ def _signatures(docs: DataFrame, sketch, width: int, percent: int) -> DataFrame:
                 seen.add(node)
                 held = counts[_cell(s)]
                 keys.append((s[:, None] * _BAND_FACTORS).min(axis=0).astype(np.int64))
-                common.append(float(np.log(held).mean()))
-                rank = np.minimum(held, (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | s >> np.uint64(24)
+                common.append(float(np.log(held.astype(float)).mean()))
+                rank = held.astype(np.uint64) << np.uint64(40) | s >> np.uint64(24)
                 rare.append(s[np.argsort(rank, kind="stable")[: prefix_lengths(n, percent)[0]]].astype(np.int64))
             listed = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -108,7 +113,10 @@ def _signatures(docs: DataFrame, sketch, width: int, percent: int) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``node, text``: one text for each wanted set. A sieve keeps most other texts from being shuffled."""
+    """``node, text``: one text for each wanted set, dealt by node for the joins that follow.
+
+    A sieve keeps most other texts from being shuffled.
+    """
     sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +267,8 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     leaders = keyed.groupBy("band", "key").agg(F.max(F.struct("common", "node"))["node"].alias("leader"), F.count("*").alias("many")).where("many > 1")
     first = settle(keyed.join(leaders, ["band", "key"]).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     ends = settle(first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct(), "ends")
-    near = settle(_verified(first, settle(_texts_of(docs, ends, width), "texts"), width, percent), "links")
+    near = settle(_verified(first, _texts_of(docs, ends, width), width, percent), "links")
+    release(first, ends)
     classes = components(near)
 
     # the token-group matrix
@@ -283,8 +292,9 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     if wanted.isEmpty():
         final = classes
     else:
-        far = _opened(candidates, settle(_texts_of(docs, wanted, width), "texts"), assigned, width, percent)
-        final = components(near.union(settle(far, "links")))
+        far = settle(_opened(candidates, _texts_of(docs, wanted, width), assigned, width, percent), "links")
+        final = components(near.union(far))
+    release(assigned, shared, rare, met, candidates, wanted)
 
     grouped = nodes.select("node", "least").join(final, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,22 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    _places[settled] = path
+    return settled
+
+
+#: Where each settled frame lies.
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def release(*settled: DataFrame) -> None:
+    """Delete the files of settled frames of which everything that was made is written elsewhere."""
+    for df in settled:
+        place = _places.pop(df, None)
+        if place:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_batches(df: DataFrame, columns: list, schema, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ def chunk_rows(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield k // CHUNK_CELLS, zlib.compress(part.tobytes(), 1)
 
 
-def merged(chunks: DataFrame, size: int, dtype: str, combine: np.ufunc) -> np.ndarray:
+def merged(chunks: DataFrame, size: int, dtype: str, combine: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """Merge the tasks' chunks and bring the one summary of ``size`` cells to the driver.
 
     Each merging task streams over its chunks and holds one array per chunk number.
