@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import rank_quantiles
 from ..functions.text import csv_cell, mask_numbers
 
 # The columns of a review file.
@@ -86,14 +85,18 @@ def repeated_rows(df: DataFrame, series: str, order: list[str], value: str) -> D
 def class_statistics(df: DataFrame, track: str, kind: str, step: str, acceleration: str, period: float, p: float = 0.999) -> DataFrame:
     """Per class: the greatest step and its track, the greatest of the tracks' p-quantiles, the greatest velocity and acceleration quantile.
 
-    Two levels: order statistics per track by ranks, then the maximum per class.
+    Two levels: order statistics per track by ranks over one exchange, then the maximum per class.
     Of tracks with the same greatest step, the first by name is told.
     """
-    place = f"floor({p} * (n - 1))"
-    tops = df.groupBy(kind, track).agg(F.max(step).alias("top"))
-    by_step = rank_quantiles(df, [kind, track], step, {"high_step": place})
-    by_acceleration = rank_quantiles(df, [kind, track], acceleration, {"high_acceleration": place})
-    tracks = tops.join(by_step, [kind, track], "left").join(by_acceleration, [kind, track], "left")
+    whole = W.partitionBy(kind, track)
+    ranked = df.select(kind, track, F.col(step).alias("_s"), F.col(acceleration).alias("_a"))
+    for c in ("_s", "_a"):
+        ranked = ranked.withColumn(f"{c}r", F.row_number().over(whole.orderBy(F.col(c).asc_nulls_last())) - 1).withColumn(f"{c}n", F.count(c).over(whole))
+
+    def at_rank(c: str):
+        return F.max(F.when(F.col(f"{c}r") == F.floor(F.lit(p) * (F.col(f"{c}n") - 1)), F.col(c)))
+
+    tracks = ranked.groupBy(kind, track).agg(F.max("_s").alias("top"), at_rank("_s").alias("high_step"), at_rank("_a").alias("high_acceleration"))
     worst = F.max(F.struct(F.col("top"), (-F.col(track)).alias("_t")))
     return tracks.groupBy(kind).agg(
         F.max("top").alias("greatest_step"),
