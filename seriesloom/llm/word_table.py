@@ -57,10 +57,15 @@ class WordTable:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, fresh: list[str], first: int) -> None:
-        """Ids of new words; an ASCII word shares its lower-case core's ids with other endings."""
+        """Ids of new words; an ASCII word shares its lower-case core's ids with other endings.
+
+        The tokenizer takes a whole run of punctuation for one piece of a word, so an
+        ending stands apart only behind a letter or digit.
+        """
         parts, wanted = [], {}
         for word in fresh:
             core = word.rstrip(_TAIL) if word.isascii() else word
+            core = core if core[-1:].isalnum() else word
             tail = word[len(core) :]
             core = core.lower() if core.isascii() else core
             parts.append((core, tail))

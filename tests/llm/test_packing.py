@@ -90,3 +90,13 @@ def test_query_checksums(spark):
     one = op1_packing(spark, odd.SF).orderBy("doc_id", "start").first()
     full = packing.pack_documents(odd.documents(spark), WORD_BPE).where(f"doc_id = {one.doc_id} and start = {one.start}").first()
     assert one.ids_crc32 == zlib.crc32(bytes(full.ids))
+
+
+def test_words_that_end_in_mixed_punctuation():
+    from seriesloom.llm.word_table import WordTable
+
+    table = WordTable(WORD_BPE)
+    words = ["word).", 'said",', "10%,", "f(x);", "dogs'.", "a).", 'b",', "[SECRET],", '9B"!!', "Plain.", "...", "?!)", "it's.", "'s,", "a\t.", "x_.", "é).", "#!", "A1:"]
+    texts = [*words, " ".join(words), "\n".join(reversed(words))]
+    for text, (ids, _) in zip(texts, table.encode(texts), strict=True):
+        assert ids.tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids, text
