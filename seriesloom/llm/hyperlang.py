@@ -15,8 +15,10 @@ from .shared import crc_fold, numbered, text_slices
 DIMENSIONS = 512
 #: Letters per n-gram, spaces at words' edges included.
 GRAM = 3
-#: A document needs this cosine to be taken as of a language by the pipeline.
+#: A document needs this cosine to be taken as of a language by the pipeline; a short one needs less, see ``keep_identified``.
 LEAST_LIKENESS = 0.15
+#: Standard deviations of the noise of ``DIMENSIONS`` dimensions by which a short text may fall below its language's likeness.
+NOISE_MARGIN = 3.0
 UNKNOWN = "und"
 _SEED = 7919
 #: Documents whose vectors are held at once.
@@ -60,13 +62,16 @@ def _numbered(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams of each text: text number, n-gram number, count; and the n-grams' letters by number.
 
-    Everything that is no letter counts as one space; n-grams of more than one space in a row or outside the text do not exist.
+    Everything that is no letter counts as one space, and one stands before a text's first letter; n-grams of more than
+    one space in a row or outside the text do not exist. So every text with a letter has an n-gram, and no other has one.
     """
-    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer("".join(f"\n{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     letters = _letters()[codes]
     keep = letters > 0
     keep[1:] |= letters[:-1] > 0
-    doc = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    sizes = np.array([len(t) + 2 for t in texts], np.int64)
+    keep[np.cumsum(sizes) - sizes] = True
+    doc = np.repeat(np.arange(len(texts)), sizes)
     letters, doc = letters[keep], doc[keep]
     alphabet, small = _numbered(letters, 0x110000)
     n, size = len(small) - GRAM + 1, len(alphabet)
@@ -96,31 +101,32 @@ def gram_vectors(spelled: np.ndarray) -> np.ndarray:
     return out
 
 
-def document_vectors(texts: list[str]) -> np.ndarray:
-    """The bundle of each text: its n-grams' vectors summed with weight log(1 + count); zero without letters.
+def document_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The bundle of each text, its n-grams' vectors summed with weight log(1 + count), and its number of distinct n-grams; zero without letters.
 
     The logarithm keeps a repeated line or word from drowning the rest of a text.
     """
     of, number, counts, spelled = gram_counts(texts)
     dense = np.zeros((len(texts), len(spelled)), np.float32)
     dense[of, number] = np.log1p(counts)
-    return dense @ gram_vectors(spelled).astype(np.float32)
+    return dense @ gram_vectors(spelled).astype(np.float32), np.bincount(of, minlength=len(texts))
 
 
 def _language_sums(texts: list[str], languages: np.ndarray) -> dict[str, np.ndarray]:
-    """The sum of the bundles of each language's texts, without making the bundles."""
+    """The sum of the bundles of each language's texts, without making the bundles, and behind it the sum of their n-grams' weights."""
     of, number, counts, spelled = gram_counts(texts)
     names, own = np.unique(languages, return_inverse=True)
     weights = np.bincount(own[of] * max(len(spelled), 1) + number, weights=np.log1p(counts), minlength=len(names) * max(len(spelled), 1))
     if not len(spelled):
         return {}
-    return dict(zip(names, weights.reshape(len(names), -1).astype(np.float32) @ gram_vectors(spelled).astype(np.float32)))
+    weights = weights.reshape(len(names), -1).astype(np.float32)
+    return dict(zip(names, np.hstack([weights @ gram_vectors(spelled).astype(np.float32), weights.sum(axis=1, keepdims=True)])))
 
 
 def language_prototypes(docs: DataFrame, fold: tuple[int, int] = (4, 2), text: str = "text", key: str = "doc_id", lang: str = "lang") -> dict[str, np.ndarray]:
     """One vector per language: the sum of the bundles of its documents outside the held-out fold.
 
-    Tasks send one partial sum per language, so what is shuffled and what the
+    Behind its ``DIMENSIONS`` numbers it has the sum of the n-grams' weights. Tasks send one partial sum per language, so what is shuffled and what the
     driver receives are (languages x dimensions) numbers whatever the number of documents.
     """
     modulus, left_out = fold
@@ -140,7 +146,7 @@ def language_prototypes(docs: DataFrame, fold: tuple[int, int] = (4, 2), text: s
     parts = taught.mapInArrow(run, "lang string, k long, x long").groupBy("lang", "k").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}
     for name, k, x in parts.collect():
-        out.setdefault(name, np.zeros(DIMENSIONS))[k] = x / 2**8
+        out.setdefault(name, np.zeros(DIMENSIONS + 1))[k] = x / 2**8
     return out
 
 
@@ -153,24 +159,24 @@ def _slices(batches: Iterator[pa.RecordBatch], text: int = -1) -> Iterator[tuple
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """All columns of ``docs`` under the names c0, c1, ..., with ``lang_pred`` and ``score``.
+    """All columns of ``docs`` under the names c0, c1, ..., with ``lang_pred``, ``score`` and ``grams``.
 
-    These are the language of the nearest prototype and its cosine (at least 0).
+    These are the language of the nearest prototype, its cosine (at least 0) and the text's number of distinct n-grams.
     A text that is null, empty or without a letter, and every text if there are no
     prototypes, gets ``und`` and 0. Ties go to the first language in alphabetical
     order. Repeated rows stay repeated.
     """
     names = sorted(prototypes)
-    units = np.stack([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-9) for n in names]) if names else np.zeros((0, DIMENSIONS))
+    units = np.stack([prototypes[n][:DIMENSIONS] / max(np.linalg.norm(prototypes[n][:DIMENSIONS]), 1e-9) for n in names]) if names else np.zeros((0, DIMENSIONS))
     units = units.astype(np.float32)
     plain, types = numbered(docs)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches, place):
-            v = document_vectors(texts)
+            v, grams = document_vectors(texts)
             norm = np.linalg.norm(v, axis=1)
-            has_letter = norm > 0
+            has_letter = grams > 0
             if len(names):
                 cosines = v @ units.T / np.maximum(norm, 1e-9)[:, None]
                 best = cosines.argmax(axis=1)
@@ -178,9 +184,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                 score = np.where(has_letter, np.clip(cosines[np.arange(len(v)), best], 0, 1), 0.0)
             else:
                 found, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(grams, pa.int32())], names=[*part.schema.names, "lang_pred", "score", "grams"])
 
-    return plain.mapInArrow(run, f"{types}, lang_pred string, score double")
+    return plain.mapInArrow(run, f"{types}, lang_pred string, score double, grams int")
 
 
 def predict_languages(docs: DataFrame, fold: tuple[int, int] = (4, 2), text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
@@ -196,7 +202,27 @@ def predict_languages(docs: DataFrame, fold: tuple[int, int] = (4, 2), text: str
     return told.select(F.col("c0").alias("doc_id"), F.coalesce(crc_fold(F.col("c0"), modulus) == left_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def likeness_by_length(prototypes: dict[str, np.ndarray]) -> dict[str, float]:
+    """Per language the cosine that a text of it has, divided by the root of its number of n-grams, while these are few and differ.
+
+    Such n-grams, drawn as the language draws them, meet a prototype of weights w at
+    the mean of w squared over w, so the quotient is the norm of w over its sum. An
+    n-gram's vector has norm ``sqrt(DIMENSIONS)``.
+    """
+    return {name: float(np.linalg.norm(v[:DIMENSIONS]) / DIMENSIONS**0.5 / max(v[DIMENSIONS], 1e-9)) for name, v in prototypes.items()}
+
+
 def keep_identified(docs: DataFrame, fold: tuple[int, int] = (4, 2), least: float = LEAST_LIKENESS, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is like some language of the table (score at least ``least``)."""
-    told = identify(docs, language_prototypes(docs, fold, text, key, lang), text)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score").toDF(*docs.columns)
+    """The rows of ``docs``, with all their columns, whose text is like some language of the table.
+
+    The score must be ``least``, or what a text of the language with as few n-grams
+    has (see ``likeness_by_length``) less ``NOISE_MARGIN`` deviations of the noise,
+    if that is smaller. A text too short to tell from its language's own is kept.
+    """
+    prototypes = language_prototypes(docs, fold, text, key, lang)
+    told = identify(docs, prototypes, text)
+    bar = F.lit(least)
+    for name, share in likeness_by_length(prototypes).items():
+        own = F.lit(share) * F.sqrt("grams") - NOISE_MARGIN / DIMENSIONS**0.5
+        bar = F.when(F.col("lang_pred") == name, F.least(F.lit(least), own)).otherwise(bar)
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= bar)).drop("lang_pred", "score", "grams").toDF(*docs.columns)

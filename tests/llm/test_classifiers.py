@@ -83,3 +83,14 @@ def test_grams_are_bound_by_rotation():
     spelled = np.array([[ord("a"), ord("b"), ord("c")]], np.uint32)
     a, b, c = (hyperlang.letter_vector(ord(x)).astype(int) for x in "abc")
     assert (hyperlang.gram_vectors(spelled)[0] == np.roll(a, 2) * np.roll(b, 1) * c).all()
+
+
+def test_short_texts_of_a_language_are_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    short = ["This.", "De.", "A.", "A.\nAll rights reserved.", "I", "12345 !!!", "", "x" * 30 + " " + " ".join(a + b + "qzx" + b + a for a in "qxzjwkv" for b in "qxzjwkv")]
+    more = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(short)], docs.schema)
+    told = {r.doc_id: r for r in hyperlang.predict_languages(docs.unionByName(more)).where("doc_id < 0").collect()}
+    assert {k for k, r in told.items() if r.lang_pred == "und"} == {-6, -7}
+    kept = {r.doc_id for r in hyperlang.keep_identified(docs.unionByName(more)).where("doc_id < 0").collect()}
+    # the last text is long and like no language
+    assert kept == {-1, -2, -3, -4, -5}
