@@ -18,7 +18,7 @@ ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "sparse")
 
-#: Strings of the added kind: at least so long, with letters and digits, and at most so many characters a token.
+#: Strings of the added kind: at least so long, with letters (and digits, where less is left between separators), and at most so many characters a token.
 SPARSE_LEAST = 20
 CHARS_PER_TOKEN = 2.2
 #: Lengths of hexadecimal digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), which are no secrets.
@@ -31,9 +31,12 @@ _HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
 _RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SPARSE_LEAST},}}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _ONLY_HEX = re.compile(r"[0-9A-Fa-f]+")
-#: Words, each with at most three digits behind it, joined by single separators: names of things.
+#: Words, each with at most three digits behind it, joined by single separators: names of things, if the words are such.
 _IDENTIFIER = re.compile(r"[A-Za-z]+[0-9]{0,3}([_/-][A-Za-z]+[0-9]{0,3}|[_/-][0-9]{1,4})*")
 
+#: Shorter words cannot have more characters a token than ``CHARS_PER_TOKEN`` and tell nothing.
+_WORD = re.compile(r"[A-Za-z]{3,}")
+
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
 
 
@@ -47,13 +50,26 @@ def _encoding(ranks_file: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _is_sparse(string: str, ranks_file: str) -> bool:
+    return len(string) <= CHARS_PER_TOKEN * len(_encoding(ranks_file).encode_ordinary(string))
+
+
+def _is_name(string: str, ranks_file: str) -> bool:
+    """Whether it has the form of an identifier and its words, taken together, are no random letters."""
+    if not _IDENTIFIER.fullmatch(string):
+        return False
+    words = _WORD.findall(string)
+    encoding = _encoding(ranks_file)
+    return not words or sum(map(len, words)) > CHARS_PER_TOKEN * sum(len(encoding.encode_ordinary(w)) for w in words)
+
+
 def is_random(string: str, ranks_file: str) -> bool:
     """Whether the vocabulary needs a token for every ``CHARS_PER_TOKEN`` characters or fewer, digests and names aside."""
-    if not (any(c.isdigit() for c in string) and any(c.isalpha() for c in string)):
+    if not any(c.isalpha() for c in string) or len(string) < SPARSE_LEAST and not any(c.isdigit() for c in string):
         return False
-    if _ONLY_HEX.fullmatch(string) and len(string) in DIGEST_LENGTHS or _UUID.fullmatch(string) or _IDENTIFIER.fullmatch(string):
+    if _ONLY_HEX.fullmatch(string) and len(string) in DIGEST_LENGTHS or _UUID.fullmatch(string):
         return False
-    return len(string) <= CHARS_PER_TOKEN * len(_encoding(ranks_file).encode_ordinary(string))
+    return _is_sparse(string, ranks_file) and not _is_name(string, ranks_file)
 
 
 def find_spans(text: str, ranks_file: str) -> list[tuple[str, int, int]]:

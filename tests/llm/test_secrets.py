@@ -50,3 +50,10 @@ def test_redaction(spark):
     got = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
     assert got == {1: "x [SECRET] y", 2: None, 3: "", 4: "clean"}
     assert secrets.redact(frame).columns == frame.columns
+
+
+def test_random_letters_are_found():
+    for key in ("qZxVbTkLpWvRtHmGsYdJ", "XqkzWvbnTrpLmdGhZcsF42", "QWZXKVTRBNPLMDGHFCSJ-zqvkxwtbnrpl", "xkqz-wvbn-trpl-mdgh-zcsf"):
+        assert secrets.find_spans(f"value {key} here", RANKS) == [("sparse", 6, 6 + len(key))], key
+    for harmless in ("Donaudampfschifffahrtsgesellschaft", "internationalization-of-everything", "a/b/c/d/e/f/g/h/i/j/k", "x____________________", "getUserByIdentifierFromTable", "src/main/java/org/example/service2"):
+        assert secrets.find_spans(f"value {harmless} here", RANKS) == [], harmless
