@@ -281,8 +281,8 @@ def butterworth_filtfilt(spark, sf_dir):
 
 @query()
 def viterbi_path(spark, sf_dir):
-    """Cheapest of 8 angles per row: the cost of an angle is its distance from one read off the value."""
-    angles = [2 * math.pi * k / 8 for k in range(8)]
+    """Cheapest of 48 angles per row: the cost of an angle is its distance from one read off the value."""
+    angles = [-math.pi + 2 * math.pi * k / 48 for k in range(48)]
     costs = F.transform(F.lit(angles), lambda a: 1 - F.cos(F.col("value") - a))
     return folds.viterbi(rows(spark, sf_dir).withColumn("costs", costs), "user_id", ["i"], "costs", angles, 0.8).select("user_id", "i", "choice")
 
@@ -381,3 +381,14 @@ def array_quantiles(spark, sf_dir):
     lists = table(spark, sf_dir, "events").where("event_id % 3 = 0").groupBy("user_id").agg(F.collect_list("value").alias("v"))
     v = F.col("v")
     return lists.select("user_id", array_median(v).alias("mid"), array_median_upper(v).alias("upper"), array_median_lower(v).alias("lower"), array_floor(v, 0.75).alias("q75"))
+
+
+@query("""WITH w AS (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY user_id)
+    SELECT user_id, list_aggregate(v, 'median') AS mid, v[len(v)//2 + 1] AS upper, v[(len(v) - 1)//2 + 1] AS lower, v[floor(0.75::DOUBLE * (len(v) - 1))::BIGINT + 1] AS q75 FROM w""")
+def group_quantiles(spark, sf_dir):
+    """The quantiles of ``array_quantiles`` over all events, by rank: no user's events are collected."""
+    from ..functions.quantiles import rank_quantiles
+
+    places = {"upper": "floor(n / 2)", "lower": "floor((n - 1) / 2)", "q75": "floor(0.75D * (n - 1))"}
+    ranks = rank_quantiles(table(spark, sf_dir, "events"), ["user_id"], "value", places)
+    return ranks.select("user_id", ((F.col("upper") + F.col("lower")) / 2).alias("mid"), "upper", "lower", "q75")

@@ -175,3 +175,23 @@ def test_latest_and_violations(spark, times):
     log = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 1, "y")], "k string, at int, v string")
     assert [r.k for r in relations.latest(log, "k", "at", F.col("v").isNull()).collect()] == ["b"]
     assert sorted(r.failed for r in relations.violations(log, has=F.col("v").isNotNull(), late=F.col("at") > 1).collect()) == ["has", "late", "late"]
+
+
+def test_viterbi_query_chooses_among_48_angles(spark):
+    from seriesloom.plans import catalogue
+    from seriesloom.plans.inputs import rows
+
+    sf = "/root/testdata/sf0.001"
+    user = rows(spark, sf).groupBy("user_id").count().orderBy("count").first().user_id
+    values = [r.value for r in rows(spark, sf).where(f"user_id = {user}").orderBy("i").collect()]
+    angles = [-math.pi + 2 * math.pi * k / 48 for k in range(48)]
+    move = [[(math.atan2(math.sin(b - a), math.cos(b - a)) / 0.8) ** 2 for b in angles] for a in angles]
+    totals, back = [1 - math.cos(values[0] - a) for a in angles], []
+    for v in values[1:]:
+        back.append([min(range(48), key=lambda a: totals[a] + move[a][b]) for b in range(48)])
+        totals = [totals[back[-1][b]] + move[back[-1][b]][b] + 1 - math.cos(v - angles[b]) for b in range(48)]
+    path = [min(range(48), key=totals.__getitem__)]
+    for pointers in reversed(back):
+        path.insert(0, pointers[path[0]])
+    got = catalogue.QUERIES["viterbi_path"](spark, sf).where(f"user_id = {user}").orderBy("i").collect()
+    assert [r.choice for r in got] == path
