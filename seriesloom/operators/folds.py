@@ -1,4 +1,4 @@
-"""Recurrences that SQL windows cannot express, streamed over sorted partitions (WIN-09 to WIN-13, WIN-20, STM-01 to STM-03, STM-06, TOP-05).
+"""Recurrences that SQL windows cannot express, streamed over sorted partitions (WIN-09, WIN-10, WIN-12, WIN-20, STM-01, STM-03, STM-06, TOP-05; on rotations: ``rotations``).
 
 ``carry`` deals every series to one partition, sorts it there and streams the
 rows in Arrow batches through a small step function; what a task holds is one

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import round_up_half
 from ..functions.text import csv_cell, mask_numbers
 
 # The columns of a review file.
@@ -148,3 +149,26 @@ def violations(df: DataFrame, **tests: Column) -> DataFrame:
     """A row for each test a row fails: ``failed`` is its name; a null test counts as failed."""
     names = F.filter(F.array(*(F.when(~F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items())), lambda x: x.isNotNull())
     return df.withColumn("failed", F.explode(names))
+
+
+def fast_motion_check(events: DataFrame, clean: DataFrame, series: list[str], frame: str, jump: str, wrist: str, hand: str, width: str, most: float = 2.5) -> DataFrame:
+    """Fast events with the source's own step over the same frame, and whether it explains them.
+
+    ``clean`` has a row per ``series`` and frame with the points ``wrist`` and ``hand``
+    (3 numbers each) and the metres ``width`` of their unit. An event is explained if its
+    ``jump`` in metres is at most ``most`` times the greater step. Without the frame or
+    the one before it the steps and ``explained`` are null.
+    """
+    w = W.partitionBy(*series).orderBy(frame)
+    follows = F.lag(frame).over(w) == F.col(frame) - 1
+
+    def step(point: str, size: int) -> Column:
+        before = F.lag(point).over(w)
+        squares = sum(((F.get(point, F.lit(k)) - F.get(before, F.lit(k))) * (F.get(point, F.lit(k)) - F.get(before, F.lit(k))) for k in range(size)), F.lit(0.0))
+        return F.when(follows, F.sqrt(squares) * F.col(width))
+
+    moved = clean.select(*series, frame, step(wrist, 3).alias("_w"), step(hand, 3).alias("_h"), F.greatest(step(wrist, 2), step(hand, 2)).alias("_p"))
+    joined = events.join(moved, [*series, frame], "left")
+    source = F.when(F.col("_w").isNotNull() & F.col("_h").isNotNull(), F.greatest("_w", "_h", F.lit(1e-3)))
+    told = joined.withColumn("ratio", round_up_half(F.col(jump) / source, 2)).withColumn("explained", F.col("ratio") <= most)
+    return told.select(*events.columns, round_up_half(F.col("_w"), 4).alias("wrist_step"), round_up_half(F.col("_h"), 4).alias("hand_step"), round_up_half(F.col("_p"), 4).alias("plane_step"), "ratio", "explained")

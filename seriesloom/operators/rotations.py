@@ -1,7 +1,8 @@
-"""Operators over series of rotations (WIN-11, WIN-13, WIN-15, WIN-16, AGG-04, AGG-17, AGG-18, JN-07, FN-10, STM-02)."""
+"""Operators over series of rotations (WIN-11, WIN-13, WIN-15, WIN-16, AGG-04, AGG-17, AGG-18, JN-07, FN-10; STM-02 and STM-03 over tables)."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.quaternions import angle_between, at, dot, norm, scale, slerp, unit
 from ..functions.scalars import wrap_angle
+from .folds import LEAST_DT, USUAL_DT, carry
+from .folds import zero_phase as zero_phase_values
 
 
 def align(df: DataFrame, series: str, order: str, rotation: str) -> DataFrame:
@@ -118,3 +121,81 @@ def fitted_rotation(df: DataFrame, group: str, source: str, target: str, name: s
 
 def normalised(df: DataFrame, rotation: str) -> DataFrame:
     return df.withColumn(rotation, unit(F.col(rotation)))
+
+
+# ---- filters of rotations
+
+
+def zero_phase(df: DataFrame, series: str, order: str, rotation: str, cutoff: float, rate: float, name: str = "smooth") -> DataFrame:
+    """Low-pass without lag: signs aligned, each component filtered both ways, norm 1 again. See ``folds.zero_phase``."""
+    w = W.partitionBy(series)
+    out = align(df.withColumn(name, F.col(rotation)), series, order, name).withColumn("_short", F.count("*").over(w) < 3)
+    for k in range(4):
+        out = zero_phase_values(out.withColumn("_x", at(F.col(name), k)), series, order, "_x", cutoff, rate, f"_q{k}").drop("_x")
+    smooth = unit(F.array(*(F.col(f"_q{k}") for k in range(4))))
+    return out.withColumn(name, F.when(F.col("_short"), F.col(rotation)).otherwise(smooth)).drop("_short", *(f"_q{k}" for k in range(4)))
+
+
+def _turned(a: list[float], b: list[float], most: float) -> list[float]:
+    """``b``, or the rotation at ``most`` radians from ``a`` on the shorter arc to ``b``."""
+    cosine = sum(x * y for x, y in zip(a, b))
+    half = math.acos(min(1.0, abs(cosine)))
+    if 2 * half <= most:
+        return b
+    t, sign = most / (2 * half), math.copysign(1.0, cosine)
+    wa, wb = math.sin((1 - t) * half) / math.sin(half), sign * math.sin(t * half) / math.sin(half)
+    return [x * wa + y * wb for x, y in zip(a, b)]
+
+
+def limit_rate(df: DataFrame, series: str, order: list[str], rotation: str, most: float, name: str = "limited") -> DataFrame:
+    """Symmetric limit of ``most`` radians a row: halfway between a limited forward and a limited backward pass. Null rotations stay null."""
+
+    def step(before, q):
+        y = q if before is None or q is None else _turned(before, q, most)
+        return (before if y is None else y), (y,)
+
+    forward = carry(df, series, order, [rotation], "_forward array<double>", lambda: None, step)
+    both = carry(forward, series, order, [rotation], "_backward array<double>", lambda: None, step, descending=True, placed=True)
+    return both.withColumn(name, unit(slerp(F.col("_forward"), F.col("_backward"), F.lit(0.5)))).drop("_forward", "_backward")
+
+
+def limited_steps(df: DataFrame, series: str, order: list[str], rotation: str, seconds: str, rate: float, name: str = "limited") -> DataFrame:
+    """Causal limit of ``rate`` radians a second. Null rotations give null and change nothing."""
+
+    def step(state, q, t):
+        if q is None:
+            return state, (None,)
+        y = q if state is None else _turned(state[0], q, rate * max(t - state[1], LEAST_DT))
+        return (y, t), (y,)
+
+    return carry(df, series, order, [rotation, seconds], f"{name} array<double>", lambda: None, step)
+
+
+def _unit(q: list[float]) -> list[float]:
+    size = math.sqrt(sum(x * x for x in q))
+    return [x / size for x in q]
+
+
+def one_euro(df: DataFrame, series: str, order: list[str], rotation: str, seconds: str, min_cutoff: float = 1.0, beta: float = 0.0, derivative_cutoff: float = 1.0, name: str = "smooth") -> DataFrame:
+    """The One Euro filter of unit quaternions: each output lies on the shorter arc from the last output to the row; null rotations repeat it."""
+
+    def step(state, q, t):
+        if q is None:
+            return state, (state[0] if state else None,)
+        if state is None:
+            value = _unit(q)
+            return (value, 0.0, t), (value,)
+        value, speed, before = state
+        dt = t - before
+        dt = max(dt if dt > 0 else USUAL_DT, LEAST_DT)
+
+        def weight(cutoff: float) -> float:
+            return 1 / (1 + 1 / (2 * math.pi * cutoff) / dt)
+
+        angle = 2 * math.acos(min(1.0, abs(sum(x * y for x, y in zip(value, q)))))
+        speed += weight(derivative_cutoff) * (angle / dt - speed)
+        if angle > 1e-9:
+            value = _unit(_turned(value, q, angle * weight(min_cutoff + beta * abs(speed))))
+        return (value, speed, t), (value,)
+
+    return carry(df, series, order, [rotation, seconds], f"{name} array<double>", lambda: None, step)

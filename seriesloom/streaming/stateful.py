@@ -1,4 +1,4 @@
-"""Causal filters over streams (STM-01 to STM-06, STM-11, STM-15), with the steps of the batch operators.
+"""Causal filters over streams (STM-01, STM-03 for numbers, STM-04 to STM-06, STM-15), with the steps of the batch operators.
 
 State per series is a few numbers or a window of fixed size. Rows of one trigger
 are taken in time order; a row that is older than the state's time (late) is

@@ -195,3 +195,44 @@ def test_viterbi_query_chooses_among_48_angles(spark):
         path.insert(0, pointers[path[0]])
     got = catalogue.QUERIES["viterbi_path"](spark, sf).where(f"user_id = {user}").orderBy("i").collect()
     assert [r.choice for r in got] == path
+
+
+def turn(angle):
+    return [0.0, 0.0, math.sin(angle / 2), math.cos(angle / 2)]
+
+
+def turns(frame, name):
+    return [2 * math.atan2(q[2], q[3]) for q in (r[name] for r in frame.orderBy("k").collect())]
+
+
+def test_rotation_filters_about_one_axis_are_the_scalar_ones(spark):
+    rng = random.Random(8)
+    angles = [0.2 + 0.6 * math.sin(k / 4) + rng.uniform(-0.2, 0.2) for k in range(40)]
+    rows = [(1, k, k / 30, a, [x * (-1) ** (k // 7) for x in turn(a)]) for k, a in enumerate(angles)]
+    frame = spark.createDataFrame(rows, "s int, k int, t double, a double, q array<double>")
+
+    def near(got, want):
+        wrapped = [math.atan2(math.sin(a - b), math.cos(a - b)) for a, b in zip(got, want, strict=True)]
+        assert max(map(abs, wrapped)) < 1e-9
+
+    near(turns(rotations.limit_rate(frame, "s", ["k"], "q", 0.1), "limited"), [r.limited for r in folds.limit_rate(frame, "s", ["k"], "a", 0.1).orderBy("k").collect()])
+    near(turns(rotations.limited_steps(frame, "s", ["k"], "q", "t", 3.0), "limited"), [r.limited for r in folds.limited_steps(frame, "s", ["k"], "a", "t", 3.0).orderBy("k").collect()])
+    plain = folds.one_euro(frame, "s", ["k"], "a", "t", 1.0, 0.0)
+    near(turns(rotations.one_euro(frame, "s", ["k"], "q", "t", 1.0, 0.0), "smooth"), [r.smooth for r in plain.orderBy("k").collect()])
+
+
+def test_rotations_low_pass(spark):
+    angles = [0.3 + 0.5 * (k % 2) for k in range(30)]
+    frame = spark.createDataFrame([(1, k, [x * (-1) ** (k // 7) for x in turn(a)]) for k, a in enumerate(angles)] + [(2, 0, [0.0, 0.0, 0.0, -1.0])], "s int, k int, q array<double>")
+    got = rotations.zero_phase(frame, "s", "k", "q", 2.0, 30.0)
+    assert all(abs(sum(x * x for x in r.smooth) - 1) < 1e-9 for r in got.collect())
+    assert got.where("s = 2").first().smooth == [0.0, 0.0, 0.0, -1.0]
+    middle = turns(got.where("s = 1"), "smooth")[10:20]
+    assert all(abs(a - 0.55) < 0.02 for a in middle)
+
+
+def test_fast_motion_is_explained_by_its_source(spark):
+    clean = spark.createDataFrame([("L", k, [x, 0.0, z], [0.0, 0.0, 0.0], 0.5) for k, x, z in ((0, 0.0, 0.0), (1, 0.3, 0.4), (2, 0.3, 0.4), (4, 1.0, 0.0))], "side string, k int, wrist array<double>, hand array<double>, width double")
+    events = spark.createDataFrame([("L", 1, 0.6), ("L", 2, 0.6), ("L", 4, 0.6)], "side string, k int, jump double")
+    got = relations.fast_motion_check(events, clean, ["side"], "k", "jump", "wrist", "hand", "width").orderBy("k").collect()
+    assert [(r.wrist_step, r.hand_step, r.plane_step, r.ratio, r.explained) for r in got] == [(0.25, 0.0, 0.15, 2.4, True), (0.0, 0.0, 0.0, 600.0, False), (None, None, None, None, None)]
