@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,30 +12,48 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import text_slices
 from .word_table import WordTable
 
 #: Tokens of one packing unit; windows never span two units, so a task holds one unit at a time.
 UNIT_TOKENS = 1 << 20
 #: What a cut costs, in tokens of padding: none between documents, little after a sentence, more elsewhere.
-SENTENCE_CUT, FORCED_CUT, WINDOW_COST = 12.0, 40.0, 6.0
+SENTENCE_CUT, FORCED_CUT = 12.0, 40.0
+#: What a window costs besides its padding, so that short windows of a free length stay few.
+WINDOW_COST = 24.0
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def _jumps(places: np.ndarray, free: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    """For every place the places that lie a free length before it: where its own begin in the list, and the list."""
+    to, by = [], []
+    for size in free:
+        k = np.searchsorted(places, places - size)
+        met = np.flatnonzero(places[k] == places - size)
+        to.append(met)
+        by.append(k[met])
+    at = np.concatenate(to) if to else np.zeros(0, np.int64)
+    order = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[order], np.arange(len(places) + 1))
+    return starts.tolist(), (np.concatenate(by)[order] if by else at).tolist()
+
+
 def choose_cuts(places: list[int], penalties: list[float], window: int, free: tuple[int, ...] = ()) -> list[int]:
     """Cut positions from ``places`` (ascending, first 0, gaps at most ``window``) of least total cost.
 
     A window from i to j costs its padding ``window - (j - i)`` (none at a length in
     ``free``), ``WINDOW_COST`` and the penalty of cutting at j. As the padding is
     linear, ``f(j) = penalty(j) + window - j + min(f(i) + i)`` over the places
-    within reach, whose minimum a monotone queue keeps in constant time.
+    within reach, whose minimum a monotone queue keeps in constant time. Places at
+    a free length apart are found for all places together beforehand.
     """
     n = len(places)
     best = [0.0] * n
     back = [0] * n
-    at = {p: k for k, p in enumerate(places)} if free else {}
+    starts, jumps = _jumps(np.asarray(places, np.int64), free)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+    jump = 0
     for j in range(1, n):
         here = places[j]
         reach = here - window
@@ -43,10 +61,12 @@ def choose_cuts(places: list[int], penalties: list[float], window: int, free: tu
             queue.popleft()
         key, i = queue[0]
         cost = key + window - here
-        for size in free:
-            k = at.get(here - size)
-            if k is not None and best[k] < cost:
+        stop = starts[j + 1]
+        while jump < stop:
+            k = jumps[jump]
+            if best[k] < cost:
                 cost, i = best[k], k
+            jump += 1
         cost += penalties[j] + WINDOW_COST
         best[j], back[j] = cost, i
         key = cost + here
@@ -63,31 +83,31 @@ def choose_cuts(places: list[int], penalties: list[float], window: int, free: tu
 def _places(lengths: np.ndarray, sentence_ends: list[np.ndarray], window: int, step: int) -> tuple[list[int], list[float]]:
     """Places to cut a unit: document ends, sentence ends, and every ``step`` tokens of longer sentences."""
     ends = np.cumsum(lengths)
-    parts = [s + e - n for s, e, n in zip(sentence_ends, ends, lengths)]
-    inner = np.concatenate([np.zeros(0, np.int64), *parts])
-    known = np.unique(np.concatenate([[0], ends, inner])).astype(np.int64)
-    gaps = np.diff(known)
-    long_gaps = np.flatnonzero(gaps > step)
+    total = int(ends[-1])
+    cost = np.zeros(total + 1, np.float32)
+    for s, e, n in zip(sentence_ends, ends, lengths):
+        cost[s + (e - n)] = SENTENCE_CUT
+    cost[ends] = -1.0
+    cost[0] = -1.0
+    known = np.flatnonzero(cost)
+    long_gaps = np.flatnonzero(np.diff(known) > step)
     extra = [np.arange(known[g] + step, known[g + 1], step) for g in long_gaps]
-    total = int(ends[-1]) if len(ends) else 0
     tail = np.array([total - (1 << k) for k in range(int(window).bit_length()) if total > (1 << k)], np.int64)
-    grid = np.unique(np.concatenate([known, tail, *extra]))
-    penalty = np.full(len(grid), FORCED_CUT)
-    penalty[np.searchsorted(grid, inner)] = SENTENCE_CUT
-    penalty[np.searchsorted(grid, ends)] = 0.0
-    penalty[0] = 0.0
+    for forced in (tail, *extra):
+        cost[forced[cost[forced] == 0]] = FORCED_CUT
+    grid = np.flatnonzero(cost)
+    penalty = np.maximum(cost[grid], 0.0)
     return grid.tolist(), penalty.tolist()
 
 
-def pack_unit(docs: list[np.ndarray], sentence_ends: list[np.ndarray], window: int, step: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, window, offset) of one unit of documents, in order."""
-    lengths = np.array([len(d) for d in docs], np.int64)
+def pack_unit(lengths: list[int], sentence_ends: list[np.ndarray], window: int, step: int) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (document, start, length, window, offset) of one unit of documents of these lengths, in order."""
     free = tuple(1 << k for k in range(int(window).bit_length()) if 1 << k < window)
-    places, penalties = _places(lengths, sentence_ends, window, step)
+    places, penalties = _places(np.array(lengths, np.int64), sentence_ends, window, step)
     cuts = choose_cuts(places, penalties, window, free)
     pieces, w, window_start = [], 0, 0
     position = 0
-    for k, n in enumerate(lengths.tolist()):
+    for k, n in enumerate(lengths):
         start = 0
         while start < n:
             while cuts[w] <= position:
@@ -100,9 +120,26 @@ def pack_unit(docs: list[np.ndarray], sentence_ends: list[np.ndarray], window: i
     return pieces
 
 
-@lru_cache(maxsize=2)
-def _table(tokenizer_file: str) -> WordTable:
-    return WordTable(tokenizer_file)
+@dataclass
+class _Part:
+    """Consecutive ids of one document that lie in one unit; ``start`` of ``total`` ids lie before them."""
+
+    key: int | None
+    ids: np.ndarray
+    ends: np.ndarray
+    start: int
+    total: int
+
+
+def _parts(key: int | None, ids: np.ndarray, ends: np.ndarray, unit: int) -> Iterator[_Part]:
+    """A document's parts: itself or, if it has more ids than a unit, stretches of about a unit cut at sentence ends."""
+    start, n = 0, len(ids)
+    while n - start > unit:
+        within = ends[(ends > start + unit // 2) & (ends <= start + unit)]
+        cut = int(within[-1]) if len(within) else start + unit
+        yield _Part(key, ids[start:cut], ends[(ends > start) & (ends <= cut)] - start, start, n)
+        start = cut
+    yield _Part(key, ids[start:], ends[ends > start] - start, start, n)
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = 2048, end_id: int = 1, unit_tokens: int = UNIT_TOKENS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -116,56 +153,50 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = 2048, end
     ids join the partition's number with a running count, and so a task that is
     run again gives the same rows.
 
-    Null and empty texts are documents of the end id alone. A null key stays
-    null, repeated rows are packed once per row, an empty table gives no rows,
-    and further columns of the input are ignored.
+    Null and empty texts are documents of the end id alone. A document of more ids
+    than a unit is packed in stretches of about a unit. A null key stays null,
+    repeated rows are packed once per row, an empty table gives no rows, and
+    further columns of the input are ignored.
     """
     step = max(1, window // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(tokenizer_file)
+        table = WordTable(tokenizer_file)
         base = TaskContext.get().partitionId() << 36
-        keys: list = []
-        ids: list[np.ndarray] = []
-        stops: list[np.ndarray] = []
+        parts: list[_Part] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal base, held
-            pieces = pack_unit(ids, stops, window, step)
-            raw = [d.astype("<u4", copy=False).tobytes() for d in ids]
+            pieces = pack_unit([len(p.ids) for p in parts], [p.ends for p in parts], window, step)
             for a in range(0, len(pieces), 4096):
-                part = pieces[a : a + 4096]
+                told = pieces[a : a + 4096]
+                own = [parts[p[0]] for p in told]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([keys[p[0]] for p in part], pa.int64()),
-                        pa.array([p[1] for p in part], pa.int64()),
-                        pa.array([p[2] for p in part], pa.int64()),
-                        pa.array([len(ids[p[0]]) for p in part], pa.int64()),
-                        pa.array([base + p[3] for p in part], pa.int64()),
-                        pa.array([p[4] for p in part], pa.int64()),
-                        pa.array([raw[p[0]][4 * p[1] : 4 * (p[1] + p[2])] for p in part], pa.binary()),
+                        pa.array([d.key for d in own], pa.int64()),
+                        pa.array([d.start + p[1] for d, p in zip(own, told)], pa.int64()),
+                        pa.array([p[2] for p in told], pa.int64()),
+                        pa.array([d.total for d in own], pa.int64()),
+                        pa.array([base + p[3] for p in told], pa.int64()),
+                        pa.array([p[4] for p in told], pa.int64()),
+                        pa.array([d.ids[p[1] : p[1] + p[2]].astype("<u4", copy=False).tobytes() for d, p in zip(own, told)], pa.binary()),
                     ],
                     names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
                 )
             base += pieces[-1][3] + 1
-            keys.clear()
-            ids.clear()
-            stops.clear()
+            parts.clear()
             held = 0
 
-        for batch in batches:
-            own_keys = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices([len(t) for t in texts]):
-                for name, (own, ends) in zip(own_keys[a:b], table.encode(texts[a:b])):
-                    keys.append(name)
-                    ids.append(np.append(own, np.uint32(end_id)))
-                    stops.append(ends)
-                    held += len(own) + 1
+        for batch, texts in text_slices(batches):
+            keys = batch.column(0).to_pylist()
+            for key, (ids, ends) in zip(keys, table.encode([t.decode("utf-8", "replace") for t in texts])):
+                for part in _parts(key, np.append(ids, np.uint32(end_id)), ends, unit_tokens):
+                    parts.append(part)
+                    held += len(part.ids)
                     if held >= unit_tokens:
                         yield from flush()
-        if keys:
+        if parts:
             yield from flush()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)

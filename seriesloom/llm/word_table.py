@@ -3,16 +3,48 @@
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 
-from .shared import read_only_path
+from .shared import SLICE_BYTES, read_only_path
 
-#: Words held at most before the memo starts anew; this bounds a worker's memory, not what is encoded.
-MEMO_WORDS = 1_000_000
+#: Words held at most between two slices of text, some 250 bytes each; this bounds a task's memory, not what is encoded.
+MEMO_WORDS = 300_000
 #: Words of more characters are encoded each time and not held.
 MEMO_WORD_CHARS = 64
+#: Plain words that are handed to the tokenizer as one text.
+JOINED_WORDS = 1_000
 _TAIL = ".,!?;:"
+_STOPS = (".", "!", "?", "。", "！", "？")
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(tokenizer_file: str):
+    """The tokenizer, the openings of its special tokens, and by id whether a token closes a word.
+
+    Raises an error where spaces and line feeds are no walls for it: where a piece
+    of several characters holds one, or words encoded alone differ from a text's.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(read_only_path(tokenizer_file))
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    # Ġ and Ċ stand for the space and the line feed where bytes are spelled as letters
+    spaced = [p for p in vocabulary if len(p.removesuffix("</w>")) > 1 and set(p) & set(" \nĠĊ")]
+    probe = ["Ab", "x1.", "it's", "é,", "北京"]
+
+    def ids(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    alone = [i for p in probe for i in ids(p)]
+    if spaced or ids(" ".join(probe)) != alone or ids("\n".join(probe)) != alone:
+        raise ValueError(f"tokens of {tokenizer_file} reach over white space; words cannot be encoded alone")
+    closes = np.zeros(max(vocabulary.values()) + 1, bool)
+    closes[[k for p, k in vocabulary.items() if p.endswith("</w>")]] = True
+    return tokenizer, special, closes
 
 
 class _Index(dict):
@@ -28,71 +60,165 @@ class _Index(dict):
         return number
 
 
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of ranges (begin, count) in a row."""
+    ends = np.cumsum(count, dtype=np.int64)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - count), count)
+
+
 class WordTable:
     """Token ids of texts by words split at spaces and line feeds.
 
     The tokenizer drops white space before its merges and none of its pieces
-    holds any, so a text's ids are its words' ids in order. A text that holds a
-    special token's opening is encoded whole by the library instead.
+    holds any (checked when the tokenizer is loaded), so a text's ids are its
+    words' ids in order. A text that holds a special token's opening is encoded
+    whole by the library instead.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(read_only_path(tokenizer_file))
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._clear()
-
-    def _clear(self) -> None:
+        self.tokenizer, self.special, self.closes = _tokenizer(tokenizer_file)
         self.index = _Index()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.begin = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int32)
+        self.count = np.zeros(1 << 14, np.int64)
         self.ends = np.zeros(1 << 14, bool)
-        self.cores: dict[str, np.ndarray] = {}
+        self.hits = np.zeros(1 << 14, np.int64)
+
+    def _trim(self) -> None:
+        """Lets go of all words but the most used quarter of what may be held."""
+        words = list(self.index)
+        order = np.argsort(-self.hits[: len(words)], kind="stable")[: MEMO_WORDS // 4]
+        keep = [k for k in np.sort(order).tolist() if isinstance(words[k], str)]
+        self.index = _Index()
+        self.index.update((words[k], n) for n, k in enumerate(keep))
+        ids = self.flat[_spread(self.begin[keep], self.count[keep])]
+        n, counts = len(keep), self.count[keep]
+        self.flat[: len(ids)], self.used = ids, len(ids)
+        self.begin[:n], self.ends[:n], self.hits[:n] = np.cumsum(counts) - counts, self.ends[keep], self.hits[keep] // 2
+        self.count[:n] = counts
+        self.hits[n:] = 0
+
+    def _put(self, numbers: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.count[numbers] = counts
+        self.begin[numbers] = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, fresh: list[str], first: int) -> None:
-        """Ids of new words; an ASCII word shares its lower-case core's ids with other endings.
+    def _put_whole(self, words: list[str], numbers: list[int]) -> None:
+        for a in range(0, len(words), 20_000):
+            ids = self._encode(words[a : a + 20_000])
+            self._put(np.array(numbers[a : a + 20_000]), np.array([len(x) for x in ids], np.int64), np.concatenate(ids))
+
+    def _put_plain(self, words: list[str], numbers: list[int]) -> None:
+        """Words of letters alone are as a rule one piece for the tokenizer, so that one token of each, its last, closes a word.
+
+        Every word has one such token at least, so if there are as many as words, each has one.
+        """
+        for a in range(0, len(words), JOINED_WORDS):
+            part = words[a : a + JOINED_WORDS]
+            ids = self._encode([" ".join(part)])[0]
+            last = np.flatnonzero(self.closes[ids])
+            if len(last) == len(part):
+                self._put(np.array(numbers[a : a + JOINED_WORDS]), np.diff(last, prepend=-1), ids)
+            else:
+                self._put_whole(part, numbers[a : a + JOINED_WORDS])
+
+    def _learn(self, first: int) -> None:
+        """Ids of new words; words that differ in their endings or, in ASCII, in case share their core's ids.
 
         The tokenizer takes a whole run of punctuation for one piece of a word, so an
-        ending stands apart only behind a letter or digit.
+        ending stands apart only behind a letter or digit (of Latin script, which
+        stays one when it is normalised; a dotted capital I does not).
         """
-        parts, wanted = [], {}
-        for word in fresh:
-            core = word.rstrip(_TAIL) if word.isascii() else word
-            core = core if core[-1:].isalnum() else word
+        index, fresh = self.index, self.index.fresh
+        index.fresh = []
+        made: list[tuple[int, int, int]] = []
+        plain: list[int] = []
+        other: list[int] = []
+        stops: list[int] = []
+        for number, word in enumerate(fresh, first):
+            if word.isalpha() and (word.islower() or not word.isascii()):
+                plain.append(number)
+                continue
+            core = word.rstrip(_TAIL)
+            last = core[-1:]
+            if not last.isalnum() or last >= "\u0250" or last == "\u0130":
+                core = word
             tail = word[len(core) :]
-            core = core.lower() if core.isascii() else core
-            parts.append((core, tail))
-            for piece in (core, tail):
-                if piece and piece not in self.cores:
-                    wanted[piece] = None
-        todo = list(wanted)
-        for a in range(0, len(todo), 20_000):
-            self.cores.update(zip(todo[a : a + 20_000], self._encode(todo[a : a + 20_000])))
-        ids = [x for core, tail in parts for x in ((self.cores[core],) if core else ()) + ((self.cores[tail],) if tail else ())]
-        counts = np.array([(len(self.cores[c]) if c else 0) + (len(self.cores[t]) if t else 0) for c, t in parts], np.int32)
-        new = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        while self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        last = first + len(fresh)
-        while last > len(self.begin):
-            self.begin, self.count, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.ends))
-        self.flat[self.used : self.used + len(new)] = new
-        self.count[first:last] = counts
-        self.begin[first:last] = self.used + np.cumsum(counts) - counts
-        self.ends[first:last] = [w.endswith((".", "!", "?", "。", "！", "？")) for w in fresh]
-        self.used += len(new)
+            if core.isascii():
+                core = core.lower()
+            if word.endswith(_STOPS):
+                stops.append(number)
+            if core == word:
+                other.append(number)
+            else:
+                made.append((number, index[core], index[tail] if tail else -1))
+        begun = first + len(fresh)
+        for number, word in enumerate(index.fresh, begun):
+            (plain if word.isalpha() else other).append(number)
+        fresh += index.fresh
+        index.fresh = []
+        end = first + len(fresh)
+        while end > len(self.begin):
+            self.begin, self.count, self.ends, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.ends, self.hits))
+        self._put_plain([fresh[n - first] for n in plain], plain)
+        self._put_whole([fresh[n - first] for n in other], other)
+        if made:
+            number, core, tail = np.array(made, np.int64).T
+            begin = np.stack([self.begin[core], self.begin[tail]], axis=1)
+            count = np.stack([self.count[core], np.where(tail < 0, 0, self.count[tail])], axis=1)
+            self._put(number, count.sum(axis=1), self.flat[_spread(begin.ravel(), count.ravel())])
+        self.ends[first:end] = False
+        self.ends[stops] = True
+        for number, word in enumerate(fresh, first):
+            if len(word) > MEMO_WORD_CHARS:
+                # its number stays in the arrays until they are trimmed, but the string is let go
+                del index[word]
+                index[(number,)] = -1
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        first = len(self.index)
+        numbers = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.fresh:
+            self._learn(first)
+        self.hits[: len(self.index)] += np.bincount(numbers, minlength=len(self.index))
+        return numbers
+
+    def _parts(self, text: str) -> list[str]:
+        """The text cut before spaces or line feeds into parts of about a slice; a longer word stays whole."""
+        cuts, at = [0], SLICE_BYTES
+        while at < len(text):
+            cut = max(text.rfind(" ", cuts[-1] + 1, at), text.rfind("\n", cuts[-1] + 1, at))
+            if cut < 0:
+                later = [p for p in (text.find(" ", at), text.find("\n", at)) if p >= 0]
+                if not later:
+                    break
+                cut = min(later)
+            cuts.append(cut)
+            at = cut + SLICE_BYTES
+        return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per text its ids and the positions (in ids, exclusive) at which sentences end."""
+        """Per text its ids and the positions (in ids, exclusive) at which sentences end.
+
+        Texts are meant to be a slice together; a longer one is worked on in parts, so
+        that no more than a slice is held as words.
+        """
+        if len(texts) != 1 or len(texts[0]) <= SLICE_BYTES or any(s in texts[0] for s in self.special):
+            return self._encode_slice(texts)
+        told = [self._encode_slice([part])[0] for part in self._parts(texts[0])]
+        starts = np.cumsum([0, *(len(ids) for ids, _ in told[:-1])])
+        return [(np.concatenate([ids for ids, _ in told]), np.concatenate([ends + s for (_, ends), s in zip(told, starts)]))]
+
+    def _encode_slice(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         if len(self.index) > MEMO_WORDS:
-            self._clear()
+            self._trim()
         words: list[str] = []
         sizes, whole = [], {}
         for k, text in enumerate(texts):
@@ -103,23 +229,10 @@ class WordTable:
             own = text.replace("\n", " ").split(" ")
             sizes.append(len(own))
             words += own
-        first = len(self.index)
-        numbers = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if self.index.fresh:
-            fresh, self.index.fresh = self.index.fresh, []
-            self._learn(fresh, first)
-            for word in fresh:
-                if len(word) > MEMO_WORD_CHARS:
-                    # its number stays in the arrays until the next start, but the string is let go
-                    del self.index[word]
-                    self.index[(len(self.index),)] = -1
-            if len(self.cores) > MEMO_WORDS // 2:
-                self.cores = {}
+        numbers = self._numbers(words)
         counts = self.count[numbers]
         ends = np.cumsum(counts, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.arange(total) + np.repeat(self.begin[numbers] - (ends - counts), counts)
-        ids = self.flat[source]
+        ids = self.flat[_spread(self.begin[numbers], counts)]
         stops = self.ends[numbers]
         out, word_at, id_at = [], 0, 0
         for k, size in enumerate(sizes):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import string
 import zlib
 from collections import defaultdict
 
@@ -100,3 +101,44 @@ def test_words_that_end_in_mixed_punctuation():
     texts = [*words, " ".join(words), "\n".join(reversed(words))]
     for text, (ids, _) in zip(texts, table.encode(texts), strict=True):
         assert ids.tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def library_ids(texts):
+    tokenizer = Tokenizer.from_file(read_only_path(WORD_BPE))
+    return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_random_texts_get_the_library_ids(monkeypatch):
+    from seriesloom.llm import word_table
+
+    monkeypatch.setattr(word_table, "MEMO_WORDS", 3000)
+    monkeypatch.setattr(word_table, "SLICE_BYTES", 5000)
+    rng = random.Random(17)
+    signs = string.punctuation + "abcXYZ019éÜßİŉक़ńǅº²  \n\t́北。"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    texts += ["w" * 80, "Long" * 30 + "!", "a" * 6000 + "."]
+    table = word_table.WordTable(WORD_BPE)
+    for a in range(0, len(texts), 1000):
+        part = texts[a : a + 1000]
+        for text, (ids, _), want in zip(part, table.encode(part), library_ids(part), strict=True):
+            assert ids.tolist() == want, text
+    # one text of more than a slice is worked on in parts
+    for text in (" ".join(texts[:4000]), "\n".join(texts[:2000]), "x.y" * 4000, " " * 12_000 + "end."):
+        (ids, ends), want = table.encode([text])[0], library_ids([text])[0]
+        assert ids.tolist() == want and (np.diff(ends) >= 0).all() and (len(ends) == 0 or ends[-1] <= len(ids))
+
+
+def test_tokenizers_that_join_over_spaces_are_refused():
+    import pytest
+    from seriesloom.llm.word_table import WordTable
+
+    with pytest.raises(ValueError):
+        WordTable("byte_bpe_50k.json")
+
+
+def test_documents_of_more_than_a_unit(spark):
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["One", "two,", "three.", "four", "five!"]) for _ in range(9000))
+    rows = [(1, text, "en"), (2, "short one.", "en"), (3, "word " * 5000, "en"), (4, "", "en")]
+    got = packing.pack_documents(odd.frame(spark, rows), WORD_BPE, window=128, unit_tokens=1000).collect()
+    check_pieces(got, [(i, t) for i, t, _ in rows], 128)
