@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import map_batches, mix64, numbered, release, settle, shingle_sets, text_slices
+from .shared import hot_keys, map_batches, mix64, numbered, parts_of, release, settle, shingle_sets, spread_join, text_slices
 from .summaries import CHUNK_SCHEMA, chunk_rows, merged, sieve_of
 
 WIDTH = 5
@@ -21,10 +21,10 @@ PERCENT = 80
 BANDS = 6
 #: Members of a group, about; larger classes are cut into several groups.
 GROUP = 32
-#: Queries, about, that a group's members are sent to at once.
-BLOCK = 64
-#: Cells of the shingle counts (of a byte each) that order a document's shingles from rare to frequent.
+#: Cells of the shingle counts that order a document's shingles from rare to frequent.
 SKETCH_BITS = 24
+#: Steps of a cell's code for a doubling of its count; 255 is reached beyond any number of documents.
+CODE_STEPS = 6
 
 _BAND_FACTORS = np.random.default_rng(15485863).integers(1, 2**63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -45,15 +45,25 @@ def _cell(shingles: np.ndarray) -> np.ndarray:
 
 
 def _capped_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sums of counts of a byte; 255 stands for that many or more."""
-    return np.minimum(a.astype(np.int64) + b, 255).astype(np.uint8)
+    """Sums of a task's counts of two bytes; 65,535 stands for that many or more."""
+    return np.minimum(a.astype(np.int64) + b, 65_535).astype(np.uint16)
+
+
+def _codes(counts: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale of a byte, which keeps their order and has no end that counts reach."""
+    return np.minimum(np.round(CODE_STEPS * np.log2(1.0 + counts)), 255).astype(np.uint8)
 
 
 def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How many documents, up to 255, hold a shingle of each hash cell: an estimate from above, of fixed size."""
+    """About how many documents hold a shingle of each hash cell, as ``_codes``: of fixed size, made from all documents.
+
+    Tasks count, the tasks that merge add up without a bound, and only the sums
+    become codes. Rare shingles of one cell cannot be told apart, so where there
+    are many more shingles than cells only the frequent ones stand out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint8)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint16)
         for _, texts in text_slices(batches):
             cells, held = np.unique(np.concatenate([_cell(s) for s in shingle_sets(texts, width)]), return_counts=True)
             counts[cells] = _capped_sum(counts[cells], held)
@@ -61,7 +71,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "cells"])
 
-    return merged(map_batches(docs, ["text"], CHUNK_SCHEMA, run), 1 << SKETCH_BITS, "uint8", _capped_sum)
+    return merged(map_batches(docs, ["text"], CHUNK_SCHEMA, run), 1 << SKETCH_BITS, "uint16", lambda a, b: a.astype(np.int64) + b, _codes, "uint8")
 
 
 def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
@@ -76,7 +86,7 @@ def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
 
 
 def _signatures(docs: DataFrame, sketch, width: int, percent: int) -> DataFrame:
-    """A row per document: name, size and minimum hashes of its set, how common its shingles are, and the probed ones.
+    """A row per document: its row's name, name, size and minimum hashes of its set, how common its shingles are, and the probed ones.
 
     ``rare`` holds a set's probed shingles, ordered by their sketch count and then
     by hash (the same order for all sets). Of several documents of a slice with
@@ -100,87 +110,97 @@ def _signatures(docs: DataFrame, sketch, width: int, percent: int) -> DataFrame:
                 seen.add(node)
                 held = counts[_cell(s)]
                 keys.append((s[:, None] * _BAND_FACTORS).min(axis=0).astype(np.int64))
-                common.append(float(np.log(held.astype(float)).mean()))
+                common.append(float(held.mean()))
                 rank = held.astype(np.uint64) << np.uint64(40) | s >> np.uint64(24)
                 rare.append(s[np.argsort(rank, kind="stable")[: prefix_lengths(n, percent)[0]]].astype(np.int64))
             listed = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, listed), pa.array(common, pa.float64()), pa.array(rare, listed)],
-                names=["doc_id", "node", "n", "keys", "common", "rare"],
+                [part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, listed), pa.array(common, pa.float64()), pa.array(rare, listed)],
+                names=["doc_id", "row", "node", "n", "keys", "common", "rare"],
             )
 
-    return map_batches(docs, ["doc_id", "text"], "doc_id long, node long, n long, keys array<long>, common double, rare array<long>", run)
+    return map_batches(docs, ["doc_id", "row", "text"], "doc_id long, row long, node long, n long, keys array<long>, common double, rare array<long>", run)
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``node, text``: one text for each wanted set, dealt by node for the joins that follow.
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text``: the text of the row that stands for each wanted node ``(node, row)``.
 
-    A sieve keeps most other texts from being shuffled.
+    Rows are found by their names, so no set is made again. A sieve keeps most
+    other texts from being shuffled.
     """
-    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(nodes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_slices(batches):
-            found: dict[int, bytes] = {}
-            for text, s in zip(texts, shingle_sets(texts, width)):
-                if len(s):
-                    found.setdefault(node_of(s), text)
-            names = np.array(list(found), np.int64)
-            hit = sieve.value.passes(names.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(names[hit]), pa.array([found[k] for k in names[hit].tolist()], pa.binary())], names=["node", "text"])
-
-    texts = map_batches(docs, ["text"], "node long, text binary", run)
-    return texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(nodes.select("row")))
 
+    @F.pandas_udf("boolean")
+    def wanted(rows: pd.Series) -> pd.Series:
+        return pd.Series(sieve.value.passes(rows.to_numpy(np.int64).view(np.uint64)))
 
-class _SetMemo:
-    """The last sets made from texts, by name."""
+    return docs.select("row", "text").where(wanted("row")).dropDuplicates(["row"]).join(nodes, "row").select("node", "text")
 
-    def __init__(self, width: int, most: int = 64) -> None:
-        self.width, self.most, self.held = width, most, OrderedDict()
 
-    def get(self, node: int, text: bytes) -> np.ndarray:
-        if node not in self.held:
-            self.held[node] = shingle_sets([text], self.width)[0]
-            if len(self.held) > self.most:
-                self.held.popitem(last=False)
-        else:
-            self.held.move_to_end(node)
-        return self.held[node]
+def _in_streams(members: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """Rows ``(key, part, asks, node, text)``, sorted so that a task reads each key's members and then its queries.
 
+    Members and queries have ``(key, node, text)``. A key of many queries is cut
+    into parts that each get its members; no part is held by a task as a whole.
+    """
+    hot = hot_keys(queries.select(key), key)
+    if hot:
+        parts = parts_of(queries.sparkSession, hot, key)
+        asked = queries.join(parts, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)).cast("int"))
+        told = members.join(parts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), (F.coalesce("parts", F.lit(1)) - 1).cast("int"))))
+    else:
+        asked, told = (rows.withColumn("part", F.lit(0)) for rows in (queries, members))
+    asked, told = (rows.select(key, "part", F.lit(asks).alias("asks"), "node", "text") for rows, asks in ((asked, True), (told, False)))
+    return told.unionByName(asked).repartition(key, "part").sortWithinPartitions(key, "part", "asks")
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted arrays of distinct values."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    place = np.searchsorted(b, a)
-    return int(np.count_nonzero(b[np.minimum(place, len(b) - 1)] == a))
 
+def _linked(streams: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between the queries of a stream and one member each of the same key.
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of sets that link, by comparing the whole sets."""
+    The members' shingles make the key's row of the token-group matrix: a query is
+    compared with the members only if its overlap with their union reaches what a
+    link with any of them needs. A task holds the members of one key and a slice
+    of queries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _SetMemo(width)
-        for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            good = []
-            for k in range(len(a)):
-                s, t = memo.get(a[k], ta[k]), memo.get(b[k], tb[k])
-                if links(min(len(s), len(t)), len(s), len(t), percent) and links(_common(s, t), len(s), len(t), percent):
-                    good.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in good], pa.int64()), pa.array([b[k] for k in good], pa.int64())], names=["a", "b"])
+        at, names, sets = None, [], []
+        union, holds, sizes = np.zeros(0, np.uint64), None, np.zeros(0, np.int64)
+        for part, texts in text_slices(batches):
+            found: list[tuple[int, int]] = []
+            key, piece, asks, node = (part.column(k).to_pylist() for k in range(4))
+            for k, own in enumerate(shingle_sets(texts, width)):
+                if (key[k], piece[k]) != at:
+                    at, names, sets, holds = (key[k], piece[k]), [], [], None
+                if not asks[k]:
+                    names.append(node[k])
+                    sets.append(own)
+                    continue
+                if holds is None and names:
+                    sizes = np.array([len(s) for s in sets])
+                    union, place = np.unique(np.concatenate(sets), return_inverse=True)
+                    holds = np.zeros((len(sets), len(union)), bool)
+                    holds[np.repeat(np.arange(len(sets)), sizes), place] = True
+                    sets = []
+                if not names or not len(union) or not len(own):
+                    continue
+                seen = np.minimum(np.searchsorted(union, own), len(union) - 1)
+                seen = seen[union[seen] == own]
+                if 100 * len(seen) < percent * len(own):
+                    continue
+                good = links(np.count_nonzero(holds[:, seen], axis=1), len(own), sizes, percent)
+                if good.any():
+                    found.append((node[k], names[int(good.argmax())]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long")
+    return streams.mapInArrow(run, "a long, b long")
 
 
 def _tokens(told: DataFrame, percent: int, sieve=None) -> DataFrame:
-    """``token, node, n, indexed``: the rare shingles of every set, or those that the sieve lets pass."""
+    """``token, node, n, indexed, rest``: the rare shingles of every set, or those that the sieve lets pass.
+
+    ``rest`` tells how many of the set's shingles come at or after the token in the common order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,126 +212,122 @@ def _tokens(told: DataFrame, percent: int, sieve=None) -> DataFrame:
                 token = rare.flatten().to_numpy()
                 owner = np.repeat(np.arange(len(n)), lengths)
                 place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                indexed = place < (n + 1 - -(-2 * percent * n // (100 + percent)))[owner]
                 if sieve is not None:
                     hit = sieve.value.passes(token.view(np.uint64))
-                    token, owner, indexed = token[hit], owner[hit], indexed[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(part.column(0).to_numpy()[owner]), pa.array(n[owner]), pa.array(indexed)], names=["token", "node", "n", "indexed"])
-
-    return told.where("rare is not null").select("node", "n", "rare").mapInArrow(run, "token long, node long, n long, indexed boolean")
-
-
-def _opened(candidates: DataFrame, texts: DataFrame, assigned: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between query sets and members of their candidate groups, one per query and group at most.
-
-    A group is opened for a query only if the query's overlap with the union of its
-    members' shingles reaches what a link with any of them needs. One link is
-    enough, as all of a group's members are in one class already. A group's
-    members travel once with every ``BLOCK`` of its queries.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for members, queries in zip(batch.column(0), batch.column(1)):
-                members, queries = members.as_py(), queries.as_py()
-                sets = shingle_sets([m["text"] for m in members], width)
-                sizes = np.array([len(s) for s in sets])
-                union, place = np.unique(np.concatenate(sets), return_inverse=True)
-                holds = np.zeros((len(sets), len(union)), bool)
-                holds[np.repeat(np.arange(len(sets)), sizes), place] = True
-                found = []
-                for query, own in zip(queries, shingle_sets([q["text"] for q in queries], width)):
-                    at = np.minimum(np.searchsorted(union, own), len(union) - 1)
-                    at = at[union[at] == own]
-                    if 100 * len(at) < percent * len(own):
-                        continue
-                    linked = links(np.count_nonzero(holds[:, at], axis=1), len(own), sizes, percent)
-                    if linked.any():
-                        found.append((query["node"], members[int(linked.argmax())]["node"]))
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
-
-    blocks = candidates.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    asked = candidates.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    queries = asked.join(texts, "node").groupBy("group", "block").agg(F.collect_list(F.struct("node", "text")).alias("queries"))
-    members = blocks.select("group").join(assigned.select("node", "group"), "group").join(texts, "node")
-    payload = members.groupBy("group").agg(F.collect_list(F.struct("node", "text")).alias("members"))
-    return queries.join(payload, "group").select("members", "queries").mapInArrow(run, "a long, b long")
+                    token, owner, place = token[hit], owner[hit], place[hit]
+                size = n[owner]
+                indexed = place < size + 1 - -(-2 * percent * size // (100 + percent))
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(part.column(0).to_numpy()[owner]), pa.array(size), pa.array(indexed), pa.array(size - place)], names=["token", "node", "n", "indexed", "rest"])
 
+    return told.where("rare is not null").select("node", "n", "rare").mapInArrow(run, "token long, node long, n long, indexed boolean, rest long")
 
-def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document the size of its shingle set and the smallest id reachable by links.
 
-    1. Documents with one and the same set become one node. 2. Each node is
-    compared with one node for each of its minimum hashes, the one whose shingles
-    are the most common, so as a rule the text that the others were made from
-    (linear in the nodes); what links is joined into classes. 3. Classes are cut into groups, and
-    the token-group matrix holds each group's union of rare (indexed) shingles.
-    Queries meet, by their own rare shingles, only groups of other classes; of
-    these, the ones whose whole union can reach the threshold are opened and
-    their members compared. 4. All links give the components. Steps 2 and 3 leave
-    out only pairs that are in one class already or that cannot link, so the
-    result is exact up to equal 64-bit hashes of different shingles or sets.
+def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows ``(doc_id, row, node, n)`` of ``docs (doc_id, row, text)``, and per node ``(node, root, copies, first)``.
 
-    Null, empty and blank texts have no shingles and are their own component. A
-    null key takes part (its row's component is the least key that is not null,
-    or null). Repeated rows are returned once each. An empty table gives no rows;
-    further columns are ignored.
+    ``first`` is the row that stands for the node: ``(no key, key, row)``, the least.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketch = spark.sparkContext.broadcast(_sketch(docs, width))
     told = settle(_signatures(docs, sketch, width, percent), "signatures")
-    named = told.where("keys is not null").groupBy("node").agg(F.min("common").alias("common"), F.first("keys").alias("keys"))
-    nodes = settle(named.join(told.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")), "node"), "nodes")
+    sketch.destroy()
+    named = told.where("keys is not null").groupBy("node").agg(F.max("common").alias("common"), F.first("keys").alias("keys"))
+    stands = F.min(F.struct(F.col("doc_id").isNull().alias("no_key"), "doc_id", "row")).alias("first")
+    nodes = settle(named.join(told.where("node is not null").groupBy("node").agg(stands, F.count("*").alias("copies")), "node"), "nodes")
+    row_of = nodes.select("node", F.col("first.row").alias("row"))
+
     keyed = nodes.select("node", "common", F.posexplode("keys").alias("band", "key"))
     leaders = keyed.groupBy("band", "key").agg(F.max(F.struct("common", "node"))["node"].alias("leader"), F.count("*").alias("many")).where("many > 1")
-    first = settle(keyed.join(leaders, ["band", "key"]).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    ends = settle(first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct(), "ends")
-    near = settle(_verified(first, _texts_of(docs, ends, width), width, percent), "links")
-    release(first, ends)
+    pairs = keyed.select(F.xxhash64("band", "key").alias("at"), "node").transform(lambda d: spread_join(d, leaders.select(F.xxhash64("band", "key").alias("at"), "leader"), "at"))
+    first = settle(pairs.where("node <> leader").select("node", "leader").distinct(), "pairs")
+    ends = settle(first.select("node").union(first.select(F.col("leader").alias("node"))).distinct().join(row_of, "node"), "ends")
+    texts = settle(_texts_of(docs, ends), "texts")
+    led = first.select(F.col("leader").alias("node")).distinct().join(texts, "node").select(F.col("node").alias("leader"), "node", "text")
+    near = settle(_linked(_in_streams(led, first.join(texts, "node"), "leader"), width, percent), "links")
+    release(first, ends, texts)
     classes = components(near)
 
     # the token-group matrix
     roots = nodes.select("node").join(classes, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     part = F.when(F.col("size") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)))
-    assigned = settle(roots.join(sizes, "root").select("node", "root", F.xxhash64("root", part).alias("group")), "assigned")
+    assigned = settle(spread_join(roots, sizes, "root").select("node", "root", F.xxhash64("root", part).alias("group")), "assigned")
     shared = settle(_tokens(told, percent).groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token"), "tokens")
     sieve = spark.sparkContext.broadcast(sieve_of(shared))
     rare = settle(_tokens(told, percent, sieve).distinct().join(assigned, "node"), "rare")
-    probed = rare.groupBy("token", "root").agg(F.max("n").alias("most"))
-    indexed = rare.where("indexed").groupBy("token", "root").agg(F.min("n").alias("fewest"))
-    met = indexed.withColumnRenamed("root", "other").join(probed, "token").where("other <> root and fewest <= most").select("token", "root", "other")
+    sieve.destroy()
+    # of two sets that link, the first token they share leaves enough in both to reach what the link needs
+    enough = f"{100 + percent} * least(rest, other_rest) >= {percent} * (fewest + {{}})"
+    probed = rare.groupBy("token", "root").agg(F.max("n").alias("most"), F.min("n").alias("smallest"), F.max("rest").alias("rest"))
+    indexed = rare.where("indexed").groupBy("token", F.col("root").alias("other")).agg(F.min("n").alias("fewest"), F.max("rest").alias("other_rest"))
+    met = indexed.join(probed, "token").where("other <> root and fewest <= most").where(enough.format("smallest")).select("token", "root", "other")
     met = settle(met, "met")
-    matrix = rare.where("indexed").groupBy("token", F.col("root").alias("other"), "group").agg(F.min("n").alias("fewest"), F.max("n").alias("most"))
-    asked = rare.select("token", "root", "node", "n").distinct().join(met, ["token", "root"])
-    candidates = asked.join(matrix, ["token", "other"]).where(f"fewest <= n and 100 * most >= {percent} * n").select("node", "group").distinct()
+    matrix = rare.where("indexed").groupBy("token", F.col("root").alias("other"), "group").agg(F.min("n").alias("fewest"), F.max("n").alias("largest"), F.max("rest").alias("other_rest"))
+    asked = rare.select("token", "root", "node", "n", "rest").distinct().join(met, ["token", "root"])
+    candidates = asked.join(matrix, ["token", "other"]).where(f"fewest <= n and 100 * largest >= {percent} * n").where(enough.format("n")).select("node", "group").distinct()
     candidates = settle(candidates, "candidates")
-    wanted = candidates.select("node").union(candidates.select("group").distinct().join(assigned, "group").select("node")).distinct()
-    wanted = settle(wanted, "wanted")
+    members = candidates.select("group").distinct().join(assigned.select("node", "group"), "group")
+    wanted = settle(candidates.select("node").union(members.select("node")).distinct().join(row_of, "node"), "wanted")
     if wanted.isEmpty():
         final = classes
     else:
-        far = settle(_opened(candidates, _texts_of(docs, wanted, width), assigned, width, percent), "links")
+        texts = settle(_texts_of(docs, wanted), "texts")
+        far = settle(_linked(_in_streams(members.join(texts, "node"), candidates.join(texts, "node"), "group"), width, percent), "links")
         final = components(near.union(far))
-    release(assigned, shared, rare, met, candidates, wanted)
+        release(texts, far, classes)
+    release(shared, rare, met, candidates, wanted)
+    by_node = settle(nodes.select("node", "copies", "first").join(final, "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
+    release(assigned, near, nodes, final)
+    return told.select("doc_id", "row", "node", "n"), by_node
+
+
+def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return plain.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+
+
+def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per document the size of its shingle set and the smallest id reachable by links.
 
-    grouped = nodes.select("node", "least").join(final, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    by_node = settle(grouped.join(smallest, "root").select("node", "component"), "components")
-    return told.select("doc_id", "node", "n").join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    1. Documents with one and the same set become one node. 2. Each node is
+    compared with one node for each of its minimum hashes, the one whose shingles
+    are the most common, so as a rule the text that the others were made from
+    (linear in the nodes); what links is joined into classes. 3. Classes are cut into groups, and
+    the token-group matrix holds each group's union of rare (indexed) shingles.
+    Queries meet, by their own rare shingles, only groups of other classes; of
+    these, the ones whose whole union can reach the threshold are opened and
+    their members compared. 4. All links give the components. Steps 2 and 3 leave
+    out only pairs that are in one class already or that cannot link, so the
+    result is exact up to equal 64-bit hashes of different shingles, sets or rows.
+
+    Texts travel once to the rows' names and once to each leader or group they
+    are compared with; followers of one leader, queries of one group and copies
+    of one text are dealt over tasks where they are many.
+
+    Null, empty and blank texts have no shingles and are their own component. A
+    null key takes part (its row's component is the least key that is not null,
+    or null). Repeated rows are returned once each. An empty table gives no rows;
+    further columns are ignored.
+    """
+    told, by_node = _classes(_rows(docs, text, key), width, percent)
+    smallest = by_node.groupBy("root").agg(F.min("first.doc_id").alias("component"))
+    component = settle(spread_join(by_node.select("node", "root"), smallest, "root").select("node", "component"), "components")
+    release(by_node)
+    return spread_join(told, component, "node", nulls=True).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per similarity class, with all columns: the one of the class's smallest key.
+    """One row per similarity class, with all columns, and every row without shingles, as these are linked with nothing.
 
-    Of rows with one key, the one with the smallest text stays. Rows with a null
-    key cannot be told apart by it and all stay.
+    Of a class the row with the smallest key stays (a null key only where there is
+    no other), of rows with one key and text one. Rows that share a key but not
+    their class are told apart by their texts. An empty table gives no rows.
     """
-    classes = similarity_classes(docs, width, percent, text, key)
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    plain, _ = numbered(docs)
+    named, _ = numbered(docs)
     key_at, text_at = f"c{docs.columns.index(key)}", f"c{docs.columns.index(text)}"
-    named = plain.join(first, F.col(key_at) == F.col("_kept"), "left_semi")
-    named = named.withColumn("_n", F.row_number().over(W.partitionBy(key_at).orderBy(text_at))).where("_n = 1").drop("_n")
-    return named.unionAll(plain.where(F.col(key_at).isNull())).toDF(*docs.columns)
+    _, by_node = _classes(_rows(docs, text, key), width, percent)
+    kept = by_node.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    named = named.withColumn("_row", F.xxhash64(F.col(key_at).cast("long"), F.col(text_at).cast("string")))
+    one = named.join(kept, "_row", "left_semi").withColumn("_n", F.row_number().over(W.partitionBy("_row").orderBy(F.xxhash64(*(c for c, t in named.dtypes if "map<" not in t))))).where("_n = 1")
+    blank = named.where(F.coalesce(F.length(F.regexp_replace(text_at, r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0)
+    return one.drop("_n", "_row").unionAll(blank.drop("_row")).toDF(*docs.columns)

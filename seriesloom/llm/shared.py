@@ -55,6 +55,48 @@ def release(*settled: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is hot if it holds more than one in so many of all rows, so there are never more hot keys than this.
+HOT_SHARE = 1_000
+#: Keys of fewer rows are never hot.
+HOT_LEAST = 256
+
+
+def hot_keys(rows: DataFrame, key: str, total: int | None = None) -> dict[int, int]:
+    """The hot keys of a column (long, nulls aside), at most ``HOT_SHARE`` of them, and into how many parts each is to be cut.
+
+    A part holds about as many rows as a key may have without being hot. ``total`` is the number of rows, where it is known.
+    """
+    if total is not None and total <= HOT_LEAST:
+        return {}
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > HOT_LEAST)
+    many = counts.orderBy(F.desc("count"), key).limit(HOT_SHARE).collect()
+    if not many:
+        return {}
+    most = max((rows.count() if total is None else total) // HOT_SHARE, HOT_LEAST)
+    return {r[0]: -(-r[1] // most) for r in many if r[1] > most}
+
+
+def parts_of(spark: SparkSession, hot: dict[int, int], key: str) -> DataFrame:
+    """The hot keys and their ``parts`` as a frame for a broadcast; its size is bounded by ``HOT_SHARE``."""
+    return F.broadcast(spark.createDataFrame(list(hot.items()), f"{key} long, parts long"))
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, total: int | None = None, nulls: bool = False) -> DataFrame:
+    """``rows`` left-joined with ``values``, which has a row per key at most, so that no hot key meets in one task.
+
+    Rows of hot keys (see ``hot_keys``) and without a key meet the hot keys' values
+    by a broadcast of at most ``HOT_SHARE`` rows, the others by a shuffle. ``nulls``
+    tells that there may be rows without a key.
+    """
+    hot = list(hot_keys(rows, key, total))
+    if not hot:
+        known = rows.where(F.col(key).isNotNull()).join(values, key, "left")
+        return known.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if nulls else known
+    apart = F.col(key).isNull() | F.col(key).isin(hot)
+    few = values.where(F.col(key).isin(hot))
+    return rows.where(~apart).join(values, key, "left").unionByName(rows.where(apart).join(F.broadcast(few), key, "left"))
+
+
 def map_batches(df: DataFrame, columns: list, schema, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``mapInArrow`` over only the named input columns."""
     return df.select(*columns).mapInArrow(function, schema)

@@ -22,11 +22,13 @@ def chunk_rows(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield k // CHUNK_CELLS, zlib.compress(part.tobytes(), 1)
 
 
-def merged(chunks: DataFrame, size: int, dtype: str, combine: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Merge the tasks' chunks and bring the one summary of ``size`` cells to the driver.
+def merged(chunks: DataFrame, size: int, dtype: str, combine: Callable[[np.ndarray, np.ndarray], np.ndarray], finish: Callable[[np.ndarray], np.ndarray] | None = None, out_dtype: str | None = None) -> np.ndarray:
+    """Merge the tasks' chunks (of ``dtype``) and bring the one summary of ``size`` cells to the driver.
 
     Each merging task streams over its chunks and holds one array per chunk number.
+    ``finish`` turns a merged chunk into what is sent, of ``out_dtype``.
     """
+    sent = out_dtype or dtype
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -35,11 +37,12 @@ def merged(chunks: DataFrame, size: int, dtype: str, combine: Callable[[np.ndarr
                 part = np.frombuffer(zlib.decompress(raw), dtype)
                 held[k] = combine(held[k], part) if k in held else part
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())], names=["chunk", "cells"])
+            done = [(finish(v) if finish else v).astype(sent, copy=False) for v in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in done], pa.binary())], names=["chunk", "cells"])
 
-    out = np.zeros(size, dtype)
+    out = np.zeros(size, sent)
     for k, raw in chunks.repartition("chunk").mapInArrow(run, CHUNK_SCHEMA).collect():
-        part = np.frombuffer(zlib.decompress(raw), dtype)
+        part = np.frombuffer(zlib.decompress(raw), sent)
         out[k * CHUNK_CELLS : k * CHUNK_CELLS + len(part)] = part
     return out
 

@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from seriesloom.llm import group_join
 
 from . import odd
@@ -53,8 +55,45 @@ def test_odd_rows(spark):
     assert group_join.similarity_classes(odd.frame(spark, [])).count() == 0
     kept = group_join.keep_one(odd.frame(spark))
     assert kept.columns == odd.frame(spark).columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({int(c) for i, _, c in brute(rows) if i != "None" and i == c}) and ids.count(None) == 2
+    got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    heads = {c for i, _, c in brute(rows) if i != "None" and i == c}
+    # one row for each class; the two rows of key 8 and the null key's copy go, rows without shingles stay
+    assert sorted(i for i, _ in got) == sorted(["None", *heads])
+
+
+def test_rows_are_told_apart_by_their_texts(spark):
+    rng = random.Random(3)
+    one, two, three = (" ".join(f"{c}{rng.randint(0, 99)}" for _ in range(30)) for c in "abc")
+    rows = [(1, one, "en"), (1, two, "en"), (2, two, "en"), (None, three, "en"), (None, three, "en"), (3, one, "en"), (4, "", "en"), (4, "", "en"), (None, None, "en")]
+    got = sorted((str(r.doc_id), r.text or "") for r in group_join.keep_one(odd.frame(spark, rows)).collect())
+    assert got == sorted([("1", one), ("1", two), ("None", three), ("4", ""), ("4", ""), ("None", "")])
+    assert group_join.keep_one(odd.frame(spark, [])).count() == 0
+
+
+def test_hot_groups(spark, monkeypatch):
+    """Many copies, followers and queries of one text: the hot ways give the same classes."""
+    from seriesloom.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_LEAST", 3)
+    monkeypatch.setattr(shared, "HOT_SHARE", 20)
+    rng = random.Random(8)
+    words = [f"w{rng.randint(0, 400)}" for _ in range(80)]
+    rows = [(k, " ".join(words)) for k in range(40)]
+    for k in range(120):
+        changed = list(words)
+        for _ in range(rng.randint(0, 3)):
+            changed[rng.randrange(80)] = f"x{rng.randint(0, 9)}"
+        rows.append((100 + k, " ".join(changed)))
+    rows += [(500 + k, "") for k in range(30)] + [(None, " ".join(words))] * 5
+    rows += [(600 + k, " ".join(words[:40] + [f"y{rng.randint(0, 99)}" for _ in range(rng.randint(2, 40))])) for k in range(60)]
+    rng.shuffle(rows)
+    assert told(group_join.similarity_classes(odd.frame(spark, [(i, t, None) for i, t in rows]))) == brute(rows)
+
+
+def test_codes_keep_the_order_of_counts():
+    counts = np.array([0, 1, 2, 5, 255, 256, 10_000, 10**6, 10**9, 10**11])
+    assert (np.diff(group_join._codes(counts).astype(int)) >= 0).all() and group_join._codes(counts).max() < 255
+    assert group_join._codes(np.array([1])) < group_join._codes(np.array([2]))
 
 
 def test_chains_and_borders(spark):
