@@ -45,8 +45,8 @@ def _cell(shingles: np.ndarray) -> np.ndarray:
 
 
 def _capped_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sums of a task's counts of two bytes; 65,535 stands for that many or more."""
-    return np.minimum(a.astype(np.int64) + b, 65_535).astype(np.uint16)
+    """Sums of one task's counts of a byte; 255 stands for that many or more."""
+    return np.minimum(a.astype(np.int64) + b, 255).astype(np.uint8)
 
 
 def _codes(counts: np.ndarray) -> np.ndarray:
@@ -57,13 +57,13 @@ def _codes(counts: np.ndarray) -> np.ndarray:
 def _sketch(docs: DataFrame, width: int) -> np.ndarray:
     """About how many documents hold a shingle of each hash cell, as ``_codes``: of fixed size, made from all documents.
 
-    Tasks count, the tasks that merge add up without a bound, and only the sums
-    become codes. Rare shingles of one cell cannot be told apart, so where there
+    Tasks count up to 255 in themselves, the tasks that merge add these up without a
+    bound, and only the sums become codes. Rare shingles of one cell cannot be told apart, so where there
     are many more shingles than cells only the frequent ones stand out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint16)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint8)
         for _, texts in text_slices(batches):
             cells, held = np.unique(np.concatenate([_cell(s) for s in shingle_sets(texts, width)]), return_counts=True)
             counts[cells] = _capped_sum(counts[cells], held)
@@ -71,7 +71,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "cells"])
 
-    return merged(map_batches(docs, ["text"], CHUNK_SCHEMA, run), 1 << SKETCH_BITS, "uint16", lambda a, b: a.astype(np.int64) + b, _codes, "uint8")
+    return merged(map_batches(docs, ["text"], CHUNK_SCHEMA, run), 1 << SKETCH_BITS, "uint8", lambda a, b: a.astype(np.int64) + b, _codes, "uint8")
 
 
 def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
@@ -196,30 +196,37 @@ def _linked(streams: DataFrame, width: int, percent: int) -> DataFrame:
     return streams.mapInArrow(run, "a long, b long")
 
 
-def _tokens(told: DataFrame, percent: int, sieve=None) -> DataFrame:
-    """``token, node, n, indexed, rest``: the rare shingles of every set, or those that the sieve lets pass.
+def _tokens(told: DataFrame, percent: int, standing, sieve=None) -> DataFrame:
+    """The rare shingles ``token, node, n, indexed, rest`` of every set, or only ``token``; with a sieve those that it lets pass.
 
-    ``rest`` tells how many of the set's shingles come at or after the token in the common order.
+    Of the rows that have one set only those take part that ``standing``, a sieve of
+    rows, lets pass. ``rest`` tells how many of the set's shingles come at or after
+    the token in the common order.
     """
+    narrow = sieve is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            batch = whole.filter(pa.array(standing.value.passes(whole.column(3).to_numpy().view(np.uint64))))
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
                 rare = part.column(2)
+                token = rare.flatten().to_numpy()
+                if narrow:
+                    yield pa.RecordBatch.from_arrays([pa.array(token)], names=["token"])
+                    continue
                 lengths = pa.compute.list_value_length(rare).to_numpy(zero_copy_only=False)
                 n = part.column(1).to_numpy()
-                token = rare.flatten().to_numpy()
                 owner = np.repeat(np.arange(len(n)), lengths)
                 place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                if sieve is not None:
-                    hit = sieve.value.passes(token.view(np.uint64))
-                    token, owner, place = token[hit], owner[hit], place[hit]
+                hit = sieve.value.passes(token.view(np.uint64))
+                token, owner, place = token[hit], owner[hit], place[hit]
                 size = n[owner]
                 indexed = place < size + 1 - -(-2 * percent * size // (100 + percent))
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(part.column(0).to_numpy()[owner]), pa.array(size), pa.array(indexed), pa.array(size - place)], names=["token", "node", "n", "indexed", "rest"])
 
-    return told.where("rare is not null").select("node", "n", "rare").mapInArrow(run, "token long, node long, n long, indexed boolean, rest long")
+    schema = "token long" if narrow else "token long, node long, n long, indexed boolean, rest long"
+    return told.where("rare is not null").select("node", "n", "rare", "row").mapInArrow(run, schema)
 
 
 def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -252,20 +259,23 @@ def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     part = F.when(F.col("size") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)))
     assigned = settle(spread_join(roots, sizes, "root").select("node", "root", F.xxhash64("root", part).alias("group")), "assigned")
-    shared = settle(_tokens(told, percent).groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token"), "tokens")
+    standing = spark.sparkContext.broadcast(sieve_of(row_of.select("row")))
+    shared = settle(_tokens(told, percent, standing).groupBy("token").count().where("count > 1").select("token"), "tokens")
     sieve = spark.sparkContext.broadcast(sieve_of(shared))
-    rare = settle(_tokens(told, percent, sieve).distinct().join(assigned, "node"), "rare")
+    rare = settle(_tokens(told, percent, standing, sieve).join(assigned, "node"), "rare")
     sieve.destroy()
+    standing.destroy()
     # of two sets that link, the first token they share leaves enough in both to reach what the link needs
     enough = f"{100 + percent} * least(rest, other_rest) >= {percent} * (fewest + {{}})"
-    probed = rare.groupBy("token", "root").agg(F.max("n").alias("most"), F.min("n").alias("smallest"), F.max("rest").alias("rest"))
-    indexed = rare.where("indexed").groupBy("token", F.col("root").alias("other")).agg(F.min("n").alias("fewest"), F.max("rest").alias("other_rest"))
+    by_token = rare.repartition("token")
+    probed = by_token.groupBy("token", "root").agg(F.max("n").alias("most"), F.min("n").alias("smallest"), F.max("rest").alias("rest"))
+    indexed = by_token.where("indexed").groupBy("token", F.col("root").alias("other")).agg(F.min("n").alias("fewest"), F.max("rest").alias("other_rest"))
     met = indexed.join(probed, "token").where("other <> root and fewest <= most").where(enough.format("smallest")).select("token", "root", "other")
-    met = settle(met, "met")
-    matrix = rare.where("indexed").groupBy("token", F.col("root").alias("other"), "group").agg(F.min("n").alias("fewest"), F.max("n").alias("largest"), F.max("rest").alias("other_rest"))
-    asked = rare.select("token", "root", "node", "n", "rest").distinct().join(met, ["token", "root"])
+    matrix = by_token.where("indexed").groupBy("token", F.col("root").alias("other"), "group").agg(F.min("n").alias("fewest"), F.max("n").alias("largest"), F.max("rest").alias("other_rest"))
+    asked = by_token.select("token", "root", "node", "n", "rest").join(met, ["token", "root"])
     candidates = asked.join(matrix, ["token", "other"]).where(f"fewest <= n and 100 * largest >= {percent} * n").where(enough.format("n")).select("node", "group").distinct()
-    candidates = settle(candidates, "candidates")
+    # all of these meet by token first, so that one shuffle by token serves them
+    candidates = settle(candidates, "candidates", {"spark.sql.requireAllClusterKeysForCoPartition": "false"})
     members = candidates.select("group").distinct().join(assigned.select("node", "group"), "group")
     wanted = settle(candidates.select("node").union(members.select("node")).distinct().join(row_of, "node"), "wanted")
     if wanted.isEmpty():
@@ -275,7 +285,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
         far = settle(_linked(_in_streams(members.join(texts, "node"), candidates.join(texts, "node"), "group"), width, percent), "links")
         final = components(near.union(far))
         release(texts, far, classes)
-    release(shared, rare, met, candidates, wanted)
+    release(shared, rare, candidates, wanted)
     by_node = settle(nodes.select("node", "copies", "first").join(final, "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
     release(assigned, near, nodes, final)
     return told.select("doc_id", "row", "node", "n"), by_node

@@ -32,11 +32,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: what follows survives lost executors without recomputing."""
+def settle(df: DataFrame, label: str, planning: dict[str, str] | None = None) -> DataFrame:
+    """Write to the shared folder and read back: what follows survives lost executors without recomputing.
+
+    ``planning`` are settings of the session for this one job, put back afterwards.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in planning or {}}
+    try:
+        for k, v in (planning or {}).items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     settled = spark.read.schema(df.schema).parquet(path)
     _places[settled] = path
     return settled
