@@ -9,16 +9,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .shared import settle
+from .shared import release, settle
 
 #: Vectors of a shard, about: the most a task holds at once, and the fewest worth a shard of their own.
 SHARD_MOST, SHARD_LEAST = 65_536, 2_048
 LEAF = 128
 #: Queries that travel together.
 BLOCK = 256
-_FOUND = "query_id long, vec_id long, score long"
+#: Each wave of shards is so many times what was searched before it.
+WAVE = 8
 
 
 class BallTree:
@@ -29,7 +29,7 @@ class BallTree:
     at ``right[n]``), and ``least[n]`` is its smallest id.
     """
 
-    ARRAYS = (("ids", np.int64), ("vectors", np.int64), ("low", np.int64), ("high", np.int64), ("left", np.int64), ("right", np.int64), ("least", np.int64), ("radius", np.float64), ("centre", np.float64))
+    ARRAYS = (("ids", np.int64), ("vectors", np.int32), ("low", np.int64), ("high", np.int64), ("left", np.int64), ("right", np.int64), ("least", np.int64), ("radius", np.float64), ("centre", np.float64))
 
     def __init__(self, **arrays: np.ndarray) -> None:
         self.__dict__.update(arrays)
@@ -66,27 +66,47 @@ class BallTree:
         return cls(ids=ids[order], vectors=np.ascontiguousarray(vectors[order]), centre=np.array(columns[6], np.float64).reshape(len(nodes), -1), **made)
 
     def pack(self) -> list[bytes]:
-        return [getattr(self, name).astype(kind).tobytes() for name, kind in self.ARRAYS]
+        """The arrays as bytes; vectors of components beyond 31 bits take eight bytes each."""
+        out = [getattr(self, name).astype(kind).tobytes() for name, kind in self.ARRAYS]
+        if np.abs(self.vectors).max(initial=0) >= 1 << 31:
+            out[1] = self.vectors.astype(np.int64).tobytes()
+        return out
 
     @classmethod
     def unpack(cls, parts: list[bytes]) -> BallTree:
-        arrays = {name: np.frombuffer(raw, kind) for (name, kind), raw in zip(cls.ARRAYS, parts)}
-        for name, count in (("vectors", len(arrays["ids"])), ("centre", len(arrays["low"]))):
-            arrays[name] = arrays[name].reshape(count, -1)
-        return cls(**arrays)
-
-    def search(self, query_id: int, query: np.ndarray, bounds: np.ndarray, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The k best (-score, id) of this tree and ``best``, which is ascending; ``bounds`` are the nodes' upper bounds.
-
-        Nodes are visited by falling bound. The search ends at the first bound below
-        the current kth score; a node that can only tie is left out if all its ids
-        are greater than the kth one.
+        arrays = {name: np.frombuffer(raw, kind) for (name, kind), raw in zip(cls.ARRAYS, parts) if name != "vectors"}
+        n = len(arrays["ids"])
+        dim = len(arrays["centre"]) // len(arrays["low"])
+        flat = np.frombuffer(parts[1], np.int32 if len(parts[1]) == 4 * n * dim else np.int64)
+        tree = cls(vectors=flat.reshape(n, dim).astype(np.int64), **(arrays | {"centre": arrays["centre"].reshape(-1, dim)}))
+        tree.real = tree.vectors.astype(np.float64)
+        tree.greatest = int(np.abs(tree.vectors).max(initial=0))
+        return tree
+
+    def search_block(self, names: list[int], queries: np.ndarray, k: int, known: list[list[tuple[int, int, int]]]) -> list[tuple[list[tuple[int, int, int]], int]]:
+        """``search`` for a block of queries, each from what is known; products are floats where these are exact."""
+        real = queries.astype(np.float64)
+        norm = np.sqrt((real**2).sum(axis=1))
+        bounds = real @ self.centre.T + norm[:, None] * self.radius
+        bounds += 1e-9 * (np.abs(bounds) + norm[:, None] * np.sqrt((self.centre**2).sum(axis=1))) + 1e-6
+        exact = self.greatest * int(np.abs(queries).max(initial=0)) * max(queries.shape[1], 1) < 1 << 53
+        vectors, asked = (self.real, real) if exact else (self.vectors, queries)
+        return [self.search(name, asked[q], vectors, bounds[q], k, sorted(known[q])) for q, name in enumerate(names)]
+
+    def search(self, query_id: int, query: np.ndarray, vectors: np.ndarray, bounds: np.ndarray, k: int, best: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], int]:
+        """The k best (-score, id, 1) of this tree and ``best`` (ascending, ending in 0), and how many vectors were compared.
+
+        ``bounds`` are the nodes' upper bounds; nodes are visited by falling bound. The
+        search ends at the first bound below the current kth score; a node that can
+        only tie is left out if all its ids are greater than the kth one. Repeated
+        ids with one score are as many results.
         """
         heap = [(-bounds[0], 0)]
+        compared = 0
         while heap:
             bound, at = heapq.heappop(heap)
             if len(best) == k:
-                worst, worst_id = best[-1]
+                worst, worst_id = best[-1][:2]
                 if bound > worst:
                     break
                 if np.floor(-bound) == -worst and self.least[at] > worst_id:
@@ -96,7 +116,8 @@ class BallTree:
                     heapq.heappush(heap, (-bounds[child], child))
                 continue
             low, high = self.low[at], self.high[at]
-            scores = self.vectors[low:high] @ query
+            compared += int(high - low)
+            scores = (vectors[low:high] @ query).astype(np.int64)
             names = self.ids[low:high]
             good = names != query_id
             if len(best) == k:
@@ -106,8 +127,8 @@ class BallTree:
                 first = np.lexsort((names, -scores))[:k]
                 scores, names = scores[first], names[first]
             if len(scores):
-                best = sorted([*best, *zip((-scores).tolist(), names.tolist())])[:k]
-        return best
+                best = sorted([*best, *((s, n, 1) for s, n in zip((-scores).tolist(), names.tolist()))])[:k]
+        return best, compared
 
 
 def integer_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -128,40 +149,70 @@ def _build(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([dim], pa.int32()), rows.column("shard").slice(0, 1), *(pa.array([p], pa.binary()) for p in parts)], names=["dim", "shard", *(f"t{k}" for k in range(len(parts)))])
 
 
-def _search(pairs: DataFrame, k: int) -> DataFrame:
-    """Search each row's shard for its block of queries, starting from the kth scores known so far."""
-    width = len(BallTree.ARRAYS)
+_BEST = "array<struct<score:long,vec_id:long>>"
+_PARTS = len(BallTree.ARRAYS)
+
+
+def _search(asked: DataFrame, trees: DataFrame, shards: DataFrame, k: int, parts: int) -> DataFrame:
+    """Searches every query ``(query_id, dim, v, best)`` in its ``shards (query_id, shard)``: per shard ``query_id, compared, best``.
+
+    A shard's tree and its queries meet in a task that reads the tree once and then
+    streams the queries in blocks; with ``parts`` a shard's queries are cut over so
+    many tasks. ``compared`` counts the vectors whose product was computed, ``best``
+    holds only what this shard adds.
+    """
+    nothing = [F.lit(None).cast("binary").alias(f"t{p}") for p in range(_PARTS)]
+    told = trees.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(False).alias("asks"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<long>").alias("v"), F.lit(None).cast(_BEST).alias("best"), *(f"t{p}" for p in range(_PARTS)))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
+    queries = asked.join(shards, "query_id").select("dim", "shard", part, F.lit(True).alias("asks"), "query_id", "v", "best", *nothing)
+    together = told.unionByName(queries).repartition("dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, at = None, None
         for batch in batches:
-            for r in range(batch.num_rows):
-                tree = BallTree.unpack([batch.column(1 + p)[r].as_py() for p in range(width)])
-                out: list[tuple[int, int, int]] = []
-                asked = batch.column(0)[r].as_py()
-                queries = np.array([q["v"] for q in asked], np.int64).reshape(len(asked), -1)
-                real = queries.astype(np.float64)
-                norm = np.sqrt((real**2).sum(axis=1))
-                bounds = real @ tree.centre.T + norm[:, None] * tree.radius
-                bounds += 1e-9 * (np.abs(bounds) + norm[:, None] * np.sqrt((tree.centre**2).sum(axis=1))) + 1e-6
-                for q, query, bound in zip(asked, queries, bounds):
-                    known = [(-f["score"], f["vec_id"]) for f in q["best"] or []]
-                    seen = set(known)
-                    for score, name in tree.search(q["vec_id"], query, bound, k, sorted(known)):
-                        if (score, name) not in seen:
-                            out.append((q["vec_id"], name, -score))
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
-
-    return pairs.select("queries", *(f"t{p}" for p in range(width))).mapInArrow(run, _FOUND)
-
-
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """The k greatest inner products of each query with all other vectors: ``query_id, rank, vec_id, score``.
+            asks = batch.column(3).to_pylist()
+            place = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+            start = 0
+            while start < batch.num_rows:
+                if not asks[start]:
+                    tree, at = BallTree.unpack([batch.column(7 + p)[start].as_py() for p in range(_PARTS)]), place[start]
+                    start += 1
+                    continue
+                stop = start + 1
+                while stop < batch.num_rows and stop - start < BLOCK and asks[stop] and place[stop] == place[start]:
+                    stop += 1
+                own = batch.slice(start, stop - start)
+                names = own.column(4).to_pylist()
+                if place[start] == at:
+                    known = [[(-b["score"], b["vec_id"], 0) for b in best or []] for best in own.column(6).to_pylist()]
+                    flat = own.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                    found = tree.search_block(names, flat.reshape(len(names), -1), k, known)
+                else:
+                    found = [([], 0)] * len(names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(names, pa.int64()),
+                        pa.array([compared for _, compared in found], pa.int64()),
+                        pa.array([[{"score": -b[0], "vec_id": b[1]} for b in best if b[2]] for best, _ in found], pa.list_(pa.struct([("score", pa.int64()), ("vec_id", pa.int64())]))),
+                    ],
+                    names=["query_id", "compared", "best"],
+                )
+                start = stop
+
+    return together.mapInArrow(run, f"query_id long, compared long, best {_BEST}")
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", scale: int = 256, shard_most: int = SHARD_MOST, shard_least: int = SHARD_LEAST) -> DataFrame:
+    """The k greatest inner products of each query with all other vectors: ``query_id, rank, vec_id, score, compared``.
 
     Queries are the rows whose id is divisible by ``every``. Vectors are dealt to
-    shards by a hash, so a vector that repeats is spread out; each shard is one
-    ball tree. Query blocks first search one shard each, which gives a kth score
-    near the final one; with it they go to all other shards, where most balls fall
-    below it. What moves is the queries, once per shard; a shard moves once.
+    shards of at most about ``shard_most`` by a hash, so a vector that repeats is
+    spread out; each shard is one ball tree. Queries go through the shards in waves,
+    first one shard, then ``WAVE`` times as many each, and every wave starts from the
+    kth score that the waves before it have found, below which balls are left out.
+    In a wave a shard moves once (or to as many tasks as keep all cores busy where
+    shards are few), the queries once per shard. ``compared`` tells with how many
+    vectors the query's product was computed in all.
 
     Ties go to the smaller id. Vectors that are null or hold a null or non-finite
     component, and null ids, take no part; vectors of other lengths than the
@@ -174,22 +225,29 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     rows = integer_vectors(vectors, key, vector, scale).select("vec_id", "v", F.size("v").alias("dim"))
     total = rows.count()
     cores = spark.sparkContext.defaultParallelism
-    shards = max(-(-total // SHARD_MOST), min(2 * cores, -(-total // SHARD_LEAST)), 1)
+    shards = max(-(-total // shard_most), min(2 * cores, -(-total // shard_least)), 1)
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
-    tree_schema = "dim int, shard int, " + ", ".join(f"t{p} binary" for p in range(len(BallTree.ARRAYS)))
+    tree_schema = "dim int, shard int, " + ", ".join(f"t{p} binary" for p in range(_PARTS))
     trees = settle(dealt.groupBy("dim", "shard").applyInArrow(_build, tree_schema), "trees")
 
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "dim").agg(F.max("v").alias("v"))
-    blocks = max(1, -(-(total // every + 1) // BLOCK))
-    asked = settle(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "queries")
-    nothing = F.lit(None).cast("array<struct<vec_id:long,score:long>>")
-    home = asked.withColumn("best", nothing).groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v", "best")).alias("queries"))
-    home = home.withColumn("shard", F.pmod(F.col("block"), F.lit(shards)))
-    first = settle(_search(home.join(trees, ["dim", "shard"]), k), "found")
-
-    known = first.groupBy("query_id").agg(F.collect_list(F.struct("vec_id", "score")).alias("best")).withColumnRenamed("query_id", "vec_id")
-    rest = asked.join(known, "vec_id", "left").groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v", "best")).alias("queries"))
-    rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.pmod(F.col("block"), F.lit(shards)))
-    found = first.union(_search(rest.join(trees, ["dim", "shard"]), k))
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), "dim").agg(F.max("v").alias("v"))
+    # of a repeated query id only the greatest vector is asked
+    asked = asked.groupBy("query_id").agg(F.max(F.struct("v", "dim")).alias("g")).select("query_id", "g.dim", "g.v")
+    asked = settle(asked.withColumn("best", F.lit(None).cast(_BEST)).withColumn("compared", F.lit(0).cast("long")), "queries")
+    home = F.pmod(F.xxhash64("query_id"), F.lit(shards))
+    done = 0
+    while done < shards:
+        now = min(max(done * (WAVE - 1), 1), shards - done)
+        parts = max(1, min(-(-2 * cores // now), -(-total // (every * BLOCK))))
+        wave = asked.select("query_id", F.explode(F.sequence(F.lit(done), F.lit(done + now - 1))).alias("step")).select("query_id", F.pmod(home + F.col("step"), F.lit(shards)).cast("int").alias("shard"))
+        found = _search(asked, trees, wave, k, parts).groupBy("query_id").agg(F.sum("compared").alias("more"), F.flatten(F.collect_list("best")).alias("new"))
+        every_one = F.concat(F.coalesce("best", F.array().cast(_BEST)), F.coalesce("new", F.array().cast(_BEST)))
+        ranked = F.array_sort(F.transform(every_one, lambda b: F.struct((-b["score"]).alias("neg"), b["vec_id"].alias("vec_id"))))
+        top = F.transform(F.slice(ranked, 1, k), lambda b: F.struct((-b["neg"]).alias("score"), b["vec_id"].alias("vec_id")))
+        before = asked
+        joined = asked.join(found, "query_id", "left")
+        asked = settle(joined.select("query_id", "dim", "v", top.alias("best"), (F.col("compared") + F.coalesce("more", F.lit(0))).alias("compared")), "queries")
+        release(before)
+        done += now
+    release(trees)
+    return asked.select("query_id", "compared", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), "b.vec_id", "b.score", "compared")

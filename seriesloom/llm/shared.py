@@ -193,6 +193,39 @@ class Words:
             self.hash = np.zeros(0, np.uint64)
 
 
+class HashIndex:
+    """Places of 64-bit hashes in an array (of distinct ones), found for many at once; -1 for those not in it.
+
+    An open table of four slots or more a hash, so that few are looked at twice.
+    """
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.append(hashes.astype(np.uint64), np.uint64(0))
+        size = 1 << max(4, (4 * len(hashes)).bit_length())
+        self.shift = np.uint64(64 - (size.bit_length() - 1))
+        self.mask = np.int64(size - 1)
+        self.slots = np.full(size, -1, np.int32)
+        todo = np.arange(len(hashes))
+        place = (hashes.astype(np.uint64) >> self.shift).astype(np.int64)
+        while len(todo):
+            free = self.slots[place] < 0
+            self.slots[place[free]] = todo[free]
+            left = self.slots[place] != todo
+            todo, place = todo[left], place[left] + 1 & self.mask
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        place = (hashes >> self.shift).astype(np.int64)
+        out = self.slots[place].astype(np.int64)
+        todo = np.flatnonzero((out >= 0) & (self.hashes[out] != hashes))
+        place = place[todo]
+        while len(todo):
+            place = place + 1 & self.mask
+            out[todo] = self.slots[place]
+            wrong = (out[todo] >= 0) & (self.hashes[out[todo]] != hashes[todo])
+            todo, place = todo[wrong], place[wrong]
+        return out
+
+
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Per text the sorted distinct 64-bit hashes of its ``width``-word shingles.
 

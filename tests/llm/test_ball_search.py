@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+
 from seriesloom.llm import ball_search
 
 
@@ -25,15 +27,38 @@ def test_against_brute_force(spark):
     rows += [(i + 1000, rows[7][1]) for i in range(60)]  # ties
     rows += [(2000, None), (None, [1.0] * 6), (2050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2100, [float("nan")] * 6), (2150, [float("inf")] * 6), (2200, [1.0, 2.0]), (2201, [3.0, 2.0]), (50, [9.0] * 6)]
     frame = spark.createDataFrame([(i, v, 1, 0) for i, v in rows], "vec_id long, embedding array<float>, label int, shard int").repartition(4)
-    got = sorted(tuple(r) for r in ball_search.top_k(frame, k=5, every=50).collect())
-    import numpy as np
+    got = sorted(tuple(r)[:4] for r in ball_search.top_k(frame, k=5, every=50).collect())
 
     as_float = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    assert got == brute(as_float, 5, 50)
+    want = brute(as_float, 5, 50)
+    assert got == want
+    for least, most in ((300, 65_536), (90, 100)):  # 3 and 8 shards, so several waves
+        assert sorted(tuple(r)[:4] for r in ball_search.top_k(frame, k=5, every=50, shard_least=least, shard_most=most).collect()) == want
+
+
+def test_repeated_rows_count_each_in_several_shards(spark):
+    """Rows that repeat in other shards are results of their own."""
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=8).astype(np.float32).tolist()) for k in range(1, 1500)]
+    rows += [(900_000 + k // 2, [3.0 + k // 2] * 8) for k in range(24)] + [(0, [1.0] * 8), (0, [1.0] * 8)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    want = brute(rows, 5, 50)
+    assert [r[2] for r in want if r[0] == 0] == [900_011, 900_011, 900_010, 900_010, 900_009]
+    for least in (2_048, 500, 190):
+        got = ball_search.top_k(frame, k=5, every=50, shard_least=least, shard_most=600).collect()
+        assert sorted(tuple(r)[:4] for r in got) == want
+    assert all(5 <= r.compared < len(rows) for r in got if r.query_id == 0)
+
+
+def test_large_components_stay_exact(spark):
+    rows = [(k, [float(2**20 + k), float(-k), 1.0]) for k in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r)[:4] for r in ball_search.top_k(frame, k=4, every=20, scale=256).collect())
+    assert got == brute(rows, 4, 20) and min(r[3] for r in got) > 2**55
 
 
 def test_few_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert ball_search.top_k(spark.createDataFrame([], schema)).count() == 0
     assert ball_search.top_k(spark.createDataFrame([(50, [1.0])], schema)).count() == 0
-    assert [tuple(r) for r in ball_search.top_k(spark.createDataFrame([(50, [1.0]), (3, [0.5])], schema)).collect()] == [(50, 1, 3, 256 * 128)]
+    assert [tuple(r)[:4] for r in ball_search.top_k(spark.createDataFrame([(50, [1.0]), (3, [0.5])], schema)).collect()] == [(50, 1, 3, 256 * 128)]
