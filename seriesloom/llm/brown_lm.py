@@ -10,109 +10,103 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, crc_fold, mix64, settle, text_slices
+from .shared import HashIndex, Words, crc_fold, mix64, release, settle, text_slices
 from .summaries import CHUNK_SCHEMA, chunk_rows, merged
 
-#: Words of the greatest counts whose counts every task holds (a fixed bound); all others meet their counts by a join.
-HELD_WORDS = 1 << 17
-#: Of these, the most frequent are clustered one by one; the others share a unit by their last two bytes.
-OWN_UNITS, TAIL_UNITS = 1536, 512
-END_UNIT = OWN_UNITS + TAIL_UNITS
-UNITS = END_UNIT + 1
+#: Words, the most frequent of the training texts, whose classes every task holds (a fixed bound): they are the
+#: neighbours by which words are clustered. Every training word gets a class, and all others meet theirs by a join.
+CONTEXT_WORDS = 1 << 19
+#: Of these, so many are clustered first, one by one, and give the classes their shape.
+HEAD_WORDS = 1_536
 CLASSES = 64
-ROUNDS = 4
+#: Rounds over the head; rounds over all other words.
+HEAD_ROUNDS, ROUNDS = 4, 2
 #: Weight, in observations, of the class frequencies in the transitions.
 PRIOR = 4.0
 #: Words gathered before a task sums them up.
 GATHER = 1 << 21
 
-
-def _tail_unit(words: Words) -> np.ndarray:
-    """A number below ``TAIL_UNITS`` from a word's last two bytes."""
-    last = words.data[words.end - 1].astype(np.uint32)
-    before = np.where(words.end - words.start > 1, words.data[np.maximum(words.end - 2, 0)], 0).astype(np.uint32)
-    return ((last * 31 + before * 131) % TAIL_UNITS).astype(np.int32)
+# Classes by number: 0 to CLASSES - 1 are words, then the end alone, then words that training does not hold.
+_END, _UNSEEN = CLASSES, CLASSES + 1
+_SIDES = CLASSES + 1
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, tail, n_all, n_train`` for every distinct word of ``docs (held_out, text)``; words go by 64-bit hashes."""
+    """``word, n_train`` for every distinct word of ``docs (text)``; words go by 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        parts: list[np.ndarray] = []
         size = 0
 
         def summed() -> pa.RecordBatch:
-            word, tail, train = (np.concatenate(c) for c in zip(*parts))
-            distinct, first, place, count = np.unique(word, return_index=True, return_inverse=True, return_counts=True)
-            trained = np.bincount(place, weights=train, minlength=len(distinct)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(distinct.astype(np.int64)), pa.array(tail[first]), pa.array(count.astype(np.int64)), pa.array(trained)], names=["word", "tail", "n_all", "n_train"])
+            distinct, count = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(distinct.astype(np.int64)), pa.array(count.astype(np.int64))], names=["word", "n_train"])
 
-        for part, texts in text_slices(batches):
-            words = Words(texts)
-            train = ~np.array(part.column(0).to_pylist(), bool)
-            parts.append((words.hash, _tail_unit(words), train[words.doc]))
-            size += len(words.hash)
+        for _, texts in text_slices(batches):
+            parts.append(Words(texts).hash)
+            size += len(parts[-1])
             if size > GATHER:
                 yield summed()
                 parts, size = [], 0
         if size:
             yield summed()
 
-    rows = docs.select("held_out", "text").mapInArrow(run, "word long, tail int, n_all long, n_train long")
-    return rows.groupBy("word").agg(F.min("tail").alias("tail"), F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train"))
+    return docs.select("text").mapInArrow(run, "word long, n_train long").groupBy("word").agg(F.sum("n_train").alias("n_train"))
+
+
+def _closed(words: Words, numbers: np.ndarray, end: int) -> np.ndarray:
+    """The texts' words by number in one row, an end behind each text and before the first."""
+    return np.concatenate([np.array([end], numbers.dtype), np.insert(numbers, words.bounds[1:], end)])
 
 
-def _units(words: Words, own: np.ndarray, own_unit: np.ndarray) -> np.ndarray:
-    """The unit of each word: its own if it is among the most frequent (``own`` ascending), else its tail's."""
-    place = np.minimum(np.searchsorted(own, words.hash), max(len(own) - 1, 0))
-    known = own[place] == words.hash if len(own) else np.zeros(len(words.hash), bool)
-    return np.where(known, own_unit[place] if len(own) else 0, OWN_UNITS + _tail_unit(words))
+def _matrix(cells: Iterator[np.ndarray], size: int) -> Iterator[pa.RecordBatch]:
+    """The sum of cell numbers over a task, as chunks of a table of counts."""
+    total = np.zeros(size, np.int64)
+    for part in cells:
+        total += np.bincount(part, minlength=size)
+    rows = list(chunk_rows(total))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "cells"])
 
 
-def unit_bigrams(docs: DataFrame, own: np.ndarray, own_unit: np.ndarray) -> np.ndarray:
-    """Counts of neighbouring units over all training texts, each closed (and opened) by the end unit."""
-    cells = UNITS * UNITS
+def head_bigrams(docs: DataFrame, head: np.ndarray) -> np.ndarray:
+    """Counts of neighbours among the head's words and the end (the last number), over all texts of ``docs``."""
+    n = len(head) + 1
+    index = HashIndex(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
-        pending: list[np.ndarray] = []
-        size = 0
-        for _, texts in text_slices(batches):
-            words = Words(texts)
-            sequence = np.insert(_units(words, own, own_unit).astype(np.int64), words.bounds[1:], END_UNIT)
-            sequence = np.concatenate([[END_UNIT], sequence])
-            pending.append(sequence[:-1] * UNITS + sequence[1:])
-            size += len(sequence)
-            if size > GATHER:
-                total += np.bincount(np.concatenate(pending), minlength=cells)
-                pending, size = [], 0
-        if pending:
-            total += np.bincount(np.concatenate(pending), minlength=cells)
-        rows = list(chunk_rows(total))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "cells"])
+        def cells() -> Iterator[np.ndarray]:
+            for _, texts in text_slices(batches):
+                words = Words(texts)
+                row = _closed(words, index.find(words.hash), n - 1)
+                good = (row[:-1] >= 0) & (row[1:] >= 0)
+                yield row[:-1][good] * n + row[1:][good]
+
+        yield from _matrix(cells(), n * n)
 
-    chunks = docs.where("not held_out").select("text").mapInArrow(run, CHUNK_SCHEMA)
-    return merged(chunks, cells, "int64", np.add).reshape(UNITS, UNITS)
+    return merged(docs.select("text").mapInArrow(run, CHUNK_SCHEMA), n * n, "int64", np.add).reshape(n, n)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = HEAD_ROUNDS, end_apart: bool = False) -> np.ndarray:
     """Each unit's class, by exchange: units move, by falling count, to the class with the greatest likelihood.
 
     The likelihood of the class bigram model is, up to what no move changes,
     sum N(c,d) log N(c,d) - sum N(c) log N(c) over left and right counts. Rounds
-    end when nothing moves. Ties go to the smallest class.
+    end when nothing moves. Ties go to the smallest class. With ``end_apart`` the
+    last unit stays alone in the class after the others.
     """
     n = len(bigrams)
     counts = bigrams.astype(np.float64)
-    order = np.argsort(-(counts.sum(axis=0) + counts.sum(axis=1)), kind="stable")
-    of = np.zeros(n, np.int64)
-    of[order] = np.arange(n) % classes
-    member = np.zeros((n, classes))
+    moving = n - end_apart
+    order = np.argsort(-(counts.sum(axis=0) + counts.sum(axis=1))[:moving], kind="stable")
+    of = np.full(n, classes, np.int64)
+    of[order] = np.arange(moving) % classes
+    size = classes + end_apart
+    member = np.zeros((n, size))
     member[np.arange(n), of] = 1
     table = member.T @ counts @ member
     for _ in range(rounds):
@@ -120,8 +114,8 @@ def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, rounds: int =
         for u in order:
             if not counts[u].any() and not counts[:, u].any():
                 continue
-            right = np.bincount(of, weights=counts[u], minlength=classes)
-            left = np.bincount(of, weights=counts[:, u], minlength=classes)
+            right = np.bincount(of, weights=counts[u], minlength=size)
+            left = np.bincount(of, weights=counts[:, u], minlength=size)
             self_pair = counts[u, u]
             home = of[u]
             right[home] -= self_pair
@@ -136,7 +130,7 @@ def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, rounds: int =
             gain += both - (_xlogx(diagonal + right) - _xlogx(diagonal)) - (_xlogx(diagonal + left) - _xlogx(diagonal))
             for margin, own in ((table.sum(axis=1), right.sum() + self_pair), (table.sum(axis=0), left.sum() + self_pair)):
                 gain -= _xlogx(margin + own) - _xlogx(margin)
-            best = int(gain.argmax())
+            best = int(gain[:classes].argmax())
             moved |= best != home
             of[u] = best
             table[best] += right
@@ -147,22 +141,238 @@ def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, rounds: int =
     return of
 
 
-_ROW = "row long, word long, times long, cls int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def context_counts(docs: DataFrame, context, skip: np.ndarray) -> DataFrame:
+    """``word, seen``: how often each word has a neighbour of each class on either side, over all texts of ``docs``.
+
+    ``context`` is a broadcast of (index of words, their classes); neighbours whose
+    class is -1 or that are not in it do not count, nor does a word beside itself.
+    ``seen`` packs (side and class as one number, count) as pairs of 32-bit numbers,
+    a row for each word and task's gathering. Words of the sorted ``skip`` are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, classes = context.value
+        words_of: list[np.ndarray] = []
+        cells_of: list[np.ndarray] = []
+        size = 0
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            word, cell = np.concatenate(words_of), np.concatenate(cells_of)
+            distinct, place = np.unique(word, return_inverse=True)
+            keys, count = np.unique(place * np.int64(2 * _SIDES + 1) + cell, return_counts=True)
+            owner, cell = keys // (2 * _SIDES + 1), keys % (2 * _SIDES + 1)
+            # the cell after the last says no more than that the word exists
+            count[cell == 2 * _SIDES] = 0
+            pairs = np.stack([cell, count], axis=1).astype("<i4")
+            starts = np.searchsorted(owner, np.arange(len(distinct) + 1)) * 8
+            raw = pa.Array.from_buffers(pa.binary(), len(distinct), [None, pa.py_buffer(starts.astype(np.int32).tobytes()), pa.py_buffer(pairs.tobytes())])
+            table = pa.RecordBatch.from_arrays([pa.array(distinct.astype(np.int64)), raw], names=["word", "seen"])
+            for a in range(0, len(distinct), 10_000):
+                yield table.slice(a, 10_000)
+
+        for _, texts in text_slices(batches):
+            words = Words(texts)
+            number = index.find(words.hash)
+            cls = np.where(number >= 0, classes[number], -1)
+            row, hashes = _closed(words, cls, _END), _closed(words, words.hash, 0)
+            inner = np.flatnonzero(hashes[1:] != 0) + 1
+            own = hashes[inner]
+            if len(skip):
+                at = np.minimum(np.searchsorted(skip, own), len(skip) - 1)
+                inner = inner[skip[at] != own]
+                own = hashes[inner]
+            left, right = row[inner - 1], row[inner + 1]
+            by_left = (left >= 0) & (hashes[inner - 1] != own)
+            by_right = (right >= 0) & (hashes[inner + 1] != own)
+            lone = np.unique(own)
+            words_of += [own[by_left], own[by_right], lone]
+            cells_of += [left[by_left], right[by_right] + _SIDES, np.full(len(lone), 2 * _SIDES)]
+            size += len(own)
+            if size > GATHER:
+                yield from summed()
+                words_of, cells_of, size = [], [], 0
+        if words_of:
+            yield from summed()
+
+    return docs.select("text").mapInArrow(run, "word long, seen binary")
+
+
+def _best_classes(word: np.ndarray, home: np.ndarray, cell: np.ndarray, count: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of the greatest likelihood for each word, against a fixed table of class pairs.
+
+    Word k has the cells ``bounds[k]:bounds[k + 1]``; ``home`` is its present class or
+    -1. What it has put into its home's counts is taken out before it is tried there.
+    """
+    out = np.zeros(len(word), np.int64)
+    margins = table.sum(axis=1)[:CLASSES], table.sum(axis=0)[:CLASSES]
+    for a in range(0, len(word), 4096):
+        b = min(len(word), a + 4096)
+        low, high = bounds[a], bounds[b]
+        own_cell, n = cell[low:high], count[low:high].astype(np.float64)[:, None]
+        owner = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+        neighbour = own_cell % _SIDES
+        # a left neighbour d counts in N(d, c), a right one in N(c, d)
+        x = np.where((own_cell >= _SIDES)[:, None], table[:CLASSES, neighbour].T, table[neighbour, :CLASSES])
+        own_home = home[a:b][owner]
+        at = np.flatnonzero(own_home >= 0)
+        x[at, own_home[at]] = np.maximum(x[at, own_home[at]] - n[at, 0], 0)
+        gain = np.zeros((b - a, CLASSES))
+        np.add.at(gain, owner, _xlogx(x + n) - _xlogx(x))
+        for side, margin in ((own_cell >= _SIDES, margins[0]), (own_cell < _SIDES, margins[1])):
+            total = np.bincount(owner[side], weights=n[side, 0], minlength=b - a)
+            m = np.repeat(margin[None, :], b - a, axis=0)
+            housed = np.flatnonzero(home[a:b] >= 0)
+            m[housed, home[a:b][housed]] = np.maximum(m[housed, home[a:b][housed]] - total[housed], 0)
+            gain -= _xlogx(m + total[:, None]) - _xlogx(m)
+        out[a:b] = gain.argmax(axis=1)
+    return out
+
+
+def assign_classes(contexts: DataFrame, context, table: np.ndarray) -> DataFrame:
+    """``word, cls`` for every word of ``contexts``: the best class by all that its rows have seen together.
+
+    A word's rows meet in one partition, sorted, and are summed as they stream;
+    what a task holds are a batch's words.
+    """
+    spark = contexts.sparkSession
+    fixed = spark.sparkContext.broadcast(table.astype(np.float64))
+    dealt = contexts.repartition("word").sortWithinPartitions("word")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, classes = context.value
+        last: int | None = None
+        held = np.zeros(2 * _SIDES + 1, np.int64)
+
+        def told(word: np.ndarray, cell: np.ndarray, count: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+            size = 2 * _SIDES + 1
+            keys, place = np.unique(owner * np.int64(size) + cell, return_inverse=True)
+            total = np.bincount(place, weights=count).astype(np.int64)
+            some = total > 0
+            keys, total = keys[some], total[some]
+            bounds = np.searchsorted(keys // size, np.arange(len(word) + 1))
+            number = index.find(word.view(np.uint64))
+            home = np.where(number >= 0, classes[number], -1)
+            best = _best_classes(word, home, keys % size, total, bounds, fixed.value)
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(best.astype(np.int32))], names=["word", "cls"])
+
+        def row_of(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            cell = np.flatnonzero(held)
+            return cell, held[cell]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw = batch.column(1)
+            sizes = pa.compute.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            pairs = np.frombuffer(b"".join(raw.to_pylist()), "<i4").reshape(-1, 2).astype(np.int64)
+            first = np.concatenate([[True], words[1:] != words[:-1]])
+            owner = np.repeat(np.cumsum(first) - 1, sizes)
+            distinct = words[first]
+            cell, count = pairs[:, 0], pairs[:, 1]
+            if last is not None:
+                # the word that the batch before ended with may go on
+                same = distinct[0] == last
+                kept, n = row_of(held)
+                if same:
+                    cell, count, owner = np.concatenate([kept, cell]), np.concatenate([n, count]), np.concatenate([np.zeros(len(kept), np.int64), owner])
+                else:
+                    cell, count, owner = np.concatenate([kept, cell]), np.concatenate([n, count]), np.concatenate([np.zeros(len(kept), np.int64), owner + 1])
+                    distinct = np.concatenate([[last], distinct])
+            ending = owner == len(distinct) - 1
+            held = np.bincount(cell[ending], weights=count[ending], minlength=2 * _SIDES + 1).astype(np.int64)
+            last = int(distinct[-1])
+            if len(distinct) > 1:
+                yield told(distinct[:-1], cell[~ending], count[~ending], owner[~ending])
+        if last is not None:
+            cell, count = row_of(held)
+            yield told(np.array([last], np.int64), cell, count, np.zeros(len(cell), np.int64))
+
+    return dealt.mapInArrow(run, "word long, cls int")
+
+
+def class_pairs(docs: DataFrame, context, classes: DataFrame) -> np.ndarray:
+    """Counts of neighbouring classes over all texts of ``docs``, the end's among them; exact for every word.
+
+    Pairs of which both words are in every task are counted there; the others meet
+    their words' classes (``classes (word, cls)``) by a join.
+    """
+    size = CLASSES + 1
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, known = context.value
 
+        def cells() -> Iterator[np.ndarray]:
+            for _, texts in text_slices(batches):
+                words = Words(texts)
+                number = index.find(words.hash)
+                row = _closed(words, np.where(number >= 0, known[number], -1), _END)
+                good = (row[:-1] >= 0) & (row[1:] >= 0)
+                yield row[:-1][good] * size + row[1:][good]
 
-def score_texts(docs: DataFrame, fold: tuple[int, int] = (7, 2), text: str = "text", key: str = "doc_id", held_words: int = HELD_WORDS, own_words: int = OWN_UNITS) -> DataFrame:
+        yield from _matrix(cells(), size * size)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, known = context.value
+        for _, texts in text_slices(batches):
+            words = Words(texts)
+            number = index.find(words.hash)
+            row = _closed(words, np.where(number >= 0, known[number], -1), _END)
+            hashes = _closed(words, words.hash, 0)
+            a, b = row[:-1], row[1:]
+            at = np.flatnonzero((a < 0) | (b < 0))
+            if not len(at):
+                continue
+            a, b, one, two = a[at], b[at], hashes[:-1][at], hashes[1:][at]
+            word = np.where(a < 0, one, two)
+            other = np.where((a < 0) & (b < 0), two, 0)
+            known_side = np.where(a >= 0, a, np.where(b >= 0, b + size, -1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(word.astype(np.int64)), pa.array(other.astype(np.int64), mask=(a >= 0) | (b >= 0)), pa.array(known_side.astype(np.int32))], names=["word", "other", "side"]
+            )
+
+    total = merged(docs.select("text").mapInArrow(held, CHUNK_SCHEMA), size * size, "int64", np.add).reshape(size, size)
+    index, known = context.value
+    if int((known >= 0).sum()) >= classes.count():
+        return total
+    rest = docs.select("text").mapInArrow(others, "word long, other long, side int").groupBy("word", "other", "side").count().join(classes, "word")
+    single = rest.where("other is null").groupBy("cls", "side").agg(F.sum("count").alias("n"))
+    double = rest.where("other is not null").groupBy("other", F.col("cls").alias("one")).agg(F.sum("count").alias("n")).join(classes.withColumnRenamed("word", "other"), "other").groupBy("one", "cls").agg(F.sum("n").alias("n"))
+    for c, side, n in single.collect():
+        if side >= size:
+            total[c, side - size] += n
+        else:
+            total[side, c] += n
+    for one, two, n in double.collect():
+        total[one, two] += n
+    return total
+
+
+_ROW = "row long, word long, other long, left int, right int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def score_texts(docs: DataFrame, fold: tuple[int, int] = (7, 2), text: str = "text", key: str = "doc_id", held_words: int = 0, context_words: int = CONTEXT_WORDS, head_words: int = HEAD_WORDS) -> DataFrame:
     """Base and model log10 probabilities of every whole text, learned from the documents outside the fold.
 
     Tokens are lower-cased (A-Z) words and one end. The model's probability of a
     token is P(class | class before) P(token | class): transitions are interpolated
     with the class frequencies, and within a class every training word gives up
     the discount d = n1 / (n1 + 2 n2), which goes to words not seen in training,
-    taken together as one outcome, as the base takes them.
-
-    All documents are counted. Counts of the ``held_words`` most frequent words go
-    to every task; each text's other words are joined with the counts table, so no
-    word is frequent in that join. Classes come from the counts of neighbouring
-    units over all training texts, a table of fixed size.
+    taken together as one outcome, as the base takes them: such a word's probability
+    is summed over the classes it may have, and so is what follows it.
+
+    Every training word is clustered by exchange. The ``head_words`` most frequent
+    move one by one on the driver (a table of fixed size). Then, in ``ROUNDS`` rounds,
+    all other words move to the class that is the most likely by the classes of
+    their neighbours, against the table of class pairs of the round before; in the
+    first these are the ``context_words`` most frequent, in the last all words. What
+    counts as a neighbour are the ``context_words``. The class pairs of the model are
+    counted over all training texts and words. Nothing is learned from held-out
+    documents.
+
+    All documents are counted. Counts and classes of the context words (or of
+    ``held_words``, if these are more) go to every task; each text's other words are
+    joined with the table of all words, so no word is frequent in that join.
 
     Null and empty texts consist of the end alone. A null key is not held out,
     repeated rows are scored once each, an empty table gives no rows; without
@@ -170,110 +380,154 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (7, 2), text: str = "te
     Different words share a hash with probability about 2**-64.
     """
     modulus, left_out = fold
+    spark = docs.sparkSession
     source = docs.select(
         F.col(key).cast("long").alias("doc_id"),
         F.coalesce(crc_fold(F.col(key).cast("long"), modulus) == left_out, F.lit(False)).alias("held_out"),
         F.col(text).cast("string").alias("text"),
     )
-    counts = settle(word_counts(source), "counts")
-    ended = source.where("not held_out").count()
-    sums = counts.agg(F.sum("n_train"), *(F.count_if(F.expr(c)) for c in ("n_train > 0", "n_train = 1", "n_train = 2"))).first()
+    taught = source.where("not held_out").select("text")
+    counts = settle(word_counts(taught), "counts")
+    ended = taught.count()
+    sums = counts.agg(F.sum("n_train"), F.count("*"), *(F.count_if(F.expr(c)) for c in ("n_train = 1", "n_train = 2"))).first()
     total, distinct = (sums[0] or 0) + ended, sums[1] + (ended > 0)
     discount = sums[2] / (sums[2] + 2 * sums[3]) if sums[2] else 0.5
     discount = min(max(discount, 0.1), 0.9)
 
-    held = counts.orderBy(F.desc("n_all"), "word").limit(held_words).toPandas()
-    held_hash = held["word"].to_numpy(np.int64).view(np.uint64)
-    own = held_hash[: min(own_words, OWN_UNITS)]
-    own_order = np.argsort(own)
-    own, own_unit = own[own_order], own_order
-    bigrams = unit_bigrams(source, own, own_unit)
-    of = exchange_classes(bigrams)
-
-    unit_tokens = bigrams.sum(axis=0)
-    unit_words = np.zeros(UNITS)
-    unit_words[: len(own)] = held["n_train"].to_numpy()[: len(own)] > 0
-    unit_words[END_UNIT] = ended > 0
-    for tail, n in counts.where("n_train > 0").groupBy("tail").count().collect():
-        unit_words[OWN_UNITS + tail] += n
-    for tail in held["tail"].to_numpy()[: len(own)][held["n_train"].to_numpy()[: len(own)] > 0]:
-        unit_words[OWN_UNITS + tail] -= 1
-    class_tokens = np.bincount(of, weights=unit_tokens, minlength=CLASSES)
-    class_words = np.bincount(of, weights=unit_words, minlength=CLASSES)
-    log_tokens = np.log10(np.maximum(class_tokens, 1))
-    unseen = np.where(class_tokens > 0, np.log10(np.maximum(discount * class_words, 1e-9) / np.maximum(class_tokens, 1)), 0.0)
-    member = np.zeros((UNITS, CLASSES))
-    member[np.arange(UNITS), of] = 1
-    pairs = member.T @ bigrams @ member
-    share = (class_tokens + 1) / (class_tokens.sum() + CLASSES)
-    transition = np.log10((pairs + PRIOR * share) / (pairs.sum(axis=1, keepdims=True) + PRIOR))
-
-    order = np.argsort(held_hash)
-    tables = docs.sparkSession.sparkContext.broadcast((held_hash[order], held["n_train"].to_numpy(np.int64)[order], own, own_unit, of, transition, log_tokens, unseen))
+    frequent = counts.orderBy(F.desc("n_train"), "word").limit(max(held_words, context_words, head_words)).toPandas()
+    hashes = frequent["word"].to_numpy(np.int64).view(np.uint64)
+    n_train = frequent["n_train"].to_numpy(np.int64)
+    index = HashIndex(hashes)
+    head = hashes[:head_words]
+    of = exchange_classes(head_bigrams(taught, head), end_apart=True)
+    pairs = np.zeros((CLASSES + 1, CLASSES + 1), np.int64)
+    classes = np.full(len(hashes) + 1, -1, np.int64)  # the last stands for words not found
+    classes[: len(head)] = of[:-1]
+    head_sorted = np.sort(head)
+    every = settle(spark.createDataFrame(list(zip(head.view(np.int64).tolist(), of[:-1].tolist())), "word long, cls int"), "classes")
+    if sums[1] > len(head):
+        for turn in range(ROUNDS):
+            neighbours = np.where(np.arange(len(classes)) < min(context_words, len(hashes)), classes, -1)
+            context = spark.sparkContext.broadcast((index, neighbours))
+            pairs = class_pairs(taught, context, every.limit(0))
+            seen = context_counts(taught, context, head_sorted)
+            if turn < ROUNDS - 1:
+                near = HashIndex(hashes[:context_words])
+                moved = assign_classes(_only(seen, spark.sparkContext.broadcast(near)), context, pairs).toPandas()
+                at = index.find(moved["word"].to_numpy(np.int64).view(np.uint64))
+                classes[at] = moved["cls"].to_numpy()
+            else:
+                rest = settle(assign_classes(seen, context, pairs), "classes")
+                every, before = settle(every.union(rest), "classes"), every
+                release(rest, before)
+        known = every.join(F.broadcast(spark.createDataFrame(frequent[["word"]])), "word").toPandas() if len(hashes) < sums[1] else every.toPandas()
+        classes[index.find(known["word"].to_numpy(np.int64).view(np.uint64))] = known["cls"].to_numpy()
+    context = spark.sparkContext.broadcast((index, classes))
+    pairs = class_pairs(taught, context, every)
+
+    words = settle(counts.join(every, "word"), "words")
+    release(counts, every)
+    by_class = {r[0]: (r[1], r[2]) for r in words.groupBy("cls").agg(F.sum("n_train"), F.count("*")).collect()}
+    class_tokens = np.array([by_class.get(c, (0, 0))[0] for c in range(CLASSES)] + [ended], np.float64)
+    class_types = np.array([by_class.get(c, (0, 0))[1] for c in range(CLASSES)], np.float64)
+    share = (class_tokens + 1) / (class_tokens.sum() + len(class_tokens))
+    seen_pairs = (pairs + PRIOR * share) / (pairs.sum(axis=1, keepdims=True) + PRIOR)
+    # what a class leaves to words not seen, and which class such a word then has
+    left_over = np.append(np.where(class_tokens[:-1] > 0, discount * class_types / np.maximum(class_tokens[:-1], 1), 1.0), 0.0)
+    unseen_class = share * left_over / max((share * left_over).sum(), 1e-300)
+    whole = np.vstack([seen_pairs, unseen_class @ seen_pairs])
+    transition = np.log10(np.hstack([whole, np.maximum(whole @ left_over, 1e-300)[:, None]]))
+    log_tokens = np.log10(np.maximum(np.append(class_tokens[:-1], 1), 1))
     base_log = float(np.log10(total + distinct + 1))
-    end_class = int(of[END_UNIT])
 
-    def emission(n: np.ndarray, cls: np.ndarray, log_of: np.ndarray, unknown: np.ndarray) -> np.ndarray:
-        return np.where(n > 0, np.log10(np.maximum(n - discount, 1e-9)) - log_of[cls], unknown[cls])
+    tables = spark.sparkContext.broadcast((np.append(n_train, 0), np.append(classes[:-1], -1)))
+    found = spark.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, n_train, own, own_unit, of, transition, log_of, unknown = tables.value
+        counts_of, class_of = tables.value
+        lookup = found.value
         row = TaskContext.get().partitionId() << 40
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = [f.split()[0] for f in _ROW.split(", ")]
-        end_emission = float(emission(np.array([ended]), np.array([end_class]), log_of, unknown)[0])
         for part, texts in text_slices(batches):
             words = Words(texts)
-            n_docs, n_words = len(texts), len(words.hash)
-            cls = of[_units(words, own, own_unit)]
-            place = np.minimum(np.searchsorted(hashes, words.hash), max(len(hashes) - 1, 0))
-            is_held = hashes[place] == words.hash if len(hashes) else np.zeros(n_words, bool)
-            n = np.where(is_held, n_train[place] if len(hashes) else 0, 0)
-            before = np.full(n_words, end_class)
-            before[1:][words.doc[1:] == words.doc[:-1]] = cls[:-1][words.doc[1:] == words.doc[:-1]]
-            model = transition[before, cls] + np.where(is_held, emission(n, cls, log_of, unknown), 0.0)
-            base = np.where(is_held, np.log10(n + 1.0), 0.0)
+            n_docs = len(texts)
+            number = lookup.find(words.hash)
+            n, cls = counts_of[number], class_of[number]
+            held = number >= 0
+            emission = np.where(held, np.log10(np.maximum(n - discount, 1e-9)) - log_tokens[np.maximum(cls, 0)], 0.0)
+            base = np.where(held, np.log10(n + 1.0), 0.0)
+            edge = _closed(words, cls, _END)
+            hashes = _closed(words, words.hash, 0)
+            left, right = edge[:-1], edge[1:]
+            step = np.where((left >= 0) & (right >= 0), transition[left, right], 0.0)
             a, b = words.bounds[:-1], words.bounds[1:]
+            # step k of all lies before token k, ends counted as tokens
+            starts = a + np.arange(n_docs)
+            steps = np.concatenate([[0], np.cumsum(step)])
 
             def per_doc(x: np.ndarray) -> np.ndarray:
                 s = np.concatenate([[0], np.cumsum(x)])
                 return s[b] - s[a]
 
-            last = np.where(b > a, cls[np.maximum(b - 1, 0)], end_class) if n_words else np.full(n_docs, end_class)
-            score = per_doc(model) + transition[last, end_class] + end_emission
             tokens = (b - a) + 1
+            score = per_doc(emission) + steps[starts + tokens] - steps[starts]
             base_score = per_doc(base) + np.log10(ended + 1.0) - tokens * base_log
-            known = per_doc((is_held & (n > 0)).astype(np.int64)) + (ended > 0)
+            known = per_doc(held.astype(np.int64)) + (ended > 0)
             rows = row + np.arange(n_docs)
             row += n_docs
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rows), pa.array(mix64(rows.astype(np.uint64) + np.uint64(0xA5A5A5A5A5A5)).astype(np.int64)), pa.nulls(n_docs, types[2]), pa.nulls(n_docs, types[3]),
+                    pa.array(rows), pa.array(mix64(rows.astype(np.uint64) + np.uint64(0xA5A5A5A5A5A5)).astype(np.int64)), *(pa.nulls(n_docs, t) for t in types[2:5]),
                     part.column(0), part.column(1), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base_score), pa.array(score),
                 ],
                 names=names,
             )
-            rest = np.flatnonzero(~is_held)
-            if len(rest):
-                order = np.lexsort((words.hash[rest], words.doc[rest]))
-                doc, word, kind = words.doc[rest][order], words.hash[rest][order], cls[rest][order]
-                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])]))
-                times = np.diff(np.concatenate([first, [len(doc)]]))
-                filled = [pa.array(rows[doc[first]]), pa.array(word[first].astype(np.int64)), pa.array(times.astype(np.int64)), pa.array(kind[first].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*filled, *(pa.nulls(len(first), t) for t in types[4:])], names=names)
-
-    told = source.select("doc_id", "held_out", "text").mapInArrow(run, _ROW)
-    joined = told.join(counts.select("word", "n_train"), "word", "left")
-    seen = F.coalesce("n_train", F.lit(0))
-    at = F.col("cls") + 1
-    word_score = F.when(seen > 0, F.log10(seen - discount) - F.element_at(F.lit(log_tokens.tolist()), at)).otherwise(F.element_at(F.lit(unseen.tolist()), at))
-    zero = F.lit(0.0)
-    scored = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("n_known", F.when(seen > 0, F.col("times")), F.lit(0))).alias("n_known"),
-        F.sum(F.coalesce("base_score", F.col("times") * F.log10(seen + 1.0), zero)).alias("base_score"),
-        F.sum(F.coalesce("score", F.col("times") * word_score, zero)).alias("score"),
-    )
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+            # a word that is not held tells its row, its known neighbours' classes, and the next word if that isn't held either
+            at = np.flatnonzero(edge[1:] < 0) + 1
+            if len(at):
+                doc = words.doc[~held]
+                after = edge[at + 1]
+                filled = [
+                    pa.array(rows[doc]), pa.array(hashes[at].astype(np.int64)), pa.array(hashes[at + 1].astype(np.int64), mask=after >= 0),
+                    pa.array(edge[at - 1].astype(np.int32), mask=edge[at - 1] < 0), pa.array(after.astype(np.int32), mask=after < 0),
+                ]
+                yield pa.RecordBatch.from_arrays([*filled, *(pa.nulls(len(at), t) for t in types[5:])], names=names)
+
+    told = settle(source.select("doc_id", "held_out", "text").mapInArrow(run, _ROW), "told")
+    flat = F.lit([float(x) for x in transition.ravel()])
+    size = CLASSES + 2
+    word_table = words.select("word", "n_train", "cls")
+    joined = told.join(word_table, "word", "left")
+    n = F.coalesce("n_train", F.lit(0))
+    cls = F.coalesce("cls", F.lit(_UNSEEN))
+    emission = F.when(n > 0, F.log10(n - discount) - F.element_at(F.lit(log_tokens.tolist()), F.least(cls, F.lit(CLASSES)) + 1)).otherwise(0.0)
+
+    def step(one, two):
+        # a null place would give the array's last element
+        return F.when(one.isNotNull() & two.isNotNull(), F.element_at(flat, (one * size + two + 1).cast("int"))).otherwise(0.0)
+
+    is_row = F.col("n_tokens").isNotNull()
+    parts = joined.select(
+        "row", "doc_id", "held_out", "n_tokens", "other", cls.alias("cls"),
+        F.when(is_row, F.col("n_known")).otherwise((n > 0).cast("long")).alias("n_known"),
+        F.when(is_row, F.col("base_score")).otherwise(F.log10(n + 1.0)).alias("base_score"),
+        F.when(is_row, F.col("score")).otherwise(emission + step(F.col("left"), cls) + step(cls, F.col("right"))).alias("score"),
+    )
+    sums_of = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")] + [F.sum(c).alias(c) for c in ("n_known", "base_score", "score")]
+    twice = told.where("other is not null").select("row", "word", "other").join(word_table.select("word", F.col("cls").alias("one")), "word", "left").join(word_table.select(F.col("word").alias("other"), F.col("cls").alias("two")), "other", "left")
+    between = twice.groupBy("row").agg(F.sum(step(F.coalesce("one", F.lit(_UNSEEN)), F.coalesce("two", F.lit(_UNSEEN)))).alias("between"))
+    scored = parts.groupBy("row").agg(*sums_of).join(between, "row", "left")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("between", F.lit(0.0))).alias("score"))
+
+
+def _only(contexts: DataFrame, near) -> DataFrame:
+    """The rows whose word is in a broadcast index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = near.value
+        for batch in batches:
+            words = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            yield batch.filter(pa.array(index.find(words) >= 0))
+
+    return contexts.mapInArrow(run, "word long, seen binary")
