@@ -15,7 +15,7 @@ from .summaries import CHUNK_SCHEMA, chunk_rows, merged
 
 #: Words, the most frequent of the training texts, whose classes every task holds (a fixed bound): they are the
 #: neighbours by which words are clustered. Every training word gets a class, and all others meet theirs by a join.
-CONTEXT_WORDS = 1 << 19
+CONTEXT_WORDS = 1 << 18
 #: Of these, so many are clustered first, one by one, and give the classes their shape.
 HEAD_WORDS = 1_536
 CLASSES = 64
@@ -54,6 +54,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n_train long").groupBy("word").agg(F.sum("n_train").alias("n_train"))
 
 
+class _Known:
+    """The index of words that every task holds, broadcast once, and their classes at one time (-1: none), a small broadcast each."""
+
+    def __init__(self, spark, index, classes: np.ndarray) -> None:
+        self.index, self.classes = index, spark.sparkContext.broadcast(classes.astype(np.int16))
+
+    @property
+    def value(self) -> tuple[HashIndex, np.ndarray]:
+        return self.index.value, self.classes.value
+
+
 def _closed(words: Words, numbers: np.ndarray, end: int) -> np.ndarray:
     """The texts' words by number in one row, an end behind each text and before the first."""
     return np.concatenate([np.array([end], numbers.dtype), np.insert(numbers, words.bounds[1:], end)])
@@ -144,7 +155,7 @@ def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, rounds: int =
 def context_counts(docs: DataFrame, context, skip: np.ndarray) -> DataFrame:
     """``word, seen``: how often each word has a neighbour of each class on either side, over all texts of ``docs``.
 
-    ``context`` is a broadcast of (index of words, their classes); neighbours whose
+    Of the words in ``context``, neighbours whose
     class is -1 or that are not in it do not count, nor does a word beside itself.
     ``seen`` packs (side and class as one number, count) as pairs of 32-bit numbers,
     a row for each word and task's gathering. Words of the sorted ``skip`` are left out.
@@ -173,7 +184,7 @@ def context_counts(docs: DataFrame, context, skip: np.ndarray) -> DataFrame:
         for _, texts in text_slices(batches):
             words = Words(texts)
             number = index.find(words.hash)
-            cls = np.where(number >= 0, classes[number], -1)
+            cls = np.where(number >= 0, classes[number], -1).astype(np.int64)
             row, hashes = _closed(words, cls, _END), _closed(words, words.hash, 0)
             inner = np.flatnonzero(hashes[1:] != 0) + 1
             own = hashes[inner]
@@ -251,7 +262,7 @@ def assign_classes(contexts: DataFrame, context, table: np.ndarray) -> DataFrame
             keys, total = keys[some], total[some]
             bounds = np.searchsorted(keys // size, np.arange(len(word) + 1))
             number = index.find(word.view(np.uint64))
-            home = np.where(number >= 0, classes[number], -1)
+            home = np.where(number >= 0, classes[number], -1).astype(np.int64)
             best = _best_classes(word, home, keys % size, total, bounds, fixed.value)
             return pa.RecordBatch.from_arrays([pa.array(word), pa.array(best.astype(np.int32))], names=["word", "cls"])
 
@@ -306,7 +317,7 @@ def class_pairs(docs: DataFrame, context, classes: DataFrame) -> np.ndarray:
             for _, texts in text_slices(batches):
                 words = Words(texts)
                 number = index.find(words.hash)
-                row = _closed(words, np.where(number >= 0, known[number], -1), _END)
+                row = _closed(words, np.where(number >= 0, known[number], -1).astype(np.int64), _END)
                 good = (row[:-1] >= 0) & (row[1:] >= 0)
                 yield row[:-1][good] * size + row[1:][good]
 
@@ -317,7 +328,7 @@ def class_pairs(docs: DataFrame, context, classes: DataFrame) -> np.ndarray:
         for _, texts in text_slices(batches):
             words = Words(texts)
             number = index.find(words.hash)
-            row = _closed(words, np.where(number >= 0, known[number], -1), _END)
+            row = _closed(words, np.where(number >= 0, known[number], -1).astype(np.int64), _END)
             hashes = _closed(words, words.hash, 0)
             a, b = row[:-1], row[1:]
             at = np.flatnonzero((a < 0) | (b < 0))
@@ -400,29 +411,24 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (7, 2), text: str = "te
     index = HashIndex(hashes)
     head = hashes[:head_words]
     of = exchange_classes(head_bigrams(taught, head), end_apart=True)
-    pairs = np.zeros((CLASSES + 1, CLASSES + 1), np.int64)
     classes = np.full(len(hashes) + 1, -1, np.int64)  # the last stands for words not found
     classes[: len(head)] = of[:-1]
-    head_sorted = np.sort(head)
+    shared_index = spark.sparkContext.broadcast(index)
     every = settle(spark.createDataFrame(list(zip(head.view(np.int64).tolist(), of[:-1].tolist())), "word long, cls int"), "classes")
     if sums[1] > len(head):
         for turn in range(ROUNDS):
-            neighbours = np.where(np.arange(len(classes)) < min(context_words, len(hashes)), classes, -1)
-            context = spark.sparkContext.broadcast((index, neighbours))
-            pairs = class_pairs(taught, context, every.limit(0))
-            seen = context_counts(taught, context, head_sorted)
+            context = _Known(spark, shared_index, np.where(np.arange(len(classes)) < min(context_words, len(hashes)), classes, -1))
+            table = class_pairs(taught, context, every.limit(0))
+            seen = context_counts(taught, context, np.sort(head))
             if turn < ROUNDS - 1:
-                near = HashIndex(hashes[:context_words])
-                moved = assign_classes(_only(seen, spark.sparkContext.broadcast(near)), context, pairs).toPandas()
-                at = index.find(moved["word"].to_numpy(np.int64).view(np.uint64))
-                classes[at] = moved["cls"].to_numpy()
+                moved = assign_classes(_among(seen, shared_index, context_words), context, table).toPandas()
             else:
-                rest = settle(assign_classes(seen, context, pairs), "classes")
+                rest = settle(assign_classes(seen, context, table), "classes")
                 every, before = settle(every.union(rest), "classes"), every
                 release(rest, before)
-        known = every.join(F.broadcast(spark.createDataFrame(frequent[["word"]])), "word").toPandas() if len(hashes) < sums[1] else every.toPandas()
-        classes[index.find(known["word"].to_numpy(np.int64).view(np.uint64))] = known["cls"].to_numpy()
-    context = spark.sparkContext.broadcast((index, classes))
+                moved = _among(every, shared_index, len(hashes)).toPandas()
+            classes[index.find(moved["word"].to_numpy(np.int64).view(np.uint64))] = moved["cls"].to_numpy()
+    context = _Known(spark, shared_index, classes)
     pairs = class_pairs(taught, context, every)
 
     words = settle(counts.join(every, "word"), "words")
@@ -440,12 +446,11 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (7, 2), text: str = "te
     log_tokens = np.log10(np.maximum(np.append(class_tokens[:-1], 1), 1))
     base_log = float(np.log10(total + distinct + 1))
 
-    tables = spark.sparkContext.broadcast((np.append(n_train, 0), np.append(classes[:-1], -1)))
-    found = spark.sparkContext.broadcast(index)
+    times = spark.sparkContext.broadcast(np.append(n_train, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts_of, class_of = tables.value
-        lookup = found.value
+        lookup, class_of = context.value
+        counts_of = times.value
         row = TaskContext.get().partitionId() << 40
         types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = [f.split()[0] for f in _ROW.split(", ")]
@@ -453,7 +458,7 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (7, 2), text: str = "te
             words = Words(texts)
             n_docs = len(texts)
             number = lookup.find(words.hash)
-            n, cls = counts_of[number], class_of[number]
+            n, cls = counts_of[number], class_of[number].astype(np.int64)
             held = number >= 0
             emission = np.where(held, np.log10(np.maximum(n - discount, 1e-9)) - log_tokens[np.maximum(cls, 0)], 0.0)
             base = np.where(held, np.log10(n + 1.0), 0.0)
@@ -521,13 +526,12 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (7, 2), text: str = "te
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("between", F.lit(0.0))).alias("score"))
 
 
-def _only(contexts: DataFrame, near) -> DataFrame:
-    """The rows whose word is in a broadcast index."""
+def _among(rows: DataFrame, index, first: int) -> DataFrame:
+    """The rows whose word is one of the ``first`` in a broadcast index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = near.value
         for batch in batches:
-            words = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            yield batch.filter(pa.array(index.find(words) >= 0))
+            at = index.value.find(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            yield batch.filter(pa.array((at >= 0) & (at < first)))
 
-    return contexts.mapInArrow(run, "word long, seen binary")
+    return rows.mapInArrow(run, rows.schema)
