@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import HashIndex, Words, crc_fold, mix64, release, settle, text_slices
+from .shared import HashIndex, Words, crc_fold, release, settle, text_slices
 from .summaries import CHUNK_SCHEMA, chunk_rows, merged
 
 #: Words, the most frequent of the training texts, whose classes every task holds (a fixed bound): they are the
@@ -29,6 +30,8 @@ GATHER = 1 << 21
 # Classes by number: 0 to CLASSES - 1 are words, then the end alone, then words that training does not hold.
 _END, _UNSEEN = CLASSES, CLASSES + 1
 _SIDES = CLASSES + 1
+#: Counts up to this take their gains from a table made beforehand.
+SMALL = 8
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -153,12 +156,13 @@ def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, rounds: int =
 
 
 def context_counts(docs: DataFrame, context, skip: np.ndarray) -> DataFrame:
-    """``word, seen``: how often each word has a neighbour of each class on either side, over all texts of ``docs``.
+    """``word, seen``: how often each word occurs and has a neighbour of each class on either side, over all texts of ``docs``.
 
     Of the words in ``context``, neighbours whose
     class is -1 or that are not in it do not count, nor does a word beside itself.
     ``seen`` packs (side and class as one number, count) as pairs of 32-bit numbers,
-    a row for each word and task's gathering. Words of the sorted ``skip`` are left out.
+    the number after the last standing for the word itself, a row for each word and
+    task's gathering. Words of the sorted ``skip`` are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +176,6 @@ def context_counts(docs: DataFrame, context, skip: np.ndarray) -> DataFrame:
             distinct, place = np.unique(word, return_inverse=True)
             keys, count = np.unique(place * np.int64(2 * _SIDES + 1) + cell, return_counts=True)
             owner, cell = keys // (2 * _SIDES + 1), keys % (2 * _SIDES + 1)
-            # the cell after the last says no more than that the word exists
-            count[cell == 2 * _SIDES] = 0
             pairs = np.stack([cell, count], axis=1).astype("<i4")
             starts = np.searchsorted(owner, np.arange(len(distinct) + 1)) * 8
             raw = pa.Array.from_buffers(pa.binary(), len(distinct), [None, pa.py_buffer(starts.astype(np.int32).tobytes()), pa.py_buffer(pairs.tobytes())])
@@ -195,9 +197,8 @@ def context_counts(docs: DataFrame, context, skip: np.ndarray) -> DataFrame:
             left, right = row[inner - 1], row[inner + 1]
             by_left = (left >= 0) & (hashes[inner - 1] != own)
             by_right = (right >= 0) & (hashes[inner + 1] != own)
-            lone = np.unique(own)
-            words_of += [own[by_left], own[by_right], lone]
-            cells_of += [left[by_left], right[by_right] + _SIDES, np.full(len(lone), 2 * _SIDES)]
+            words_of += [own[by_left], own[by_right], own]
+            cells_of += [left[by_left], right[by_right] + _SIDES, np.full(len(own), 2 * _SIDES)]
             size += len(own)
             if size > GATHER:
                 yield from summed()
@@ -208,39 +209,46 @@ def context_counts(docs: DataFrame, context, skip: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, seen binary")
 
 
-def _best_classes(word: np.ndarray, home: np.ndarray, cell: np.ndarray, count: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _best_classes(word: np.ndarray, home: np.ndarray, cell_of: np.ndarray, count: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The class of the greatest likelihood for each word, against a fixed table of class pairs.
 
     Word k has the cells ``bounds[k]:bounds[k + 1]``; ``home`` is its present class or
     -1. What it has put into its home's counts is taken out before it is tried there.
     """
     out = np.zeros(len(word), np.int64)
-    margins = table.sum(axis=1)[:CLASSES], table.sum(axis=0)[:CLASSES]
+    # a left neighbour d counts in N(d, c), a right one in N(c, d)
+    cells = np.concatenate([table[:, :CLASSES], table[:CLASSES].T])
+    margins = np.stack([table.sum(axis=0)[:CLASSES], table.sum(axis=1)[:CLASSES]])
+    steps = np.arange(SMALL + 1)[:, None, None]
+    of_cells, of_margins = (_xlogx(x + steps) - _xlogx(x) for x in (cells, margins))
+
+    def gains(base: np.ndarray, small: np.ndarray, at: np.ndarray, n: np.ndarray, homes: np.ndarray) -> np.ndarray:
+        out = small[np.minimum(n, SMALL), at]
+        slow = np.flatnonzero((n > SMALL) | (homes >= 0))
+        x = base[at[slow]].astype(np.float64)
+        own = np.flatnonzero(homes[slow] >= 0)
+        x[own, homes[slow][own]] = np.maximum(x[own, homes[slow][own]] - n[slow][own], 0)
+        out[slow] = _xlogx(x + n[slow][:, None]) - _xlogx(x)
+        return out
+
     for a in range(0, len(word), 4096):
         b = min(len(word), a + 4096)
         low, high = bounds[a], bounds[b]
-        own_cell, n = cell[low:high], count[low:high].astype(np.float64)[:, None]
-        owner = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
-        neighbour = own_cell % _SIDES
-        # a left neighbour d counts in N(d, c), a right one in N(c, d)
-        x = np.where((own_cell >= _SIDES)[:, None], table[:CLASSES, neighbour].T, table[neighbour, :CLASSES])
-        own_home = home[a:b][owner]
-        at = np.flatnonzero(own_home >= 0)
-        x[at, own_home[at]] = np.maximum(x[at, own_home[at]] - n[at, 0], 0)
+        cell, n, sizes = cell_of[low:high], count[low:high], np.diff(bounds[a : b + 1])
+        owner = np.repeat(np.arange(b - a), sizes)
         gain = np.zeros((b - a, CLASSES))
-        np.add.at(gain, owner, _xlogx(x + n) - _xlogx(x))
-        for side, margin in ((own_cell >= _SIDES, margins[0]), (own_cell < _SIDES, margins[1])):
-            total = np.bincount(owner[side], weights=n[side, 0], minlength=b - a)
-            m = np.repeat(margin[None, :], b - a, axis=0)
-            housed = np.flatnonzero(home[a:b] >= 0)
-            m[housed, home[a:b][housed]] = np.maximum(m[housed, home[a:b][housed]] - total[housed], 0)
-            gain -= _xlogx(m + total[:, None]) - _xlogx(m)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            gain[some] = np.add.reduceat(gains(cells, of_cells, cell, n, home[a:b][owner]), bounds[a:b][some] - low, axis=0)
+        for side in range(2):
+            total = np.bincount(owner, weights=np.where(cell >= _SIDES, side, 1 - side) * n, minlength=b - a).astype(np.int64)
+            gain -= gains(margins, of_margins, np.full(b - a, side), total, home[a:b])
         out[a:b] = gain.argmax(axis=1)
     return out
 
 
 def assign_classes(contexts: DataFrame, context, table: np.ndarray) -> DataFrame:
-    """``word, cls`` for every word of ``contexts``: the best class by all that its rows have seen together.
+    """``word, cls, n_train`` for every word of ``contexts``: the best class by all that its rows have seen together, and its occurrences.
 
     A word's rows meet in one partition, sorted, and are summed as they stream;
     what a task holds are a batch's words.
@@ -258,13 +266,15 @@ def assign_classes(contexts: DataFrame, context, table: np.ndarray) -> DataFrame
             size = 2 * _SIDES + 1
             keys, place = np.unique(owner * np.int64(size) + cell, return_inverse=True)
             total = np.bincount(place, weights=count).astype(np.int64)
-            some = total > 0
-            keys, total = keys[some], total[some]
+            itself = keys % size == 2 * _SIDES
+            times = np.zeros(len(word), np.int64)
+            times[keys[itself] // size] = total[itself]
+            keys, total = keys[~itself], total[~itself]
             bounds = np.searchsorted(keys // size, np.arange(len(word) + 1))
             number = index.find(word.view(np.uint64))
             home = np.where(number >= 0, classes[number], -1).astype(np.int64)
             best = _best_classes(word, home, keys % size, total, bounds, fixed.value)
-            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(best.astype(np.int32))], names=["word", "cls"])
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(best.astype(np.int32)), pa.array(times)], names=["word", "cls", "n_train"])
 
         def row_of(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             cell = np.flatnonzero(held)
@@ -275,7 +285,7 @@ def assign_classes(contexts: DataFrame, context, table: np.ndarray) -> DataFrame
                 continue
             words = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             raw = batch.column(1)
-            sizes = pa.compute.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            sizes = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) // 8
             pairs = np.frombuffer(b"".join(raw.to_pylist()), "<i4").reshape(-1, 2).astype(np.int64)
             first = np.concatenate([[True], words[1:] != words[:-1]])
             owner = np.repeat(np.cumsum(first) - 1, sizes)
@@ -299,18 +309,14 @@ def assign_classes(contexts: DataFrame, context, table: np.ndarray) -> DataFrame
             cell, count = row_of(held)
             yield told(np.array([last], np.int64), cell, count, np.zeros(len(cell), np.int64))
 
-    return dealt.mapInArrow(run, "word long, cls int")
-
+    return dealt.mapInArrow(run, "word long, cls int, n_train long")
 
-def class_pairs(docs: DataFrame, context, classes: DataFrame) -> np.ndarray:
-    """Counts of neighbouring classes over all texts of ``docs``, the end's among them; exact for every word.
 
-    Pairs of which both words are in every task are counted there; the others meet
-    their words' classes (``classes (word, cls)``) by a join.
-    """
+def class_pairs(docs: DataFrame, context) -> np.ndarray:
+    """Counts of neighbouring classes over all texts of ``docs`` among the context's words and the end."""
     size = CLASSES + 1
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = context.value
 
         def cells() -> Iterator[np.ndarray]:
@@ -323,43 +329,121 @@ def class_pairs(docs: DataFrame, context, classes: DataFrame) -> np.ndarray:
 
         yield from _matrix(cells(), size * size)
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, known = context.value
-        for _, texts in text_slices(batches):
+    return merged(docs.select("text").mapInArrow(run, CHUNK_SCHEMA), size * size, "int64", np.add).reshape(size, size)
+
+
+def cluster_words(taught: DataFrame, distinct: int, frequent, index: HashIndex, context_words: int, head_words: int, rounds: int = ROUNDS) -> tuple[DataFrame, _Known]:
+    """``word, cls, n_train`` for every word of ``taught (text)``, and the classes of the ``frequent`` ones (pandas) for every task."""
+    spark = taught.sparkSession
+    hashes = frequent["word"].to_numpy(np.int64).view(np.uint64)
+    head = hashes[:head_words]
+    bigrams = head_bigrams(taught, head)
+    of = exchange_classes(bigrams, end_apart=True)
+    member = np.eye(CLASSES + 1, dtype=np.int64)[of]
+    table = member.T @ bigrams @ member
+    classes = np.full(len(hashes) + 1, -1, np.int64)  # the last stands for words not found
+    classes[: len(head)] = of[:-1]
+    shared_index = spark.sparkContext.broadcast(index)
+    words = settle(spark.createDataFrame(list(zip(head.view(np.int64).tolist(), of[:-1].tolist(), frequent["n_train"].tolist())), "word long, cls int, n_train long"), "classes")
+    for turn in range(rounds if distinct > len(head) else 0):
+        context = _Known(spark, shared_index, np.where(np.arange(len(classes)) < min(context_words, len(hashes)), classes, -1))
+        table = class_pairs(taught, context) if turn else table
+        seen = context_counts(taught, context, np.sort(head))
+        if turn < rounds - 1:
+            moved = assign_classes(_among(seen, shared_index, context_words), context, table).toPandas()
+        else:
+            rest = settle(assign_classes(seen, context, table), "classes")
+            words, before = settle(words.union(rest), "classes"), words
+            release(rest, before)
+            moved = _among(words, shared_index, len(hashes)).toPandas()
+        classes[index.find(moved["word"].to_numpy(np.int64).view(np.uint64))] = moved["cls"].to_numpy()
+    return words, _Known(spark, shared_index, classes)
+
+
+_TOLD = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, pairs binary, word long, other long, left int, right int"
+
+
+def _told(source: DataFrame, known: _Known, n_train: np.ndarray, ended: int, discount: float, log_tokens: np.ndarray, base_log: float) -> DataFrame:
+    """What the held words tell: a row per text and a row per occurrence of another word.
+
+    A text's row has its sums over held words and, as two bytes each, its ``pairs`` of
+    neighbouring classes that are both known. The others have their text's ``row``,
+    the ``word``, the classes of the words beside it where these are held, and the
+    ``other`` word behind it where that one is not.
+    """
+    spark = source.sparkSession
+    times = spark.sparkContext.broadcast(np.append(n_train, 0))
+    names = [f.split()[0] for f in _TOLD.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, class_of = known.value
+        counts_of = times.value
+        row = TaskContext.get().partitionId() << 40
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        for part, texts in text_slices(batches):
             words = Words(texts)
+            n_docs = len(texts)
             number = index.find(words.hash)
-            row = _closed(words, np.where(number >= 0, known[number], -1).astype(np.int64), _END)
-            hashes = _closed(words, words.hash, 0)
-            a, b = row[:-1], row[1:]
-            at = np.flatnonzero((a < 0) | (b < 0))
-            if not len(at):
-                continue
-            a, b, one, two = a[at], b[at], hashes[:-1][at], hashes[1:][at]
-            word = np.where(a < 0, one, two)
-            other = np.where((a < 0) & (b < 0), two, 0)
-            known_side = np.where(a >= 0, a, np.where(b >= 0, b + size, -1))
+            n, cls = counts_of[number], class_of[number].astype(np.int64)
+            held = number >= 0
+            emission = np.where(held, np.log10(np.maximum(n - discount, 1e-9)) - log_tokens[np.maximum(cls, 0)], 0.0)
+            base = np.where(held, np.log10(n + 1.0), 0.0)
+            edge, hashes = _closed(words, cls, _END), _closed(words, words.hash, 0)
+            both = (edge[:-1] >= 0) & (edge[1:] >= 0)
+            codes = (edge[:-1] * _SIDES + edge[1:])[both].astype("<u2")
+            a, b = words.bounds[:-1], words.bounds[1:]
+            # step k of all lies before token k, ends counted as tokens
+            reached = np.concatenate([[0], np.cumsum(both)])[np.append(a, b[-1:]) + np.arange(n_docs + 1)] * 2
+            pairs = pa.Array.from_buffers(pa.binary(), n_docs, [None, pa.py_buffer(reached.astype(np.int32).tobytes()), pa.py_buffer(codes.tobytes())])
+
+            def per_doc(x: np.ndarray) -> np.ndarray:
+                s = np.concatenate([[0], np.cumsum(x)])
+                return s[b] - s[a]
+
+            tokens = (b - a) + 1
+            rows = row + np.arange(n_docs)
+            row += n_docs
             yield pa.RecordBatch.from_arrays(
-                [pa.array(word.astype(np.int64)), pa.array(other.astype(np.int64), mask=(a >= 0) | (b >= 0)), pa.array(known_side.astype(np.int32))], names=["word", "other", "side"]
-            )
-
-    total = merged(docs.select("text").mapInArrow(held, CHUNK_SCHEMA), size * size, "int64", np.add).reshape(size, size)
-    index, known = context.value
-    if int((known >= 0).sum()) >= classes.count():
-        return total
-    rest = docs.select("text").mapInArrow(others, "word long, other long, side int").groupBy("word", "other", "side").count().join(classes, "word")
-    single = rest.where("other is null").groupBy("cls", "side").agg(F.sum("count").alias("n"))
-    double = rest.where("other is not null").groupBy("other", F.col("cls").alias("one")).agg(F.sum("count").alias("n")).join(classes.withColumnRenamed("word", "other"), "other").groupBy("one", "cls").agg(F.sum("n").alias("n"))
-    for c, side, n in single.collect():
-        if side >= size:
-            total[c, side - size] += n
-        else:
-            total[side, c] += n
-    for one, two, n in double.collect():
-        total[one, two] += n
-    return total
+                [
+                    pa.array(rows), part.column(0), part.column(1), pa.array(tokens.astype(np.int64)), pa.array(per_doc(held.astype(np.int64)) + (ended > 0)),
+                    pa.array(per_doc(base) + np.log10(ended + 1.0) - tokens * base_log), pa.array(per_doc(emission)), pairs, *(pa.nulls(n_docs, t) for t in types[8:]),
+                ],
+                names=names,
+            )
+            at = np.flatnonzero(edge[1:] < 0) + 1
+            if len(at):
+                doc, before, after = words.doc[~held], edge[at - 1], edge[at + 1]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(rows[doc]), pa.nulls(len(at), pa.int64()), part.column(1).take(pa.array(doc)), *(pa.nulls(len(at), t) for t in types[3:8]),
+                        pa.array(hashes[at].astype(np.int64)), pa.array(hashes[at + 1].astype(np.int64), mask=after >= 0),
+                        pa.array(before.astype(np.int32), mask=before < 0), pa.array(after.astype(np.int32), mask=after < 0),
+                    ],
+                    names=names,
+                )
+
+    return source.select("doc_id", "held_out", "text").mapInArrow(run, _TOLD)
+
+
+def _codes_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers packed in a batch's last column, in a row, and where each row's end."""
+    raw = batch.column(batch.num_columns - 1)
+    sizes = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    return np.frombuffer(b"".join(raw.to_pylist()), "<u2").astype(np.int64), np.cumsum(sizes)
+
+
+def told_pairs(texts: DataFrame) -> np.ndarray:
+    """The sum of all rows' ``pairs`` as a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _matrix((_codes_of(batch)[0] for batch in batches), _SIDES * _SIDES)
+
+    return merged(texts.select("pairs").mapInArrow(run, CHUNK_SCHEMA), _SIDES * _SIDES, "int64", np.add).reshape(_SIDES, _SIDES)
 
 
-_ROW = "row long, word long, other long, left int, right int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Whole numbers, -1 for null."""
+    return column.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def score_texts(docs: DataFrame, fold: tuple[int, int] = (7, 2), text: str = "text", key: str = "doc_id", held_words: int = 0, context_words: int = CONTEXT_WORDS, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -391,7 +475,6 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (7, 2), text: str = "te
     Different words share a hash with probability about 2**-64.
     """
     modulus, left_out = fold
-    spark = docs.sparkSession
     source = docs.select(
         F.col(key).cast("long").alias("doc_id"),
         F.coalesce(crc_fold(F.col(key).cast("long"), modulus) == left_out, F.lit(False)).alias("held_out"),
@@ -407,123 +490,65 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (7, 2), text: str = "te
 
     frequent = counts.orderBy(F.desc("n_train"), "word").limit(max(held_words, context_words, head_words)).toPandas()
     hashes = frequent["word"].to_numpy(np.int64).view(np.uint64)
-    n_train = frequent["n_train"].to_numpy(np.int64)
-    index = HashIndex(hashes)
-    head = hashes[:head_words]
-    of = exchange_classes(head_bigrams(taught, head), end_apart=True)
-    classes = np.full(len(hashes) + 1, -1, np.int64)  # the last stands for words not found
-    classes[: len(head)] = of[:-1]
-    shared_index = spark.sparkContext.broadcast(index)
-    every = settle(spark.createDataFrame(list(zip(head.view(np.int64).tolist(), of[:-1].tolist())), "word long, cls int"), "classes")
-    if sums[1] > len(head):
-        for turn in range(ROUNDS):
-            context = _Known(spark, shared_index, np.where(np.arange(len(classes)) < min(context_words, len(hashes)), classes, -1))
-            table = class_pairs(taught, context, every.limit(0))
-            seen = context_counts(taught, context, np.sort(head))
-            if turn < ROUNDS - 1:
-                moved = assign_classes(_among(seen, shared_index, context_words), context, table).toPandas()
-            else:
-                rest = settle(assign_classes(seen, context, table), "classes")
-                every, before = settle(every.union(rest), "classes"), every
-                release(rest, before)
-                moved = _among(every, shared_index, len(hashes)).toPandas()
-            classes[index.find(moved["word"].to_numpy(np.int64).view(np.uint64))] = moved["cls"].to_numpy()
-    context = _Known(spark, shared_index, classes)
-    pairs = class_pairs(taught, context, every)
-
-    words = settle(counts.join(every, "word"), "words")
-    release(counts, every)
+    words, known = cluster_words(taught, sums[1], frequent, HashIndex(hashes), context_words, head_words)
+    release(counts)
     by_class = {r[0]: (r[1], r[2]) for r in words.groupBy("cls").agg(F.sum("n_train"), F.count("*")).collect()}
     class_tokens = np.array([by_class.get(c, (0, 0))[0] for c in range(CLASSES)] + [ended], np.float64)
     class_types = np.array([by_class.get(c, (0, 0))[1] for c in range(CLASSES)], np.float64)
+    log_tokens = np.log10(np.maximum(np.append(class_tokens[:-1], [1, 1]), 1))
+    base_log = float(np.log10(total + distinct + 1))
+    told = settle(_told(source, known, frequent["n_train"].to_numpy(np.int64), ended, discount, log_tokens, base_log), "told")
+
+    # the other words' classes, and the pairs that they make
+    classes = words.select("word", "cls", F.col("n_train").alias("n"))
+    met = told.where("word is not null").select("row", "held_out", "word", "other", "left", "right").join(classes, "word", "left")
+    met = settle(met.select("row", "held_out", "other", "left", "right", F.coalesce("cls", F.lit(_UNSEEN)).alias("cls"), F.coalesce("n", F.lit(0)).alias("n")), "met")
+    beside = met.where("other is not null").join(classes.select(F.col("word").alias("other"), F.col("cls").alias("next")), "other", "left")
+    beside = settle(beside.select("row", "held_out", F.col("cls").alias("a"), F.coalesce("next", F.lit(_UNSEEN)).alias("b")), "beside")
+    pairs = told_pairs(told.where("n_tokens is not null and not held_out"))
+    around = F.explode(F.array(F.struct(F.col("left").alias("a"), F.col("cls").alias("b")), F.struct(F.col("cls").alias("a"), F.col("right").alias("b")))).alias("p")
+    more = met.where("not held_out").select(around).select("p.*").where("a is not null and b is not null").unionByName(beside.where("not held_out").select("a", "b"))
+    for one, two, n in more.groupBy("a", "b").count().collect():
+        pairs[one, two] += n
+
     share = (class_tokens + 1) / (class_tokens.sum() + len(class_tokens))
     seen_pairs = (pairs + PRIOR * share) / (pairs.sum(axis=1, keepdims=True) + PRIOR)
     # what a class leaves to words not seen, and which class such a word then has
     left_over = np.append(np.where(class_tokens[:-1] > 0, discount * class_types / np.maximum(class_tokens[:-1], 1), 1.0), 0.0)
     unseen_class = share * left_over / max((share * left_over).sum(), 1e-300)
     whole = np.vstack([seen_pairs, unseen_class @ seen_pairs])
-    transition = np.log10(np.hstack([whole, np.maximum(whole @ left_over, 1e-300)[:, None]]))
-    log_tokens = np.log10(np.maximum(np.append(class_tokens[:-1], 1), 1))
-    base_log = float(np.log10(total + distinct + 1))
-
-    times = spark.sparkContext.broadcast(np.append(n_train, 0))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, class_of = context.value
-        counts_of = times.value
-        row = TaskContext.get().partitionId() << 40
-        types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        names = [f.split()[0] for f in _ROW.split(", ")]
-        for part, texts in text_slices(batches):
-            words = Words(texts)
-            n_docs = len(texts)
-            number = lookup.find(words.hash)
-            n, cls = counts_of[number], class_of[number].astype(np.int64)
-            held = number >= 0
-            emission = np.where(held, np.log10(np.maximum(n - discount, 1e-9)) - log_tokens[np.maximum(cls, 0)], 0.0)
-            base = np.where(held, np.log10(n + 1.0), 0.0)
-            edge = _closed(words, cls, _END)
-            hashes = _closed(words, words.hash, 0)
-            left, right = edge[:-1], edge[1:]
-            step = np.where((left >= 0) & (right >= 0), transition[left, right], 0.0)
-            a, b = words.bounds[:-1], words.bounds[1:]
-            # step k of all lies before token k, ends counted as tokens
-            starts = a + np.arange(n_docs)
-            steps = np.concatenate([[0], np.cumsum(step)])
+    # the last column and row, of zeros, stand for neighbours counted elsewhere
+    transition = np.zeros((CLASSES + 3, CLASSES + 3))
+    transition[:-1, :-1] = np.log10(np.hstack([whole, np.maximum(whole @ left_over, 1e-300)[:, None]]))
+    result = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    names = [f.split()[0] for f in result.split(", ")]
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = transition[:_SIDES, :_SIDES].ravel()
+        for batch in batches:
+            codes, ends = _codes_of(batch)
+            reached = np.concatenate([[0], np.cumsum(flat[codes])])[np.concatenate([[0], ends])]
+            score = batch.column(6).to_numpy(zero_copy_only=False) + np.diff(reached)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(score)], names=names)
 
-            def per_doc(x: np.ndarray) -> np.ndarray:
-                s = np.concatenate([[0], np.cumsum(x)])
-                return s[b] - s[a]
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right, cls, n = (_numbers(batch.column(k)) for k in range(1, 5))
+            emission = np.where(n > 0, np.log10(np.maximum(n - discount, 1e-9)) - log_tokens[np.minimum(cls, CLASSES)], 0.0)
+            score = emission + transition[left, cls] + transition[cls, right]
+            size = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(size, pa.int64()), pa.nulls(size, pa.bool_()), pa.nulls(size, pa.int64()), pa.array((n > 0).astype(np.int64)), pa.array(np.log10(n + 1.0)), pa.array(score)], names=names)
 
-            tokens = (b - a) + 1
-            score = per_doc(emission) + steps[starts + tokens] - steps[starts]
-            base_score = per_doc(base) + np.log10(ended + 1.0) - tokens * base_log
-            known = per_doc(held.astype(np.int64)) + (ended > 0)
-            rows = row + np.arange(n_docs)
-            row += n_docs
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows), pa.array(mix64(rows.astype(np.uint64) + np.uint64(0xA5A5A5A5A5A5)).astype(np.int64)), *(pa.nulls(n_docs, t) for t in types[2:5]),
-                    part.column(0), part.column(1), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base_score), pa.array(score),
-                ],
-                names=names,
-            )
-            # a word that is not held tells its row, its known neighbours' classes, and the next word if that isn't held either
-            at = np.flatnonzero(edge[1:] < 0) + 1
-            if len(at):
-                doc = words.doc[~held]
-                after = edge[at + 1]
-                filled = [
-                    pa.array(rows[doc]), pa.array(hashes[at].astype(np.int64)), pa.array(hashes[at + 1].astype(np.int64), mask=after >= 0),
-                    pa.array(edge[at - 1].astype(np.int32), mask=edge[at - 1] < 0), pa.array(after.astype(np.int32), mask=after < 0),
-                ]
-                yield pa.RecordBatch.from_arrays([*filled, *(pa.nulls(len(at), t) for t in types[5:])], names=names)
-
-    told = settle(source.select("doc_id", "held_out", "text").mapInArrow(run, _ROW), "told")
-    flat = F.lit([float(x) for x in transition.ravel()])
-    size = CLASSES + 2
-    word_table = words.select("word", "n_train", "cls")
-    joined = told.join(word_table, "word", "left")
-    n = F.coalesce("n_train", F.lit(0))
-    cls = F.coalesce("cls", F.lit(_UNSEEN))
-    emission = F.when(n > 0, F.log10(n - discount) - F.element_at(F.lit(log_tokens.tolist()), F.least(cls, F.lit(CLASSES)) + 1)).otherwise(0.0)
-
-    def step(one, two):
-        # a null place would give the array's last element
-        return F.when(one.isNotNull() & two.isNotNull(), F.element_at(flat, (one * size + two + 1).cast("int"))).otherwise(0.0)
-
-    is_row = F.col("n_tokens").isNotNull()
-    parts = joined.select(
-        "row", "doc_id", "held_out", "n_tokens", "other", cls.alias("cls"),
-        F.when(is_row, F.col("n_known")).otherwise((n > 0).cast("long")).alias("n_known"),
-        F.when(is_row, F.col("base_score")).otherwise(F.log10(n + 1.0)).alias("base_score"),
-        F.when(is_row, F.col("score")).otherwise(emission + step(F.col("left"), cls) + step(cls, F.col("right"))).alias("score"),
-    )
-    sums_of = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")] + [F.sum(c).alias(c) for c in ("n_known", "base_score", "score")]
-    twice = told.where("other is not null").select("row", "word", "other").join(word_table.select("word", F.col("cls").alias("one")), "word", "left").join(word_table.select(F.col("word").alias("other"), F.col("cls").alias("two")), "other", "left")
-    between = twice.groupBy("row").agg(F.sum(step(F.coalesce("one", F.lit(_UNSEEN)), F.coalesce("two", F.lit(_UNSEEN)))).alias("between"))
-    scored = parts.groupBy("row").agg(*sums_of).join(between, "row", "left")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("between", F.lit(0.0))).alias("score"))
+    def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.num_rows
+            score = transition[_numbers(batch.column(1)), _numbers(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(size, pa.int64()), pa.nulls(size, pa.bool_()), *(pa.array(np.zeros(size, np.int64)) if k else pa.nulls(size, pa.int64()) for k in range(2)), pa.array(np.zeros(size)), pa.array(score)], names=names)
+
+    texts = told.where("n_tokens is not null").select(*names, "pairs").mapInArrow(of_texts, result)
+    parts = texts.unionAll(met.select("row", "left", "right", "cls", "n").mapInArrow(of_words, result)).unionAll(beside.select("row", "a", "b").mapInArrow(of_pairs, result))
+    scored = parts.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("n_known", "base_score", "score")))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _among(rows: DataFrame, index, first: int) -> DataFrame:

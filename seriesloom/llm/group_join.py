@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -215,7 +216,7 @@ def _tokens(told: DataFrame, percent: int, standing, sieve=None) -> DataFrame:
                 if narrow:
                     yield pa.RecordBatch.from_arrays([pa.array(token)], names=["token"])
                     continue
-                lengths = pa.compute.list_value_length(rare).to_numpy(zero_copy_only=False)
+                lengths = pc.list_value_length(rare).to_numpy(zero_copy_only=False)
                 n = part.column(1).to_numpy()
                 owner = np.repeat(np.arange(len(n)), lengths)
                 place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,7 +136,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: int = -1) -> Iterator[t
     for batch in batches:
         column = batch.column(text if text >= 0 else batch.num_columns - 1)
         raw = column.cast(pa.large_binary())
-        sizes = [0 if n is None else n for n in pa.compute.binary_length(raw).to_pylist()]
+        sizes = [0 if n is None else n for n in pc.binary_length(raw).to_pylist()]
         for a, b in slices(sizes):
             part = batch.slice(a, b - a)
             yield part, [x or b"" for x in raw.slice(a, b - a).to_pylist()]

@@ -66,13 +66,15 @@ def test_model_against_the_formula(spark, monkeypatch):
     """The model's score from its classes alone, word by word."""
     rows = [(i, t) for i, t, _ in odd.texts() if i is not None and len(t or "") < 5000]
     learned = {}
-    original = brown_lm.class_pairs
+    original = brown_lm.cluster_words
 
-    def spy(docs, context, classes):
-        learned["of"] = {r.word: r.cls for r in classes.collect()} or learned.get("of")
-        return original(docs, context, classes)
+    def spy(*args, **more):
+        words, known = original(*args, **more)
+        learned["of"] = {r.word: r.cls for r in words.collect()}
+        learned["n"] = {r.word: r.n_train for r in words.collect()}
+        return words, known
 
-    monkeypatch.setattr(brown_lm, "class_pairs", spy)
+    monkeypatch.setattr(brown_lm, "cluster_words", spy)
     got = {r.doc_id: r.score for r in brown_lm.score_texts(odd.frame(spark, [(i, t, None) for i, t in rows]), head_words=5, context_words=20).collect()}
 
     def tokens(text):
@@ -83,7 +85,7 @@ def test_model_against_the_formula(spark, monkeypatch):
     counts = Counter(w for t in taught for w in t)
     ended = counts.pop(None)
     of, k = learned["of"], brown_lm.CLASSES
-    assert set(of) == set(counts) and set(of.values()) <= set(range(k))
+    assert learned["n"] == dict(counts) and set(of.values()) <= set(range(k))
     pairs = np.zeros((k + 1, k + 1))
     for t in taught:
         for a, b in zip([None, *t[:-1]], t):
