@@ -19,9 +19,9 @@ def test_chunks_splice_exactly():
     for text in texts:
         for chunk, overlap in ((64, 8), (300, 40)):
             if len(text) < 45_000:
-                assert token_counts.count_by_chunks(model, text[:3000], chunk, overlap)[0] == len(model.encode(text[:3000]))
+                assert token_counts.count_by_chunks(PIECE_BPE, text[:3000], chunk, overlap)[0] == len(model.encode(text[:3000]))
     long_text = max(texts, key=len)
-    counted, chunks = token_counts.count_by_chunks(model, long_text)
+    counted, chunks = token_counts.count_by_chunks(PIECE_BPE, long_text)
     assert counted == len(model.encode(long_text)) and chunks > 1
 
 
@@ -52,3 +52,24 @@ def test_table_starts_anew(spark, monkeypatch):
     for text in ("a b c d e f g h", "b c i j k", "a  b ▁ c"):
         ids, ends, decoded = table.codes([text, text])
         assert ids.tolist() == model.encode(text) * 2 and decoded[0] == model.decode(model.encode(text))
+
+
+def test_long_texts_without_spaces():
+    """Work in proportion to the length, and the library's counts."""
+    model = token_counts.piece_model(PIECE_BPE)
+    rng = random.Random(4)
+    chinese = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(120_000))
+    code = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(150_000))
+    for text in (chinese, code, "x" * 90_000, "ab" * 50_000, " " * 70_000, "\U0001f600" * 20_000, "the" * 30_000 + " end"):
+        counted, encoded = token_counts.count_by_chunks(PIECE_BPE, text)
+        assert counted == len(model.encode(text)), text[:20]
+        assert encoded <= 3 * len(text) / token_counts.CHUNK_CHARS + 12, (text[:20], encoded)
+
+
+def test_walls_are_token_bounds():
+    model, walls, spans = token_counts.piece_model(PIECE_BPE), token_counts.walls_of(PIECE_BPE), token_counts._spans(PIECE_BPE)
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice("abcdeXYZ 01.,\n▁é北京の😀") for _ in range(rng.randint(1, 200)))
+        starts = set(token_counts._starts(model, spans, text, 0, len(text)).tolist())
+        assert set(walls.places(text, 0, len(text)).tolist()) <= starts
