@@ -23,6 +23,8 @@ UNKNOWN = "und"
 _SEED = 7919
 #: Documents whose vectors are held at once.
 SLICE_ROWS = 256
+#: Distinct n-grams whose vectors are held at once.
+BLOCK_GRAMS = 4_096
 
 
 @lru_cache(maxsize=1)
@@ -71,7 +73,7 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     keep[1:] |= letters[:-1] > 0
     sizes = np.array([len(t) + 2 for t in texts], np.int64)
     keep[np.cumsum(sizes) - sizes] = True
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     letters, doc = letters[keep], doc[keep]
     alphabet, small = _numbered(letters, 0x110000)
     n, size = len(small) - GRAM + 1, len(alphabet)
@@ -107,20 +109,33 @@ def document_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     The logarithm keeps a repeated line or word from drowning the rest of a text.
     """
     of, number, counts, spelled = gram_counts(texts)
-    dense = np.zeros((len(texts), len(spelled)), np.float32)
-    dense[of, number] = np.log1p(counts)
-    return dense @ gram_vectors(spelled).astype(np.float32), np.bincount(of, minlength=len(texts))
+    return _bundles(of, number, np.log1p(counts), len(texts), spelled), np.bincount(of, minlength=len(texts))
+
+
+def _bundles(row: np.ndarray, number: np.ndarray, weight: np.ndarray, rows: int, spelled: np.ndarray) -> np.ndarray:
+    """Per row the sum of its n-grams' vectors by weight, so many n-grams at a time that memory does not follow the texts."""
+    out = np.zeros((rows, DIMENSIONS), np.float32)
+    order = np.argsort(number, kind="stable")
+    starts = np.searchsorted(number[order], np.arange(0, len(spelled) + BLOCK_GRAMS, BLOCK_GRAMS))
+    for k, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+        own = order[a:b]
+        first = k * BLOCK_GRAMS
+        vectors = gram_vectors(spelled[first : first + BLOCK_GRAMS]).astype(np.float32)
+        met, place = np.unique(row[own], return_inverse=True)
+        dense = np.bincount(place * len(vectors) + number[own] - first, weights=weight[own], minlength=len(met) * len(vectors))
+        out[met] += dense.reshape(len(met), -1).astype(np.float32) @ vectors
+    return out
 
 
 def _language_sums(texts: list[str], languages: np.ndarray) -> dict[str, np.ndarray]:
     """The sum of the bundles of each language's texts, without making the bundles, and behind it the sum of their n-grams' weights."""
     of, number, counts, spelled = gram_counts(texts)
     names, own = np.unique(languages, return_inverse=True)
-    weights = np.bincount(own[of] * max(len(spelled), 1) + number, weights=np.log1p(counts), minlength=len(names) * max(len(spelled), 1))
     if not len(spelled):
         return {}
-    weights = weights.reshape(len(names), -1).astype(np.float32)
-    return dict(zip(names, np.hstack([weights @ gram_vectors(spelled).astype(np.float32), weights.sum(axis=1, keepdims=True)])))
+    weight = np.log1p(counts)
+    total = np.bincount(own[of], weights=weight, minlength=len(names))
+    return dict(zip(names, np.hstack([_bundles(own[of], number, weight, len(names), spelled), total[:, None]])))
 
 
 def language_prototypes(docs: DataFrame, fold: tuple[int, int] = (4, 2), text: str = "text", key: str = "doc_id", lang: str = "lang") -> dict[str, np.ndarray]:
@@ -218,6 +233,10 @@ def keep_identified(docs: DataFrame, fold: tuple[int, int] = (4, 2), least: floa
     The score must be ``least``, or what a text of the language with as few n-grams
     has (see ``likeness_by_length``) less ``NOISE_MARGIN`` deviations of the noise,
     if that is smaller. A text too short to tell from its language's own is kept.
+    Null texts, empty ones and ones without a letter go, as does every row where no
+    row teaches a language. Rows are judged one by one, so repeated rows stay or go
+    together; an empty table gives no rows, and further columns, whatever their
+    names, stay as they are. A null key only decides that its row teaches.
     """
     prototypes = language_prototypes(docs, fold, text, key, lang)
     told = identify(docs, prototypes, text)

@@ -94,3 +94,28 @@ def test_short_texts_of_a_language_are_kept(spark):
     kept = {r.doc_id for r in hyperlang.keep_identified(docs.unionByName(more)).where("doc_id < 0").collect()}
     # the last text is long and like no language
     assert kept == {-1, -2, -3, -4, -5}
+
+
+def test_bundles_against_one_by_one(monkeypatch):
+    """Vectors and cosines, an n-gram at a time, whatever the block."""
+    texts = ["Straße und Wort", "", "北京 is far", "a a a", "12 !", "naïve café naïve"]
+
+    def grams(text):
+        letters = [c.lower()[0] if c.isalpha() else " " for c in text]
+        kept = [" "] + [c for k, c in enumerate(letters) if c != " " or k and letters[k - 1] != " "] + [" "]
+        kept = "".join(c for k, c in enumerate(kept) if c != " " or k == 0 or kept[k - 1] != " ")
+        return [kept[k : k + 3] for k in range(len(kept) - 2)]
+
+    def slow(text):
+        out, own = np.zeros(hyperlang.DIMENSIONS), grams(text)
+        for g in sorted(set(own)):
+            a, b, c = (hyperlang.letter_vector(0 if x == " " else ord(x)).astype(float) for x in g)
+            out += np.log1p(own.count(g)) * np.roll(a, 2) * np.roll(b, 1) * c
+        return out, len(set(own))
+
+    for block in (1, 3, 4096):
+        monkeypatch.setattr(hyperlang, "BLOCK_GRAMS", block)
+        vectors, counts = hyperlang.document_vectors(texts)
+        for v, n, text in zip(vectors, counts, texts):
+            want, grams_of = slow(text)
+            assert n == grams_of and np.allclose(v, want, atol=1e-3), text
