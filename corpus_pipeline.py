@@ -1,7 +1,13 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage
-before it kept. All stages but the last return the columns of ``documents``.
+before it kept. All stages but the last return the columns of ``documents``, other
+columns of the input among them whatever their names. Null texts count as empty; a
+document without words has no near-duplicates, one without letters is of no
+language. A null key is no key: such rows are judged by their texts alone. Rows that
+repeat are judged alike by the first two stages and the fourth, and the third keeps
+one of them. Ties between copies go to the smallest key, then to the text. Empty
+tables give empty tables with the same columns.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm import group_join, hyperlang, packing, quality, token_efficiency
 from seriesloom.llm.queries import WORD_BPE
-from seriesloom.llm.shared import settle, table
+from seriesloom.llm.shared import release, settle, table
 
 #: The stages use fitted models and tokenizers, which SQL cannot express.
 ORACLE_SQL = None
@@ -54,8 +60,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the shared folder for the next."""
+    """All stages over ``documents``; what each keeps is written to the shared folder for the next, and deleted once that is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = docs
         docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
