@@ -46,8 +46,8 @@ def runs(df: DataFrame, series: str, state: Column, order: str = "k") -> DataFra
 
 def gap_classes(df: DataFrame, series: str, valid: Column, short: int = SHORT_GAP, order: str = "k") -> DataFrame:
     """Every invalid run with its length and kind: ``short`` (bounded on both sides, at most ``short`` rows), ``long`` or ``edge``."""
-    size = df.groupBy(series).agg((F.max(order) + 1).alias("_n"))
-    holes = runs(df, series, F.coalesce(valid, F.lit(False)), order).where(~F.col("state")).drop("state").join(size, series)
+    every = runs(df, series, F.coalesce(valid, F.lit(False)), order).withColumn("_n", F.max("end").over(W.partitionBy(series)))
+    holes = every.where(~F.col("state")).drop("state")
     length = F.col("end") - F.col("start")
     kind = F.when((F.col("start") == 0) | (F.col("end") == F.col("_n")), "edge").when(length <= short, "short").otherwise("long")
     return holes.select(series, "start", "end", length.alias("length"), kind.alias("kind"))

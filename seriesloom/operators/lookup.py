@@ -48,14 +48,19 @@ def find_phrases(texts: DataFrame, keys: list[str], text: str, phrases: DataFram
     At every word the longest phrase that starts there wins and the next token
     starts behind it. Candidates come from an equi-join of all n-grams with the
     phrase table; the walk over the winners is a streamed fold. Words without a
-    letter or digit are passed over but may not stand inside a phrase.
+    letter or digit are passed over but may not stand inside a phrase. Every row is a
+    text of its own, also where keys repeat or are null; null and empty texts have no
+    tokens.
     """
     raw = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPACE), lambda w: w != "")
-    words = texts.select(F.struct(*keys).alias("_key"), raw.alias("_raw")).withColumn("_norm", F.transform("_raw", normalise_word))
-    at = words.select("_key", "_raw", "_norm", F.posexplode("_raw").alias("place", "_w")).withColumn("_id", F.xxhash64("_key"))
-    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_raw") - F.col("place"))))
-    grams = at.select("_id", "_key", "place", "_raw", "_norm", sizes.alias("n"))
-    grams = grams.select("_id", "_key", "place", "n", F.array_join(F.slice("_norm", F.col("place") + 1, F.col("n")), " ").alias("phrase"), F.array_join(F.slice("_raw", F.col("place") + 1, F.col("n")), " ").alias("text"))
+    words = texts.select(F.struct(*keys).alias("_key"), raw.alias("_raw")).withColumn("_norm", F.transform("_raw", normalise_word)).withColumn("_id", F.monotonically_increasing_id())
+
+    def gram(i, n):
+        return F.struct(i.alias("place"), n.alias("n"), F.array_join(F.slice("_norm", i + 1, n), " ").alias("phrase"), F.array_join(F.slice("_raw", i + 1, n), " ").alias("text"))
+
+    size = F.size("_raw")
+    listed = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - i)), lambda n: gram(i, n))))
+    grams = words.where(size > 0).select("_id", "_key", F.explode(listed).alias("g")).select("_id", "_key", "g.*")
     found = grams.join(phrases.select("phrase", "gloss"), "phrase", "left").where("phrase <> '' and (gloss is not null or n = 1)")
     best = found.groupBy("_id", "_key", "place").agg(F.max(F.struct("n", "text", "gloss")).alias("b"))
     rows = best.select("_id", "_key", "place", F.col("b.n").alias("n"), F.col("b.text").alias("text"), F.col("b.gloss").alias("gloss"))
@@ -63,5 +68,5 @@ def find_phrases(texts: DataFrame, keys: list[str], text: str, phrases: DataFram
     def step(free, place, n):
         return (place + n, (True,)) if place >= free else (free, (False,))
 
-    taken = carry(rows, "_key", ["place"], ["place", "n"], "_taken boolean", lambda: 0, step).where("_taken")
+    taken = carry(rows, "_id", ["place"], ["place", "n"], "_taken boolean", lambda: 0, step).where("_taken")
     return taken.select("_key.*", "place", "text", "gloss")

@@ -73,6 +73,6 @@ def classify_jumps(df: DataFrame, series: str, position: list[str], fast: float,
 
 
 def residual_gate(df: DataFrame, group: str, residual: str, p: float = 0.99, times: float = 1.5) -> DataFrame:
-    """``accepted``: finite and at most ``times`` the group's interpolated quantile. The quantile is one row per group."""
-    limits = df.groupBy(group).agg((F.percentile(finite(F.col(residual)), p) * times).alias("_limit"))
-    return df.join(limits, group).withColumn("accepted", F.coalesce(finite(F.col(residual)) <= F.col("_limit"), F.lit(False))).drop("_limit")
+    """``accepted``: finite and at most ``times`` the group's interpolated quantile. The quantile is one row per group; a null group is a group."""
+    limits = df.groupBy(F.col(group).alias("_g")).agg((F.percentile(finite(F.col(residual)), p) * times).alias("_limit"))
+    return df.join(limits, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").withColumn("accepted", F.coalesce(finite(F.col(residual)) <= F.col("_limit"), F.lit(False))).drop("_limit")

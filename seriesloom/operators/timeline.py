@@ -31,11 +31,26 @@ def to_slots(df: DataFrame, series: str, place: str, seconds: str, period: float
     return out.withColumn("backward", F.coalesce(F.col(seconds) <= F.lag(seconds).over(w), F.lit(False)))
 
 
+#: Slots that one row of the grid lists at once.
+GRID_CHUNK = 4_096
+
+
 def dense_grid(slots: DataFrame, series: str, columns: list[str]) -> DataFrame:
-    """A row for every slot from 0 to the series' last, with nulls where no frame lies."""
-    spans = slots.where(F.col("k").isNotNull()).groupBy(series).agg(F.max("k").alias("last"))
-    grid = spans.select(series, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("k"))
-    return grid.join(slots.select(series, "k", *columns), [series, "k"], "left")
+    """A row for every slot from 0 to the series' last, with nulls where no frame lies.
+
+    Every frame makes the slots up to the frame after it (the first one also those
+    before it), so the grid needs the frames' own order and no join, and a null
+    series is a series. A long gap is listed in chunks, so no array follows its
+    length. Frames without a slot make none; several frames of a slot each keep a row.
+    """
+    w = W.partitionBy(series).orderBy("k")
+    known = slots.where(F.col("k").isNotNull()).select(series, "k", *columns)
+    known = known.withColumn("_from", F.when(F.lag("k").over(w).isNull(), F.lit(0).cast("long")).otherwise(F.col("k")))
+    known = known.withColumn("_to", F.greatest(F.coalesce(F.lead("k").over(w) - 1, F.col("k")), F.col("k")))
+    parts = known.withColumn("_part", F.explode(F.sequence("_from", "_to", F.lit(GRID_CHUNK).cast("long"))))
+    listed = parts.withColumn("_slot", F.explode(F.sequence("_part", F.least(F.col("_part") + (GRID_CHUNK - 1), F.col("_to")))))
+    own = F.col("_slot") == F.col("k")
+    return listed.select(series, F.col("_slot").alias("k"), *(F.when(own, F.col(c)).alias(c) for c in columns))
 
 
 def timing_report(df: DataFrame, series: str, order: list[str], seconds: str, nominal: float | None = None) -> DataFrame:
@@ -81,6 +96,7 @@ def sample_at(points: DataFrame, samples: DataFrame, series: str, seconds: str,
     """The series' value at any time, between the two samples around it, held at both ends.
 
     Times become slots, so the look-up is two equi-joins and no range join. ``samples`` has one row per slot ``k``.
+    Points of a null series, or of one without samples, are left out.
     """
     last = samples.groupBy(series).agg(F.max("k").alias("_last"))
     asked = points.join(last, series)

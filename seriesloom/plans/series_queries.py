@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import array_floor, array_median, array_median_lower, array_median_upper
@@ -375,18 +376,20 @@ def scalar_functions(spark, sf_dir):
     )
 
 
-@query("""WITH w AS (SELECT user_id, list_sort(list(value)) AS v FROM (SELECT * FROM events WHERE event_id % 3 = 0) GROUP BY user_id)
-    SELECT user_id, list_aggregate(v, 'median') AS mid, v[len(v)//2 + 1] AS upper, v[(len(v) - 1)//2 + 1] AS lower, v[floor(0.75::DOUBLE * (len(v) - 1))::BIGINT + 1] AS q75 FROM w""")
+@query("""WITH w AS (SELECT event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)) AS v FROM events)
+    SELECT event_id, list_aggregate(v, 'median') AS mid, v[len(v)//2 + 1] AS upper, v[(len(v) - 1)//2 + 1] AS lower, v[floor(0.75::DOUBLE * (len(v) - 1))::BIGINT + 1] AS q75 FROM w""")
 def array_quantiles(spark, sf_dir):
-    lists = table(spark, sf_dir, "events").where("event_id % 3 = 0").groupBy("user_id").agg(F.collect_list("value").alias("v"))
+    """The array conventions over the 31 events around each event of a user; ``group_quantiles`` takes whole groups by rank."""
+    near = F.collect_list("value").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-15, 15))
     v = F.col("v")
-    return lists.select("user_id", array_median(v).alias("mid"), array_median_upper(v).alias("upper"), array_median_lower(v).alias("lower"), array_floor(v, 0.75).alias("q75"))
+    told = table(spark, sf_dir, "events").select("event_id", near.alias("v"))
+    return told.select("event_id", array_median(v).alias("mid"), array_median_upper(v).alias("upper"), array_median_lower(v).alias("lower"), array_floor(v, 0.75).alias("q75"))
 
 
 @query("""WITH w AS (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY user_id)
     SELECT user_id, list_aggregate(v, 'median') AS mid, v[len(v)//2 + 1] AS upper, v[(len(v) - 1)//2 + 1] AS lower, v[floor(0.75::DOUBLE * (len(v) - 1))::BIGINT + 1] AS q75 FROM w""")
 def group_quantiles(spark, sf_dir):
-    """The quantiles of ``array_quantiles`` over all events, by rank: no user's events are collected."""
+    """The quantiles of ``array_quantiles`` over all events of each user, by rank: no user's events are collected."""
     from ..functions.quantiles import rank_quantiles
 
     places = {"upper": "floor(n / 2)", "lower": "floor((n - 1) / 2)", "q75": "floor(0.75D * (n - 1))"}

@@ -67,20 +67,28 @@ def write_library(frames: DataFrame, path: str) -> None:
     frames.repartition("variant", "word").sortWithinPartitions("variant", "word", "frame", "bone").write.partitionBy("variant").mode("overwrite").parquet(path)
 
 
+#: Words of a library's layout at most: it goes to every task.
+MOST_WORDS = 1_000_000
+
+
 def read_library_blocks(spark: SparkSession, path: str, layout: DataFrame, bones: list[str]) -> DataFrame:
     """Frames out of binary blocks of little-endian 16-bit quaternions laid out as variant, frame, bone.
 
-    ``layout`` (``variant, word, offset, frames``, offsets in frames) is joined in
-    Spark; only a file's bytes are sliced in the task, one word per row.
+    ``layout`` (``variant, word, offset, frames``, offsets in frames) goes to the
+    tasks that read the files, which cut the words out; it may have ``MOST_WORDS``
+    rows, and more are refused. Every file is read by this layout.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
-    words = layout.select("variant", "word", F.col("offset").cast("long"), F.col("frames").cast("int")).join(F.broadcast(files))
+    rows = layout.select("variant", "word", F.col("offset").cast("long"), F.col("frames").cast("int")).limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"a layout of more than {MOST_WORDS} words")
+    words = spark.sparkContext.broadcast([tuple(r) for r in rows])
     width = 8 * len(bones)
-    cut = words.select("variant", "word", "frames", F.substring("content", (F.col("offset") * width + 1).cast("int"), F.col("frames") * width).alias("block"))
+    files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for variant, word, count, block in zip(*(c.to_pylist() for c in batch.columns)):
+        for content in (x for batch in batches for x in batch.column(0).to_pylist()):
+            for variant, word, offset, count in words.value:
+                block = content[offset * width : (offset + count) * width]
                 q = np.frombuffer(block, "<i2").reshape(count, len(bones), 4)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -90,7 +98,7 @@ def read_library_blocks(spark: SparkSession, path: str, layout: DataFrame, bones
                     names=["variant", "word", "frame", "bone", "q"],
                 )
 
-    return cut.mapInArrow(run, "variant string, word string, frame int, bone string, q array<smallint>")
+    return files.mapInArrow(run, "variant string, word string, frame int, bone string, q array<smallint>")
 
 
 def read_rig(spark: SparkSession, path: str) -> DataFrame:

@@ -236,3 +236,20 @@ def test_fast_motion_is_explained_by_its_source(spark):
     events = spark.createDataFrame([("L", 1, 0.6), ("L", 2, 0.6), ("L", 4, 0.6)], "side string, k int, jump double")
     got = relations.fast_motion_check(events, clean, ["side"], "k", "jump", "wrist", "hand", "width").orderBy("k").collect()
     assert [(r.wrist_step, r.hand_step, r.plane_step, r.ratio, r.explained) for r in got] == [(0.25, 0.0, 0.15, 2.4, True), (0.0, 0.0, 0.0, 600.0, False), (None, None, None, None, None)]
+
+
+def test_null_series_and_repeated_keys_are_kept(spark):
+    from seriesloom.operators import gaps, lookup, robust, timeline
+
+    slots = spark.createDataFrame([(None, 2, 1.0), (None, 5, 2.0), ("a", 0, 3.0), ("a", 9000, 4.0), ("b", None, 5.0)], "s string, k long, v double")
+    grid = timeline.dense_grid(slots, "s", ["v"]).collect()
+    assert sorted(r.k for r in grid if r.s is None) == list(range(6)) and sorted(r.k for r in grid if r.s == "a") == list(range(9001))
+    assert {(r.s, r.k): r.v for r in grid if r.v is not None} == {(None, 2): 1.0, (None, 5): 2.0, ("a", 0): 3.0, ("a", 9000): 4.0}
+    holes = gaps.gap_classes(timeline.dense_grid(slots, "s", ["v"]), "s", F.col("v").isNotNull()).collect()
+    assert sorted((str(r.s), r.start, r.end, r.kind) for r in holes) == [("None", 0, 2, "edge"), ("None", 3, 5, "short"), ("a", 1, 9000, "long")]
+    gated = robust.residual_gate(spark.createDataFrame([(None, 1.0), ("g", 1.0)], "g string, r double"), "g", "r")
+    assert [r.accepted for r in gated.collect()] == [True, True]
+    phrases = spark.createDataFrame([("one two", "PAIR", 2)], "phrase string, gloss string, words int")
+    texts = spark.createDataFrame([(1, "go one"), (1, "one two three"), (None, "one"), (1, "go one"), (2, None), (2, " ")], "id long, text string")
+    got = sorted((str(r.id), r.place, r.text, str(r.gloss)) for r in lookup.find_phrases(texts, ["id"], "text", phrases).collect())
+    assert got == sorted([("1", 0, "go", "None"), ("1", 1, "one", "None")] * 2 + [("1", 0, "one two", "PAIR"), ("1", 2, "three", "None"), ("None", 0, "one", "None")])
