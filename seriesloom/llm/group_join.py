@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,10 +125,10 @@ def _signatures(docs: DataFrame, sketch, width: int, percent: int) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, text``: the text of the row that stands for each wanted node ``(node, row)``.
+    """``node, text``: the text of the row that stands for each wanted node ``(node, row)``, packed by zlib for its travels.
 
     Rows are found by their names, so no set is made again. A sieve keeps most
-    other texts from being shuffled.
+    other texts from being packed and shuffled.
     """
     sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(nodes.select("row")))
 
@@ -135,7 +136,12 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def wanted(rows: pd.Series) -> pd.Series:
         return pd.Series(sieve.value.passes(rows.to_numpy(np.int64).view(np.uint64)))
 
-    return docs.select("row", "text").where(wanted("row")).dropDuplicates(["row"]).join(nodes, "row").select("node", "text")
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: zlib.compress((t or "").encode("utf-8", "replace"), 1))
+
+    found = docs.select("row", "text").where(wanted("row")).select("row", packed("text").alias("text"))
+    return found.dropDuplicates(["row"]).join(nodes, "row").select("node", "text")
 
 
 def _in_streams(members: DataFrame, queries: DataFrame, key: str) -> DataFrame:
@@ -167,7 +173,7 @@ def _linked(streams: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, names, sets = None, [], []
         union, holds, sizes = np.zeros(0, np.uint64), None, np.zeros(0, np.int64)
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, packed=True):
             found: list[tuple[int, int]] = []
             key, piece, asks, node = (part.column(k).to_pylist() for k in range(4))
             for k, own in enumerate(shingle_sets(texts, width)):
@@ -270,9 +276,9 @@ def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     enough = f"{100 + percent} * least(rest, other_rest) >= {percent} * (fewest + {{}})"
     by_token = rare.repartition("token")
     probed = by_token.groupBy("token", "root").agg(F.max("n").alias("most"), F.min("n").alias("smallest"), F.max("rest").alias("rest"))
-    indexed = by_token.where("indexed").groupBy("token", F.col("root").alias("other")).agg(F.min("n").alias("fewest"), F.max("rest").alias("other_rest"))
-    met = indexed.join(probed, "token").where("other <> root and fewest <= most").where(enough.format("smallest")).select("token", "root", "other")
     matrix = by_token.where("indexed").groupBy("token", F.col("root").alias("other"), "group").agg(F.min("n").alias("fewest"), F.max("n").alias("largest"), F.max("rest").alias("other_rest"))
+    indexed = matrix.groupBy("token", "other").agg(F.min("fewest").alias("fewest"), F.max("other_rest").alias("other_rest"))
+    met = indexed.join(probed, "token").where("other <> root and fewest <= most").where(enough.format("smallest")).select("token", "root", "other")
     asked = by_token.select("token", "root", "node", "n", "rest").join(met, ["token", "root"])
     candidates = asked.join(matrix, ["token", "other"]).where(f"fewest <= n and 100 * largest >= {percent} * n").where(enough.format("n")).select("node", "group").distinct()
     # all of these meet by token first, so that one shuffle by token serves them

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where none is (local runs)."""
+    """The folder that driver and executors share; one is set only where none is, and only in local runs."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="seriesloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -131,15 +134,22 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: int = -1) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Row slices of bounded text volume with their texts as UTF-8; a null text counts as empty."""
+#: How many times smaller than its text a packed one is taken to be.
+PACKED_SHARE = 4
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], text: int = -1, packed: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Row slices of bounded text volume with their texts as UTF-8; a null text counts as empty. ``packed`` texts are unpacked by zlib."""
     for batch in batches:
         column = batch.column(text if text >= 0 else batch.num_columns - 1)
         raw = column.cast(pa.large_binary())
         sizes = [0 if n is None else n for n in pc.binary_length(raw).to_pylist()]
-        for a, b in slices(sizes):
+        for a, b in slices(sizes, SLICE_BYTES // PACKED_SHARE if packed else SLICE_BYTES):
             part = batch.slice(a, b - a)
-            yield part, [x or b"" for x in raw.slice(a, b - a).to_pylist()]
+            texts = [x or b"" for x in raw.slice(a, b - a).to_pylist()]
+            yield part, [zlib.decompress(x) if x else x for x in texts] if packed else texts
+    # workers are used again: what the pool holds for later would add up
+    pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
