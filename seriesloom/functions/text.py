@@ -16,6 +16,9 @@ BONE_CLASSES = (
     ("face", "^(jaw|eyelid|eyebrow|mouth|eye_)"),
 )
 
+# Findings of the quality report that are tolerated.
+TOLERATED = ("^hand resets to rest pose while tracked$", r"^\d+ one-frame finger spikes")
+
 #: A number with its fraction and exponent.
 NUMBER = r"\d+(\.\d+)?(e-?\d+)?"
 
@@ -78,3 +81,27 @@ def coerce(value: Column, allowed: list[str], default: str | None = None) -> Col
 def reasons(**tests: Column) -> Column:
     """The names of all tests that hold, in the order given; a null test does not hold."""
     return F.filter(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items())), lambda x: x.isNotNull())
+
+
+def tolerated(finding: Column) -> Column:
+    """Whether a finding is one that describes the recording and not the joints."""
+    return finding.rlike(TOLERATED[0]) | finding.rlike(TOLERATED[1])
+
+
+def word_filters(hands: Column, recognised: Column, attention: Column, reviewed: Column) -> dict[str, Column]:
+    """The word list's filters by name; a word without a round trip (``recognised`` null) is not misread, nulls elsewhere count as no."""
+    done = F.coalesce(reviewed, F.lit(False))
+    return {
+        "all": F.lit(True),
+        "two": F.coalesce(hands == "both", F.lit(False)),
+        "attention": F.coalesce(attention, F.lit(False)),
+        "misread": ~F.coalesce(recognised, F.lit(True)),
+        "unreviewed": ~done,
+        "reviewed": done,
+    }
+
+
+def found_in(search: str, gloss: Column, label: Column) -> Column:
+    """Whether a search text is part of the gloss or of its label, case and white space aside (in the label slashes too); an empty one is part of all."""
+    wanted = "".join(search.lower().split())
+    return F.contains(F.lower(gloss), F.lit(wanted)) | F.contains(search_key(label), F.lit(wanted))

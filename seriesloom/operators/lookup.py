@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,6 +24,10 @@ PHRASES = {
     "TV": ["tv", "television"],
 }
 
+# Glosses whose label shows all their phrases, and one that is shown as it is.
+ALL_PHRASES = ("hesheit", "minemy", "weus", "glasswindow")
+AS_IT_IS = ("TV",)
+
 #: Any white space ends a word.
 _SPACE = r"(?U)\s+"
 
@@ -42,6 +46,13 @@ def phrase_table(glosses: DataFrame, gloss: str = "gloss", place: str = "place")
     return keyed.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("phrase", "gloss", "words")
 
 
+def gloss_label(gloss: Column) -> Column:
+    """A gloss as it is displayed: its first phrase (all of them for a few glosses), or itself where it has none; null stays null."""
+    labels = {g: g if g in AS_IT_IS else " / ".join(ps) if g in ALL_PHRASES else ps[0] for g, ps in PHRASES.items()}
+    known = F.create_map(*(F.lit(v) for pair in labels.items() for v in pair))
+    return F.coalesce(F.try_element_at(known, gloss), gloss)
+
+
 def find_phrases(texts: DataFrame, keys: list[str], text: str, phrases: DataFrame, longest: int = 3) -> DataFrame:
     """Per text its tokens in order: ``place`` (of the first word), ``text`` as written and ``gloss`` (null: no phrase).
 
