@@ -1,4 +1,4 @@
-"""Steps around the cleaning of a recording (FLT-02, FLT-03, FLT-08, FLT-09, WIN-19, WIN-22, WIN-23, JN-10, JN-12, JN-14, AGG-13, AGG-21, AGG-23, AGG-25, VAL-05, PRJ-13).
+"""Steps around the cleaning of a recording (FLT-02, FLT-03, FLT-08, FLT-09, WIN-19, WIN-21, WIN-22, WIN-23, JN-10, JN-12, JN-14, AGG-13, AGG-21, AGG-23, AGG-25, VAL-05, PRJ-13).
 
 Windows share one (series, order) exchange; order statistics go by rank. A null
 series is a series of its own; empty tables give empty results.
@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,6 +133,42 @@ def choose_hypotheses(df: DataFrame, series: str, order: str, rotations: str, co
     return carry(out, series, [order], ["_back", "_total"], f"{name} int", lambda: None, backward, descending=True, placed=True).drop("_back", "_total")
 
 
+def anchored_path(df: DataFrame, series: str, order: list[str], costs: str, needed: Column, offsets: list[float], smooth: float, anchored: bool = True, name: str = "offset") -> DataFrame:
+    """The cheapest path through the candidate offsets of every row: its ``costs`` plus ``smooth`` times the squared steps.
+
+    A series no row of which is ``needed`` stays at 0 and is not searched. Rows
+    without costs, and both ends if ``anchored``, are held at the offset 0, which must be among the offsets. Ties go to the first.
+    """
+    grid = np.asarray(offsets, float)
+    home = offsets.index(0.0)
+    move = smooth * (grid[None, :] - grid[:, None]) ** 2
+    fixed = np.where(grid == 0, 0.0, 1e6)
+    w = W.partitionBy(series).orderBy(*order)
+    down = W.partitionBy(series).orderBy(*(F.desc(o) for o in order))
+    out = df.withColumn("_go", F.max(F.coalesce(needed, F.lit(False))).over(W.partitionBy(series)))
+    out = out.withColumn("_end", F.lit(anchored) & ((F.row_number().over(w) == 1) | (F.row_number().over(down) == 1)))
+
+    def forward(total, go, end, cost):
+        if not go:
+            return None, (None, None)
+        own = fixed if end or cost is None else np.asarray(cost, float)
+        if total is None:
+            return own, ([home] * len(grid), own.tolist())
+        through = total[:, None] + move
+        back = through.argmin(axis=0)
+        total = through[back, np.arange(len(grid))] + own
+        return total, (back.tolist(), total.tolist())
+
+    def backward(state, back, total):
+        if back is None:
+            return None, (0.0,)
+        here = int(np.argmin(total)) if state is None else state
+        return int(back[here]), (offsets[here],)
+
+    out = carry(out, series, order, ["_go", "_end", costs], "_back array<int>, _total array<double>", lambda: None, forward)
+    return carry(out, series, order, ["_back", "_total"], f"{name} double", lambda: None, backward, descending=True, placed=True).drop("_back", "_total", "_go", "_end")
+
+
 def aligned(streams: dict[str, DataFrame], series: str, slot: str) -> DataFrame:
     """One row per series and slot that any stream has, with each stream's other columns as a struct of its name (null if it has none there).
 

@@ -87,6 +87,14 @@ def hypothesis_path(spark, sf_dir):
     return cleaning.choose_hypotheses(told, "label", "i", "turns", "costs", 0.6, 0.1, 4.0).select("label", "vec_id", "choice")
 
 
+@query()
+def anchored_offsets(spark, sf_dir):
+    """Offsets of -60 to 60 by 2 that bring each user's values near 20 at least cost (a path: held against enumeration, no SQL twin)."""
+    offsets = [float(2 * j) for j in range(-30, 31)]
+    told = rows(spark, sf_dir).withColumn("costs", F.transform(F.lit(offsets), lambda o: F.abs(F.col("value") + o - 20) + F.abs(o) * 0.05))
+    return cleaning.anchored_path(told, "user_id", ["i"], "costs", F.col("value") > 150, offsets, 0.01).select("user_id", "i", "offset")
+
+
 _SLERP = f"""WITH {ROTATIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, vec_id % 4 <> 1 AS valid FROM rot),
     a AS (SELECT *, last_value(CASE WHEN valid THEN k END IGNORE NULLS) OVER (PARTITION BY label ORDER BY k ROWS UNBOUNDED PRECEDING) AS ka,
         first_value(CASE WHEN valid THEN k END IGNORE NULLS) OVER (PARTITION BY label ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS kb FROM r),

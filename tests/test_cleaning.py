@@ -51,6 +51,22 @@ def test_a_row_that_fits_nothing_is_rejected(spark):
     assert [r.choice for r in got if r.s is None] == [0]
 
 
+def test_anchored_path_is_the_cheapest(spark):
+    rng = random.Random(9)
+    offsets, rows = [-1.0, 0.0, 1.0], []
+    for s in (1, 2):
+        rows += [(s, k, None if k == 3 else [rng.random() for _ in offsets], s == 1 and k == 2) for k in range(7)]
+    df = spark.createDataFrame([*rows, (None, 0, [0.1, 0.5, 0.2], True)], "s int, k long, costs array<double>, bad boolean")
+    for ends in (True, False):
+        told = cleaning.anchored_path(df, "s", ["k"], "costs", F.col("bad"), offsets, 0.3, ends).orderBy("s", "k").collect()
+        own = [[1e6 * (o != 0) for o in offsets] if c is None or (ends and k in (0, 6)) else c for s, k, c, _ in rows if s == 1]
+        price = lambda p: sum(own[k][j] for k, j in enumerate(p)) + 0.3 * sum((offsets[a] - offsets[b]) ** 2 for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        best = min(itertools.product(range(3), repeat=7), key=price)
+        assert [r.offset for r in told if r.s == 1] == [offsets[j] for j in best]
+        assert {r.offset for r in told if r.s == 2} == {0.0}
+        assert [r.offset for r in told if r.s is None] == [0.0 if ends else -1.0]
+
+
 def test_bridge_spans_the_step_and_later_ones_win(spark):
     xs = [0.0] * 20 + [100.0] * 20
     df = spark.createDataFrame([(1, k, x) for k, x in enumerate(xs)], "s int, k long, x double")
