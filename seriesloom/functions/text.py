@@ -1,4 +1,4 @@
-"""Text expressions: word normalisation, labels, masks, CSV cells and codes (STR-01 to STR-06, PRJ-07 to PRJ-12)."""
+"""Text expressions: word normalisation, labels, masks, CSV cells and codes (STR-01 to STR-06, PRJ-07 to PRJ-09, PRJ-11, PRJ-12, FLT-05, FLT-06)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Phrases in texts: greedy longest match against a phrase table (STR-01 to STR-03, JN-13)."""
+"""Phrases in texts: greedy longest match against a phrase table (STR-01 to STR-03, JN-13, PRJ-10)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""The relational library around the series: reviews, takes, sets, tallies, trees (JN-02 to JN-06, AGG-03, AGG-05, AGG-07, AGG-12, AGG-19, SET-*, TOP-*, VAL-*, SNK-10, SNK-15)."""
+"""The relational library around the series: reviews, takes, sets, tallies, trees (JN-02 to JN-06, AGG-03, AGG-05, AGG-07, AGG-12, AGG-19, SET-01, SET-02, SET-05, TOP-02, TOP-04, TOP-06, VAL-01, VAL-03, SNK-10, SNK-15)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Reading and writing of the data model's files (SRC-01 to SRC-07, SRC-12 to SRC-14, SNK-01 to SNK-05, SNK-08)."""
+"""Reading and writing of the data model's files (SRC-01, SRC-03, SRC-05 to SRC-07, SRC-12 to SRC-14, SNK-04, SNK-05, SNK-08)."""
 
 from __future__ import annotations
 
