@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -132,15 +131,12 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(nodes.select("row")))
 
-    @F.pandas_udf("boolean")
-    def wanted(rows: pd.Series) -> pd.Series:
-        return pd.Series(sieve.value.passes(rows.to_numpy(np.int64).view(np.uint64)))
-
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: zlib.compress((t or "").encode("utf-8", "replace"), 1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed = (b.filter(pa.array(sieve.value.passes(b.column(0).to_numpy().view(np.uint64)))) for b in batches)
+        for part, texts in text_slices(passed):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], names=["row", "text"])
 
-    found = docs.select("row", "text").where(wanted("row")).select("row", packed("text").alias("text"))
+    found = map_batches(docs, ["row", "text"], "row long, text binary", run)
     return found.dropDuplicates(["row"]).join(nodes, "row").select("node", "text")
 
 
