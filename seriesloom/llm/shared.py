@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 #: Words are runs of bytes other than these (ASCII white space).
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Text is handled in slices of about this many bytes, so memory follows the slice, not the batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,8 +139,17 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 PACKED_SHARE = 4
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as workers are used again and what each holds for later would add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # only where the C library has it
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: int = -1, packed: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Row slices of bounded text volume with their texts as UTF-8; a null text counts as empty. ``packed`` texts are unpacked by zlib."""
+    give_back()
     for batch in batches:
         column = batch.column(text if text >= 0 else batch.num_columns - 1)
         raw = column.cast(pa.large_binary())
@@ -148,8 +158,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: int = -1, packed: bool
             part = batch.slice(a, b - a)
             texts = [x or b"" for x in raw.slice(a, b - a).to_pylist()]
             yield part, [zlib.decompress(x) if x else x for x in texts] if packed else texts
-    # workers are used again: what the pool holds for later would add up
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
