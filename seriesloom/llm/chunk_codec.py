@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import text_slices
 from .token_counts import marks_are_walls, piece_model
 
 #: Distinct chunks held at most before the table starts anew; bounds memory only.
@@ -113,15 +113,13 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_file)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices([len(t) for t in texts]):
-                ids, ends, decoded = table.codes(texts[a:b])
-                with_end = np.insert(ids, ends, table.end)
-                offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(with_end)), pa.array(decoded, pa.string())],
-                    names=["doc_id", "ids", "decoded"],
-                )
+        for part, raw in text_slices(batches):
+            ids, ends, decoded = table.codes([t.decode("utf-8", "replace") for t in raw])
+            with_end = np.insert(ids, ends, table.end)
+            offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(with_end)), pa.array(decoded, pa.string())],
+                names=["doc_id", "ids", "decoded"],
+            )
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)

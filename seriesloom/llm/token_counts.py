@@ -106,8 +106,12 @@ def count_by_chunks(model_file: str, text: str, chunk: int = CHUNK_CHARS, overla
     begins in both encodings: tokens before it are the left chunk's, the others
     the right one's. Where there is none the overlap is doubled; where it has come
     to hold all of the left chunk behind the last splice, there is no wall in that,
-    and the left chunk is begun anew at the last splice with twice its length. So
-    the work follows the text's length, with walls or without.
+    and the left chunk is begun anew with twice its length. It begins one character
+    before the last splice: the library sets a mark before all that it encodes, which
+    the text does not have there and which may join what follows it; it can join the
+    character before the splice only, as the splice is a wall, and what lies before
+    the splice is not counted again. So the work follows the text's length, with
+    walls or without.
     """
     model, walls, spans = piece_model(model_file), walls_of(model_file), _spans(model_file)
     n = len(text)
@@ -130,7 +134,7 @@ def count_by_chunks(model_file: str, text: str, chunk: int = CHUNK_CHARS, overla
                     left, end, splice, own = after, after_end, place, following
                     break
             if after == splice:
-                left, end = splice, min(n, splice + 2 * (end - splice))
+                left, end = max(splice - 1, 0), min(n, splice + 2 * (end - splice))
                 own = _starts(model, spans, text, left, end)
                 encoded += 1
                 break

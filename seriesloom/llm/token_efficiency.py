@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import numbered, read_only_path, slices
+from .shared import numbered, read_only_path, text_slices
 
 # The base patterns and the least lengths of what they must catch.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -93,12 +93,10 @@ def find_secrets(docs: DataFrame, ranks_file: str = "byte_bpe_50k.tiktoken", tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices([len(t) for t in texts]):
-                found = [[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t, ranks_file)] for t in texts[a:b]]
-                kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, kind)], names=["doc_id", "spans"])
+        for part, raw in text_slices(batches):
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t.decode("utf-8", "replace"), ranks_file)] for t in raw]
+            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -109,10 +107,16 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, ranks_file: str = "byte_bpe_50k.tiktoken", mark: str = "[SECRET]", text: str = "text") -> DataFrame:
-    """The documents with every span's text replaced by ``mark``; other columns and texts without spans stay as they are."""
+    """The documents with every span's text replaced by ``mark``; other columns and texts without spans stay as they are.
 
-    def cleaned(value: str | None) -> str | None:
-        spans = find_spans(value, ranks_file) if value else []
+    Rows are independent; nothing is shuffled, and texts are handled in slices. A null
+    text stays null and an empty one empty, a null key changes nothing, repeated rows are
+    changed alike, an empty table stays empty with the same columns, and columns may have
+    any names, equal ones among them as long as one is called ``text``'s.
+    """
+
+    def cleaned(value: str) -> str:
+        spans = find_spans(value, ranks_file)
         out, at = [], 0
         for _, start, end in spans:
             if start >= at:
@@ -124,8 +128,9 @@ def redact(docs: DataFrame, ranks_file: str = "byte_bpe_50k.tiktoken", mark: str
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = pa.array([cleaned(t) for t in batch.column(place).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([new if k == place else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+        for part, raw in text_slices(batches, place):
+            null = part.column(place).is_null().to_numpy(zero_copy_only=False)
+            new = pa.array([cleaned(t.decode("utf-8", "replace")) for t in raw], pa.string(), mask=null)
+            yield pa.RecordBatch.from_arrays([new if k == place else c for k, c in enumerate(part.columns)], names=part.schema.names)
 
     return plain.mapInArrow(run, types).toDF(*docs.columns)

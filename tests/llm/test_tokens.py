@@ -73,3 +73,25 @@ def test_walls_are_token_bounds():
         text = "".join(rng.choice("abcdeXYZ 01.,\n▁é北京の😀") for _ in range(rng.randint(1, 200)))
         starts = set(token_counts._starts(model, spans, text, 0, len(text)).tolist())
         assert set(walls.places(text, 0, len(text)).tolist()) <= starts
+
+
+def test_runs_without_walls_behind_a_splice():
+    """Prose, a long run, prose: the left chunk is begun anew behind a splice, where the text has no mark."""
+    model = token_counts.piece_model(PIECE_BPE)
+    rng = random.Random(21)
+    words = ["river", "stone", "the", "of", "and", "Morgen", "über", "end."]
+    runs = ["=" * 40_000, "-" * 17_000, " " * 60_000, "a" * 50_000, "ab" * 30_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000)), "京" * 20_000, "x" * 100_000]
+    for run in runs:
+        prose = " ".join(rng.choice(words) for _ in range(4_000))
+        for text in (prose + run, prose + " " + run + "\n" + prose):
+            assert token_counts.count_by_chunks(PIECE_BPE, text)[0] == len(model.encode(text)), run[:5]
+
+
+def test_tiny_chunks_of_random_strings():
+    model = token_counts.piece_model(PIECE_BPE)
+    rng = random.Random(22)
+    letters = ["ab", "ab =", "the ", "=-", "▁ a\n", "abcdefghij ", "北京ab ", "thing and "]
+    for k in range(1_500):
+        text = "".join(rng.choice(letters[k % len(letters)]) for _ in range(rng.randint(20, 400)))
+        chunk, overlap = rng.choice(((16, 4), (40, 8), (300, 40)))
+        assert token_counts.count_by_chunks(PIECE_BPE, text, chunk, overlap)[0] == len(model.encode(text)), text
