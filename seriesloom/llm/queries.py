@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_search, brown_lm, chunk_codec, digest, group_join, hyperlang, packing, quality, token_counts, token_efficiency
+from . import ball_search, brown_lm, chat_format, chunk_codec, digest, group_join, hyperlang, packing, quality, token_counts, token_efficiency
 from .shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -73,6 +73,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("conv_id", "turn", "role", "text")
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    same = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", same), (-1, 1, "assistant", same)], said.schema)
+    # null fields are written too, so that all rows have the same fields
+    records = said.unionByName(more).select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"))
+    turns = chat_format.canonical_turns(records)
+    told = chat_format.conversation_digests(chat_format.read_back(chat_format.format_turns(turns)))
+    return told.select(F.col("conv").cast("long").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
@@ -84,6 +96,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_piece_codec": op9_piece_codec,
     "op10_secrets": op10_secrets,
+    "op12_chat_format": op12_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_top_k": """
@@ -101,4 +114,19 @@ ORACLE_SQL: dict[str, str] = {
         FROM scored
         QUALIFY rank <= 5
     """,
+    "op12_chat_format": r"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), marked AS (
+            SELECT *, len(regexp_extract_all(text, '<\\*(?:\|[A-Za-z0-9_]+\|>|/?s>|unk>|pad>|</?SYS>>)|\[\\*/?INST\]')) AS controls FROM said
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(len('<|turn|>') + len(role) + 1 + len(text) + controls + len('<|end|>') + 1)::BIGINT AS formatted_chars
+        FROM marked GROUP BY conv_id
+    """,
 }
