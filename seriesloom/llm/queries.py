@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_search, brown_lm, chat_format, chunk_codec, digest, group_join, hyperlang, packing, quality, token_counts, token_efficiency
+from . import ball_search, brown_lm, chat_format, chunk_codec, digest, group_join, hyperlang, packing, quality, spelling, token_counts, token_efficiency
 from .shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -85,6 +85,10 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select(F.col("conv").cast("long").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
@@ -97,6 +101,7 @@ QUERIES = {
     "op9_piece_codec": op9_piece_codec,
     "op10_secrets": op10_secrets,
     "op12_chat_format": op12_chat_format,
+    "op13_spelling": op13_spelling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_top_k": """
