@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_search, brown_lm, chat_format, chunk_codec, digest, group_join, hyperlang, packing, quality, spelling, token_counts, token_efficiency
+from . import ball_search, brown_lm, chat_format, chunk_codec, collocations, digest, group_join, hyperlang, packing, quality, spelling, token_counts, token_efficiency
 from .shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -73,6 +73,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"), longest=5, least=100, top=2000)
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ("conv_id", "turn", "role", "text")
     said = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
@@ -100,6 +104,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_piece_codec": op9_piece_codec,
     "op10_secrets": op10_secrets,
+    "op11_collocations": op11_collocations,
     "op12_chat_format": op12_chat_format,
     "op13_spelling": op13_spelling,
 }
@@ -119,6 +124,39 @@ ORACLE_SQL: dict[str, str] = {
         FROM scored
         QUALIFY rank <= 5
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, doc_id, row_number() OVER () AS row,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece
+            FROM documents
+        ), worded AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]'), lambda w: w <> '') AS words FROM pieces
+        ), placed AS (
+            SELECT lang, words, unnest(range(1, len(words) + 1)) AS at FROM worded
+        ), grams AS (
+            SELECT lang, list_slice(words, at, at + size - 1) AS phrase, size
+            FROM placed, (SELECT unnest(range(1, 6)) AS size) WHERE at + size - 1 <= len(words)
+        ), f AS (
+            SELECT lang, phrase, size, count(*) AS a FROM grams GROUP BY ALL
+        ), totals AS (
+            SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang
+        ), candidates AS (
+            SELECT * FROM f WHERE size >= 2 AND a >= 100
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.size, c.a, k, l.a AS l, r.a AS r, n, ((1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+            FROM candidates c, (SELECT unnest(range(1, 5)) AS k), f l, f r, totals t
+            WHERE k < c.size AND t.lang = c.lang AND l.lang = c.lang AND r.lang = c.lang
+              AND l.phrase = list_slice(c.phrase, 1, k) AND r.phrase = list_slice(c.phrase, k + 1, c.size)
+        ), lowest AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), covered AS (
+            SELECT lang, list_slice(phrase, 1, size - 1) AS phrase, a FROM candidates UNION SELECT lang, list_slice(phrase, 2, size), a FROM candidates
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank,
+               array_to_string(phrase, ' ') AS phrase, a, l, r, n::BIGINT AS n, score
+        FROM lowest ANTI JOIN covered USING (lang, phrase, a)
+        QUALIFY rank <= 2000
+    """,
     "op12_chat_format": r"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
