@@ -132,10 +132,10 @@ ORACLE_SQL: dict[str, str] = {
         ), worded AS (
             SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]'), lambda w: w <> '') AS words FROM pieces
         ), placed AS (
-            SELECT lang, words, unnest(range(1, len(words) + 1)) AS at FROM worded
+            SELECT lang, words, unnest(range(1, len(words) + 1)) AS spot FROM worded
         ), grams AS (
-            SELECT lang, list_slice(words, at, at + size - 1) AS phrase, size
-            FROM placed, (SELECT unnest(range(1, 6)) AS size) WHERE at + size - 1 <= len(words)
+            SELECT lang, list_slice(words, spot, spot + size - 1) AS phrase, size
+            FROM placed, (SELECT unnest(range(1, 6)) AS size) WHERE spot + size - 1 <= len(words)
         ), f AS (
             SELECT lang, phrase, size, count(*) AS a FROM grams GROUP BY ALL
         ), totals AS (
