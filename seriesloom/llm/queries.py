@@ -126,34 +126,41 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op11_collocations": r"""
         WITH pieces AS (
-            SELECT coalesce(lang, 'und') AS lang, doc_id, row_number() OVER () AS row,
+            SELECT coalesce(lang, 'und') AS lang,
                    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece
             FROM documents
-        ), worded AS (
-            SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]'), lambda w: w <> '') AS words FROM pieces
-        ), placed AS (
-            SELECT lang, words, unnest(range(1, len(words) + 1)) AS spot FROM worded
-        ), grams AS (
-            SELECT lang, list_slice(words, spot, spot + size - 1) AS phrase, size
-            FROM placed, (SELECT unnest(range(1, 6)) AS size) WHERE spot + size - 1 <= len(words)
-        ), f AS (
-            SELECT lang, phrase, size, count(*) AS a FROM grams GROUP BY ALL
+        ), numbered AS MATERIALIZED (
+            SELECT lang, row_number() OVER () AS number, piece FROM pieces
+        ), split AS (
+            SELECT lang, number, unnest(regexp_split_to_array(piece, '[ \t]')) AS word, generate_subscripts(regexp_split_to_array(piece, '[ \t]'), 1) AS spot FROM numbered
+        ), w1 AS MATERIALIZED (
+            SELECT lang, number, row_number() OVER (PARTITION BY number ORDER BY spot) AS spot, word FROM split WHERE word <> ''
+        ), next_words AS MATERIALIZED (
+            SELECT lang, word AS p1, lead(word, 1) OVER w AS w2, lead(word, 2) OVER w AS w3, lead(word, 3) OVER w AS w4, lead(word, 4) OVER w AS w5 FROM w1 WINDOW w AS (PARTITION BY number ORDER BY spot)
+        ), f AS MATERIALIZED (
+            SELECT lang, p1 AS phrase, 1 AS size, count(*) AS a FROM next_words GROUP BY ALL
+            UNION ALL SELECT lang, p1 || ' ' || w2, 2, count(*) FROM next_words WHERE w2 IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT lang, p1 || ' ' || w2 || ' ' || w3, 3, count(*) FROM next_words WHERE w3 IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT lang, p1 || ' ' || w2 || ' ' || w3 || ' ' || w4, 4, count(*) FROM next_words WHERE w4 IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT lang, p1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5, 5, count(*) FROM next_words WHERE w5 IS NOT NULL GROUP BY ALL
         ), totals AS (
             SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang
-        ), candidates AS (
-            SELECT * FROM f WHERE size >= 2 AND a >= 100
+        ), frequent AS MATERIALIZED (
+            SELECT * FROM f WHERE a >= 100
+        ), candidates AS MATERIALIZED (
+            SELECT *, string_split(phrase, ' ') AS words FROM frequent WHERE size >= 2
+        ), cut AS MATERIALIZED (
+            SELECT lang, phrase, size, a, k, array_to_string(words[1:k], ' ') AS first_part, array_to_string(words[k + 1:], ' ') AS rest
+            FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
         ), cuts AS (
             SELECT c.lang, c.phrase, c.size, c.a, k, l.a AS l, r.a AS r, n, ((1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a))::BIGINT AS score
-            FROM candidates c, (SELECT unnest(range(1, 5)) AS k), f l, f r, totals t
-            WHERE k < c.size AND t.lang = c.lang AND l.lang = c.lang AND r.lang = c.lang
-              AND l.phrase = list_slice(c.phrase, 1, k) AND r.phrase = list_slice(c.phrase, k + 1, c.size)
+            FROM cut c JOIN frequent l ON l.lang = c.lang AND l.phrase = first_part JOIN frequent r ON r.lang = c.lang AND r.phrase = rest JOIN totals t ON t.lang = c.lang
         ), lowest AS (
             SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
         ), covered AS (
-            SELECT lang, list_slice(phrase, 1, size - 1) AS phrase, a FROM candidates UNION SELECT lang, list_slice(phrase, 2, size), a FROM candidates
+            SELECT lang, array_to_string(words[1:size - 1], ' ') AS phrase, a FROM candidates UNION SELECT lang, array_to_string(words[2:], ' '), a FROM candidates
         )
-        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank,
-               array_to_string(phrase, ' ') AS phrase, a, l, r, n::BIGINT AS n, score
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score
         FROM lowest ANTI JOIN covered USING (lang, phrase, a)
         QUALIFY rank <= 2000
     """,
