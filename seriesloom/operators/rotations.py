@@ -1,9 +1,10 @@
-"""Operators over series of rotations (WIN-11, WIN-13, WIN-15, WIN-16, AGG-04, AGG-17, AGG-18, JN-07, FN-10; STM-02 and STM-03 over tables)."""
+"""Operators over series of rotations (WIN-11, WIN-13, WIN-15, WIN-16, AGG-04, AGG-17, AGG-18, JN-07, FN-10; STM-02, STM-03 and STM-11 over tables)."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -159,16 +160,17 @@ def limit_rate(df: DataFrame, series: str, order: list[str], rotation: str, most
     return both.withColumn(name, unit(slerp(F.col("_forward"), F.col("_backward"), F.lit(0.5)))).drop("_forward", "_backward")
 
 
-def limited_steps(df: DataFrame, series: str, order: list[str], rotation: str, seconds: str, rate: float, name: str = "limited") -> DataFrame:
-    """Causal limit of ``rate`` radians a second. Null rotations give null and change nothing."""
+def limit_step(state: tuple | None, q: list[float] | None, t: float, rate: float) -> tuple[tuple | None, tuple]:
+    """One row of the causal limit; the state is (rotation, time). Streams take the same step."""
+    if q is None:
+        return state, (None,)
+    y = q if state is None else _turned(state[0], q, rate * max(t - state[1], LEAST_DT))
+    return (y, t), (y,)
 
-    def step(state, q, t):
-        if q is None:
-            return state, (None,)
-        y = q if state is None else _turned(state[0], q, rate * max(t - state[1], LEAST_DT))
-        return (y, t), (y,)
 
-    return carry(df, series, order, [rotation, seconds], f"{name} array<double>", lambda: None, step)
+def limited_steps(df: DataFrame, series: str, order: list[str], rotation: str, seconds: str, rate: float, name: str = "limited") -> DataFrame:
+    """Causal limit of ``rate`` radians a second. Null rotations give null and change nothing; where time doesn't rise, the shortest step counts."""
+    return carry(df, series, order, [rotation, seconds], f"{name} array<double>", lambda: None, lambda state, q, t: limit_step(state, q, t, rate))
 
 
 def _unit(q: list[float]) -> list[float]:
@@ -176,26 +178,117 @@ def _unit(q: list[float]) -> list[float]:
     return [x / size for x in q]
 
 
+def one_euro_step(state: tuple | None, q: list[float] | None, t: float, min_cutoff: float, beta: float, derivative_cutoff: float) -> tuple[tuple | None, tuple]:
+    """One row of the One Euro filter of rotations; the state is (rotation, speed, time). Streams take the same step."""
+    if q is None:
+        return state, (state[0] if state else None,)
+    if state is None:
+        value = _unit(q)
+        return (value, 0.0, t), (value,)
+    value, speed, before = state
+    dt = t - before
+    dt = max(dt if dt > 0 else USUAL_DT, LEAST_DT)
+
+    def weight(cutoff: float) -> float:
+        return 1 / (1 + 1 / (2 * math.pi * cutoff) / dt)
+
+    angle = 2 * math.acos(min(1.0, abs(sum(x * y for x, y in zip(value, q)))))
+    speed += weight(derivative_cutoff) * (angle / dt - speed)
+    if angle > 1e-9:
+        value = _unit(_turned(value, q, angle * weight(min_cutoff + beta * abs(speed))))
+    return (value, speed, t), (value,)
+
+
 def one_euro(df: DataFrame, series: str, order: list[str], rotation: str, seconds: str, min_cutoff: float = 1.0, beta: float = 0.0, derivative_cutoff: float = 1.0, name: str = "smooth") -> DataFrame:
     """The One Euro filter of unit quaternions: each output lies on the shorter arc from the last output to the row; null rotations repeat it."""
 
     def step(state, q, t):
-        if q is None:
-            return state, (state[0] if state else None,)
-        if state is None:
-            value = _unit(q)
-            return (value, 0.0, t), (value,)
-        value, speed, before = state
-        dt = t - before
-        dt = max(dt if dt > 0 else USUAL_DT, LEAST_DT)
-
-        def weight(cutoff: float) -> float:
-            return 1 / (1 + 1 / (2 * math.pi * cutoff) / dt)
-
-        angle = 2 * math.acos(min(1.0, abs(sum(x * y for x, y in zip(value, q)))))
-        speed += weight(derivative_cutoff) * (angle / dt - speed)
-        if angle > 1e-9:
-            value = _unit(_turned(value, q, angle * weight(min_cutoff + beta * abs(speed))))
-        return (value, speed, t), (value,)
+        return one_euro_step(state, q, t, min_cutoff, beta, derivative_cutoff)
 
     return carry(df, series, order, [rotation, seconds], f"{name} array<double>", lambda: None, step)
+
+
+# ---- easing to the last target
+
+
+@dataclass(frozen=True)
+class Easing:
+    """How rotations follow targets from tick to tick (STM-11); times are whole milliseconds.
+
+    At every tick the rotation closes 1 - exp(-period / tau) of the arc to the last
+    target. A target older than ``stale`` gives way to ``rest``; once nearer to rest than
+    ``near`` radians, the series is at rest and has no further ticks until a target
+    comes, from which on it starts anew from rest. What is shown is ``strength`` of the
+    arc from rest to the rotation.
+    """
+
+    period: int
+    tau: float = 0.035
+    strength: float = 1.0
+    stale: int = 1_500
+    near: float = 1e-3
+    rest: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 1.0)
+
+    def tick_at(self, at: int) -> int:
+        """The first tick that isn't before a time."""
+        return -(-at // self.period) * self.period
+
+    def step(self, state: tuple | None, tick: int, target: list[float] | None, since: int | None) -> tuple[tuple | None, tuple]:
+        """One tick with the last target up to it; the state is (tick, rotation, target, when it came, awake)."""
+        if target is None or since is None:
+            return state, (None, None)
+        # a series starts at rest, and again after it has come to rest
+        current = list(state[1]) if state is not None and state[4] else list(self.rest)
+        stale = tick - since > self.stale
+        goal = list(self.rest) if stale else target
+        half = math.acos(min(1.0, abs(sum(x * y for x, y in zip(current, goal)))))
+        current = _unit(_turned(current, goal, 2 * half * (1 - math.exp(-(self.period / 1000) / max(1e-3, self.tau)))))
+        left = 2 * math.acos(min(1.0, abs(sum(x * y for x, y in zip(current, self.rest)))))
+        awake = not (stale and left < self.near)
+        if not awake:
+            current = list(self.rest)
+        s = min(1.0, max(0.0, self.strength))
+        angle = 2 * math.acos(min(1.0, abs(sum(x * y for x, y in zip(self.rest, current)))))
+        shown = current if s == 1 or angle < 1e-9 else _unit(_turned(list(self.rest), current, s * angle))
+        return (tick, current, target, since, awake), (shown, stale)
+
+    def ticks_until(self, state: tuple | None, waiting: list[tuple[int, list[float]]], until: int) -> tuple[list[tuple], tuple | None, list, int | None]:
+        """Ticks up to ``until`` with the targets that wait (in order of time): rows, the state, targets still waiting, the next tick."""
+        rows: list[tuple] = []
+        while True:
+            awake = state is not None and state[4]
+            if not awake and not waiting:
+                return rows, state, waiting, None
+            tick = state[0] + self.period if awake else self.tick_at(waiting[0][0])
+            if not awake and state is not None:
+                tick = max(tick, state[0] + self.period)
+            if tick > until:
+                return rows, state, waiting, tick
+            due = [w for w in waiting if w[0] <= tick]
+            waiting = waiting[len(due) :]
+            since, target = due[-1] if due else (state[3], state[2])
+            state, (shown, stale) = self.step(state, tick, target, since)
+            rows.append((tick, shown, stale))
+
+
+def eased(targets: DataFrame, ticks: DataFrame, series: str, millis: str, rotation: str, ease: Easing) -> DataFrame:
+    """``series, tick, eased, stale`` for every tick at which a series is awake: the batch form of the stream of the same name.
+
+    ``targets`` has ``series, millis, rotation``, ``ticks`` a row ``series, tick`` for every
+    multiple of the period that is asked for. The last target up to each tick is
+    found by one sort of both together. Null targets and times are left out, of equal
+    times the target that comes last in order counts; a series without targets has no rows.
+    """
+    given = targets.where(F.col(millis).isNotNull() & F.col(rotation).isNotNull()).select(series, F.col(millis).cast("long").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col(millis).cast("long").alias("since"), F.col(rotation).alias("target")).alias("_t"))
+    asked = ticks.select(series, F.col("tick").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(given.schema["_t"].dataType).alias("_t"))
+    w = W.partitionBy(series).orderBy("_at", "_kind", "_t").rowsBetween(W.unboundedPreceding, 0)
+    both = given.unionByName(asked).withColumn("_t", F.last("_t", ignorenulls=True).over(w)).where("_kind = 1").select(series, F.col("_at").alias("tick"), F.col("_t.target").alias("_target"), F.col("_t.since").alias("_since"))
+
+    def step(state, tick, target, since):
+        # asleep until a target comes that is newer than the last tick
+        if state is not None and not state[4] and since is not None and since <= state[0]:
+            return state, (None, None)
+        return ease.step(state, tick, target, since)
+
+    out = carry(both, series, ["tick"], ["tick", "_target", "_since"], "eased array<double>, stale boolean", lambda: None, step)
+    return out.where("eased is not null").select(series, "tick", "eased", "stale")
