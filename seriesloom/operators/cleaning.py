@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import rank_quantiles
 from ..functions.scalars import clamp
-from .folds import carry, zero_phase
+from .folds import carry
+from .scans import zero_phase
 
 #: Rows that a bridge over a jump takes before it and after it (fixed values).
 BRIDGE_BEFORE, BRIDGE_AFTER = 7, 6

@@ -1,4 +1,4 @@
-"""Recurrences that SQL windows cannot express, streamed over sorted partitions (WIN-09, WIN-10, WIN-12, WIN-20, STM-01, STM-03, STM-06, TOP-05; on rotations: ``rotations``).
+"""Recurrences that SQL windows cannot express, streamed over sorted partitions (WIN-12, WIN-20, STM-01, STM-03, STM-06, TOP-05; on rotations: ``rotations``; linear filters: ``scans``).
 
 ``carry`` deals every series to one partition, sorts it there and streams the
 rows in Arrow batches through a small step function; what a task holds is one
@@ -133,54 +133,6 @@ def limit_rate(df: DataFrame, series: str, order: list[str], value: str, most: f
     return both.withColumn(name, (F.col("_forward") + F.col("_backward")) * 0.5).drop("_forward", "_backward")
 
 
-def butterworth(cutoff: float, rate: float) -> tuple[list[float], list[float]]:
-    """Second-order low-pass by the bilinear transform: (b0, b1, b2) and (a1, a2)."""
-    k = math.tan(math.pi * min(max(cutoff, 1e-3), rate / 2 * 0.98) / rate)
-    scale = 1 / (1 + math.sqrt(2) * k + k * k)
-    b = k * k * scale
-    return [b, 2 * b, b], [2 * (k * k - 1) * scale, (1 - math.sqrt(2) * k + k * k) * scale]
-
-
-#: Rows of odd reflection beyond each end of a filtered series (fixed value).
-PAD = 18
-
-
-def zero_phase(df: DataFrame, series: str, order: str, value: str, cutoff: float, rate: float, name: str = "smooth") -> DataFrame:
-    """Low-pass without lag: a Butterworth pass forwards, another backwards, over a series reflected at both ends.
-
-    ``order`` must be unique in a series and values not null. The reflected rows
-    come from windows at the ends, so only 2 * PAD rows a series are added.
-    Series of fewer than three rows stay as they are.
-    """
-    (b0, b1, b2), (a1, a2) = butterworth(cutoff, rate)
-    gain = (b0 + b1 + b2) / (1 + a1 + a2)
-    start2 = b2 - a2 * gain
-    start1 = b1 - a1 * gain + start2
-
-    def step(state, x, plain):
-        if plain:
-            return state, (x,)
-        z1, z2 = (start1 * x, start2 * x) if state is None else state
-        y = b0 * x + z1
-        return (b1 * x - a1 * y + z2, b2 * x - a2 * y), (y,)
-
-    w = W.partitionBy(series)
-    up, down = w.orderBy(order), w.orderBy(F.desc(order))
-    full = df.withColumn("_i", F.row_number().over(up) - 1).withColumn("_n", F.count("*").over(w))
-    full = full.withColumn("_first", F.first(value).over(up)).withColumn("_last", F.first(value).over(down))
-    i, n = F.col("_i"), F.col("_n")
-    pad = F.least(F.lit(PAD), n - 1)
-    own = F.struct(i.cast("long").alias("place"), F.col(value).alias("x"), F.lit(True).alias("own"))
-    low = F.when((n > 2) & (i >= 1) & (i <= pad), F.struct((-i).cast("long").alias("place"), (F.col("_first") * 2 - F.col(value)).alias("x"), F.lit(False).alias("own")))
-    back = n - 1 - i
-    high = F.when((n > 2) & (back >= 1) & (back <= pad), F.struct((n - 1 + back).cast("long").alias("place"), (F.col("_last") * 2 - F.col(value)).alias("x"), F.lit(False).alias("own")))
-    rows = full.withColumn("_e", F.explode(F.filter(F.array(own, low, high), lambda e: e.isNotNull())))
-    rows = rows.select(*df.columns, F.col("_e.place").alias("_place"), F.col("_e.x").alias("_x"), F.col("_e.own").alias("_own"), (n < 3).alias("_plain"))
-    forward = carry(rows, series, ["_place"], ["_x", "_plain"], "_y double", lambda: None, step)
-    both = carry(forward, series, ["_place"], ["_y", "_plain"], f"{name} double", lambda: None, step, descending=True, placed=True)
-    return both.where("_own").drop("_place", "_x", "_own", "_plain", "_y")
-
-
 def viterbi(df: DataFrame, series: str, order: list[str], costs: str, angles: list[float], sigma: float, name: str = "choice") -> DataFrame:
     """The cheapest path through candidate angles: each row's ``costs`` plus the squared wrapped step over sigma.
 

@@ -87,7 +87,7 @@ def class_statistics(df: DataFrame, track: str, kind: str, step: str, accelerati
     """Per class: the greatest step and its track, the greatest of the tracks' p-quantiles, the greatest velocity and acceleration quantile.
 
     Two levels: order statistics per track by ranks over one exchange, then the maximum per class.
-    Of tracks with the same greatest step, the first by name is told.
+    Of tracks with the same greatest step, the first by name is told; a class without steps has none.
     """
     whole = W.partitionBy(kind, track)
     ranked = df.select(kind, track, F.col(step).alias("_s"), F.col(acceleration).alias("_a"))
@@ -98,10 +98,11 @@ def class_statistics(df: DataFrame, track: str, kind: str, step: str, accelerati
         return F.max(F.when(F.col(f"{c}r") == F.floor(F.lit(p) * (F.col(f"{c}n") - 1)), F.col(c)))
 
     tracks = ranked.groupBy(kind, track).agg(F.max("_s").alias("top"), at_rank("_s").alias("high_step"), at_rank("_a").alias("high_acceleration"))
-    worst = F.max(F.struct(F.col("top"), (-F.col(track)).alias("_t")))
+    # the least of (falling step, name): names may be numbers or texts
+    worst = F.min(F.when(F.col("top").isNotNull(), F.struct((-F.col("top")).alias("_n"), F.col(track).alias("_t"))))
     return tracks.groupBy(kind).agg(
         F.max("top").alias("greatest_step"),
-        (-worst["_t"]).alias("worst_track"),
+        worst["_t"].alias("worst_track"),
         F.max("high_step").alias("high_step"),
         (F.max("top") / period).alias("greatest_velocity"),
         F.max("high_acceleration").alias("high_acceleration"),

@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 
 from ..functions.quaternions import angle_between, at, dot, norm, scale, slerp, unit
 from ..functions.scalars import wrap_angle
+from . import scans
 from .folds import LEAST_DT, USUAL_DT, carry
-from .folds import zero_phase as zero_phase_values
+from .identities import finite_or_null
 
 
 def align(df: DataFrame, series: str, order: str, rotation: str) -> DataFrame:
     """Signs such that neighbours share a hemisphere.
 
     A row's sign is the parity of the changes of hemisphere up to it: one running
-    sum instead of a loop.
+    sum instead of a loop. Null rotations stay null, and the rows around them are neighbours.
     """
     w = W.partitionBy(series).orderBy(order)
-    out = df.withColumn("_flip", F.coalesce((dot(F.col(rotation), F.lag(rotation).over(w)) < 0).cast("int"), F.lit(0)))
+    before = F.last(rotation, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    out = df.withColumn("_flip", F.coalesce((dot(F.col(rotation), before) < 0).cast("int"), F.lit(0)))
     odd = F.sum("_flip").over(w.rowsBetween(W.unboundedPreceding, 0)) % 2 == 1
     return out.withColumn(rotation, F.when(odd, scale(F.col(rotation), F.lit(-1.0))).otherwise(F.col(rotation))).drop("_flip")
 
@@ -64,50 +66,59 @@ def sample_rotation(points: DataFrame, samples: DataFrame, series: str, seconds:
 
 
 def _of_moments(moments: DataFrame, keys: str, size: int, name: str) -> DataFrame:
-    """The greatest eigenvector of each row's symmetric matrix, of which the columns m00, m01, ... are the upper half."""
+    """The greatest eigenvector of each row's symmetric matrix, of which the columns m00, m01, ... are the upper half; null where a part is."""
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
     key_type = moments.schema[keys].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            matrix = np.zeros((batch.num_rows, size, size))
+            parts = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(pairs))], axis=1).reshape(batch.num_rows, -1)
+            good = np.isfinite(parts).all(axis=1)
+            matrix = np.zeros((int(good.sum()), size, size))
             for k, (i, j) in enumerate(pairs):
-                matrix[:, i, j] = matrix[:, j, i] = batch.column(1 + k).to_numpy(zero_copy_only=False)
-            vectors = np.linalg.eigh(matrix)[1][:, :, -1]
+                matrix[:, i, j] = matrix[:, j, i] = parts[good, k]
+            vectors = np.linalg.eigh(matrix)[1][:, :, -1] if len(matrix) else np.zeros((0, size))
             # of v and -v, the one whose last part that isn't 0 is positive
             for v in vectors:
                 big = [x for x in v if abs(x) > 1e-12]
                 if big and big[-1] < 0:
                     v *= -1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors.tolist(), pa.list_(pa.float64()))], names=[keys, name])
+            found = iter(vectors.tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([next(found) if g else None for g in good], pa.list_(pa.float64()))], names=[keys, name])
 
     columns = [f"m{i}{j}" for i, j in pairs]
     return moments.select(keys, *columns).mapInArrow(run, f"{keys} {key_type}, {name} array<double>")
 
 
 def _moments(df: DataFrame, keys: str, vector: str, size: int) -> DataFrame:
-    v = F.col(vector)
-    return df.where(v.isNotNull()).groupBy(keys).agg(*(F.sum(at(v, i) * at(v, j)).alias(f"m{i}{j}") for i in range(size) for j in range(i, size)))
+    v = finite_or_null(F.slice(F.col(vector), 1, size))
+    return df.groupBy(keys).agg(*(F.sum(at(v, i) * at(v, j)).alias(f"m{i}{j}") for i in range(size) for j in range(i, size)))
 
 
 def average(df: DataFrame, group: str, rotation: str, name: str = "average") -> DataFrame:
-    """The mean rotation (Markley): the greatest eigenvector of the summed outer products, ten sums per group."""
+    """The mean rotation (Markley): the greatest eigenvector of the summed outer products, ten sums per group.
+
+    Rotations that are null or have a part that is null, NaN or infinite are left out; a group
+    without any other gets null. Where two directions are equally far along, either may be told.
+    """
     return _of_moments(_moments(df, group, rotation, 4), group, 4, name)
 
 
 def dominant_axis(df: DataFrame, group: str, vector: str, name: str = "axis") -> DataFrame:
-    """The line that a group's 3-vectors follow most: the greatest eigenvector of six sums."""
+    """The line that a group's 3-vectors follow most: the greatest eigenvector of six sums. Odd vectors and groups as in ``average``."""
     return _of_moments(_moments(df, group, vector, 3), group, 3, name)
 
 
 def fitted_rotation(df: DataFrame, group: str, source: str, target: str, name: str = "rotation") -> DataFrame:
     """The rotation that takes the ``source`` points nearest to the ``target`` points (Horn), both about their means.
 
-    Fifteen sums per group give the 4x4 matrix whose greatest eigenvector it is.
+    Fifteen sums per group give the 4x4 matrix whose greatest eigenvector it is. Pairs
+    with a point that is null or not finite are left out; a group without pairs gets null.
     """
-    p, q = F.col(source), F.col(target)
-    sums = df.where(p.isNotNull() & q.isNotNull()).groupBy(group).agg(
-        F.count("*").alias("n"), *(F.sum(at(p, i)).alias(f"p{i}") for i in range(3)), *(F.sum(at(q, i)).alias(f"q{i}") for i in range(3)),
+    p, q = finite_or_null(F.slice(F.col(source), 1, 3)), finite_or_null(F.slice(F.col(target), 1, 3))
+    p, q = F.when(q.isNotNull(), p), F.when(p.isNotNull(), q)
+    sums = df.groupBy(group).agg(
+        F.count(p).alias("n"), *(F.sum(at(p, i)).alias(f"p{i}") for i in range(3)), *(F.sum(at(q, i)).alias(f"q{i}") for i in range(3)),
         *(F.sum(at(p, i) * at(q, j)).alias(f"s{i}{j}") for i in range(3) for j in range(3)),
     )
     s = {(i, j): F.col(f"s{i}{j}") - F.col(f"p{i}") * F.col(f"q{j}") / F.col("n") for i in range(3) for j in range(3)}
@@ -127,14 +138,16 @@ def normalised(df: DataFrame, rotation: str) -> DataFrame:
 # ---- filters of rotations
 
 
-def zero_phase(df: DataFrame, series: str, order: str, rotation: str, cutoff: float, rate: float, name: str = "smooth") -> DataFrame:
-    """Low-pass without lag: signs aligned, each component filtered both ways, norm 1 again. See ``folds.zero_phase``."""
-    w = W.partitionBy(series)
-    out = align(df.withColumn(name, F.col(rotation)), series, order, name).withColumn("_short", F.count("*").over(w) < 3)
-    for k in range(4):
-        out = zero_phase_values(out.withColumn("_x", at(F.col(name), k)), series, order, "_x", cutoff, rate, f"_q{k}").drop("_x")
-    smooth = unit(F.array(*(F.col(f"_q{k}") for k in range(4))))
-    return out.withColumn(name, F.when(F.col("_short"), F.col(rotation)).otherwise(smooth)).drop("_short", *(f"_q{k}" for k in range(4)))
+def zero_phase(df: DataFrame, series: str, order: str, rotation: str, cutoff: float, rate: float, name: str = "smooth", block: float = scans.BLOCK) -> DataFrame:
+    """Low-pass without lag: signs aligned, the four components filtered side by side both ways, norm 1 again.
+
+    See ``scans.zero_phase``. Null rotations, and such with a part that is not finite, stay
+    null; series of fewer than three rotations stay as they are.
+    """
+    aligned = align(df.withColumn(name, finite_or_null(F.col(rotation))), series, order, name)
+    filtered = scans.zero_phase(aligned.withColumn("_given", F.col(name)), series, order, "_given", cutoff, rate, "_filtered", block)
+    few = F.count("_given").over(W.partitionBy(series)) < 3
+    return filtered.withColumn(name, F.when(few, F.when(F.col("_given").isNotNull(), F.col(rotation))).otherwise(unit(F.col("_filtered")))).drop("_given", "_filtered")
 
 
 def _turned(a: list[float], b: list[float], most: float) -> list[float]:

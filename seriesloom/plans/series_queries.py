@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import array_floor, array_median, array_median_lower, array_median_upper
 from ..functions.scalars import clamp, round_half_even, round_up_half, smoothstep, soft_clamp
-from ..operators import folds, gaps, relations, robust, timeline
+from ..operators import folds, gaps, relations, robust, scans, timeline
 from .inputs import GRID, HOUR, ROWS, SLOTS, grid, r6, rows, slots, table
 
 QUERIES: dict = {}
@@ -254,7 +254,7 @@ def rate_limit(spark, sf_dir):
     return folds.limit_rate(rows(spark, sf_dir), "user_id", ["i"], "value", 10.0).select("user_id", "i", six("limited"))
 
 
-_B, _A = folds.butterworth(0.1, 1.0)
+_B, _A = scans.butterworth(0.1, 1.0)
 _GAIN = sum(_B) / (1 + sum(_A))
 _Z2 = _B[2] - _A[1] * _GAIN
 _Z1 = _B[1] - _A[0] * _GAIN + _Z2
@@ -277,7 +277,7 @@ def _pass_sql(name: str, source: str) -> str:
     core AS (SELECT bw.user_id, n + 2 * least(18, n - 1) - 1 - p - least(18, n - 1) AS i, y FROM bw JOIN n USING (user_id))
     SELECT user_id, i, {r6("y")} AS smooth FROM core JOIN n USING (user_id) WHERE i BETWEEN 0 AND n - 1 UNION ALL SELECT user_id, i, {r6("value")} FROM rows_ JOIN n USING (user_id) WHERE n < 3""")
 def butterworth_filtfilt(spark, sf_dir):
-    return folds.zero_phase(rows(spark, sf_dir), "user_id", "i", "value", 0.1, 1.0).select("user_id", "i", six("smooth"))
+    return scans.zero_phase(rows(spark, sf_dir), "user_id", "i", "value", 0.1, 1.0).select("user_id", "i", six("smooth"))
 
 
 @query()

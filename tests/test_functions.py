@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import quaternions as q
 from seriesloom.functions.scalars import round_up_half, soft_clamp
 from seriesloom.functions.text import bone_class, csv_cell, normalise_word
-from seriesloom.operators import folds, gaps, lookup, relations, robust, rotations, timeline
+from seriesloom.operators import folds, gaps, lookup, relations, robust, rotations, scans, timeline
 from seriesloom.sources import records
 
 
@@ -42,11 +42,11 @@ def test_swing_and_twist_make_the_rotation(spark):
 
 def test_zero_phase(spark):
     wave = [math.sin(2 * math.pi * 1.5 * k / 30) for k in range(600)]
-    got = column(folds.zero_phase(values(spark, wave), "s", "k", "x", 7.0, 30.0), "smooth")
+    got = column(scans.zero_phase(values(spark, wave), "s", "k", "x", 7.0, 30.0), "smooth")
     assert max(abs(a - b) for a, b in zip(got[30:-30], wave[30:-30])) < 0.02
-    buzz = column(folds.zero_phase(values(spark, [(-1.0) ** k for k in range(300)]), "s", "k", "x", 7.0, 30.0), "smooth")
+    buzz = column(scans.zero_phase(values(spark, [(-1.0) ** k for k in range(300)]), "s", "k", "x", 7.0, 30.0), "smooth")
     assert max(map(abs, buzz[30:-30])) < 0.05
-    assert column(folds.zero_phase(values(spark, [1.0, 5.0]), "s", "k", "x", 7.0, 30.0), "smooth") == [1.0, 5.0]
+    assert column(scans.zero_phase(values(spark, [1.0, 5.0]), "s", "k", "x", 7.0, 30.0), "smooth") == [1.0, 5.0]
 
 
 def test_limit_rate_is_symmetric(spark):
@@ -253,3 +253,55 @@ def test_null_series_and_repeated_keys_are_kept(spark):
     texts = spark.createDataFrame([(1, "go one"), (1, "one two three"), (None, "one"), (1, "go one"), (2, None), (2, " ")], "id long, text string")
     got = sorted((str(r.id), r.place, r.text, str(r.gloss)) for r in lookup.find_phrases(texts, ["id"], "text", phrases).collect())
     assert got == sorted([("1", 0, "go", "None"), ("1", 1, "one", "None")] * 2 + [("1", 0, "one two", "PAIR"), ("1", 2, "three", "None"), ("None", 0, "one", "None")])
+
+
+def test_fits_leave_out_odd_vectors(spark):
+    """NaN, null and infinite parts; groups with nothing else get null."""
+    nan, inf = float("nan"), float("inf")
+    q = [0.0, 0.0, math.sin(0.2), math.cos(0.2)]
+    rows = [("a", q, [1.0, 0.0, 0.0]), ("a", [nan, 0.0, 0.0, 1.0], [nan, 0.0, 0.0]), ("a", None, None), ("a", [None, 0.0, 0.0, 1.0], [inf, 1.0, 1.0]), ("b", [nan] * 4, [nan] * 3), ("c", None, None), (None, q, [0.0, 0.0, -2.0])]
+    frame = spark.createDataFrame(rows, "g string, q array<double>, v array<double>")
+    means = {r.g: r.average for r in rotations.average(frame, "g", "q").collect()}
+    assert means["a"] == pytest.approx(q) and means[None] == pytest.approx(q) and means["b"] is means["c"] is None
+    axes = {r.g: r.axis for r in rotations.dominant_axis(frame, "g", "v").collect()}
+    assert axes["a"] == pytest.approx([1.0, 0.0, 0.0]) and axes[None] == pytest.approx([0.0, 0.0, 1.0]) and axes["b"] is axes["c"] is None
+    turned = [("a", [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]), ("a", [0.0, 1.0, 0.0], [-1.0, 0.0, 0.0]), ("a", [0.0, 0.0, 1.0], [0.0, 0.0, 1.0]), ("a", [nan, 0.0, 0.0], [0.0] * 3), ("a", None, [1.0] * 3), ("b", [1.0, nan, 0.0], [1.0, 0.0, 0.0]), ("c", None, None)]
+    fits = {r.g: r.rotation for r in rotations.fitted_rotation(spark.createDataFrame(turned, "g string, p array<double>, t array<double>"), "g", "p", "t").collect()}
+    assert fits["a"] == pytest.approx([0.0, 0.0, math.sqrt(0.5), math.sqrt(0.5)]) and fits["b"] is fits["c"] is None
+    assert rotations.average(frame.limit(0), "g", "q").count() == 0
+
+
+def test_dominant_axis_of_a_plain_version(spark):
+    """The line with the greatest sum of squared projections, among many directions."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(g, (rng.normal(size=3) * [3, 1, 0.5]).tolist()) for g in range(3) for _ in range(50)]
+    got = {r.g: np.array(r.axis) for r in rotations.dominant_axis(spark.createDataFrame(rows, "g int, v array<double>"), "g", "v").collect()}
+    tried = rng.normal(size=(20_000, 3))
+    tried /= np.linalg.norm(tried, axis=1)[:, None]
+    for g, axis in got.items():
+        own = np.array([v for h, v in rows if h == g])
+        best = ((own @ tried.T) ** 2).sum(axis=0).max()
+        assert abs(np.linalg.norm(axis) - 1) < 1e-9 and ((own @ axis) ** 2).sum() >= best - 1e-9
+
+
+def test_rotations_with_gaps_are_filtered(spark):
+    """A null rotation stays null; its neighbours are filtered as if it weren't there."""
+    turn = [[0.0, 0.0, math.sin(k / 80), math.cos(k / 80)] for k in range(60)]
+    gaps_ = [None if k in (0, 17, 18) else [float("nan")] * 4 if k == 30 else [-x for x in v] if k > 40 else v for k, v in enumerate(turn)]
+    frame = spark.createDataFrame([("a", k, v) for k, v in enumerate(gaps_)] + [("b", 0, None), ("b", 1, turn[5])], "s string, k int, q array<double>")
+    got = {(r.s, r.k): r.smooth for r in rotations.zero_phase(frame, "s", "k", "q", 5.0, 30.0, block=16).collect()}
+    without = spark.createDataFrame([("a", k, v) for k, v in enumerate(turn) if k not in (0, 17, 18, 30)], "s string, k int, q array<double>")
+    want = {r.k: r.smooth for r in rotations.zero_phase(without, "s", "k", "q", 5.0, 30.0).collect()}
+    for k in range(60):
+        assert (got["a", k] is None) == (k in (0, 17, 18, 30))
+        assert got["a", k] is None or got["a", k] == pytest.approx(want[k], abs=1e-9)
+    assert got["b", 0] is None and got["b", 1] == turn[5]
+
+
+def test_class_statistics_of_named_tracks(spark):
+    rows = [("b", 1, 2.0, 1.0), ("b", 1, 5.0, 1.0), ("a", 1, 5.0, 2.0), ("c", 1, 1.0, 1.0), ("d", 2, None, None)]
+    frame = spark.createDataFrame(rows, "track string, kind int, step double, acc double")
+    got = {r.kind: (r.greatest_step, r.worst_track) for r in relations.class_statistics(frame, "track", "kind", "step", "acc", 1.0).collect()}
+    assert got == {1: (5.0, "a"), 2: (None, None)}
