@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .shared import _BYTE_VALUES, _LOWER, HashIndex, _power_tables, give_back, mix64, release, settle, slices
+from .shared import _BYTE_VALUES, _LOWER, _ODD, HashIndex, _power_tables, give_back, mix64, release, settle, slices
 from .summaries import Sieve, sieve_of
 
 # Fixed values of the word rule: bytes that end words, and those among them that end pieces.
@@ -185,12 +185,43 @@ def _rows_of(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), width)
 
 
-def _windows(texts: DataFrame, shared, longest: int) -> DataFrame:
-    """``key, n, hash, lang, word``: for every place with two frequent words or more in a row, the ids of up to ``longest`` of
-    them; equal keys of a task are sorted together and counted. Besides, the frequent words that a task meets, with their strings."""
+def _pairs(words: Pieces, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a frequent word is followed by another of its piece, and 64-bit hashes of both ids."""
+    places = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0) & (words.piece[:-1] == words.piece[1:]))
+    return places, mix64(ids[places] * np.uint64(_ODD) + ids[places + 1])
+
+
+def _counted_pairs(texts: DataFrame, shared) -> DataFrame:
+    """``pair, n``: how often each pair of neighbouring frequent words occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+
+        def told() -> pa.RecordBatch:
+            found, counts = tally.merged()
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["pair", "n"])
+
+        for _, raw, salts in _slices(batches):
+            words = Pieces(raw, salts)
+            tally.add(_pairs(words, shared.value.ids(words.hash))[1])
+            if tally.size > 4 * HELD:
+                tally.merged()
+                if tally.size > 2 * HELD:
+                    yield told()
+                    tally = Tally()
+        if tally.size:
+            yield told()
+
+    return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def _windows(texts: DataFrame, shared, sifted, longest: int) -> DataFrame:
+    """``key, n, hash, lang, word``: for every place where a frequent pair of words begins, the ids of up to ``longest`` words that
+    go on by such pairs; equal keys of a task are sorted together and counted. Besides, the frequent words that a task meets, with their strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder: Coder = shared.value
+        pairs: Sieve = sifted.value
         held, size = [], 0
         known = np.zeros(0, np.uint64)
 
@@ -218,15 +249,16 @@ def _windows(texts: DataFrame, shared, longest: int) -> DataFrame:
                     [pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64()), pa.array(fresh.view(np.int64)), pa.array([langs[d] for d in words.doc[at]], pa.string()), pa.array(strings, pa.string())],
                     names=["key", "n", "hash", "lang", "word"],
                 )
-            n = len(ids)
-            window = np.zeros((n, longest), np.uint64)
-            window[:, 0] = ids
-            goes_on = ids > 0
-            for k in range(1, min(longest, n)):
-                goes_on = goes_on[: n - k] & (words.piece[k:] == words.piece[: n - k]) & (ids[k:] > 0)
-                window[: n - k, k] = np.where(goes_on, ids[k:], 0)
-            if longest > 1:
-                window = window[window[:, 1] > 0]
+            places, marks = _pairs(words, ids)
+            goes_on = np.zeros(len(ids) + longest, bool)
+            goes_on[places[pairs.passes(marks)]] = True
+            start = np.flatnonzero(goes_on)
+            window = np.zeros((len(start), longest), np.uint64)
+            window[:, 0] = ids[start]
+            on = np.ones(len(start), bool)
+            for k in range(1, longest):
+                on &= goes_on[start + k - 1]
+                window[on, k] = ids[start[on] + k]
             if len(window):
                 held.append(coder.pack(window))
                 size += len(window)
@@ -311,10 +343,11 @@ def mine_phrases(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
     with equal scores counts. A phrase inside a longer one that occurs as often is
     left out. The first ``top`` by score, count and phrase are returned.
 
-    Three passes over the texts' bytes: words are counted by hash, then windows of
-    frequent words' ids are counted per task, written, dealt by ranges of their
-    bytes, sorted, and counted by runs. A common phrase is one row a task before
-    anything is shuffled.
+    Three passes over the texts: words are counted by hash, then pairs of frequent
+    words, whose frequent ones go into a sieve of bounded size (it may let others pass,
+    which costs time only); then windows of frequent words' ids that go on by such
+    pairs are counted per task, written, dealt by ranges of their bytes, sorted, and
+    counted by runs. A common phrase is one row a task before anything is shuffled.
 
     A null text has no words, a null language is ``und``; repeated rows count each
     time; an empty table gives no rows; further columns are ignored.
@@ -328,7 +361,10 @@ def mine_phrases(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
     coder = Coder(words, frequent, dictionary)
     width = coder.width
     shared = spark.sparkContext.broadcast(coder)
-    windows = settle(_windows(texts, shared, longest), "windows")
+    # a phrase's pairs are at least as frequent as the phrase: only what goes on by frequent pairs can be one
+    pairs = settle(_counted_pairs(texts, shared).where(F.col("n") >= least).select("pair"), "pairs")
+    sifted = spark.sparkContext.broadcast(sieve_of(pairs))
+    windows = settle(_windows(texts, shared, sifted, longest), "windows")
     phrases = settle(_counted_runs(windows.where("key is not null").select("key", "n"), width, longest, least), "phrases")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,6 +412,7 @@ def mine_phrases(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
     w = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "spelt")
     ranked = kept.join(spelt, "phrase").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     out = settle(ranked.select("lang", F.col("rank").cast("long").alias("rank"), F.col("spelt").alias("phrase"), "a", "l", "r", "n", "score"), "phrases-ranked")
-    release(counted, words, windows, phrases, named)
+    release(counted, words, pairs, windows, phrases, named)
     shared.destroy()
+    sifted.destroy()
     return out
