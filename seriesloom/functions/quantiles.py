@@ -1,4 +1,4 @@
-"""The six quantile conventions of the data model, over arrays (bounded) and over groups of rows.
+"""The six quantile conventions of the data model, over arrays (bounded); over groups of any size: ``selection``.
 
 Each operator states which one it uses; they differ in how positions between two
 values and empty inputs are treated.
@@ -6,8 +6,7 @@ values and empty inputs are treated.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Turns a median absolute deviation into a standard deviation (fixed value).
@@ -46,15 +45,3 @@ def array_median_lower(values: Column) -> Column:
 def array_floor(values: Column, p: float) -> Column:
     """The element at floor(p (n - 1))."""
     return sorted_at(values, F.floor(F.lit(p) * (F.size(values) - 1)))
-
-
-def rank_quantiles(df: DataFrame, group: list[str], value: str, places: dict[str, str]) -> DataFrame:
-    """Order statistics per group without collecting the group.
-
-    ``places`` maps an output name to an SQL expression of the 0-based place in
-    terms of ``n``. Rows are ranked in one window, and only the wanted ranks are
-    picked by the aggregate. Groups without values are left out.
-    """
-    named = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
-    ranked = named.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy("_v")) - 1).withColumn("n", F.count("*").over(W.partitionBy(*group)))
-    return ranked.groupBy(*group).agg(*(F.max(F.when(F.col("_r") == F.expr(place), F.col("_v"))).alias(name) for name, place in places.items()))

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import rank_quantiles
 from ..functions.scalars import clamp
+from ..functions.selection import rank_quantiles
 from .folds import carry
 from .scans import zero_phase
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import quaternions as q
 from ..functions import text as words
 from ..functions.scalars import round_up_half
+from ..functions.selection import linear_quantiles
 from ..operators import folds, lookup, relations, rotations
 from . import inputs
 from .inputs import ROTATIONS, r6, table
@@ -223,8 +224,10 @@ def repeated_frames(spark, sf_dir):
 
 @query("""SELECT event_type, quantile_cont(value, 0.1::DOUBLE) AS p10, quantile_cont(value, 0.5::DOUBLE) AS p50, quantile_cont(value, 0.95::DOUBLE) AS p95, min(value) AS least, max(value) AS greatest FROM events GROUP BY event_type""".replace("quantile_cont(value, 0.1::DOUBLE)", r6("quantile_cont(value, 0.1::DOUBLE)")).replace("quantile_cont(value, 0.5::DOUBLE)", r6("quantile_cont(value, 0.5::DOUBLE)")).replace("quantile_cont(value, 0.95::DOUBLE)", r6("quantile_cont(value, 0.95::DOUBLE)")))
 def baseline_percentiles(spark, sf_dir):
-    told = table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", [0.1, 0.5, 0.95]).alias("p"), F.min("value").alias("least"), F.max("value").alias("greatest"))
-    return told.select("event_type", *(round_up_half(F.get("p", F.lit(k)), 6).alias(n) for k, n in enumerate(("p10", "p50", "p95"))), "least", "greatest")
+    events = table(spark, sf_dir, "events")
+    told = linear_quantiles(events, ["event_type"], "value", {"p10": 0.1, "p50": 0.5, "p95": 0.95})
+    ends = events.groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("greatest"))
+    return told.join(ends, "event_type").select("event_type", *(round_up_half(F.col(n), 6).alias(n) for n in ("p10", "p50", "p95")), "least", "greatest")
 
 
 @query("SELECT n_name, row_number() OVER (ORDER BY lower(n_name)) AS place FROM nation")

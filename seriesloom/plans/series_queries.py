@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import array_floor, array_median, array_median_lower, array_median_upper
 from ..functions.scalars import clamp, round_half_even, round_up_half, smoothstep, soft_clamp
+from ..functions.selection import linear_quantiles, rank_quantiles
 from ..operators import folds, gaps, relations, robust, scans, timeline
 from .inputs import GRID, HOUR, ROWS, SLOTS, grid, r6, rows, slots, table
 
@@ -188,14 +189,10 @@ def teleport_class(spark, sf_dir):
     SELECT event_type, {r6("(SELECT quantile_cont(e.value, 0.9::DOUBLE) FROM events e WHERE e.event_type = l.event_type)")} AS q_linear, {r6("list_aggregate(v, 'median')")} AS median_mid,
     v[len(v)//2 + 1] AS median_upper, v[(len(v) - 1)//2 + 1] AS median_lower, v[floor(0.9::DOUBLE * (len(v) - 1))::BIGINT + 1] AS q_floor FROM l""")
 def percentile_conventions(spark, sf_dir):
-    from ..functions.quantiles import rank_quantiles
-
     events = table(spark, sf_dir, "events")
     ranks = rank_quantiles(events, ["event_type"], "value", {"_a": "floor((n - 1) / 2)", "median_upper": "floor(n / 2)", "q_floor": "floor(0.9D * (n - 1))"})
-    linear = events.groupBy("event_type").agg(F.percentile("value", 0.9).alias("q_linear"))
-    both = ranks.join(linear, "event_type").withColumn("median_mid", (F.col("_a") + F.when(F.col("_a").isNotNull(), F.col("median_upper"))) / 2)
-    counts = events.groupBy("event_type").agg(F.count("value").alias("n"))
-    both = both.join(counts, "event_type").withColumn("median_mid", F.when(F.col("n") % 2 == 1, F.col("median_upper")).otherwise(F.col("median_mid")))
+    linear = linear_quantiles(events, ["event_type"], "value", {"q_linear": 0.9})
+    both = ranks.join(linear, "event_type").withColumn("median_mid", (F.col("_a") + F.col("median_upper")) / 2)
     return both.select("event_type", six("q_linear"), six("median_mid"), "median_upper", F.col("_a").alias("median_lower"), "q_floor")
 
 
@@ -390,8 +387,6 @@ def array_quantiles(spark, sf_dir):
     SELECT user_id, list_aggregate(v, 'median') AS mid, v[len(v)//2 + 1] AS upper, v[(len(v) - 1)//2 + 1] AS lower, v[floor(0.75::DOUBLE * (len(v) - 1))::BIGINT + 1] AS q75 FROM w""")
 def group_quantiles(spark, sf_dir):
     """The quantiles of ``array_quantiles`` over all events of each user, by rank: no user's events are collected."""
-    from ..functions.quantiles import rank_quantiles
-
     places = {"upper": "floor(n / 2)", "lower": "floor((n - 1) / 2)", "q75": "floor(0.75D * (n - 1))"}
     ranks = rank_quantiles(table(spark, sf_dir, "events"), ["user_id"], "value", places)
     return ranks.select("user_id", ((F.col("upper") + F.col("lower")) / 2).alias("mid"), "upper", "lower", "q75")
