@@ -43,7 +43,7 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ball_search.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50).select("query_id", "rank", "vec_id", "score")
+    return ball_search.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50).select("query_id", "rank", "vec_id", "score")  # the operator tells "compared" too; SQL could not
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

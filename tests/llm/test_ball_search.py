@@ -62,3 +62,38 @@ def test_few_rows(spark):
     assert ball_search.top_k(spark.createDataFrame([], schema)).count() == 0
     assert ball_search.top_k(spark.createDataFrame([(50, [1.0])], schema)).count() == 0
     assert [tuple(r)[:4] for r in ball_search.top_k(spark.createDataFrame([(50, [1.0]), (3, [0.5])], schema)).collect()] == [(50, 1, 3, 256 * 128)]
+
+
+def test_clustered_vectors_are_mostly_left_out(spark):
+    """Exact over eight shards and more, with products computed for less than a third of the vectors."""
+    rng = np.random.default_rng(11)
+    middles = rng.normal(size=(40, 16)) * 3
+    rows = [(k, (middles[rng.integers(40)] + rng.normal(size=16) * 0.1).astype(np.float32).tolist()) for k in range(8_000)]
+    rows += [(10_000 + k, [0.5] * 16) for k in range(2_000)]  # one vector that repeats
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    got = ball_search.top_k(frame, k=5, every=500, shard_least=500, shard_most=1_250).collect()
+    assert sorted(tuple(r)[:4] for r in got) == brute(rows, 5, 500)
+    compared = {r.query_id: r.compared for r in got}
+    share = sum(compared.values()) / len(compared) / len(rows)
+    assert share < 0.3, share
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(12)
+    for scale in (0.0, 1.0, 300.0):
+        vectors = np.floor(rng.normal(size=(3_000, 5)) * 50 + scale * rng.normal(size=5)).astype(np.int64)
+        tree = ball_search.BallTree.unpack(ball_search.BallTree.build(np.arange(3_000), vectors, leaf=16).pack())
+        queries = np.concatenate([vectors[:40], rng.integers(-99, 99, (40, 5)), np.zeros((1, 5), np.int64)]).astype(float)
+        bounds = ball_search.upper_bounds(queries, tree.centre, tree.radius, tree.nearest, tree.farthest, tree.spread)
+        for n, (low, high) in enumerate(zip(tree.low, tree.high)):
+            assert ((tree.real[low:high] @ queries.T).max(axis=0) <= bounds[:, n]).all()
+
+
+def test_shards_by_place_are_even():
+    """No shard holds much more than its share, whatever repeats."""
+    rng = np.random.default_rng(13)
+    sample = np.concatenate([np.floor(rng.normal(size=(700, 4)) * 100), np.tile([7.0, 7.0, 7.0, 7.0], (300, 1))])
+    planes = ball_search.Planes(sample, 8)
+    counts = np.bincount(planes.cell(sample), minlength=planes.cells)
+    assert counts.sum() == 1_000 and planes.cells >= 6 and (counts[counts != counts.max()] <= 200).all()
+    assert ball_search.Planes(np.ones((50, 3)), 4).cells == 1
