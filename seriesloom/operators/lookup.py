@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,18 +56,60 @@ def gloss_label(gloss: Column) -> Column:
     return F.coalesce(F.try_element_at(known, gloss), gloss)
 
 
-def find_phrases(texts: DataFrame, keys: list[str], text: str, phrases: DataFrame, longest: int = 3) -> DataFrame:
+#: A phrase table of up to so many phrases goes to every task; a larger one is joined.
+MOST_PHRASES = 100_000
+
+
+def find_phrases(texts: DataFrame, keys: list[str], text: str, phrases: DataFrame, longest: int = 3, most: int = MOST_PHRASES) -> DataFrame:
     """Per text its tokens in order: ``place`` (of the first word), ``text`` as written and ``gloss`` (null: no phrase).
 
     At every word the longest phrase that starts there wins and the next token
-    starts behind it. Candidates come from an equi-join of all n-grams with the
-    phrase table; the walk over the winners is a streamed fold. Words without a
-    letter or digit are passed over but may not stand inside a phrase. Every row is a
-    text of its own, also where keys repeat or are null; null and empty texts have no
-    tokens.
+    starts behind it. Words without a letter or digit are passed over but may not stand
+    inside a phrase. Every row is a text of its own, also where keys repeat or are null;
+    null and empty texts have no tokens. Of two glosses of one phrase the greater counts.
+
+    A phrase table of at most ``most`` rows is sent to the tasks, which walk each text where
+    it lies: nothing is shuffled. With more phrases all n-grams are joined with the table.
     """
     raw = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPACE), lambda w: w != "")
-    words = texts.select(F.struct(*keys).alias("_key"), raw.alias("_raw")).withColumn("_norm", F.transform("_raw", normalise_word)).withColumn("_id", F.monotonically_increasing_id())
+    words = texts.select(F.struct(*keys).alias("_key"), raw.alias("_raw")).withColumn("_norm", F.transform("_raw", normalise_word))
+    few = phrases.select("phrase", "gloss").limit(most + 1).collect()
+    if len(few) > most:
+        return _find_by_join(words, phrases, longest)
+    known: dict[str, str] = {}
+    for r in few:
+        if r.gloss is not None and r.phrase is not None:
+            known[r.phrase] = max(r.gloss, known.get(r.phrase, r.gloss))
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+    token = pa.list_(pa.struct([("place", pa.int32()), ("text", pa.string()), ("gloss", pa.string())]))
+
+    def tokens(norm: list[str], raw: list[str]) -> list[dict]:
+        table, out, at = shared.value, [], 0
+        while at < len(norm):
+            for n in range(min(longest, len(norm) - at), 0, -1):
+                gloss = table.get(" ".join(norm[at : at + n])) if n == 1 or "" not in norm[at : at + n] else None
+                if gloss is not None or n == 1:
+                    if norm[at]:
+                        out.append({"place": at, "text": " ".join(raw[at : at + n]), "gloss": gloss})
+                    at += n
+                    break
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1_000):
+                part = batch.slice(k, 1_000)
+                found = [tokens(n, r) for n, r in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, token)], names=["_key", "_tokens"])
+
+    schema = f"_key {words.schema['_key'].dataType.simpleString()}, _tokens array<struct<place: int, text: string, gloss: string>>"
+    walked = words.where(F.size("_raw") > 0).select("_key", "_norm", "_raw").mapInArrow(run, schema)
+    return walked.select("_key", F.explode("_tokens").alias("t")).select("_key.*", "t.place", "t.text", "t.gloss")
+
+
+def _find_by_join(words: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
+    """The same where the phrase table is too large for a task: candidates by an equi-join of all n-grams, the walk as a streamed fold."""
+    words = words.withColumn("_id", F.monotonically_increasing_id())
 
     def gram(i, n):
         return F.struct(i.alias("place"), n.alias("n"), F.array_join(F.slice("_norm", i + 1, n), " ").alias("phrase"), F.array_join(F.slice("_raw", i + 1, n), " ").alias("text"))

@@ -1,8 +1,9 @@
 """Causal filters over streams (STM-01, STM-03 for numbers, STM-04 to STM-06, STM-15), with the steps of the batch operators.
 
 State per series is a few numbers or a window of fixed size. Rows of one trigger
-are taken in time order; a row that is older than the state's time (late) is
-dropped and told in ``late``, as a causal filter cannot go back.
+are taken in time order; a row that is older than the state's time (late), or has
+none, is dropped and told in ``late``, as a causal filter cannot go back. Filters of
+rotations, and such with typed state and timers: ``typed``.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ def causal(stream: DataFrame, series: str, seconds: str, value: str, step: Calla
         rows = pd.concat(list(frames)).sort_values([seconds, value], kind="stable")
         out, late = [], []
         for t, x in zip(rows[seconds].tolist(), rows[value].tolist()):
-            old = held["t"] is not None and t < held["t"]
+            # a row without a time has no place in the order
+            old = t is None or math.isnan(t) or held["t"] is not None and t < held["t"]
             late.append(old)
             if old:
                 out.append(None)
