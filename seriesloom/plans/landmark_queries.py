@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import landmarks
 from ..functions.scalars import round_up_half
-from ..operators import calibration, folds, relations, reviewing, rotations
+from ..operators import calibration, folds, relations, reviewing, rotations, validation
+from . import series_queries
 from .inputs import ROTATIONS, r6, rows, table
 from .inputs import rotations as unit_rotations
 
@@ -215,3 +217,36 @@ def limited_turns(spark, sf_dir):
     both = rotations.limit_rate(numbers, "user_id", ["i"], "q", 10.0 / 200)
     angle = 2 * F.atan2(F.get("limited", F.lit(2)), F.get("limited", F.lit(3)))
     return both.groupBy("user_id").agg(F.count("*").alias("frames"), F.count_if(F.abs(angle * 200 - F.col("plain")) < 1e-3).alias("alike"))
+
+
+@query("SELECT * FROM (WITH w AS (SELECT p_brand AS library, p_partkey AS place, p_name AS word, p_size AS frames, (sum(p_size) OVER b - p_size)::BIGINT + CASE WHEN p_partkey % 50 = 0 THEN 1 ELSE 0 END AS start, p_size // 3 AS a, p_size // 3 AS c, p_size - 2 * (p_size // 3) + CASE WHEN p_partkey % 70 = 0 THEN 1 ELSE 0 END AS s FROM part WINDOW b AS (PARTITION BY p_brand ORDER BY p_partkey, p_name)),"
+       " n AS (SELECT *, row_number() OVER (PARTITION BY library, word ORDER BY place) AS nth, coalesce(sum(frames) OVER (PARTITION BY library ORDER BY place, word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)"
+       " SELECT library, word, 'word' AS fault FROM n WHERE nth > 1 UNION ALL SELECT library, word, 'offset' FROM n WHERE start <> before UNION ALL SELECT library, word, 'timing' FROM n WHERE frames < 2 OR a + s + c <> frames"
+       " UNION ALL SELECT library, NULL, 'values' FROM w GROUP BY library HAVING count(*) % 3 = 0)")
+def index_faults(spark, sf_dir):
+    """Parts as words of libraries by brand, with faults planted by rule (VAL-01, VAL-03)."""
+    size = F.col("p_size")
+    b = Window.partitionBy("p_brand").orderBy("p_partkey", "p_name")
+    words = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("library"), F.col("p_partkey").alias("place"), F.col("p_name").alias("word"), size.alias("frames"),
+        (F.sum(size).over(b) - size + F.when(F.col("p_partkey") % 50 == 0, 1).otherwise(0)).alias("offset"),
+        F.floor(size / 3).alias("hold_in"), F.floor(size / 3).alias("hold_out"), (size - 2 * F.floor(size / 3) + F.when(F.col("p_partkey") % 70 == 0, 1).otherwise(0)).alias("stroke"),
+    )
+    whole = words.groupBy("library").agg(F.sum("frames").alias("frames"), F.count("*").alias("_n"))
+    data = whole.select("library", F.lit(30.0).alias("fps"), F.lit(47).alias("bones"), F.lit(2).alias("variants"), "frames", (F.col("frames") * 2 * 47 * 4 + F.when(F.col("_n") % 3 == 0, 1).otherwise(0)).alias("values"))
+    return validation.index_faults(words, data)
+
+
+@query("SELECT n_name AS bone, row_number() OVER (ORDER BY n_nationkey) - 1 AS place FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")
+def controlled_order(spark, sf_dir):
+    """Nations that have customers, in the order of their keys, as bones in the order of a rig (TOP-07)."""
+    nations = table(spark, sf_dir, "nation")
+    used = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name")
+    return validation.controlled_order(used, nations, "n_name", "n_name", "n_nationkey")
+
+
+@query(series_queries.ORACLE_SQL["ema"].replace(r6("y"), "(floor(y * 1e4::DOUBLE + 0.5::DOUBLE) / 1e4::DOUBLE)"))
+def chunked_average(spark, sf_dir):
+    """An average that forgets within 120 rows, by chunks of 150 with that halo: the same as over whole series (SRC-17, SET-04)."""
+    told = validation.by_chunks(rows(spark, sf_dir), "user_id", "i", 150, 120, lambda d, s: folds.exponential_average(d, s, ["i"], "value", 0.18))
+    return told.select("user_id", "i", round_up_half(F.col("average"), 4).alias("average"))
