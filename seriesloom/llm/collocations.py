@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .shared import _BYTE_VALUES, _LOWER, _ODD, HashIndex, _power_tables, give_back, mix64, release, settle, slices
+from .shared import _BYTE_VALUES, _LOWER, HashIndex, _power_tables, give_back, mix64, release, settle, slices
 from .summaries import Sieve, sieve_of
 
 # Fixed values of the word rule: bytes that end words, and those among them that end pieces.
@@ -179,61 +179,58 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _rows_of(column: pa.Array, width: int) -> np.ndarray:
-    """An Arrow array of byte strings of one width as rows."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), width)
+_CODEC = "zstd"
 
 
-def _pairs(words: Pieces, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a frequent word is followed by another of its piece, and 64-bit hashes of both ids."""
-    places = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0) & (words.piece[:-1] == words.piece[1:]))
-    return places, mix64(ids[places] * np.uint64(_ODD) + ids[places + 1])
+def pack_block(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys and their counts (below 2**32) in few bytes: the keys' first bytes together, then their second ones, and so on."""
+    planes = pa.compress(np.ascontiguousarray(keys.T).tobytes(), _CODEC, asbytes=True)
+    times = pa.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), _CODEC, asbytes=True)
+    return len(keys).to_bytes(8, "little") + len(planes).to_bytes(8, "little") + planes + times
 
 
-def _counted_pairs(texts: DataFrame, shared) -> DataFrame:
-    """``pair, n``: how often each pair of neighbouring frequent words occurs."""
+def unpack_block(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    n, size = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:16], "little")
+    planes = np.frombuffer(pa.decompress(raw[16 : 16 + size], n * width, _CODEC), np.uint8).reshape(width, n)
+    times = np.frombuffer(pa.decompress(raw[16 + size :], n * 4, _CODEC), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T), np.ascontiguousarray(times.T).view("<u4").ravel().astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
 
-        def told() -> pa.RecordBatch:
-            found, counts = tally.merged()
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["pair", "n"])
+def sum_equal(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each occurs (or the sum of its counts): a radix sort, then runs."""
+    order = radix_order(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+    sums = np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts[order], first)
+    return keys[first], sums
 
-        for _, raw, salts in _slices(batches):
-            words = Pieces(raw, salts)
-            tally.add(_pairs(words, shared.value.ids(words.hash))[1])
-            if tally.size > 4 * HELD:
-                tally.merged()
-                if tally.size > 2 * HELD:
-                    yield told()
-                    tally = Tally()
-        if tally.size:
-            yield told()
 
-    return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+#: Of each block so many keys tell where ranges are cut, and of all blocks at most about so many.
+BLOCK_SAMPLE, MOST_SAMPLE = 64, 1 << 16
+#: Keys of a range, about: what a task sorts at once.
+RANGE_KEYS = 1 << 21
 
 
-def _windows(texts: DataFrame, shared, sifted, longest: int) -> DataFrame:
-    """``key, n, hash, lang, word``: for every place where a frequent pair of words begins, the ids of up to ``longest`` words that
-    go on by such pairs; equal keys of a task are sorted together and counted. Besides, the frequent words that a task meets, with their strings."""
+def _windows(texts: DataFrame, shared, longest: int) -> DataFrame:
+    """``block, keys, sample, hash, lang, word``: windows of ids, sorted and counted together in blocks.
+
+    Every place where two frequent words or more follow each other gives a window: the
+    ids of up to ``longest`` of them, zeros behind. A block holds a task's windows since
+    its last one; ``keys`` tells how many, ``sample`` holds some of them. Besides, the
+    frequent words that a task meets, with their strings.
+    """
+    names = ["block", "keys", "sample", "hash", "lang", "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder: Coder = shared.value
-        pairs: Sieve = sifted.value
         held, size = [], 0
         known = np.zeros(0, np.uint64)
 
-        def told(blocks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate(blocks)
-            keys = keys[radix_order(keys)]
-            first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-            counts = np.diff(np.append(first, len(keys)))
-            for k in range(0, len(first), 50_000):
-                rows = keys[first[k : k + 50_000]]
-                none = pa.nulls(len(rows), pa.string())
-                yield pa.RecordBatch.from_arrays([_binary(rows), pa.array(counts[k : k + 50_000]), pa.nulls(len(rows), pa.int64()), none, none], names=["key", "n", "hash", "lang", "word"])
+        def told() -> pa.RecordBatch:
+            keys, counts = sum_equal(np.concatenate(held))
+            some = keys[np.linspace(0, len(keys) - 1, min(len(keys), BLOCK_SAMPLE)).astype(np.int64)]
+            none = pa.nulls(1, pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([pack_block(keys, counts)], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([some.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), none, none], names=names)
 
         for langs, raw, salts in _slices(batches):
             words = Pieces(raw, salts)
@@ -246,12 +243,14 @@ def _windows(texts: DataFrame, shared, sifted, longest: int) -> DataFrame:
                 known = np.union1d(known, fresh) if len(known) < 4 * HELD else fresh
                 strings = [words.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.start[at], words.end[at])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64()), pa.array(fresh.view(np.int64)), pa.array([langs[d] for d in words.doc[at]], pa.string()), pa.array(strings, pa.string())],
-                    names=["key", "n", "hash", "lang", "word"],
-                )
-            places, marks = _pairs(words, ids)
+                    [
+                        pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()),
+                        pa.array(fresh.view(np.int64)), pa.array([langs[d] for d in words.doc[at]], pa.string()), pa.array(strings, pa.string()),
+                    ],
+                    names=names,
+                )
             goes_on = np.zeros(len(ids) + longest, bool)
-            goes_on[places[pairs.passes(marks)]] = True
+            goes_on[: max(len(ids) - 1, 0)] = (ids[:-1] > 0) & (ids[1:] > 0) & (words.piece[:-1] == words.piece[1:])
             start = np.flatnonzero(goes_on)
             window = np.zeros((len(start), longest), np.uint64)
             window[:, 0] = ids[start]
@@ -263,69 +262,78 @@ def _windows(texts: DataFrame, shared, sifted, longest: int) -> DataFrame:
                 held.append(coder.pack(window))
                 size += len(window)
                 if size > HELD:
-                    yield from told(held)
+                    yield told()
                     held, size = [], 0
         if held:
-            yield from told(held)
+            yield told()
         give_back()
 
-    return texts.mapInArrow(run, "key binary, n long, hash long, lang string, word string")
+    return texts.mapInArrow(run, "block binary, keys long, sample binary, hash long, lang string, word string")
 
 
-def _counted_runs(keys: DataFrame, width: int, longest: int, least: int) -> DataFrame:
-    """``phrase, a``: how often each phrase of two words or more occurs, if at least ``least`` times, from windows in key order.
+def _counted_runs(blocks: DataFrame, width: int, longest: int, least: int) -> DataFrame:
+    """``phrase, a``: how often each phrase of two words or more occurs, if at least ``least`` times, from blocks of windows.
 
-    A phrase's occurrences are the windows that begin with it, which lie side by side
-    in sorted ranges: one run of its bytes. Runs that touch a range's edge may go on
-    in the next range and are summed afterwards, so that a range may end anywhere and
-    no phrase, however frequent, has to lie in one task.
+    Blocks are cut at bounds that a sample of their keys gives, so ranges hold about as many
+    keys, a common phrase being one key a block. A range is sorted as a whole. A phrase's
+    occurrences are the windows that begin with it, which lie side by side: one run of
+    its bytes. Runs at a range's edges may go on in the next one and are summed
+    afterwards, so no phrase, however frequent, has to lie in one task.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of each length: the last run's bytes, its count so far, and whether it is the first of the range
-        open_runs: dict[int, tuple[bytes, int, bool]] = {}
-
-        def told(found: list[tuple[bytes, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64())], names=["phrase", "a"])
-
+    spark = blocks.sparkSession
+    row = width * longest
+    total, many = blocks.agg(F.sum("keys"), F.count("*")).first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(tasks, -(-(total or 0) // RANGE_KEYS))
+    share = MOST_SAMPLE / max(1, many * BLOCK_SAMPLE)
+    some = blocks.select("sample") if share >= 1 else blocks.select("sample").sample(share, seed=5)
+    found = np.concatenate([np.zeros((0, row), np.uint8), *(np.frombuffer(r[0], np.uint8).reshape(-1, row) for r in some.collect())])
+    found = found[radix_order(found)]
+    bounds = np.unique(np.ascontiguousarray(found[np.linspace(0, len(found) - 1, ranges + 1).astype(np.int64)[1:-1]]).view(f"S{row}").ravel()) if len(found) else np.zeros(0, f"S{row}")
+    shared = spark.sparkContext.broadcast(bounds)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = _rows_of(batch.column(0), width * longest)
-            counts = batch.column(1).to_numpy()
-            differ = (rows[1:] != rows[:-1]).reshape(len(rows) - 1, longest, width).any(axis=2)
-            present = rows.reshape(len(rows), longest, width).any(axis=2)
-            changed = differ[:, 0] if len(differ) else np.zeros(0, bool)
-            found: list[tuple[bytes, int]] = []
-            for k in range(1, longest):
-                changed = changed | differ[:, k]
+            for raw in batch.column(0):
+                keys, counts = unpack_block(raw.as_py(), row)
+                # fixed-width strings of bytes compare like the rows
+                edges = [0, *np.searchsorted(keys.view(f"S{row}").ravel(), shared.value, side="left").tolist(), len(keys)]
+                parts = [(k, pack_block(keys[a:b], counts[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["range", "block"])
+
+    def runs_of(held: list[bytes]) -> pa.RecordBatch:
+        parts = [unpack_block(raw, row) for raw in held]
+        keys, counts = sum_equal(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        changed = np.zeros(len(keys) - 1, bool)
+        phrases, times = [], []
+        differ = (keys[1:] != keys[:-1]).reshape(len(keys) - 1, longest, width).any(axis=2)
+        for k in range(longest):
+            changed = changed | differ[:, k]
+            if k:
                 first = np.concatenate([[0], np.flatnonzero(changed) + 1])
                 sums = np.add.reduceat(counts, first)
-                inside = present[first, k]
-                size = (k + 1) * width
-                head, is_first = rows[0, :size].tobytes(), size not in open_runs
-                if not is_first and open_runs[size][0] == head:
-                    sums[0] += open_runs[size][1]
-                    is_first = open_runs[size][2]
-                elif not is_first:
-                    before, n, edge = open_runs[size]
-                    if (edge or n >= least) and any(before[-width:]):
-                        found.append((before, n))
-                last = len(first) - 1
-                good = inside[:last] & (sums[:last] >= least)
-                if last and is_first and inside[0]:
-                    good[0] = True
-                found += [(rows[first[i], :size].tobytes(), int(sums[i])) for i in np.flatnonzero(good)]
-                open_runs[size] = (rows[first[last], :size].tobytes(), int(sums[last]), is_first and last == 0)
-            if found:
-                yield told(found)
-        left = [(b, n) for b, n, _ in open_runs.values() if any(b[-width:])]
-        if left:
-            yield told(left)
-
-    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = keys.repartitionByRange(tasks, "key").sortWithinPartitions("key")
-    return ranges.mapInArrow(run, "phrase binary, a long").groupBy("phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+                good = sums >= least
+                good[[0, -1]] = True
+                good &= keys[first][:, k * width : (k + 1) * width].any(axis=1)
+                phrases += [keys[f, : (k + 1) * width].tobytes() for f in first[good]]
+                times.append(sums[good])
+        return pa.RecordBatch.from_arrays([pa.array(phrases, pa.binary()), pa.array(np.concatenate(times), pa.int64())], names=["phrase", "a"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if held and number != current:
+                    yield runs_of(held)
+                    held = []
+                current = number
+                held.append(raw.as_py())
+        if held:
+            yield runs_of(held)
+        give_back()
+
+    dealt = blocks.select("block").mapInArrow(cut, "range int, block binary").repartition(min(ranges, 4 * tasks), "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(run, "phrase binary, a long").groupBy("phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def _checked(df: DataFrame, rows: int) -> DataFrame:
@@ -343,11 +351,10 @@ def mine_phrases(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
     with equal scores counts. A phrase inside a longer one that occurs as often is
     left out. The first ``top`` by score, count and phrase are returned.
 
-    Three passes over the texts: words are counted by hash, then pairs of frequent
-    words, whose frequent ones go into a sieve of bounded size (it may let others pass,
-    which costs time only); then windows of frequent words' ids that go on by such
-    pairs are counted per task, written, dealt by ranges of their bytes, sorted, and
-    counted by runs. A common phrase is one row a task before anything is shuffled.
+    Two passes over the texts: words are counted by hash, then windows of frequent
+    words' ids are sorted and counted in blocks per task. Blocks are written, cut into
+    ranges of their keys, dealt by range, sorted, and counted by runs; what is shuffled
+    are packed arrays of keys. A common phrase is one key a block.
 
     A null text has no words, a null language is ``und``; repeated rows count each
     time; an empty table gives no rows; further columns are ignored.
@@ -361,11 +368,8 @@ def mine_phrases(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
     coder = Coder(words, frequent, dictionary)
     width = coder.width
     shared = spark.sparkContext.broadcast(coder)
-    # a phrase's pairs are at least as frequent as the phrase: only what goes on by frequent pairs can be one
-    pairs = settle(_counted_pairs(texts, shared).where(F.col("n") >= least).select("pair"), "pairs")
-    sifted = spark.sparkContext.broadcast(sieve_of(pairs))
-    windows = settle(_windows(texts, shared, sifted, longest), "windows")
-    phrases = settle(_counted_runs(windows.where("key is not null").select("key", "n"), width, longest, least), "phrases")
+    windows = settle(_windows(texts, shared, longest), "windows")
+    phrases = settle(_counted_runs(windows.where("block is not null").select("block", "keys", "sample"), width, longest, least), "phrases")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,7 +378,7 @@ def mine_phrases(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
                 yield pa.RecordBatch.from_arrays([_binary(shared.value.pack(shared.value.ids(hashes)[:, None])), *batch.columns[1:]], names=["part", *batch.schema.names[1:]])
 
     # of a sieve's words those that are not frequent drop out in the join with the counts
-    named = windows.where("key is null").select("hash", "lang", "word").dropDuplicates(["hash"])
+    named = windows.where("block is null").select("hash", "lang", "word").dropDuplicates(["hash"])
     named = named.join(words, "hash").join(_checked(totals, languages), "lang").select("hash", "lang", "word", "n", "total")
     named = settle(named.mapInArrow(coded, "part binary, lang string, word string, n long, total long"), "named")
 
@@ -412,7 +416,6 @@ def mine_phrases(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
     w = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "spelt")
     ranked = kept.join(spelt, "phrase").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     out = settle(ranked.select("lang", F.col("rank").cast("long").alias("rank"), F.col("spelt").alias("phrase"), "a", "l", "r", "n", "score"), "phrases-ranked")
-    release(counted, words, pairs, windows, phrases, named)
+    release(counted, words, windows, phrases, named)
     shared.destroy()
-    sifted.destroy()
     return out

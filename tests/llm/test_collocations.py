@@ -82,8 +82,20 @@ def test_runs_over_ranges(spark):
     assert told(collocations.mine_phrases(frame, least=5)) == plain(rows, least=5)
 
 
+def test_many_ranges(spark, rows, monkeypatch):
+    monkeypatch.setattr(collocations, "RANGE_KEYS", 40)
+    monkeypatch.setattr(collocations, "HELD", 200)
+    monkeypatch.setattr(collocations, "MOST_SAMPLE", 300)
+    frame = spark.createDataFrame([(g, t) for g, t in rows], "lang string, text string").repartition(4)
+    assert told(collocations.mine_phrases(frame, least=2)) == plain(rows, least=2)
+
+
 def test_radix_order_and_packing():
     rng = np.random.default_rng(4)
+    keys, counts = collocations.sum_equal(rng.integers(0, 4, (900, 5), dtype=np.uint8))
+    back = collocations.unpack_block(collocations.pack_block(keys, counts), 5)
+    assert (back[0] == keys).all() and (back[1] == counts).all() and counts.sum() == 900
+    assert (np.sort(keys.view("S5").ravel()) == keys.view("S5").ravel()).all()
     keys = rng.integers(0, 3, (500, 7), dtype=np.uint8)
     assert [bytes(k) for k in keys[collocations.radix_order(keys)]] == sorted(bytes(k) for k in keys)
     coder = collocations.Coder.__new__(collocations.Coder)
