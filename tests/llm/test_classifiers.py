@@ -119,3 +119,63 @@ def test_bundles_against_one_by_one(monkeypatch):
         for v, n, text in zip(vectors, counts, texts):
             want, grams_of = slow(text)
             assert n == grams_of and np.allclose(v, want, atol=1e-3), text
+
+
+def plain_statistics(text: bytes) -> dict[str, float]:
+    """The statistics of one text, byte by byte and word by word."""
+    import math
+    from collections import Counter
+
+    words, n = [w for w in __import__("re").split(rb"[ \t\n\x0b\x0c\r]+", text) if w], len(text)
+    lower = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+    some = max(len(words), 1)
+    count = lambda good: sum(map(good, text)) / max(n, 1)
+    share = lambda good: sum(map(good, words)) / some
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / some
+    pairs = Counter(zip(lower, lower[1:]))
+    lines = [tuple(bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in __import__("re").split(rb"[ \t\n\x0b\x0c\r]+", line) if w) for line in text.split(b"\n")]
+    lines = [line for line in lines if line]
+    symbols, letters = b"!#$%&*+/<=>@[\\]^_`{|}~", lambda w: [b for b in w if 65 <= b <= 90 or 97 <= b <= 122]
+    return {
+        "log_bytes": math.log1p(n), "log_words": math.log1p(len(words)), "mean_word": mean, "sd_word": math.sqrt(max(0.0, sum(x * x for x in lengths) / some - mean * mean)), "longest_word": math.log1p(max(lengths, default=0)),
+        "upper": count(lambda b: 65 <= b <= 90), "digit": count(lambda b: 48 <= b <= 57), "space": count(lambda b: b in b" \t\n\x0b\x0c\r"), "punct": count(lambda b: b in b".,;:'\"()-?"), "symbol": count(lambda b: b in symbols), "high": count(lambda b: b >= 128),
+        "exclaim": share(lambda w: w.endswith(b"!")), "pipe_words": share(lambda w: w == b"|"), "symbol_end": share(lambda w: w[-1] in symbols), "distinct_words": len(set(lower)) / some, "top_word": max(Counter(lower).values(), default=0) / some,
+        "repeat_next": sum(a == b for a, b in zip(lower, lower[1:])) / some, "upper_words": share(lambda w: len(letters(w)) > 1 and all(b <= 90 for b in letters(w))), "lines_per_word": len(lines) / some, "distinct_lines": len(set(lines)) / max(len(lines), 1),
+        "short_lines": sum(len(line) <= 3 for line in lines) / max(len(lines), 1), "stop_end": share(lambda w: w.endswith(b".")), "distinct_pairs": len(pairs) / max(len(words) - 1, 1), "top_pair": max(pairs.values(), default=0) / max(len(words) - 1, 1),
+        "digit_words": share(lambda w: any(48 <= b <= 57 for b in w)),
+    }
+
+
+def test_statistics_against_plain(spark):
+    texts = [(t or "").encode() for _, t, _ in odd.texts()] + [r.text.encode() for r in odd.documents(spark).limit(60).collect()]
+    texts += [b"| a | B!\n\nb b b\n B! |x| A1 2B end.\nend.\r\n", b"!", b"\n", b"AB ab Ab AB 12 1a"]
+    got = quality.statistics(texts)
+    for row, text in zip(got, texts):
+        want = plain_statistics(text)
+        for k, name in enumerate(quality.FEATURES):
+            assert abs(row[k] - want[name]) < 1e-9, (name, row[k], want[name], text[:80])
+
+
+def test_predictions_against_plain(spark):
+    """Prototypes as sums of all taught texts' vectors, one by one, and the nearest of them by cosine."""
+    docs = [(r.doc_id, r.text, r.lang) for r in odd.documents(spark).limit(80).collect()] + [r for r in odd.texts() if r[0] != 6]
+    sums = {}
+    for key, text, lang in docs:
+        if text is not None and lang is not None and not (key is not None and zlib.crc32(str(key).encode()) % 4 == 2):
+            vector = hyperlang.document_vectors([text])[0][0].astype(float)
+            sums[lang] = sums.get(lang, 0) + vector
+    names = sorted(n for n, v in sums.items() if np.linalg.norm(v) > 0)
+    want = []
+    for key, text, _ in docs:
+        vectors, grams = hyperlang.document_vectors([text or ""])
+        v = vectors[0].astype(float)
+        if not grams[0]:
+            want.append((str(key), "und", 0.0))
+            continue
+        cosines = [v @ sums[n] / np.linalg.norm(v) / np.linalg.norm(sums[n]) for n in names]
+        want.append((str(key), names[int(np.argmax(cosines))], max(0.0, max(cosines))))
+    got = [(str(r.doc_id), r.lang_pred, r.score) for r in hyperlang.predict_languages(odd.frame(spark, docs)).collect()]
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got), sorted(want)):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4, (a, b)
