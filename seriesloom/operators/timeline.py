@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import round_up_half
+from ..functions.selection import linear_quantiles
 
 
 def number_rows(df: DataFrame, series: str, order: list[str], name: str = "i") -> DataFrame:
@@ -56,12 +57,14 @@ def dense_grid(slots: DataFrame, series: str, columns: list[str]) -> DataFrame:
 def timing_report(df: DataFrame, series: str, order: list[str], seconds: str, nominal: float | None = None) -> DataFrame:
     """Per series: rows, average rate, least and greatest step, repeated times, variable rate, gaps over 1.5 nominal steps.
 
-    Without a nominal step the series' median step serves.
+    Without a nominal step the series' median step serves, found by rank (see ``selection``).
+    A null time has no step; a series of one row has no steps and no gaps. An empty table gives no rows.
     """
     w = W.partitionBy(series).orderBy(*order)
     steps = df.select(series, F.col(seconds).alias("_t"), (F.col(seconds) - F.lag(seconds).over(w)).alias("_d"))
     if nominal is None:
-        steps = steps.withColumn("_n", F.percentile("_d", 0.5).over(W.partitionBy(series)))
+        usual = linear_quantiles(steps, [series], "_d", {"_n": 0.5}).withColumnRenamed(series, "_s")
+        steps = steps.join(usual, F.col(series).eqNullSafe(F.col("_s")), "left").drop("_s")
     else:
         steps = steps.withColumn("_n", F.lit(nominal))
     span = F.max("_t") - F.min("_t")
