@@ -7,7 +7,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from seriesloom.operators import rollups, skeleton, templates
 
