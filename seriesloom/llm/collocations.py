@@ -72,37 +72,44 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list
     give_back()
 
 
+def _spelt(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte ranges of ``data`` as an Arrow array of strings."""
+    sizes = end - start
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    own = data[np.repeat(start - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(own)])
+
+
 class Tally:
-    """Counts of 64-bit values, merged whenever many have come together."""
+    """Counts of distinct words by hash, with their languages and spellings, merged whenever many have come together."""
 
     def __init__(self) -> None:
-        self.values, self.counts = [], []
         self.size = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]] = []
 
-    def add(self, values: np.ndarray) -> None:
-        found, counts = np.unique(values, return_counts=True)
-        self.values.append(found)
-        self.counts.append(counts)
+    def add(self, words: Pieces, langs: list[str]) -> None:
+        found, first, counts = np.unique(words.hash, return_index=True, return_counts=True)
+        self.parts.append((found, counts, pa.array(langs, pa.string()).take(pa.array(words.doc[first])), _spelt(words.data, words.start[first], words.end[first])))
         self.size += len(found)
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        values = np.concatenate(self.values) if self.values else np.zeros(0, np.uint64)
-        counts = np.concatenate(self.counts) if self.counts else np.zeros(0, np.int64)
-        found, place = np.unique(values, return_inverse=True)
+    def merge(self) -> None:
+        hashes, counts = (np.concatenate([p[k] for p in self.parts]) for k in range(2))
+        found, first, place = np.unique(hashes, return_index=True, return_inverse=True)
         counts = np.bincount(place, counts, len(found)).astype(np.int64)
-        self.values, self.counts, self.size = [found], [counts], len(found)
-        return found, counts
+        self.parts = [(found, counts, *(pa.concat_arrays([p[k] for p in self.parts]).take(pa.array(first)) for k in (2, 3)))]
+        self.size = len(found)
+
+    def rows(self) -> pa.RecordBatch:
+        self.merge()
+        ((_, counts, langs, words),) = self.parts
+        return pa.RecordBatch.from_arrays([langs, words, pa.array(counts)], names=["lang", "word", "n"])
 
 
 def _counted_words(texts: DataFrame) -> DataFrame:
-    """``hash, lang, n``: occurrences of each word (without lang), and each language's number of words (without hash)."""
+    """``lang, word, n``: how often each word occurs in each language, and without a word each language's number of words."""
 
-    def rows(hashes: np.ndarray | None, langs: list[str] | None, counts) -> pa.RecordBatch:
-        size = len(counts)
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(size, pa.int64()) if hashes is None else pa.array(hashes.view(np.int64)), pa.nulls(size, pa.string()) if langs is None else pa.array(langs, pa.string()), pa.array(counts, pa.int64())],
-            names=["hash", "lang", "n"],
-        )
+    def totals_of(totals: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, totals = Tally(), {}
@@ -110,22 +117,35 @@ def _counted_words(texts: DataFrame) -> DataFrame:
             words = Pieces(raw, salts)
             for lang, n in zip(langs, np.bincount(words.doc, minlength=len(langs)).tolist()):
                 totals[lang] = totals.get(lang, 0) + n
-            tally.add(words.hash)
+            if len(words.hash):
+                tally.add(words, langs)
             if tally.size > 2 * HELD:
-                found, counts = tally.merged()
-                if len(found) > HELD:
-                    yield rows(found, None, counts)
+                tally.merge()
+                if tally.size > HELD:
+                    yield tally.rows()
                     tally = Tally()
             if len(totals) > HELD:
-                yield rows(None, list(totals), list(totals.values()))
+                yield totals_of(totals)
                 totals = {}
-        found, counts = tally.merged()
-        if len(found):
-            yield rows(found, None, counts)
+        if tally.size:
+            yield tally.rows()
         if totals:
-            yield rows(None, list(totals), list(totals.values()))
+            yield totals_of(totals)
+
+    return texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
 
-    return texts.mapInArrow(run, "hash long, lang string, n long").groupBy("hash", "lang").agg(F.sum("n").alias("n"))
+def _hashed(words: DataFrame) -> DataFrame:
+    """The words with the ``hash`` that they have in texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                salts = np.array([_salt(x) for x in batch.column(0).to_pylist()], np.uint64)
+                own = Pieces(batch.column(1).cast(pa.binary()).to_pylist(), salts)
+                yield pa.RecordBatch.from_arrays([pa.array(own.hash.view(np.int64)), *batch.columns], names=["hash", "lang", "word", "n"])
+
+    return words.select("lang", "word", "n").mapInArrow(run, "hash long, lang string, word string, n long")
 
 
 class Coder:
@@ -206,49 +226,31 @@ def sum_equal(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nd
 
 
 #: Of each block so many keys tell where ranges are cut, and of all blocks at most about so many.
-BLOCK_SAMPLE, MOST_SAMPLE = 64, 1 << 16
+BLOCK_SAMPLE, MOST_SAMPLE = 256, 1 << 17
 #: Keys of a range, about: what a task sorts at once.
 RANGE_KEYS = 1 << 21
 
 
 def _windows(texts: DataFrame, shared, longest: int) -> DataFrame:
-    """``block, keys, sample, hash, lang, word``: windows of ids, sorted and counted together in blocks.
+    """``block, keys, sample``: windows of ids, sorted and counted together in blocks.
 
     Every place where two frequent words or more follow each other gives a window: the
     ids of up to ``longest`` of them, zeros behind. A block holds a task's windows since
-    its last one; ``keys`` tells how many, ``sample`` holds some of them. Besides, the
-    frequent words that a task meets, with their strings.
+    its last one; ``keys`` tells how many, ``sample`` holds some of them.
     """
-    names = ["block", "keys", "sample", "hash", "lang", "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder: Coder = shared.value
         held, size = [], 0
-        known = np.zeros(0, np.uint64)
 
         def told() -> pa.RecordBatch:
             keys, counts = sum_equal(np.concatenate(held))
             some = keys[np.linspace(0, len(keys) - 1, min(len(keys), BLOCK_SAMPLE)).astype(np.int64)]
-            none = pa.nulls(1, pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([pack_block(keys, counts)], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([some.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), none, none], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([pack_block(keys, counts)], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([some.tobytes()], pa.binary())], names=["block", "keys", "sample"])
 
-        for langs, raw, salts in _slices(batches):
+        for _, raw, salts in _slices(batches):
             words = Pieces(raw, salts)
             ids = coder.ids(words.hash)
-            frequent = np.flatnonzero(ids)
-            fresh, at = np.unique(words.hash[frequent], return_index=True)
-            new = ~np.isin(fresh, known)
-            if new.any():
-                fresh, at = fresh[new], frequent[at[new]]
-                known = np.union1d(known, fresh) if len(known) < 4 * HELD else fresh
-                strings = [words.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.start[at], words.end[at])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()),
-                        pa.array(fresh.view(np.int64)), pa.array([langs[d] for d in words.doc[at]], pa.string()), pa.array(strings, pa.string()),
-                    ],
-                    names=names,
-                )
             goes_on = np.zeros(len(ids) + longest, bool)
             goes_on[: max(len(ids) - 1, 0)] = (ids[:-1] > 0) & (ids[1:] > 0) & (words.piece[:-1] == words.piece[1:])
             start = np.flatnonzero(goes_on)
@@ -268,7 +270,7 @@ def _windows(texts: DataFrame, shared, longest: int) -> DataFrame:
             yield told()
         give_back()
 
-    return texts.mapInArrow(run, "block binary, keys long, sample binary, hash long, lang string, word string")
+    return texts.mapInArrow(run, "block binary, keys long, sample binary")
 
 
 def _counted_runs(blocks: DataFrame, width: int, longest: int, least: int) -> DataFrame:
@@ -362,14 +364,14 @@ def mine_phrases(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     counted = settle(_counted_words(texts), "words")
-    totals = counted.where("hash is null").select("lang", F.col("n").alias("total"))
-    words = settle(counted.where((F.col("n") >= least) & F.col("hash").isNotNull()).select("hash", "n"), "frequent")
+    totals = counted.where("word is null").select("lang", F.col("n").alias("total"))
+    words = settle(_hashed(counted.where((F.col("n") >= least) & F.col("word").isNotNull())), "frequent")
     frequent, languages = words.count(), totals.count()
     coder = Coder(words, frequent, dictionary)
     width = coder.width
     shared = spark.sparkContext.broadcast(coder)
     windows = settle(_windows(texts, shared, longest), "windows")
-    phrases = settle(_counted_runs(windows.where("block is not null").select("block", "keys", "sample"), width, longest, least), "phrases")
+    phrases = settle(_counted_runs(windows, width, longest, least), "phrases")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,9 +379,7 @@ def mine_phrases(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
             if len(hashes):
                 yield pa.RecordBatch.from_arrays([_binary(shared.value.pack(shared.value.ids(hashes)[:, None])), *batch.columns[1:]], names=["part", *batch.schema.names[1:]])
 
-    # of a sieve's words those that are not frequent drop out in the join with the counts
-    named = windows.where("block is null").select("hash", "lang", "word").dropDuplicates(["hash"])
-    named = named.join(words, "hash").join(_checked(totals, languages), "lang").select("hash", "lang", "word", "n", "total")
+    named = words.join(_checked(totals, languages), "lang").select("hash", "lang", "word", "n", "total")
     named = settle(named.mapInArrow(coded, "part binary, lang string, word string, n long, total long"), "named")
 
     # parts' counts: of single words from the table of words, of others from the phrases
