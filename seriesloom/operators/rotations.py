@@ -17,6 +17,7 @@ from ..functions.scalars import wrap_angle
 from . import scans
 from .folds import LEAST_DT, USUAL_DT, carry
 from .identities import finite_or_null
+from .timeline import around
 
 
 def align(df: DataFrame, series: str, order: str, rotation: str) -> DataFrame:
@@ -55,14 +56,8 @@ def numeric_checks(df: DataFrame, series: str, order: str, rotation: str) -> Dat
 
 
 def sample_rotation(points: DataFrame, samples: DataFrame, series: str, seconds: str, rotation: str, period: float) -> DataFrame:
-    """The rotation at any time, along the arc between the samples around it; held at both ends. See ``timeline.sample_at``."""
-    last = samples.groupBy(series).agg(F.max("k").alias("_last"))
-    exact = F.greatest(F.least(F.col(seconds) / F.lit(period), F.col("_last").cast("double")), F.lit(0.0))
-    asked = points.join(last, series).withColumn("_x", exact).withColumn("k", F.floor("_x").cast("long")).withColumn("_k1", F.least(F.col("k") + 1, F.col("_last")))
-    low = samples.select(series, "k", F.col(rotation).alias("_q0"))
-    high = samples.select(series, F.col("k").alias("_k1"), F.col(rotation).alias("_q1"))
-    both = asked.join(low, [series, "k"], "left").join(high, [series, "_k1"], "left")
-    return both.withColumn(rotation, slerp(F.col("_q0"), F.col("_q1"), F.col("_x") - F.col("k"))).drop("_last", "_x", "_k1", "_q0", "_q1", "k")
+    """The rotation at any time, along the arc between the samples around it; held at both ends. See ``timeline.around``."""
+    return around(points, samples, series, seconds, rotation, period, slerp)
 
 
 def _of_moments(moments: DataFrame, keys: str, size: int, name: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,6 +36,9 @@ def to_slots(df: DataFrame, series: str, place: str, seconds: str, period: float
 #: Slots that one row of the grid lists at once.
 GRID_CHUNK = 4_096
 
+#: No slot lies beyond this one (the last whole number that a double tells from the next).
+FARTHEST = float(2**53)
+
 
 def dense_grid(slots: DataFrame, series: str, columns: list[str]) -> DataFrame:
     """A row for every slot from 0 to the series' last, with nulls where no frame lies.
@@ -94,21 +99,34 @@ def nearest_source(grid: DataFrame, series: str, source: str, seconds: str, peri
     return out.withColumn("shows", F.when(F.coalesce(use_after, F.lit(False)), F.col("_a.source")).otherwise(F.col("_b.source"))).drop("_a", "_b")
 
 
-def sample_at(points: DataFrame, samples: DataFrame, series: str, seconds: str, value: str, period: float) -> DataFrame:
-    """The series' value at any time, between the two samples around it, held at both ends.
+def around(points: DataFrame, samples: DataFrame, series: str, seconds: str, value: str, period: float, made: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """``points`` with ``value``: ``made`` of the samples in the slots before and after each point's time, and the share of the way.
 
-    Times become slots, so the look-up is two equi-joins and no range join. ``samples`` has one row per slot ``k``.
-    Points of a null series, or of one without samples, are left out.
+    ``samples`` has one row per slot ``k``. Times before slot 0 are at it, times after the
+    series' last slot (null ones too) at that one; a slot without a sample gives null. Points of a
+    null series, or of one without samples, are left out. One sort of both sides together:
+    no join, so nothing is broadcast however small the planner takes the samples for.
     """
-    last = samples.groupBy(series).agg(F.max("k").alias("_last"))
-    asked = points.join(last, series)
-    exact = F.greatest(F.least(F.col(seconds) / F.lit(period), F.col("_last").cast("double")), F.lit(0.0))
-    asked = asked.withColumn("_x", exact).withColumn("k", F.floor("_x").cast("long"))
-    asked = asked.withColumn("_k1", F.least(F.col("k") + 1, F.col("_last")))
-    low = samples.select(series, "k", F.col(value).alias("_v0"))
-    high = samples.select(series, F.col("k").alias("_k1"), F.col(value).alias("_v1"))
-    both = asked.join(low, [series, "k"], "left").join(high, [series, "_k1"], "left")
-    return both.withColumn(value, F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_x") - F.col("k"))).drop("_last", "_x", "_k1", "_v0", "_v1", "k")
+    exact = F.greatest(F.least(F.col(seconds) / F.lit(period), F.lit(FARTHEST)), F.lit(0.0))
+    sample = F.struct(F.col("k").cast("long").alias("k"), F.col(value).alias("v"))
+    kind = f"struct<k:bigint,v:{samples.schema[value].dataType.simpleString()}>"
+    held = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in points.schema.fields) + ">"
+    marks = samples.where(F.col(series).isNotNull()).select(series, F.col("k").cast("long").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("double").alias("_x"), sample.alias("_s"), F.lit(None).cast(held).alias("_p"))
+    asked = points.where(F.col(series).isNotNull()).select(F.col(series).cast(samples.schema[series].dataType), F.floor(exact).cast("long").alias("_at"), F.lit(1).alias("_side"), exact.alias("_x"), F.lit(None).cast(kind).alias("_s"), F.struct(*points.columns).alias("_p"))
+    up = W.partitionBy(series).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(series).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(W.unboundedPreceding, 0)
+    both = marks.unionByName(asked).withColumn("_b", F.last("_s", True).over(up)).withColumn("_a", F.last("_s", True).over(down))
+    found = both.where("_side = 1 and (_a is not null or _b is not null)")
+    end = F.col("_a").isNull()
+    low = F.when(end | (F.col("_b.k") == F.col("_at")), F.col("_b.v"))
+    high = F.when(end, F.col("_b.v")).when(F.col("_a.k") == F.col("_at") + 1, F.col("_a.v"))
+    share = F.when(end, F.lit(0.0)).otherwise(F.col("_x") - F.col("_at"))
+    return found.select(*(F.col(f"_p.{c}").alias(c) for c in points.columns if c != value), made(low, high, share).alias(value))
+
+
+def sample_at(points: DataFrame, samples: DataFrame, series: str, seconds: str, value: str, period: float) -> DataFrame:
+    """The series' value at any time, between the two samples around it, held at both ends. See ``around``."""
+    return around(points, samples, series, seconds, value, period, lambda low, high, share: low + (high - low) * share)
 
 
 def sequence_offsets(items: DataFrame, series: str, order: list[str], length: str) -> DataFrame:
