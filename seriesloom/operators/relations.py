@@ -152,16 +152,17 @@ def violations(df: DataFrame, **tests: Column) -> DataFrame:
     return df.withColumn("failed", F.explode(names))
 
 
-def fast_motion_check(events: DataFrame, clean: DataFrame, series: list[str], frame: str, jump: str, wrist: str, hand: str, width: str, most: float = 2.5) -> DataFrame:
+def fast_motion_check(events: DataFrame, clean: DataFrame, series: list[str], frame: str, jump: str, wrist: str, hand: str, width: str, most: float = 2.5, apart: int = 1) -> DataFrame:
     """Fast events with the source's own step over the same frame, and whether it explains them.
 
     ``clean`` has a row per ``series`` and frame with the points ``wrist`` and ``hand``
     (3 numbers each) and the metres ``width`` of their unit. An event is explained if its
     ``jump`` in metres is at most ``most`` times the greater step. Without the frame or
-    the one before it the steps and ``explained`` are null.
+    the one before it (``apart`` less) the steps and ``explained`` are null. Frames are whole
+    numbers: fractions would make neighbours miss each other by their last digits.
     """
     w = W.partitionBy(*series).orderBy(frame)
-    follows = F.lag(frame).over(w) == F.col(frame) - 1
+    follows = F.lag(frame).over(w) == F.col(frame) - apart
 
     def step(point: str, size: int) -> Column:
         before = F.lag(point).over(w)

@@ -200,12 +200,12 @@ def review_picks(spark, sf_dir):
     r AS (SELECT label, vec_id, jump, CASE WHEN wj IS NOT NULL THEN floor(jump / greatest(wj, hj, 0.001::DOUBLE) * 100 + 0.5::DOUBLE) / 100 END AS ratio, wj, hj FROM (SELECT label, vec_id, jump, CASE WHEN follows THEN wj END AS wj, CASE WHEN follows THEN hj END AS hj FROM f))
     SELECT label, vec_id, ratio, ratio <= 0.5::DOUBLE AS explained FROM r WHERE jump > 0.1::DOUBLE""")
 def fast_motion(spark, sf_dir):
-    """Fast events against the source's own step (JN-06, FIT-11); every tenth vector of a label follows the one before."""
+    """Fast events against the source's own step (JN-06, FIT-11); a vector follows the one before of its label if their ids are ten apart."""
     vectors = table(spark, sf_dir, "embeddings")
     point = lambda k: F.transform(F.slice("embedding", k, 3), lambda x: x.cast("double"))
-    clean = vectors.select("label", "vec_id", ((F.col("vec_id") - F.col("label")) / 10).alias("k"), point(1).alias("wrist"), point(4).alias("hand"), F.lit(1.0).alias("metres"))
-    events = vectors.select("label", "vec_id", ((F.col("vec_id") - F.col("label")) / 10).alias("k"), F.abs(_e(7)).alias("jump")).where("jump > 0.1")
-    told = relations.fast_motion_check(events, clean.drop("vec_id"), ["label"], "k", "jump", "wrist", "hand", "metres", most=0.5)
+    clean = vectors.select("label", "vec_id", point(1).alias("wrist"), point(4).alias("hand"), F.lit(1.0).alias("metres"))
+    events = vectors.select("label", "vec_id", F.abs(_e(7)).alias("jump")).where("jump > 0.1")
+    told = relations.fast_motion_check(events, clean, ["label"], "vec_id", "jump", "wrist", "hand", "metres", most=0.5, apart=10)
     return told.select("label", "vec_id", "ratio", "explained")
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import datetime
 import io
 
 from seriesloom.operators import timeline
+from seriesloom.plans import catalogue
 
 
 def plan(df) -> str:
@@ -22,3 +24,11 @@ def test_samples_are_looked_up_without_a_broadcast(spark):
     got = timeline.sample_at(points, samples, "s", "t", "v", 1.0)
     assert {r.i: r.v for r in got.collect()} == {0: 1.0, 1: 2.0, 2: None, 3: None, 4: 9.0, 5: 9.0, 6: 9.0, 7: None, 8: 5.0, 9: 5.0}
     assert "Broadcast" not in plan(got)
+
+
+def test_fast_motion_follows_ids_exactly(spark, tmp_path):
+    # (20 - 7) / 10 - 1 is not (10 - 7) / 10 in floating point
+    vectors = [(10, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.5], 7), (20, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.5], 7), (31, [0.0] * 6 + [0.5], 7)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.ratio, r.explained) for r in catalogue.QUERIES["fast_motion"](spark, str(tmp_path)).collect()}
+    assert got == {10: (None, None), 20: (0.5, True), 31: (None, None)}
