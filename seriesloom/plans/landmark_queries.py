@@ -211,12 +211,19 @@ def fast_motion(spark, sf_dir):
 
 @query("SELECT user_id, count(*) AS frames, count(*) AS alike FROM events GROUP BY user_id")
 def limited_turns(spark, sf_dir):
-    """Turns about one axis limited both ways (WIN-13): alike to their angles limited as numbers, which ``rate_limit`` holds against SQL."""
-    turned = rows(spark, sf_dir).withColumn("q", F.array(F.lit(0.0), F.lit(0.0), F.sin(F.col("value") / 400), F.cos(F.col("value") / 400)))
-    numbers = folds.limit_rate(turned, "user_id", ["i"], "value", 10.0, "plain")
-    both = rotations.limit_rate(numbers, "user_id", ["i"], "q", 10.0 / 200)
-    angle = 2 * F.atan2(F.get("limited", F.lit(2)), F.get("limited", F.lit(3)))
-    return both.groupBy("user_id").agg(F.count("*").alias("frames"), F.count_if(F.abs(angle * 200 - F.col("plain")) < 1e-3).alias("alike"))
+    """Turns about one axis limited both ways (WIN-13): alike to their angles limited as numbers, which ``rate_limit`` holds against SQL.
+
+    The angles are within a quarter turn of 0 whatever the value, so that no step between
+    two of them is a half turn or more, which a rotation would take the other way round.
+    Rows without a number are alike in having no angle.
+    """
+    told = rows(spark, sf_dir).withColumn("angle", F.when(~F.isnan("value"), F.atan(F.col("value") / 100)))
+    q = F.array(F.lit(0.0), F.lit(0.0), F.sin(F.col("angle") / 2), F.cos(F.col("angle") / 2))
+    turned = told.withColumn("q", F.when(F.col("angle").isNotNull(), q))
+    numbers = folds.limit_rate(turned, "user_id", ["i"], "angle", 0.05, "plain")
+    both = rotations.limit_rate(numbers, "user_id", ["i"], "q", 0.05)
+    limited = 2 * F.atan2(F.get("limited", F.lit(2)), F.get("limited", F.lit(3)))
+    return both.groupBy("user_id").agg(F.count("*").alias("frames"), F.count_if(F.coalesce(F.abs(limited - F.col("plain")) < 5e-6, F.col("limited").isNull() & F.col("plain").isNull())).alias("alike"))
 
 
 @query("SELECT * FROM (WITH w AS (SELECT p_brand AS library, p_partkey AS place, p_name AS word, p_size AS frames, (sum(p_size) OVER b - p_size)::BIGINT + CASE WHEN p_partkey % 50 = 0 THEN 1 ELSE 0 END AS start, p_size // 3 AS a, p_size // 3 AS c, p_size - 2 * (p_size // 3) + CASE WHEN p_partkey % 70 = 0 THEN 1 ELSE 0 END AS s FROM part WINDOW b AS (PARTITION BY p_brand ORDER BY p_partkey, p_name)),"

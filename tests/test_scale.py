@@ -32,3 +32,10 @@ def test_fast_motion_follows_ids_exactly(spark, tmp_path):
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.vec_id: (r.ratio, r.explained) for r in catalogue.QUERIES["fast_motion"](spark, str(tmp_path)).collect()}
     assert got == {10: (None, None), 20: (0.5, True), 31: (None, None)}
+
+
+def test_turns_of_large_values_are_limited_alike(spark, tmp_path):
+    values = [5.0, 700.0, 20.0, 1e9, -1e9, None, float("nan"), 3.0, 650.0, 650.0, 0.0]
+    rows = [(k, datetime.datetime(2024, 1, 1, 0, 0, k), 1, "view", v) for k, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in catalogue.QUERIES["limited_turns"](spark, str(tmp_path)).collect()] == [(1, 11, 11)]
