@@ -6,8 +6,12 @@ import contextlib
 import datetime
 import io
 
-from seriesloom.operators import timeline
-from seriesloom.plans import catalogue
+from pyspark.sql import functions as F
+
+from seriesloom.operators import gaps, timeline
+from seriesloom.plans import catalogue, inputs
+
+SF = "/root/testdata/sf0.01"
 
 
 def plan(df) -> str:
@@ -39,3 +43,14 @@ def test_turns_of_large_values_are_limited_alike(spark, tmp_path):
     rows = [(k, datetime.datetime(2024, 1, 1, 0, 0, k), 1, "view", v) for k, v in enumerate(values)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in catalogue.QUERIES["limited_turns"](spark, str(tmp_path)).collect()] == [(1, 11, 11)]
+
+
+def test_tasks_follow_the_number_of_events(spark, monkeypatch):
+    monkeypatch.setattr(inputs, "TASK_EVENTS", 500)
+    events = inputs.table(spark, SF, "events").count()
+    placed = inputs.rows(spark, SF)
+    assert placed.rdd.getNumPartitions() == -(-events // 500)
+    # whole users, in the partitions they were dealt to, also behind a grid
+    for made in (inputs.grid(spark, SF), gaps.carry_forward(inputs.grid(spark, SF), "user_id", "value")):
+        assert made.rdd.getNumPartitions() == placed.rdd.getNumPartitions()
+        assert made.select("user_id", F.spark_partition_id().alias("p")).distinct().groupBy("user_id").count().where("count > 1").count() == 0
