@@ -27,14 +27,18 @@ def carry(df: DataFrame, series: str, order: list[str], inputs: list[str], outpu
 
     ``outputs`` is their schema, ``start`` makes a series' first state. With
     ``placed`` the rows lie in their partitions already, as after another ``carry``.
+    Otherwise a window deals and sorts them: rows that lie by series stay where they are,
+    in as many tasks as they were dealt to.
     """
     named = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
     at = {c: k for k, c in enumerate(df.columns)}
     key = f"c{at[series]}"
     kinds = [F.desc(f"c{at[o]}") if descending else F.asc(f"c{at[o]}") for o in order]
-    dealt = (named if placed else named.repartition(key)).sortWithinPartitions(key, *kinds)
     added = T.StructType.fromDDL(outputs)
     schema = T.StructType([*named.schema.fields, *added.fields])
+    last = len(named.columns)
+    dealt = named if placed else named.withColumn("_place", F.row_number().over(W.partitionBy(key).orderBy(*kinds)))
+    dealt = dealt.sortWithinPartitions(key, *kinds)
     places, key_place, names = [at[c] for c in inputs], at[series], schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +55,7 @@ def carry(df: DataFrame, series: str, order: list[str], inputs: list[str], outpu
                 state, out = step(state, *values)
                 made.append(out)
             columns = [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *columns], names=names)
 
     return dealt.mapInArrow(run, schema).toDF(*df.columns, *added.names)
 

@@ -8,7 +8,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from seriesloom.operators import gaps, timeline
+from seriesloom.operators import folds, gaps, timeline
 from seriesloom.plans import catalogue, inputs
 
 SF = "/root/testdata/sf0.01"
@@ -54,3 +54,11 @@ def test_tasks_follow_the_number_of_events(spark, monkeypatch):
     for made in (inputs.grid(spark, SF), gaps.carry_forward(inputs.grid(spark, SF), "user_id", "value")):
         assert made.rdd.getNumPartitions() == placed.rdd.getNumPartitions()
         assert made.select("user_id", F.spark_partition_id().alias("p")).distinct().groupBy("user_id").count().where("count > 1").count() == 0
+
+
+def test_folds_leave_rows_in_their_tasks(spark, monkeypatch):
+    monkeypatch.setattr(inputs, "TASK_EVENTS", 500)
+    placed = inputs.rows(spark, SF)
+    folded = folds.exponential_average(placed, "user_id", ["i"], "value", 0.5)
+    assert folded.rdd.getNumPartitions() == placed.rdd.getNumPartitions()
+    assert plan(folded).count("Exchange") == plan(placed).count("Exchange")
