@@ -155,14 +155,16 @@ def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, rounds: int =
     return of
 
 
-def context_counts(docs: DataFrame, context, skip: np.ndarray) -> DataFrame:
+def context_counts(docs: DataFrame, context, skip: np.ndarray, among: int | None = None) -> DataFrame:
     """``word, seen``: how often each word occurs and has a neighbour of each class on either side, over all texts of ``docs``.
 
     Of the words in ``context``, neighbours whose
     class is -1 or that are not in it do not count, nor does a word beside itself.
     ``seen`` packs (side and class as one number, count) as pairs of 32-bit numbers,
     the number after the last standing for the word itself, a row for each word and
-    task's gathering. Words of the sorted ``skip`` are left out.
+    task's gathering. Words of the sorted ``skip`` are left out, and all but the first
+    ``among`` words of the context, if that is given: before anything is gathered, and
+    by the same worker, as each one more holds the context once more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +174,25 @@ def context_counts(docs: DataFrame, context, skip: np.ndarray) -> DataFrame:
         size = 0
 
         def summed() -> Iterator[pa.RecordBatch]:
+            # what is not needed any more is let go at once: a worker's memory is a few times what it gathered
             word, cell = np.concatenate(words_of), np.concatenate(cells_of)
-            distinct, place = np.unique(word, return_inverse=True)
-            keys, count = np.unique(place * np.int64(2 * _SIDES + 1) + cell, return_counts=True)
+            words_of.clear()
+            cells_of.clear()
+            order = np.argsort(word)
+            word, cell = word[order], cell[order]
+            del order
+            first = np.concatenate([[True], word[1:] != word[:-1]])
+            distinct = word[first]
+            del word
+            keys = np.cumsum(first, dtype=np.int64)
+            keys -= 1
+            keys *= 2 * _SIDES + 1
+            keys += cell
+            del first, cell
+            keys.sort()
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            count = np.diff(starts, append=len(keys))
+            keys = keys[starts]
             owner, cell = keys // (2 * _SIDES + 1), keys % (2 * _SIDES + 1)
             pairs = np.stack([cell, count], axis=1).astype("<i4")
             starts = np.searchsorted(owner, np.arange(len(distinct) + 1)) * 8
@@ -194,15 +212,19 @@ def context_counts(docs: DataFrame, context, skip: np.ndarray) -> DataFrame:
                 at = np.minimum(np.searchsorted(skip, own), len(skip) - 1)
                 inner = inner[skip[at] != own]
                 own = hashes[inner]
+            if among is not None:
+                place = _closed(words, number, -1)[inner]
+                inner = inner[(place >= 0) & (place < among)]
+                own = hashes[inner]
             left, right = row[inner - 1], row[inner + 1]
             by_left = (left >= 0) & (hashes[inner - 1] != own)
             by_right = (right >= 0) & (hashes[inner + 1] != own)
             words_of += [own[by_left], own[by_right], own]
-            cells_of += [left[by_left], right[by_right] + _SIDES, np.full(len(own), 2 * _SIDES)]
+            cells_of += [x.astype(np.int16) for x in (left[by_left], right[by_right] + _SIDES, np.full(len(own), 2 * _SIDES))]
             size += len(own)
             if size > GATHER:
                 yield from summed()
-                words_of, cells_of, size = [], [], 0
+                size = 0
         if words_of:
             yield from summed()
 
@@ -348,9 +370,10 @@ def cluster_words(taught: DataFrame, distinct: int, frequent, index: HashIndex,
     for turn in range(rounds if distinct > len(head) else 0):
         context = _Known(spark, shared_index, np.where(np.arange(len(classes)) < min(context_words, len(hashes)), classes, -1))
         table = class_pairs(taught, context) if turn else table
-        seen = context_counts(taught, context, np.sort(head))
-        if turn < rounds - 1:
-            moved = assign_classes(_among(seen, shared_index, context_words), context, table).toPandas()
+        final = turn == rounds - 1
+        seen = context_counts(taught, context, np.sort(head), None if final else context_words)
+        if not final:
+            moved = assign_classes(seen, context, table).toPandas()
         else:
             rest = settle(assign_classes(seen, context, table), "classes")
             words, before = settle(words.union(rest), "classes"), words
