@@ -191,3 +191,17 @@ def test_exchange_raises_likelihood():
         return brown_lm._xlogx(t).sum() - brown_lm._xlogx(t.sum(0)).sum() - brown_lm._xlogx(t.sum(1)).sum()
 
     assert likelihood(of) >= likelihood(truth) - 1e-6
+
+
+def test_contexts_of_asked_words_are_the_same(spark):
+    from types import SimpleNamespace
+
+    from seriesloom.llm.shared import HashIndex, Words
+
+    docs = spark.createDataFrame([("a b c a d e b",), ("e d c a",), (None,), ("f a f",)], "text string")
+    order = Words([b"a b c d e"]).hash
+    context = SimpleNamespace(value=(HashIndex(order), np.array([0, 1, 2, 0, 1, -1], np.int16)))
+    seen = lambda *among: {r.word: bytes(r.seen) for r in brown_lm.context_counts(docs.coalesce(1), context, np.sort(order[:1]), *among).collect()}
+    few, every = seen(3), seen()
+    assert set(few) == set(order[1:3].view(np.int64).tolist()) and len(every) == 5
+    assert all(every[w] == s for w, s in few.items())
