@@ -1,9 +1,16 @@
-"""A bounded memo from words to token ids, for tokenizers that never join across ASCII spaces."""
+"""A bounded memo from words and pieces of words to token ids, for tokenizers that never join across ASCII spaces."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from collections import defaultdict
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count, islice
+from string import punctuation
 
 import numpy as np
 
@@ -15,13 +22,22 @@ MEMO_WORDS = 300_000
 MEMO_WORD_CHARS = 64
 #: Plain words that are handed to the tokenizer as one text.
 JOINED_WORDS = 1_000
-_TAIL = ".,!?;:"
+#: Characters of texts that are split here: Latin ones, and dashes, quotes and the like. None joins or changes its neighbours when it is normalised.
+_KNOWN = [*range(0x2B0), *range(0x2010, 0x2028), 0x20AC]
+#: The only splitter and normalisers for which that is done, as the tokenizer's file spells them.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLITTER = [
+    {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+_NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _STOPS = (".", "!", "?", "。", "！", "？")
+_SPACED_STOPS = tuple(stop + space for stop in _STOPS for space in " \n")
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(tokenizer_file: str):
-    """The tokenizer, the openings of its special tokens, and by id whether a token closes a word.
+    """The tokenizer, the openings of its special tokens, by id whether a token closes a word, and how it splits Latin text (see ``_latin``).
 
     Raises an error where spaces and line feeds are no walls for it: where a piece
     of several characters holds one, or words encoded alone differ from a text's.
@@ -44,20 +60,48 @@ def _tokenizer(tokenizer_file: str):
         raise ValueError(f"tokens of {tokenizer_file} reach over white space; words cannot be encoded alone")
     closes = np.zeros(max(vocabulary.values()) + 1, bool)
     closes[[k for p, k in vocabulary.items() if p.endswith("</w>")]] = True
-    return tokenizer, special, closes
+    return tokenizer, special, closes, _latin(tokenizer)
 
 
-class _Index(dict):
-    """word -> number; unseen words get the next number and are noted. Tuples stand for words let go."""
+@dataclass
+class _Latin:
+    """Text that can be split as the tokenizer splits it: whether a whole text is such, the pieces of a small one, how its letters are spelled for the model.
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[str] = []
+    Pieces of punctuation keep a space or line feed behind them, which has no tokens.
+    """
+
+    whole: Callable[[str], object]
+    pieces: Callable[[str], list[str]]
+    word: Callable[[str], object]
+    letters: dict[int, str]
+
+
+def _latin(tokenizer) -> _Latin | None:
+    """Kinds of the known characters, as the tokenizer itself tells them; None if its splitter or normalisers are others."""
+
+    def steps(part, name: str) -> list[dict]:
+        return json.loads(part.__getstate__()).get(name, []) if part else []
+
+    if steps(tokenizer.pre_tokenizer, "pretokenizers") != _SPLITTER or steps(tokenizer.normalizer, "normalizers") != _NORMALISER:
+        return None
 
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.fresh.append(word)
-        return number
+    def pieces(text: str) -> list[str]:
+        return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))]
+
+    letters, digits, spaces, signs = {}, [], [], []
+    told = {k: (pieces(f"b{k}b"), pieces(f"?{k}?")) for k in map(chr, _KNOWN)}
+    for k, (within, between) in told.items():
+        if told.get(k.lower()) != told[k]:
+            continue
+        if len(within) == 1:
+            letters[ord(k)] = within[0][1:-1]
+        elif len(within) == 2:
+            spaces.append(k)
+        else:
+            (digits if len(between) == 3 else signs).append(k)
+    kinds = ["".join(map(re.escape, x)) for x in (map(chr, letters), digits, spaces, signs)]
+    split = f"'s|'t|'re|'ve|'m|'ll|'d|[{kinds[0]}]+|[{kinds[1]}]|[{kinds[3]}]+[ \n]?"
+    return _Latin(re.compile(f"[{''.join(kinds)}]*").fullmatch, re.compile(split).findall, re.compile(f"[{kinds[0]}]+").fullmatch, letters)
 
 
 def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -67,31 +111,37 @@ def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Token ids of texts by words split at spaces and line feeds.
+    """Token ids of texts by words split at spaces and line feeds or, for Latin text, by the tokenizer's own split.
 
     The tokenizer drops white space before its merges and none of its pieces
     holds any (checked when the tokenizer is loaded), so a text's ids are its
-    words' ids in order. A text that holds a special token's opening is encoded
-    whole by the library instead.
+    words' ids in order. Where its splitter is known (see ``_latin``), Latin text is
+    made small and split into its pieces, far fewer of which are distinct than
+    words are. A text that holds a special token's opening is encoded whole by the
+    library instead.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
-        self.tokenizer, self.special, self.closes = _tokenizer(tokenizer_file)
-        self.index = _Index()
+        self.tokenizer, self.special, self.closes, self.latin = _tokenizer(tokenizer_file)
+        self.index: defaultdict[str, int] = defaultdict(count().__next__)
+        #: Numbers given out; those of words that were let go stay in the arrays until they are trimmed.
+        self.known = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.begin = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
-        self.ends = np.zeros(1 << 14, bool)
+        #: 1: ends a sentence as a word, 2: as a piece, by the space behind it.
+        self.ends = np.zeros(1 << 14, np.uint8)
         self.hits = np.zeros(1 << 14, np.int64)
 
     def _trim(self) -> None:
         """Lets go of all words but the most used quarter of what may be held."""
         words = list(self.index)
-        order = np.argsort(-self.hits[: len(words)], kind="stable")[: MEMO_WORDS // 4]
-        keep = [k for k in np.sort(order).tolist() if isinstance(words[k], str)]
-        self.index = _Index()
-        self.index.update((words[k], n) for n, k in enumerate(keep))
+        numbers = np.fromiter(self.index.values(), np.int64, len(words))
+        often = np.sort(np.argsort(-self.hits[numbers], kind="stable")[: MEMO_WORDS // 4])
+        keep = numbers[often]
+        self.index = defaultdict(count(len(keep)).__next__, ((words[k], n) for n, k in enumerate(often.tolist())))
+        self.known = len(keep)
         ids = self.flat[_spread(self.begin[keep], self.count[keep])]
         n, counts = len(keep), self.count[keep]
         self.flat[: len(ids)], self.used = ids, len(ids)
@@ -115,6 +165,17 @@ class WordTable:
             ids = self._encode(words[a : a + 20_000])
             self._put(np.array(numbers[a : a + 20_000]), np.array([len(x) for x in ids], np.int64), np.concatenate(ids))
 
+    def _put_latin(self, words: list[str], numbers: list[int]) -> None:
+        """Small words of Latin letters are one piece each, which is spelled here and given to the model straight away."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.latin.letters
+        counts: list[int] = []
+        ids: list[int] = []
+        for word in words:
+            tokens = tokenize(word if word.isascii() else word.translate(letters))
+            counts.append(len(tokens))
+            ids += [t.id for t in tokens]
+        self._put(np.array(numbers, np.int64), np.array(counts, np.int64), np.array(ids, np.uint32))
+
     def _put_plain(self, words: list[str], numbers: list[int]) -> None:
         """Words of letters alone are as a rule one piece for the tokenizer, so that one token of each, its last, closes a word.
 
@@ -129,44 +190,55 @@ class WordTable:
             else:
                 self._put_whole(part, numbers[a : a + JOINED_WORDS])
 
-    def _learn(self, first: int) -> None:
-        """Ids of new words; words that differ in their endings or, in ASCII, in case share their core's ids.
+    def _fresh(self, since: int) -> list[str]:
+        """The words that joined the index since it held so many, in order."""
+        return list(islice(reversed(self.index), len(self.index) - since))[::-1]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Ids of new words; words that differ in their endings or in case share their core's ids.
 
         The tokenizer takes a whole run of punctuation for one piece of a word, so an
         ending stands apart only behind a letter or digit (of Latin script, which
         stays one when it is normalised; a dotted capital I does not).
         """
-        index, fresh = self.index, self.index.fresh
-        index.fresh = []
+        index, first = self.index, self.known
+        latin = self.latin.word if self.latin else lambda _: None
         made: list[tuple[int, int, int]] = []
+        spelled: list[int] = []
         plain: list[int] = []
         other: list[int] = []
-        stops: list[int] = []
+        held = len(index)
         for number, word in enumerate(fresh, first):
-            if word.isalpha() and (word.islower() or not word.isascii()):
+            core = word.rstrip(punctuation)
+            if latin(core):
+                low = core.lower()
+                if low == word:
+                    spelled.append(number)
+                    continue
+            elif word.isalpha():
                 plain.append(number)
                 continue
-            core = word.rstrip(_TAIL)
-            last = core[-1:]
-            if not last.isalnum() or last >= "\u0250" or last == "\u0130":
-                core = word
-            tail = word[len(core) :]
-            if core.isascii():
-                core = core.lower()
-            if word.endswith(_STOPS):
-                stops.append(number)
-            if core == word:
+            else:
+                last = core[-1:]
+                if not last.isalnum() or last >= "\u0250" or last == "\u0130":
+                    core = word
+                low = core.lower() if self.latin and core.isascii() else core
+                if any(s in low for s in self.special):
+                    core = low = word
+            if low == word:
                 other.append(number)
             else:
-                made.append((number, index[core], index[tail] if tail else -1))
+                tail = word[len(core) :]
+                made.append((number, index[low], index[tail] if tail else -1))
         begun = first + len(fresh)
-        for number, word in enumerate(index.fresh, begun):
-            (plain if word.isalpha() else other).append(number)
-        fresh += index.fresh
-        index.fresh = []
-        end = first + len(fresh)
+        fresh += self._fresh(held)
+        for number, word in enumerate(fresh[begun - first :], begun):
+            (spelled if latin(word) else plain if word.isalpha() else other).append(number)
+        self.known = end = first + len(fresh)
         while end > len(self.begin):
             self.begin, self.count, self.ends, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.ends, self.hits))
+        if spelled:
+            self._put_latin([fresh[n - first] for n in spelled], spelled)
         self._put_plain([fresh[n - first] for n in plain], plain)
         self._put_whole([fresh[n - first] for n in other], other)
         if made:
@@ -174,20 +246,20 @@ class WordTable:
             begin = np.stack([self.begin[core], self.begin[tail]], axis=1)
             count = np.stack([self.count[core], np.where(tail < 0, 0, self.count[tail])], axis=1)
             self._put(number, count.sum(axis=1), self.flat[_spread(begin.ravel(), count.ravel())])
-        self.ends[first:end] = False
-        self.ends[stops] = True
-        for number, word in enumerate(fresh, first):
+        self.ends[first:end] = 0
+        self.ends[[n for n, word in enumerate(fresh, first) if word.endswith(_STOPS)]] = 1
+        self.ends[[n for n, word in enumerate(fresh, first) if word.endswith(_SPACED_STOPS)]] = 2
+        for word in fresh:
             if len(word) > MEMO_WORD_CHARS:
                 # its number stays in the arrays until they are trimmed, but the string is let go
                 del index[word]
-                index[(number,)] = -1
 
     def _numbers(self, words: list[str]) -> np.ndarray:
-        first = len(self.index)
+        held = len(self.index)
         numbers = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if self.index.fresh:
-            self._learn(first)
-        self.hits[: len(self.index)] += np.bincount(numbers, minlength=len(self.index))
+        if len(self.index) > held:
+            self._learn(self._fresh(held))
+        self.hits[: self.known] += np.bincount(numbers, minlength=self.known)
         return numbers
 
     def _parts(self, text: str) -> list[str]:
@@ -217,17 +289,20 @@ class WordTable:
         return [(np.concatenate([ids for ids, _ in told]), np.concatenate([ends + s for (_, ends), s in zip(told, starts)]))]
 
     def _encode_slice(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        if len(self.index) > MEMO_WORDS:
+        if self.known > MEMO_WORDS:
             self._trim()
         words: list[str] = []
-        sizes, whole = [], {}
+        sizes, kinds, whole = [], [], {}
         for k, text in enumerate(texts):
             if any(s in text for s in self.special):
                 whole[k] = self._encode([text])[0]
                 sizes.append(0)
+                kinds.append(0)
                 continue
-            own = text.replace("\n", " ").split(" ")
+            latin = self.latin and self.latin.whole(text)
+            own = self.latin.pieces(text.lower() + " ") if latin else text.replace("\n", " ").split(" ")
             sizes.append(len(own))
+            kinds.append(2 if latin else 1)
             words += own
         numbers = self._numbers(words)
         counts = self.count[numbers]
@@ -241,6 +316,6 @@ class WordTable:
                 continue
             own = ends[word_at : word_at + size]
             last = int(own[-1]) if size else id_at
-            out.append((ids[id_at:last], own[stops[word_at : word_at + size]] - id_at))
+            out.append((ids[id_at:last], own[stops[word_at : word_at + size] == kinds[k]] - id_at))
             word_at, id_at = word_at + size, last
         return out

@@ -128,6 +128,58 @@ def test_random_texts_get_the_library_ids(monkeypatch):
         assert ids.tolist() == want and (np.diff(ends) >= 0).all() and (len(ends) == 0 or ends[-1] <= len(ids))
 
 
+def test_words_share_what_their_pieces_cost():
+    """Cases, brackets and endings of a word are no words of their own, so that little is learned of a large text."""
+    from seriesloom.llm.word_table import WordTable
+
+    table = WordTable(WORD_BPE)
+    texts = [f"{a}{w}{b}{c}" for w in ("hause", "Hause", "HAUSE", "élan", "Élan", "it's") for a in ("", "(", '"') for b in ("", ".", ",", "?!", "%%%", "'") for c in ("", "\n", " 1998,")]
+    table.encode([" ".join(texts)])
+    assert len(table.index) < 40
+    for text, (ids, ends), want in zip(texts, table.encode(texts), library_ids(texts), strict=True):
+        assert ids.tolist() == want, text
+        # sentences end at stops before white space or the text's end, not at those within numbers or before quotes
+        stop = any(word.endswith((".", "!")) for word in text.replace("\n", " ").split(" "))
+        assert len(ends) == stop, text
+    assert len(table.encode(["It is 3.14 or 2.7.1 now."])[0][1]) == 1
+
+
+def test_long_words_leave_the_numbers_of_others_alone(monkeypatch):
+    from seriesloom.llm import word_table
+
+    monkeypatch.setattr(word_table, "MEMO_WORDS", 200)
+    table = word_table.WordTable(WORD_BPE)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    for turn in range(12):
+        texts = [" ".join([*words[:40], "x" * (70 + turn), *words[40:100]]), "北 " + " ".join([*words[:40], "y." * (70 + turn), *rng.sample(words, 90)])]
+        for text, (ids, _), want in zip(texts, table.encode(texts), library_ids(texts), strict=True):
+            assert ids.tolist() == want, text
+
+
+def test_capital_spellings_of_special_tokens_are_text():
+    from seriesloom.llm.word_table import WordTable
+
+    table = WordTable(WORD_BPE)
+    texts = ["<|ENDOFTEXT|>", "北 <|EndOfText|>", "北 x<|ENDOFTEXT|>y.", "a <|endoftext|> b", "<|StartOfText|>,"]
+    for text, (ids, _), want in zip(texts, table.encode(texts), library_ids(texts), strict=True):
+        assert ids.tolist() == want, text
+
+
+def test_every_known_character_is_split_as_the_library_does(monkeypatch):
+    from seriesloom.llm import word_table
+
+    table = word_table.WordTable(WORD_BPE)
+    rng = random.Random(11)
+    known = [chr(k) for k in word_table._KNOWN]
+    latin = [k for k in known if table.latin.whole(k)]
+    assert "İ" not in latin and set(known) - set(latin) <= {k for k in known if k.isalpha()}
+    texts = [f"a{k}b {k}{k}. '{k}s {k}'s 1{k}2" for k in known]
+    texts += ["".join(rng.choice(rng.choice((latin, "'strevmld", " .,!?\n"))) for _ in range(40)) for _ in range(5000)]
+    for text, (ids, _), want in zip(texts, table.encode(texts), library_ids(texts), strict=True):
+        assert ids.tolist() == want, text
+
+
 def test_tokenizers_that_join_over_spaces_are_refused():
     import pytest
     from seriesloom.llm.word_table import WordTable
