@@ -8,9 +8,8 @@ import re
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import count, islice
-from string import punctuation
 
 import numpy as np
 
@@ -32,7 +31,6 @@ _SPLITTER = [
 ]
 _NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _STOPS = (".", "!", "?", "。", "！", "？")
-_SPACED_STOPS = tuple(stop + space for stop in _STOPS for space in " \n")
 
 
 @lru_cache(maxsize=2)
@@ -65,14 +63,18 @@ def _tokenizer(tokenizer_file: str):
 
 @dataclass
 class _Latin:
-    """Text that can be split as the tokenizer splits it: whether a whole text is such, the pieces of a small one, how its letters are spelled for the model.
+    """Text that can be split as the tokenizer splits it.
 
-    Pieces of punctuation keep a space or line feed behind them, which has no tokens.
+    ``whole`` tells whether a whole text is such, ``word`` whether it is letters
+    alone; ``pieces`` of a small text; ``apart`` puts spaces around a small text's
+    runs of signs and around apostrophes with the letters behind them; ``letters`` are
+    spelled so for the model.
     """
 
     whole: Callable[[str], object]
-    pieces: Callable[[str], list[str]]
     word: Callable[[str], object]
+    pieces: Callable[[str], list[str]]
+    apart: Callable[[str], str]
     letters: dict[int, str]
 
 
@@ -99,9 +101,14 @@ def _latin(tokenizer) -> _Latin | None:
             spaces.append(k)
         else:
             (digits if len(between) == 3 else signs).append(k)
-    kinds = ["".join(map(re.escape, x)) for x in (map(chr, letters), digits, spaces, signs)]
-    split = f"'s|'t|'re|'ve|'m|'ll|'d|[{kinds[0]}]+|[{kinds[1]}]|[{kinds[3]}]+[ \n]?"
-    return _Latin(re.compile(f"[{''.join(kinds)}]*").fullmatch, re.compile(split).findall, re.compile(f"[{kinds[0]}]+").fullmatch, letters)
+    letter, digit, space, sign = ("".join(map(re.escape, x)) for x in (map(chr, letters), digits, spaces, signs))
+    return _Latin(
+        re.compile(f"[{letter}{digit}{space}{sign}]*").fullmatch,
+        re.compile(f"[{letter}]+").fullmatch,
+        re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[{sign}]+").findall,
+        partial(re.compile(f"'[{letter}]+|[{sign}]+").sub, r" \g<0> "),
+        letters,
+    )
 
 
 def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -116,8 +123,7 @@ class WordTable:
     The tokenizer drops white space before its merges and none of its pieces
     holds any (checked when the tokenizer is loaded), so a text's ids are its
     words' ids in order. Where its splitter is known (see ``_latin``), Latin text is
-    made small and split into its pieces, far fewer of which are distinct than
-    words are. A text that holds a special token's opening is encoded whole by the
+    made small and its signs are put apart, so that far fewer words are distinct. A text that holds a special token's opening is encoded whole by the
     library instead.
     """
 
@@ -130,8 +136,7 @@ class WordTable:
         self.used = 0
         self.begin = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
-        #: 1: ends a sentence as a word, 2: as a piece, by the space behind it.
-        self.ends = np.zeros(1 << 14, np.uint8)
+        self.ends = np.zeros(1 << 14, bool)
         self.hits = np.zeros(1 << 14, np.int64)
 
     def _trim(self) -> None:
@@ -195,45 +200,33 @@ class WordTable:
         return list(islice(reversed(self.index), len(self.index) - since))[::-1]
 
     def _learn(self, fresh: list[str]) -> None:
-        """Ids of new words; words that differ in their endings or in case share their core's ids.
-
-        The tokenizer takes a whole run of punctuation for one piece of a word, so an
-        ending stands apart only behind a letter or digit (of Latin script, which
-        stays one when it is normalised; a dotted capital I does not).
-        """
-        index, first = self.index, self.known
-        latin = self.latin.word if self.latin else lambda _: None
-        made: list[tuple[int, int, int]] = []
+        """Ids of new words; those of Latin text share their pieces' ids."""
+        index, first, latin = self.index, self.known, self.latin
+        made: list[int] = []
+        parts: list[int] = []
+        sizes: list[int] = []
         spelled: list[int] = []
         plain: list[int] = []
         other: list[int] = []
         held = len(index)
         for number, word in enumerate(fresh, first):
-            core = word.rstrip(punctuation)
-            if latin(core):
-                low = core.lower()
-                if low == word:
-                    spelled.append(number)
-                    continue
-            elif word.isalpha():
-                plain.append(number)
-                continue
-            else:
-                last = core[-1:]
-                if not last.isalnum() or last >= "\u0250" or last == "\u0130":
-                    core = word
-                low = core.lower() if self.latin and core.isascii() else core
-                if any(s in low for s in self.special):
-                    core = low = word
-            if low == word:
-                other.append(number)
+            if latin and word.isascii() and word.isalpha() and word.islower():
+                spelled.append(number)
+            elif not latin or not latin.whole(word):
+                (plain if word.isalpha() else other).append(number)
             else:
-                tail = word[len(core) :]
-                made.append((number, index[low], index[tail] if tail else -1))
+                low = word.lower()
+                own = [low] if latin.word(low) else latin.pieces(low)
+                if own != [word]:
+                    made.append(number)
+                    sizes.append(len(own))
+                    parts += map(index.__getitem__, own)
+                else:
+                    (spelled if latin.word(word) else other).append(number)
         begun = first + len(fresh)
         fresh += self._fresh(held)
         for number, word in enumerate(fresh[begun - first :], begun):
-            (spelled if latin(word) else plain if word.isalpha() else other).append(number)
+            (spelled if latin.word(word) else other).append(number)
         self.known = end = first + len(fresh)
         while end > len(self.begin):
             self.begin, self.count, self.ends, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.ends, self.hits))
@@ -242,13 +235,12 @@ class WordTable:
         self._put_plain([fresh[n - first] for n in plain], plain)
         self._put_whole([fresh[n - first] for n in other], other)
         if made:
-            number, core, tail = np.array(made, np.int64).T
-            begin = np.stack([self.begin[core], self.begin[tail]], axis=1)
-            count = np.stack([self.count[core], np.where(tail < 0, 0, self.count[tail])], axis=1)
-            self._put(number, count.sum(axis=1), self.flat[_spread(begin.ravel(), count.ravel())])
-        self.ends[first:end] = 0
-        self.ends[[n for n, word in enumerate(fresh, first) if word.endswith(_STOPS)]] = 1
-        self.ends[[n for n, word in enumerate(fresh, first) if word.endswith(_SPACED_STOPS)]] = 2
+            counts = self.count[parts]
+            until = np.cumsum(sizes)
+            total = np.concatenate([[0], np.cumsum(counts)])
+            self._put(np.array(made), total[until] - total[until - sizes], self.flat[_spread(self.begin[parts], counts)])
+        self.ends[first:end] = False
+        self.ends[[n for n in (*plain, *other, *made) if fresh[n - first].endswith(_STOPS)]] = True
         for word in fresh:
             if len(word) > MEMO_WORD_CHARS:
                 # its number stays in the arrays until they are trimmed, but the string is let go
@@ -297,18 +289,19 @@ class WordTable:
             if any(s in text for s in self.special):
                 whole[k] = self._encode([text])[0]
                 sizes.append(0)
-                kinds.append(0)
+                kinds.append(False)
                 continue
             latin = self.latin and self.latin.whole(text)
-            own = self.latin.pieces(text.lower() + " ") if latin else text.replace("\n", " ").split(" ")
+            own = (self.latin.apart(text.lower()) + " " if latin else text).replace("\n", " ").split(" ")
             sizes.append(len(own))
-            kinds.append(2 if latin else 1)
+            kinds.append(bool(latin))
             words += own
         numbers = self._numbers(words)
         counts = self.count[numbers]
         ends = np.cumsum(counts, dtype=np.int64)
         ids = self.flat[_spread(self.begin[numbers], counts)]
-        stops = self.ends[numbers]
+        # behind signs that are put apart there is an empty word if there was a space
+        stops = self.ends[numbers] & (np.append(numbers[1:] == self.index.get("", -1), False) | ~np.repeat(np.array(kinds, bool), sizes))
         out, word_at, id_at = [], 0, 0
         for k, size in enumerate(sizes):
             if k in whole:
@@ -316,6 +309,6 @@ class WordTable:
                 continue
             own = ends[word_at : word_at + size]
             last = int(own[-1]) if size else id_at
-            out.append((ids[id_at:last], own[stops[word_at : word_at + size] == kinds[k]] - id_at))
+            out.append((ids[id_at:last], own[stops[word_at : word_at + size]] - id_at))
             word_at, id_at = word_at + size, last
         return out
